@@ -23,5 +23,43 @@ from f group by conv_id
 """
 
 
+def _spans(kind: str, rank: int, pattern: str, test: str) -> str:
+    """Matches of ``pattern`` with their positions, from the pieces between them; ``test`` sees the match as m."""
+    p = pattern.replace("'", "''")
+    return f"""select doc_id, {rank} as rank, '{kind}' as kind, m, before, after, pos + gap as s, pos + gap + length(m) as e from (
+      select doc_id, unnest(hits) as m, unnest(list_transform(range(1, len(hits) + 1), lambda i: length(pieces[i]))) as gap,
+        unnest(list_transform(range(1, len(hits) + 1), lambda i: right(pieces[i], 40))) as before,
+        unnest(list_transform(range(1, len(hits) + 1), lambda i: left(pieces[i + 1], 40))) as after,
+        unnest(list_transform(range(1, len(hits) + 1), lambda i: cast(coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)
+          + coalesce(list_sum(list_transform(pieces[1:i - 1], lambda h: length(h))), 0) as bigint))) as pos
+      from (select doc_id, regexp_extract_all(text, '{p}') as hits, regexp_split_to_array(text, '{p}') as pieces from documents where text is not null)
+    ) where {test}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) between 12 and 19 and list_sum(list_transform(range(0, length({_DIGITS})), lambda i:
+  case when i % 2 = 0 then cast({_DIGITS}[length({_DIGITS}) - i] as int)
+  else (cast({_DIGITS}[length({_DIGITS}) - i] as int) * 2) % 10 + (cast({_DIGITS}[length({_DIGITS}) - i] as int) * 2) // 10 end)) % 10 = 0"""
+_IBAN = "replace(m, ' ', '')"
+_MOD97 = f"""cast(list_reduce(list_prepend(0::bigint, list_transform(string_split({_IBAN}[5:] || {_IBAN}[1:4], ''), lambda c:
+  case when c >= 'A' then cast(ascii(c) - 55 as bigint) else cast(c as bigint) end)), lambda a, b: (a * (case when b > 9 then 100 else 10 end) + b) % 97) as bigint) = 1"""
+_NEAR = "(coalesce(before, '') || ' ' || coalesce(after, ''))"
+OP2 = f"""
+with s as (
+  {_spans("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true")}
+  union all {_spans("ip", 1, "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(x as bigint), 999) > 255)) = 0")}
+  union all {_spans("card", 2, "[0-9](?:[\\x20-]?[0-9])+", _LUHN)}
+  union all {_spans("phone", 3, "\\+[0-9][\\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15")}
+  union all {_spans("iban", 4, "\\b[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}\\b", _MOD97)}
+  union all {_spans("ssn", 5, "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", f"not regexp_matches(m, '^(?:000|666|9..)|-00-|-0000$') and regexp_matches({_NEAR}, '(?i)\\b(?:ssn|social|security|taxpayer)\\b')")}
+)
+select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
+  count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < 4), '')) as base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank), '') as spans
+from documents d left join s using (doc_id) group by d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8}
+    return {"op2_personal_data": OP2, "op8_chat_formatting": OP8}
