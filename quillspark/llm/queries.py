@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, mixing, pii, secrets
+from quillspark.llm import chat, licenses, mixing, pieces, pii, secrets
 from quillspark.llm.common import table
 
 
@@ -54,5 +54,33 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file() -> str:
+    """The public vocabulary file the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    base, extra = F.col("places.label"), F.col("templates.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, extra)).alias("labels"),
+        "score",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op3_secret_scan, op5_source_mixing, op8_chat_formatting)}
+    return {f.__name__: f for f in (op2_personal_data, op3_secret_scan, op5_source_mixing, op8_chat_formatting, op9_sentencepiece, op10_license_scan)}
