@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, licenses, mixing, pieces, pii, secrets
+from quillspark.llm import chat, jaccard, licenses, mixing, pieces, pii, secrets
 from quillspark.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("secrets")).alias("spans"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -83,4 +88,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op3_secret_scan, op5_source_mixing, op8_chat_formatting, op9_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op2_personal_data, op3_secret_scan, op4_jaccard_join, op5_source_mixing, op8_chat_formatting, op9_sentencepiece, op10_license_scan)}
