@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch, word_count
+from quillspark.llm.common import scratch, small, word_count
 
 
 def apportion(votes: DataFrame, group: Sequence[str], vote: str, seats: str, order: Sequence[Column], out: str) -> DataFrame:
@@ -115,3 +115,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
         (rounds * F.col("size") + F.when(rest > 0, over).otherwise(0)).cast("long").alias("taken"),
         (rounds + (inside & (rest > 0) & (F.col("size") > 0)).cast("long")).cast("long").alias("copies"),
     )
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: whole documents, each as often as ``mix_sources`` says (``copies``).
+
+    Rows that share a doc_id are repeated alike, as often as the one taken least.
+    """
+    taken = scratch(mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").alias("__copies")), "mix-copies")
+    some = small(taken.filter(F.col("__copies") > 0), 24)
+    return docs.join(some, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

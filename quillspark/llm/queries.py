@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, jaccard, licenses, mixing, pieces, pii, secrets
+from quillspark.llm import chat, jaccard, licenses, mixing, pieces, pii, quality, secrets
 from quillspark.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["rank"] < len(pii.BASE))
@@ -88,4 +92,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op3_secret_scan, op4_jaccard_join, op5_source_mixing, op8_chat_formatting, op9_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_secret_scan, op4_jaccard_join, op5_source_mixing, op8_chat_formatting, op9_sentencepiece, op10_license_scan)}
