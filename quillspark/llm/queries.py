@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, jaccard, licenses, mixing, neighbours, pieces, pii, quality, secrets
+from quillspark.llm import chat, jaccard, licenses, mixing, neighbours, pieces, pii, quality, secrets, suffix_tree
 from quillspark.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -97,4 +101,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_secret_scan, op4_jaccard_join, op5_source_mixing, op7_nearest_neighbours, op8_chat_formatting, op9_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_secret_scan, op4_jaccard_join, op5_source_mixing, op6_suffix_tree_scoring, op7_nearest_neighbours, op8_chat_formatting, op9_sentencepiece, op10_license_scan)}
