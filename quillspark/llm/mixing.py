@@ -123,5 +123,5 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id are repeated alike, as often as the one taken least.
     """
     taken = scratch(mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").alias("__copies")), "mix-copies")
-    some = small(taken.filter(F.col("__copies") > 0), 24)
+    some = small(taken.filter(F.col("__copies") > 0), 64)
     return docs.join(some, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

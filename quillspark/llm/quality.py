@@ -222,4 +222,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     A doc_id that repeats goes if any of its rows is rejected; rows without doc_id stay.
     """
     rejected = scratch(judge(docs).filter("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(small(rejected, 16), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(rejected, 48), "doc_id", "left_anti").select(*docs.columns)
