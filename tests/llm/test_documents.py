@@ -1,0 +1,467 @@
+"""Operators on documents against brute force in plain Python, on awkward rows and empty tables."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import jaccard, licenses, mixing, pieces, pii, quality, secrets, suffix_tree
+from quillspark.llm.graph import components
+from quillspark.llm.queries import tokenizer_file
+
+from .brute import brute_components, shingle_set, split
+
+def by_row(df, *columns):
+    """A multiset of rows, which repeated documents need."""
+    return collections.Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def texts(documents):
+    return [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+
+
+# --- quality
+
+
+def base_statistics(text):
+    w = split(text)
+    seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {k for i, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if seen[g] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if split(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def test_quality_base(documents):
+    got = by_row(quality.judge(documents), "doc_id", *COLUMNS, "base_failed")
+    want = collections.Counter()
+    for i, t in texts(documents):
+        s = base_statistics(t)
+        want[(i, *s, s[0] < 50 or 100 * s[4] > 50 * s[0])] += 1
+    assert got == want
+
+
+def test_repeats_that_overlap_count_each_word_once(spark):
+    said = ["a b c a b c", "x x x x x", "p q r\n\np q r", "a b", "a\n a\na", "é é é é"]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(said)], "doc_id int, text string, lang string, source string")
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in quality.statistics(df).collect()}
+    assert got == {i: base_statistics(t) for i, t in enumerate(said)}
+
+
+def test_quality_rejects_symbols_and_keeps_clean(documents):
+    rows = {r.doc_id: r for r in quality.judge(documents).filter("not base_failed").collect()}
+    symbols = lambda i: i % 9 == 0 and i % 10 != 1
+    junk = [r for i, r in rows.items() if i is not None and i < 120 and symbols(i)]
+    assert junk and not any(r.kept for r in junk if r.distance is not None)
+    assert all(r.kept for i, r in rows.items() if i is not None and i < 120 and not symbols(i))
+
+
+def test_mcd_ignores_a_third_of_outliers(spark):
+    r = random.Random(1)
+    rows = [("en", "s", *(round(r.gauss(0, 1) * 200) + (0 if i % 3 else 8000) for _ in range(4))) for i in range(300)]
+    df = spark.createDataFrame(rows, "lang string, grp string, x0 bigint, x1 bigint, x2 bigint, x3 bigint")
+    e = quality.mcd_estimates(df).first()
+    assert all(abs(e[f"m{i}"]) < 0.15 for i in range(4))
+    assert all(e[f"l{i}{i}"] < 0.5 for i in range(4))
+
+
+def test_chi_square_quantile():
+    assert quality.chi_square_4(0.95) == pytest.approx(9.487729, rel=1e-6)
+
+
+# --- personal data
+
+
+def luhn(digits):
+    total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def base_pii(text):
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append((m.start(), 0, m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            found.append((m.start(), 1, m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            found.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            found.append((m.start(), 3, m.end(), "phone"))
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(found)]
+
+
+def random_pii(seed):
+    r = random.Random(seed)
+    bits = ["a@b.c", "x@y", "a@b.c_d@e.f.", "@", "1.2.3.4", "1.2.3.256", "007.1.1.1.1.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (415) 555-0100", "+49-", "+1 2", "é🎉", "\n", " ", "0000000000000", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "ssn"]
+    return "".join(r.choice(bits) + r.choice(["", " ", ",", "x"]) for _ in range(r.randint(0, 14)))
+
+
+def test_pii_base_equals_brute_force(spark):
+    said = [random_pii(i) for i in range(400)] + ["a" * 20_000 + "@", "1" * 20_000, "1." * 9000, "a@b" + ".c" * 9000, "+1" + "-" * 20_000 + "x"]
+    rows = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE] for r in pii.scan(rows).select("doc_id", pii.spans_text(F.col("pii")).alias("spans")).collect()}
+    for i, t in enumerate(said):
+        assert got[i] == base_pii(t), t[:200]
+
+
+def test_pii_checksums_and_context(spark):
+    said = ["my iban GB82 WEST 1234 5698 7654 32.", "GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789", "code 123-45-6789", "credit card 4111111111111111", "4111111111111111", None, ""]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")).orderBy("doc_id").collect()
+    kinds = [[s.kind for s in r.pii] for r in rows]
+    assert kinds == [["iban"], [], ["ssn"], [], ["card"], ["card"], [], []]
+    assert rows[4].pii[0].score > rows[5].pii[0].score
+
+
+def test_pii_on_awkward_rows(documents):
+    assert by_row(pii.scan(documents), "doc_id") == collections.Counter((i,) for i, _ in texts(documents))
+    assert pii.scan(documents.limit(0)).count() == 0
+
+
+# --- secrets
+
+
+def base_secrets(text):
+    found = []
+    for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[1]) >= 8:
+            found.append((m.start(), 0, m.end(), "assign"))
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 16:
+            found.append((m.start(), 1, m.end(), "access"))
+    for m in re.finditer(r"[0-9a-f]+", text):
+        if len(m[0]) >= 32:
+            found.append((m.start(), 2, m.end(), "hex"))
+    return sorted(found)
+
+
+def test_secrets_base_equals_brute_force():
+    bits = ["password=abcdefgh", "PassWord : 'short'", "api_key=", "apikey='0123456789'", "AKIA" + "Z" * 12, "AKIAZ", "0123456789abcdef" * 2, "0" * 31, "token", "=", " ", "é", "\n\n"]
+    for seed in range(300):
+        r = random.Random(seed)
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 10)))
+        got = [(p.start, p.rank, p.end, p.kind) for p in secrets.scan_text(text) if p.kind in secrets.BASE]
+        assert got == base_secrets(text), text
+
+
+def linked_by_pairs(text, parts):
+    """Every part's least gap to a complementary part of its scope, from all pairs."""
+    breaks = [m.start() for m in secrets.SCOPE_BREAK.finditer(text)]
+    scope = lambda p: sum(b <= p.start for b in breaks)
+    gap = lambda p, q: max(p.start, q.start) - min(p.end, q.end)
+    secret = lambda p: secrets.ROLE[p.kind] == "secret"
+    return {p.start: any(secret(p) != secret(q) and scope(p) == scope(q) and gap(p, q) <= secrets.REACH for q in parts) for p in parts}
+
+
+def test_interval_join_equals_all_pairs():
+    bits = ["user=alice ", "aB3dE5gH7jK9mN1pQ3sT ", "https://db.example.org/x ", "x" * 150 + " ", "\n\n", "password=hunter22222 ", "filler "]
+    for seed in range(300):
+        r = random.Random(seed)
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
+        strong = secrets.strong_parts(text)
+        parts = sorted(strong + secrets.weak_parts(text, strong))
+        assert {p.start: p.partner >= 0 for p in secrets.link(text, parts)} == linked_by_pairs(text, parts)
+
+
+def test_weak_parts_need_company():
+    value = "aB3dE5gH7jK9mN1pQ3sT"
+    kinds = lambda t: [p.kind for p in secrets.scan_text(t)]
+    assert kinds(f"see {value} here") == []
+    assert kinds("user=alice") == []
+    assert kinds(f"user=alice {value}") == ["identifier", "value"]
+    assert kinds(f"user=alice\n\n{value}") == []
+    assert kinds(f"https://db.example.org {value}") == ["endpoint", "value"]
+    assert kinds("password=hunter22222") == ["assign"]
+
+
+def test_secrets_frame_and_redaction(spark, documents):
+    df = spark.createDataFrame([(1, "x password=hunter22222 y", 5, 1), (2, None, None, 2), (3, "", 0, 3)], "doc_id bigint, text string, n_chars bigint, size int")
+    assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, "x [assign] y", 12, 1), (2, None, None, 2), (3, "", 0, 3)]
+    assert secrets.redact(df).columns == df.columns
+    assert by_row(secrets.scan(documents), "doc_id") == collections.Counter((i,) for i, _ in texts(documents))
+    assert secrets.scan(df.limit(0)).count() == secrets.redact(df.limit(0)).count() == 0
+
+
+# --- Jaccard join
+
+
+def near_corpus(seed, n):
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        if rows and r.random() < 0.7:
+            w = split(rows[r.randrange(len(rows))][1])
+            for _ in range(r.randint(0, 3)):
+                if w:
+                    w[r.randrange(len(w))] = r.choice("abcdefgh")
+            if r.random() < 0.3:
+                w = w[: len(w) - r.randint(0, 2)]
+            rows.append((i, " ".join(w)))
+        else:
+            rows.append((i, " ".join(r.choice("ABCdefghijklmnopqrstuvwxyz") + r.choice("xyz") for _ in range(r.choice((0, 1, 2, 3, 9, 12, 13, 25, 80, 150))))))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_all_pairs(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 8)  # so that blocks are cut and their parts paired
+    rows = near_corpus(seed, 160)
+    got = jaccard.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert {r.doc_id: r.n_shingles for r in got} == {i: len(shingle_set(t)) for i, t in rows}
+    assert len(set(want.values())) < len(want) - 8
+
+
+def test_every_linked_pair_shares_a_block():
+    for seed in range(6):
+        sets = [jaccard.shingles(t) for _, t in near_corpus(seed, 60)]
+        keys = [set(jaccard.signatures(s).tolist()) for s in sets]
+        for a in range(len(sets)):
+            for b in range(a):
+                s, t = set(sets[a].tolist()), set(sets[b].tolist())
+                if s and s != t and 100 * len(s & t) >= 90 * len(s | t):
+                    assert keys[a] & keys[b]
+
+
+def test_rtree_finds_all_that_the_bound_allows():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 6, (40, jaccard.DIMENSIONS))
+    points = np.concatenate([np.clip(base + (r.random(base.shape) < 0.02), 0, None) for _ in range(40)]).astype("<u2")
+    sizes = points.sum(1, dtype=np.int64)
+    tree = jaccard.RTree(points, sizes, np.zeros(len(sizes), np.int64))
+    for x in range(0, len(points), 37):
+        bound = np.minimum(points, points[x]).sum(1, dtype=np.int64)
+        assert set(tree.search(points[x], int(sizes[x]), 0)[0].tolist()) == set(np.flatnonzero(190 * bound >= 90 * (sizes + sizes[x])).tolist())
+
+
+def test_near_groups_on_awkward_rows(documents):
+    got = jaccard.near_groups(documents).collect()
+    assert len(got) == documents.count()
+    want = brute_components([(i, t) for i, t in texts(documents)])
+    assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert next(r for r in got if r.doc_id is None).component_id == 3
+    kept = jaccard.drop_near_copies(documents)
+    assert kept.columns == documents.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert collections.Counter(i for i in ids if i is not None) == collections.Counter(set(want.values()))
+    assert jaccard.near_groups(documents.limit(0)).count() == jaccard.drop_near_copies(documents.limit(0)).count() == 0
+
+
+def test_graph_components(spark):
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(200, i) for i in range(201, 240)] + [(300, 300), (None, 1)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a int, b int")).collect()}
+    parent = {n: n for e in links if None not in e for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert got == {n: find(n) for n in parent}
+
+
+# --- mixing
+
+
+def fill(sizes, weights, budget, cap):
+    """Targets by stopping and resharing, step by step."""
+    stopped, left = {}, dict(zip(sizes, weights, strict=True))
+    while left:
+        level = (budget - sum(stopped.values())) / sum(left.values())
+        over = [s for s in left if level * left[s] > cap * sizes[s]]
+        if not over:
+            return stopped | {s: level * w for s, w in left.items()}
+        for s in over:
+            stopped[s] = cap * sizes[s]
+            del left[s]
+    return stopped
+
+
+def test_targets_equal_stepwise_resharing(documents):
+    sizes = collections.Counter()
+    for r in documents.select("source", "text").collect():
+        sizes[r.source] += len(split(r.text))
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    want = fill({s: sizes[s] for s in order}, [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()), 2)
+    rows = mixing.mix_sources(documents).collect()
+    assert len(rows) == documents.count()
+    taken = collections.Counter()
+    for r in rows:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
+        assert 0 <= r.taken <= 2 * r["size"] and (r["size"] or not r.taken)
+        taken[r.source] += r.taken
+    assert all(taken[s] == pytest.approx(want[s], rel=0.02) for s in want)
+
+
+def test_mixing_does_not_depend_on_layout(documents):
+    one, two = (by_row(mixing.mix_sources(d), "doc_id", "size", "taken") for d in (documents, documents.repartition(7).orderBy(F.desc("doc_id"))))
+    assert one == two
+    assert mixing.mix_sources(documents.limit(0)).count() == 0
+    mixed = mixing.apply_mix(documents)
+    assert mixed.columns == documents.columns
+
+
+def test_apportionment_equals_seat_by_seat(spark):
+    r = random.Random(2)
+    rows = [(g, i, r.choice([0, 1, 5, 17, 100, 100, 1000]) + r.random() * (i % 2), seats) for g, seats in (("a", 37), ("b", 0), ("c", 1), ("d", 500)) for i in range(12)]
+    got = {(x.g, x.i): x.q for x in mixing.apportion(spark.createDataFrame(rows, "g string, i int, v double, seats bigint"), ["g"], "v", "seats", [F.col("i")], "q").collect()}
+    for g, seats in (("a", 37), ("b", 0), ("c", 1), ("d", 500)):
+        votes, won = {i: v for h, i, v, _ in rows if h == g}, collections.Counter()
+        for _ in range(seats):
+            won[max(votes, key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+        assert {i: got[(g, i)] for i in votes} == {i: won[i] for i in votes}
+
+
+# --- suffix tree
+
+
+def test_suffix_tree_base_and_held_out_gain(spark, monkeypatch):
+    for name, value in (("LEAST_SYMBOL", 3), ("LEAST_CONTEXT", 6), ("LEAST_SUCCESSOR", 2)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    r = random.Random(0)
+    follow = {w: r.sample("abcdefghijklmnop", 2) for w in "abcdefghijklmnop"}
+    rows = []
+    for i in range(150):
+        w = [r.choice("abcdefghijklmnop")]
+        for _ in range(60):
+            w.append(r.choice(follow[w[-1]]) if r.random() < 0.9 else r.choice("ABC") + str(r.randrange(500)))
+            if w[-1] not in follow:
+                w[-1] = w[-1] if r.random() < 0.5 else "a"
+                follow.setdefault(w[-1], ["a", "b"])
+        rows.append((i, " ".join(w)))
+    rows += [(500, None), (501, ""), (None, "a b"), (3, rows[3][1])]
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    bag = lambda t: [*split((t or "").lower()), None]
+    seen = collections.Counter(w for i, t in rows if not out(i) for w in bag(t))
+    total, distinct = sum(seen.values()), len(seen)
+    want = collections.Counter()
+    for i, t in rows:
+        b = sum(math.log10((seen[w] + 1) / (total + distinct + 1)) for w in bag(t))
+        want[(i, out(i), len(bag(t)), sum(seen[w] > 0 for w in bag(t)), total, round(b, 6))] += 1
+    assert collections.Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
+    held = [x for x in got if x.held_out and x.n_tokens > 5]
+    assert held and sum(x.score for x in held) > sum(x.base_score for x in held) + 5 * len(held)
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert suffix_tree.score(empty).count() == 0
+
+
+def test_suffix_tree_states_are_distributions(spark, monkeypatch):
+    import numpy as np
+
+    for name, value in (("LEAST_SYMBOL", 3), ("LEAST_CONTEXT", 6), ("LEAST_SUCCESSOR", 2)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = [(i, "the cat sat on the mat and the dog sat on the log " * 6) for i in range(40)]
+    m, _ = suffix_tree.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    root = m.root()
+    assert len(m.contexts[0]) and len(m.contexts[1])
+    every = np.arange(m.width - 1)
+    for a in every:
+        for b in every:
+            s = np.stack([np.full(len(every), a), np.full(len(every), b), every], 1).reshape(-1)
+            assert m.probabilities(s, np.arange(0, len(s), 3), root)[2::3].sum() == pytest.approx(1)
+
+
+# --- pieces
+
+
+HOSTILE = ["", " ", "  a  b ", "\n", "a\n\n b\n", "▁x▁", "<s> </s> <0x0A> <unk>", "日本語テキスト 🎉 é", "\x00abc", "a" * 3000, " " * 40, "\t tab\r\n", "é �", "x▁▁y  ", "Hello, world!", "https://a.b/c?d=e", "((()))[]{}", "1234567890", "don't  stop"]
+
+
+def test_pieces_equal_the_library(spark, documents):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file())
+    codec = pieces.Codec(tokenizer_file())
+    r = random.Random(8)
+    mixed = ["".join(r.choice(["a", "The", " ", "  ", "\n", ".", ",", "ing", "é", "日", "0", "▁", "-"]) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    for t in HOSTILE + mixed:
+        ids = library.encode(t)
+        assert codec.encode(t) == ids, repr(t)
+        assert codec.decode(ids) == library.decode(ids), repr(t)
+    for _ in range(200):
+        ids = [r.randrange(len(codec.pieces)) for _ in range(r.randint(0, 8))]
+        if codec.unknown not in ids:
+            assert codec.decode(ids) == library.decode(ids), ids
+
+
+def test_encoded_documents(documents):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = collections.Counter()
+    for i, t in texts(documents):
+        ids = library.encode(t or "")
+        want[(i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))] += 1
+    assert by_row(pieces.encode_documents(documents, tokenizer_file()), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    assert pieces.encode_documents(documents.limit(0), tokenizer_file()).count() == 0
+
+
+def test_forgetting_chunks_changes_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "LONG_CHUNK", 2)
+    a, said = pieces.Codec(tokenizer_file()), ["some words, twice: words", "again some other words"] * 3
+    assert [a.encode_batch([t])[0] for t in said] == pieces.Codec(tokenizer_file()).encode_batch(said)
+
+
+# --- licenses
+
+
+def test_license_places_equal_brute_force():
+    bits = ["MIT", "License", "license.", "Apache", "CC-BY", "cc", "by", "GNU General Public License", "é", ",", "\n", "mit license"]
+    for seed in range(300):
+        r = random.Random(seed)
+        text = "".join(r.choice(bits) + r.choice([" ", "", "-"]) for _ in range(r.randint(0, 16)))
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        want = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        words = licenses.words_of(text)
+        assert [x.decode() for x in words] == w
+        assert sorted(licenses.phrase_places(words)) == want
+
+
+def test_license_blocks_equal_brute_force():
+    index = licenses.Index.build({b"software": 5, b"the": 100, b"granted": 1})
+    sets = {k: {w.encode() for w in t.split()} for k, t in licenses.TEMPLATES.items()}
+    for seed in range(200):
+        r = random.Random(seed)
+        words = []
+        for _ in range(r.randint(0, 6)):
+            notice = r.choice(list(licenses.TEMPLATES.values())).encode().split()
+            words += [w for w in notice if r.random() > 0.12] + [b"filler"] * r.randint(0, 60)
+        step, want = licenses.BLOCK_WORDS // 2, {}
+        for b in range(max(0, math.ceil((len(words) - licenses.BLOCK_WORDS) / step)) + 1):
+            block = set(words[b * step : b * step + licenses.BLOCK_WORDS])
+            for k, t in sets.items():
+                share = len(block & t) / len(t)
+                if len(block & t) >= math.ceil(licenses.THRESHOLD * len(t)):
+                    want[k] = max(want.get(k, 0), share)
+        assert index.matches(words) == want
+
+
+def test_license_scan(spark, documents):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"
+    df = spark.createDataFrame([(1, "x " * 500 + notice), (2, "under the MIT License"), (3, None), (4, "")], "doc_id bigint, text string")
+    got = {r.doc_id: ([t.label for t in r.templates], [p.label for p in r.places], r.score) for r in licenses.scan(df).collect()}
+    assert got == {1: (["mit"], [], 1.0), 2: ([], ["mit"], 0.5), 3: ([], [], 0.0), 4: ([], [], 0.0)}
+    assert licenses.scan(documents).count() == documents.count()
+    assert licenses.scan(df.limit(0)).count() == 0
