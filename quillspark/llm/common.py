@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +65,36 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit in ``limit`` bytes, else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving memory back to the system when a partition is done.
+
+    Workers outlive their tasks; without this an idle one holds what its largest batch took.
+    ``forget`` are functions of a module that empty its caches.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for f in forget:
+            f()
+        release()
+
+    return wrapped
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in runs of about ``limit`` bytes, so that few texts are Python objects at once."""
+    for b in batches:
+        step = max(1, b.num_rows * limit // max(b.nbytes, 1))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import lean, slices
+
 # Phrases that name a license.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 # Notices by which licenses are applied to works.
@@ -122,12 +124,12 @@ def word_frequency(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> di
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 n.update(wanted.intersection(words_of(t)))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"].encode(): r["n"] for r in counted.collect()}
 
 
@@ -144,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
     match = pa.struct([("label", pa.string()), ("containment", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, places, templates, scores = [], [], [], []
             for t in b.column("text").to_pylist():
                 words = words_of(t)
@@ -159,4 +161,4 @@ def scan(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words bigint, places array<struct<word:bigint,label:string>>, templates array<struct<label:string,containment:double>>, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), out)

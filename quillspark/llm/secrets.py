@@ -18,6 +18,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.llm.common import lean, slices
 
 #: Kinds every scan reports, in the order of ties; then what linking adds.
 BASE = ("assign", "access", "hex")
@@ -128,12 +131,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [[{"start": p.start, "end": p.end, "kind": p.kind, "partner": p.partner} for p in scan_text(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(_SPAN))], ["doc_id", "secrets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, secrets array<struct<start:bigint,end:bigint,kind:string,partner:bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, secrets array<struct<start:bigint,end:bigint,kind:string,partner:bigint>>")
 
 
 def redact_text(text: str | None) -> str | None:
@@ -154,12 +157,10 @@ def redact(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.set_column(at, b.schema.field(at), pa.array([redact_text(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = docs.mapInArrow(lean(run), docs.schema)
     if "n_chars" not in docs.columns:
         return clean
-    from pyspark.sql import functions as F
-
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
