@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NGRAM = 3
-#: Characters of a text that training and detection look at; languages show early.
-LOOK_AT = 2000
 
 
 def grams(text: str) -> Counter[str]:
-    padded = f" {' '.join(text[:LOOK_AT].lower().split())} "
+    padded = f" {' '.join(text.lower().split())} "
     return Counter(padded[i : i + NGRAM] for i in range(len(padded) - NGRAM + 1))
 
 
@@ -33,8 +31,8 @@ class NgramDetector:
         """Fit on at most ``per_language`` labelled texts of each language (those with the least hash) and keep the ``profile_size`` commonest n-grams."""
         from quillspark.operators.sampling import bottom_k
 
-        rows = docs.select(lang_col, F.substring(text_col, 1, LOOK_AT).alias("t")).filter(f"{lang_col} is not null and t is not null")
-        sample = bottom_k(rows, [lang_col], per_language, "t").collect()
+        rows = docs.select(lang_col, F.col(text_col).alias("t")).filter(f"{lang_col} is not null and t is not null")
+        sample = bottom_k(rows, [lang_col], per_language, "t").toLocalIterator()  # whole texts, a partition at a time
         counted: dict[str, Counter[str]] = {}
         for r in sample:
             counted.setdefault(r[lang_col], Counter()).update(grams(r["t"]))

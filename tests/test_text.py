@@ -80,6 +80,14 @@ def test_language_detector(spark):
     assert langid.keep_language(docs, "text", d).count() == 1
 
 
+def test_language_of_what_follows_a_long_header(spark):
+    train = lambda *rows: langid.NgramDetector.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert train(("- " * 1500 + "der Hund", "de")).profiles["de"]["hun"] == 1
+    d = train(("the cat and the dog went out", "en"), ("der Hund und die Katze gehen", "de"))
+    assert d.detect("the dog and the cat " * 101 + "die Katze und der Hund " * 2000) == "de"
+    assert d.detect("1" * 2500 + " die Katze und der Hund") == "de"
+
+
 def test_tfidf_counts_documents_without_terms(spark):
     import math
 
