@@ -123,6 +123,13 @@ def test_pii_checksums_and_context(spark):
     assert rows[4].pii[0].score > rows[5].pii[0].score
 
 
+def test_iban_ends_before_the_next_word(spark):
+    de = "DE89370400440532013000"
+    said = [f"{de} Please pay", f"{de} BIC COBADEFFXXX", "IBAN GB82 WEST 1234 5698 7654 32 A 1", "NO9386011117947 BE68539007547034", f"{de[:-1]}1 Please", f"{de}x", f"x{de}"]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [[s.hit for s in r.pii if s.kind == "iban"] for r in rows] == [[de], [de], ["GB82 WEST 1234 5698 7654 32"], said[3].split(), [], [], []]
+
+
 def test_pii_on_awkward_rows(documents):
     assert by_row(pii.scan(documents), "doc_id") == collections.Counter((i,) for i, _ in texts(documents))
     assert pii.scan(documents.limit(0)).count() == 0
