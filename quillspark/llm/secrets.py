@@ -32,7 +32,9 @@ ROLE = {"assign": "secret", "hex": "secret", "value": "secret", "access": "ident
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-IDENTIFIER = re.compile(r"(?ai:access_?key_?id|access_?key|client_?id|account|username|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@=-]{3,})")
+IDENTIFIER = re.compile(r"(?<!(?ai:secret))(?<!(?ai:secret)[_-])((?ai:access_?key_?id|access_?key|client_?id|account|username|user|login))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@=-]{3,})")
+#: Names of the secret side that ASSIGN does not know; they make a value of what does not look random, too.
+NAMED = re.compile(r"(?ai:secret[_-]?access[_-]?key|secret[_-]?key|access[_-]?secret|account_?key|private_?key|shared_?key|auth_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,})")
 VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"(?:https?|jdbc|postgres|mysql|mongodb|redis|amqp|s3)[:+a-z]{0,20}://[^\s\"'<>]+|(?ai:endpoint|host)\x20*[:=]\x20*[A-Za-z0-9.-]+(?::[0-9]{2,5})?")
 SCOPE_BREAK = re.compile(r"\n[ \t\r]*\n")
@@ -67,8 +69,13 @@ def _random_looking(value: str) -> bool:
 
 
 def weak_parts(text: str, taken: list[Part]) -> list[Part]:
-    """Weak candidates that overlap none of ``taken``."""
-    found = [Part(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)] if "=" in text or ":" in text else []
+    """Weak candidates that overlap none of ``taken``. A name with a random-looking value is a value, unless it says id."""
+    found = []
+    if "=" in text or ":" in text:
+        for m in IDENTIFIER.finditer(text):
+            secret = not m[1].lower().endswith("id") and len(m[2]) >= 20 and _random_looking(m[2])
+            found.append(Part(m.start(), 4 if secret else 3, m.end()))
+        found += [Part(m.start(), 4, m.end()) for m in NAMED.finditer(text)]
     found += [Part(m.start(), 4, m.end()) for m in VALUE.finditer(text) if _random_looking(m[0])]
     found += [Part(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     taken = sorted(taken)
