@@ -15,7 +15,11 @@ DIMENSIONS further hash groups. The sum of coordinate minima of a point and the
 corner of a box bounds the overlap with all points below, and of two points with each
 other; what the bound lets through is verified on the sets themselves.
 
-First every class takes its best bounded partner of each block. That links nearly all
+The join verifies every pair of classes that a block's bound lets through, so m near copies
+that all link to each other take m(m-1)/2 verifications, as many as there are links.
+
+Where only the groups are asked for, links inside a group need not be looked for. There
+every class first takes its best bounded partner of each block. That links nearly all
 there is to link; groups are formed. Then each block that still holds members of
 different groups is searched for all pairs across groups. So a block of m near copies
 costs about m verifications, not m*m, and no link between groups is lost.
@@ -278,13 +282,30 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(DENOMINATOR * common.cast("long") >= NUMERATOR * total.cast("long")).select("a", "b").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """All links a < b between classes."""
+    return scratch(verified(docs, scratch(candidates(members, best_only=False), "pairs")), "links")
+
+
+def _connecting_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links a < b that connect the same classes as all links do."""
+    tried = scratch(candidates(members, best_only=True), "best-pairs")
+    links = scratch(verified(docs, tried), "links-1")
+    groups = scratch(components(links), "groups-1")
+    grouped = members.drop("grp").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    grouped = scratch(grouped.select("block", "id", "grp", "n", "point"), "grouped")
+    mixed = scratch(grouped.groupBy("block").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("block"), "mixed-blocks")
+    rest = candidates(grouped.join(small(mixed, 48), "block", "left_semi"), best_only=False)
+    rest = scratch(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+    return scratch(links.union(verified(docs, rest)), "links-2")
+
+
+def near_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """Groups of ``docs`` (doc_id bigint, text; other columns are not read) connected by similarity.
 
     Returns a row for each row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with
-    an equal set), component_id (smallest doc_id reachable by links, itself included) and
-    n_links (links that were verified for its class; further links inside a component that is
-    already connected need not be looked for). Documents without words have no shingles, are
+    an equal set), component_id (smallest doc_id reachable by links, itself included) and,
+    with ``count_links``, n_links (other classes that its class links to). Documents without words have no shingles, are
     linked with nothing and are their own component. Rows that share a doc_id are taken for one
     document that has the links of all of them; a null doc_id joins the class of its set. An
     empty table gives an empty result.
@@ -299,15 +320,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = met.join(classes.select("k1", "k2", "id", "n", "point"), ["k1", "k2"]).select("block", "id", F.col("id").alias("grp"), "n", "point").distinct()
     members = scratch(members, "members")
 
-    tried = scratch(candidates(members, best_only=True), "best-pairs")
-    links = scratch(verified(docs, tried), "links-1")
-    groups = scratch(components(links), "groups-1")
-    grouped = members.drop("grp").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-    grouped = scratch(grouped.select("block", "id", "grp", "n", "point"), "grouped")
-    mixed = scratch(grouped.groupBy("block").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("block"), "mixed-blocks")
-    rest = candidates(grouped.join(small(mixed, 48), "block", "left_semi"), best_only=False)
-    rest = scratch(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    links = scratch(links.union(verified(docs, rest)), "links-2")
+    links = _links(docs, members) if count_links else _connecting_links(docs, members)
     groups = components(links)
 
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -321,7 +334,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
     )
 
 
@@ -330,7 +343,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay unless an equal set has one. Of rows that repeat a doc_id one stays.
     """
-    found = scratch(near_groups(docs), "near-groups")
+    found = scratch(near_groups(docs, count_links=False), "near-groups")
     gone = found.filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
     repeated = scratch(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     kept = docs.join(small(scratch(gone.filter("doc_id is not null"), "gone"), 48), "doc_id", "left_anti")

@@ -255,6 +255,19 @@ def test_components_equal_all_pairs(spark, seed, monkeypatch):
     assert len(set(want.values())) < len(want) - 8
 
 
+@pytest.mark.parametrize("part", [8, 1024])
+def test_links_equal_all_pairs(spark, part, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", part)
+    base = [f"w{i}" for i in range(120)]
+    rows = near_corpus(3, 120) + [(1000 + i, " ".join(base[: 4 * i] + [f"new{i}"] + base[4 * i + 1 :])) for i in range(24)]
+    sets = {s: set() for s in map(shingle_set, dict(rows).values())}
+    for s in sets:
+        sets[s] = {t for t in sets if s and t and s != t and 100 * len(s & t) >= 90 * len(s | t)}
+    got = {r.doc_id: r.n_links for r in jaccard.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: len(sets[shingle_set(t)]) for i, t in rows}
+    assert min(got[i] for i in range(1000, 1024)) >= 20
+
+
 def test_every_linked_pair_shares_a_block():
     for seed in range(6):
         sets = [jaccard.shingles(t) for _, t in near_corpus(seed, 60)]
