@@ -8,6 +8,9 @@ from quillspark.llm import jaccard, mixing, pieces, quality, secrets
 from quillspark.llm.common import scratch, table
 from quillspark.llm.queries import tokenizer_file
 
+#: Near copies share 80 in 100 of their runs of five words.
+NEAR_COPY = jaccard.Rule(5, 80)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -16,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return jaccard.drop_near_copies(docs)
+    return jaccard.drop_near_copies(docs, NEAR_COPY)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

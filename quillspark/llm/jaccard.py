@@ -1,10 +1,10 @@
 """N-gram Jaccard join by count-vector R-trees, exact, with its connected groups.
 
-A document is the set of its distinct shingles (runs of SHINGLE words). Documents with
+A document is the set of its distinct shingles (runs of some words). Documents with
 equal sets form a class; classes are joined.
 
-Two sets of sizes s and t with Jaccard 0.9 or more differ in at most (s+t)/19
-shingles. Shingles are hashed into one group more than that (and a few spare), so two
+Two sets of sizes s and t with Jaccard j or more differ in at most (s+t)(1-j)/(1+j)
+shingles, at 0.9 a 19th. Shingles are hashed into one group more than that (and a few spare), so two
 linked sets hold exactly the same shingles in some group: the content of a group, hashed,
 is a block of the index, and linked classes meet in a block whatever their other words
 are. A passage that many documents share makes no block, as a group mixes shingles
@@ -28,6 +28,7 @@ costs about m verifications, not m*m, and no link between groups is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,26 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import lean, scratch, slices, small
 from quillspark.llm.graph import components
 
-SHINGLE = 3
-#: Links hold DENOMINATOR * overlap >= NUMERATOR * (s + t): Jaccard of 90/100 and more.
-NUMERATOR, DENOMINATOR = 90, 190
+
+@dataclass(frozen=True)
+class Rule:
+    """What a link is: sets of shingles of ``size`` words with a Jaccard of ``percent`` or more."""
+
+    size: int
+    percent: int
+
+    @property
+    def numerator(self) -> int:
+        """Links hold denominator * overlap >= numerator * (s + t)."""
+        return self.percent
+
+    @property
+    def denominator(self) -> int:
+        return 100 + self.percent
+
+
+#: Of the query op4_jaccard_join.
+CONTRACT = Rule(3, 90)
 DIMENSIONS = 64
 #: Groups more than differences can spoil; sets with no more empty groups than this skip them.
 SPARE = 2
@@ -79,7 +97,7 @@ def _forget() -> None:
     _HASHES.clear()
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, size: int = CONTRACT.size) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; of its whole word sequence if that is shorter."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
@@ -92,19 +110,19 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(s)
 
 
-def _max_difference(top: int) -> int:
-    return 2 * top * (DENOMINATOR - 2 * NUMERATOR) // DENOMINATOR
+def _max_difference(top: int, rule: Rule) -> int:
+    return 2 * top * (rule.denominator - 2 * rule.numerator) // rule.denominator
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
     """Block keys of a set: for its size class, and for the next if a larger partner may be there."""
     n, out = len(s), []
     if not n:
         return np.empty(0, np.int64)
-    largest = n * (DENOMINATOR - NUMERATOR) // NUMERATOR
+    largest = n * (rule.denominator - rule.numerator) // rule.numerator
     own, top = np.searchsorted(_EDGES, [n, largest], side="right")
     for level in range(own, top + 1):
-        k = _max_difference(EDGES[level] - 1)
+        k = _max_difference(EDGES[level] - 1, rule)
         if not k:
             continue
         groups = k + 1 + SPARE
@@ -125,19 +143,19 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(n, 65535).astype("<u2")
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, rule: Rule) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n (set size), k1 and k2 (hash of the set), point, blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, k1, k2, point, blocks, at = [], [], [], [], [], [0]
             for t in b.column("text").to_pylist():
-                s = shingles(t)
+                s = shingles(t, rule.size)
                 n.append(len(s))
                 k1.append(int(_mix(s, 7).sum(dtype=_U).view(np.int64)))
                 k2.append(int(_mix(s, 8).sum(dtype=_U).view(np.int64)))
                 point.append(counts(s).tobytes())
-                blocks.append(signatures(s))
+                blocks.append(signatures(s, rule))
                 at.append(at[-1] + len(blocks[-1]))
             keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(blocks) if blocks else np.empty(0, np.int64)))
             columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(point, pa.binary()), keys]
@@ -150,7 +168,8 @@ def features(docs: DataFrame) -> DataFrame:
 class RTree:
     """Bulk-loaded R-tree over count vectors with set sizes; boxes keep upper corners and size ranges."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray, rule: Rule = CONTRACT):
+        self.rule = rule
         self.points, self.sizes, self.rest = points, sizes, rest
         order = np.argsort(sizes, kind="stable")
         runs = [order]
@@ -175,12 +194,13 @@ class RTree:
 
     def search(self, point: np.ndarray, size: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices whose overlap with the point may be enough, and the bounds of these overlaps."""
+        num, den = self.rule.numerator, self.rule.denominator
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, lo, hi, rest_hi = (x[nodes] for x in self.levels[depth])
             bound = np.minimum(top, point).sum(1, dtype=np.int64) + np.minimum(rest_hi, rest)
-            smallest = np.maximum(lo, -(-size * NUMERATOR // (DENOMINATOR - NUMERATOR)))
-            nodes = nodes[(DENOMINATOR * bound >= NUMERATOR * (size + smallest)) & (lo * NUMERATOR <= size * (DENOMINATOR - NUMERATOR)) & (hi * (DENOMINATOR - NUMERATOR) >= size * NUMERATOR)]
+            smallest = np.maximum(lo, -(-size * num // (den - num)))
+            nodes = nodes[(den * bound >= num * (size + smallest)) & (lo * num <= size * (den - num)) & (hi * (den - num) >= size * num)]
             if depth:
                 below = len(self.levels[depth - 1][0])
                 nodes = np.concatenate([np.arange(x * FANOUT, min(below, (x + 1) * FANOUT)) for x in nodes]) if len(nodes) else nodes
@@ -188,18 +208,18 @@ class RTree:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.concatenate([self.leaves[x] for x in nodes])
         bound = np.minimum(self.points[at], point).sum(1, dtype=np.int64) + np.minimum(self.rest[at], rest)
-        ok = DENOMINATOR * bound >= NUMERATOR * (size + self.sizes[at])
+        ok = den * bound >= num * (size + self.sizes[at])
         return at[ok], bound[ok]
 
 
-def block_pairs(ids: np.ndarray, part: np.ndarray, group: np.ndarray, sizes: np.ndarray, points: np.ndarray, cross: bool, best_only: bool) -> list[tuple[int, int]]:
+def block_pairs(ids: np.ndarray, part: np.ndarray, group: np.ndarray, sizes: np.ndarray, points: np.ndarray, cross: bool, best_only: bool, rule: Rule) -> list[tuple[int, int]]:
     """Pairs (smaller id, larger id) of a block's members in different groups that the bound lets through.
 
     ``cross``: only between parts 0 and 1. ``best_only``: for each member just the pair of
     largest bound relative to size with a smaller id.
     """
     rest = sizes - points.sum(1, dtype=np.int64)
-    tree, out = RTree(points, sizes, rest), []
+    tree, out = RTree(points, sizes, rest, rule), []
     for x in range(len(ids)):
         at, bound = tree.search(points[x], int(sizes[x]), int(rest[x]))
         ok = (ids[at] < ids[x]) & (group[at] != group[x])
@@ -212,7 +232,7 @@ def block_pairs(ids: np.ndarray, part: np.ndarray, group: np.ndarray, sizes: np.
     return out
 
 
-def candidates(members: DataFrame, best_only: bool) -> DataFrame:
+def candidates(members: DataFrame, best_only: bool, rule: Rule) -> DataFrame:
     """Distinct pairs a < b that blocks propose. ``members``: block, id, grp, n, point."""
     members = scratch(members, "members")
     sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
@@ -244,12 +264,12 @@ def candidates(members: DataFrame, best_only: bool) -> DataFrame:
                 q = p + 1
                 rest = n - points.sum(1, dtype=np.int64)
                 bound = np.minimum(points[p], points[q]).sum(1, dtype=np.int64) + np.minimum(rest[p], rest[q])
-                ok = (DENOMINATOR * bound >= NUMERATOR * (n[p] + n[q])) & (grp[p] != grp[q]) & (ids[p] != ids[q])
+                ok = (rule.denominator * bound >= rule.numerator * (n[p] + n[q])) & (grp[p] != grp[q]) & (ids[p] != ids[q])
                 ok &= (key[p, 1] == key[p, 2]) | (part[p] != part[q])
                 found.update(zip(np.minimum(ids[p], ids[q])[ok].tolist(), np.maximum(ids[p], ids[q])[ok].tolist(), strict=True))
             for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
                 if e - s > 2:
-                    found.update(block_pairs(ids[s:e], part[s:e], grp[s:e], n[s:e], points[s:e], bool(key[s, 1] != key[s, 2]), best_only))
+                    found.update(block_pairs(ids[s:e], part[s:e], grp[s:e], n[s:e], points[s:e], bool(key[s, 1] != key[s, 2]), best_only, rule))
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -264,13 +284,13 @@ def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Rec
     yield True, None
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Those ``pairs`` (a, b) of doc_ids whose sets are similar enough."""
     ids = scratch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "verify-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            sets = [shingles(t, rule.size) for t in b.column("text").to_pylist()]
             at = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["doc_id", "s"])
@@ -279,29 +299,29 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = scratch(texts.mapInArrow(lean(run, _forget), "doc_id bigint, s array<bigint>"), "verify-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return both.filter(DENOMINATOR * common.cast("long") >= NUMERATOR * total.cast("long")).select("a", "b").distinct()
+    return both.filter(rule.denominator * common.cast("long") >= rule.numerator * total.cast("long")).select("a", "b").distinct()
 
 
-def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """All links a < b between classes."""
-    return scratch(verified(docs, scratch(candidates(members, best_only=False), "pairs")), "links")
+    return scratch(verified(docs, scratch(candidates(members, best_only=False, rule=rule), "pairs"), rule), "links")
 
 
-def _connecting_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _connecting_links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """Links a < b that connect the same classes as all links do."""
-    tried = scratch(candidates(members, best_only=True), "best-pairs")
-    links = scratch(verified(docs, tried), "links-1")
+    tried = scratch(candidates(members, best_only=True, rule=rule), "best-pairs")
+    links = scratch(verified(docs, tried, rule), "links-1")
     groups = scratch(components(links), "groups-1")
     grouped = members.drop("grp").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
     grouped = scratch(grouped.select("block", "id", "grp", "n", "point"), "grouped")
     mixed = scratch(grouped.groupBy("block").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("block"), "mixed-blocks")
-    rest = candidates(grouped.join(small(mixed, 48), "block", "left_semi"), best_only=False)
+    rest = candidates(grouped.join(small(mixed, 48), "block", "left_semi"), best_only=False, rule=rule)
     rest = scratch(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    return scratch(links.union(verified(docs, rest)), "links-2")
+    return scratch(links.union(verified(docs, rest, rule)), "links-2")
 
 
-def near_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
-    """Groups of ``docs`` (doc_id bigint, text; other columns are not read) connected by similarity.
+def near_groups(docs: DataFrame, rule: Rule = CONTRACT, count_links: bool = True) -> DataFrame:
+    """Groups of ``docs`` (doc_id bigint, text; other columns are not read) connected by similarity: links of ``rule``.
 
     Returns a row for each row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with
     an equal set), component_id (smallest doc_id reachable by links, itself included) and,
@@ -310,7 +330,7 @@ def near_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
     document that has the links of all of them; a null doc_id joins the class of its set. An
     empty table gives an empty result.
     """
-    table = scratch(features(docs), "shingle-features")
+    table = scratch(features(docs, rule), "shingle-features")
     sets = table.filter("n > 0")
     classes = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count(F.lit(1)).alias("rows"))
     keyed = sets.select("k1", "k2", F.explode("blocks").alias("block"))
@@ -320,7 +340,7 @@ def near_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
     members = met.join(classes.select("k1", "k2", "id", "n", "point"), ["k1", "k2"]).select("block", "id", F.col("id").alias("grp"), "n", "point").distinct()
     members = scratch(members, "members")
 
-    links = _links(docs, members) if count_links else _connecting_links(docs, members)
+    links = _links(docs, members, rule) if count_links else _connecting_links(docs, members, rule)
     groups = components(links)
 
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -338,12 +358,12 @@ def near_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """``docs`` with one document left of each group: that with the smallest doc_id; others are unchanged.
 
     Rows without a doc_id stay unless an equal set has one. Of rows that repeat a doc_id one stays.
     """
-    found = scratch(near_groups(docs, count_links=False), "near-groups")
+    found = scratch(near_groups(docs, rule, count_links=False), "near-groups")
     gone = found.filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
     repeated = scratch(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     kept = docs.join(small(scratch(gone.filter("doc_id is not null"), "gone"), 48), "doc_id", "left_anti")

@@ -268,6 +268,38 @@ def test_links_equal_all_pairs(spark, part, monkeypatch):
     assert min(got[i] for i in range(1000, 1024)) >= 20
 
 
+@pytest.mark.parametrize(("rule", "seed"), [(jaccard.Rule(5, 80), 5), (jaccard.Rule(5, 80), 6), (jaccard.Rule(2, 70), 5)])
+def test_other_rules_equal_all_pairs(spark, rule, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 8)
+    rows = near_corpus(seed, 130)
+    runs = lambda w: frozenset(tuple(w[i : i + rule.size]) for i in range(max(1, len(w) - rule.size + 1))) if w else frozenset()
+    sets = {i: runs(split(t.lower())) for i, t in rows}
+    linked = {i: {j for j in sets if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= rule.percent * len(sets[i] | sets[j])} for i in sets}
+    want = {}
+    for i in sorted(sets):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in want:
+                want[j] = min(i, want.get(i, i))
+                todo += linked[j]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard.near_groups(df, rule).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert {r.doc_id: r.n_links for r in got} == {i: len({sets[j] for j in linked[i]} - {sets[i]}) for i in sets}
+    assert {r.doc_id for r in jaccard.drop_near_copies(df, rule).collect()} == set(want.values())
+
+
+def test_pipeline_drops_copies_with_two_words_changed(spark):
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:30], "x", *w[31:70], "y", *w[71:]])), (3, " ".join(f"v{i}" for i in range(100)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()) == [1, 3]
+    assert jaccard.drop_near_copies(df).count() == 3
+
+
 def test_every_linked_pair_shares_a_block():
     for seed in range(6):
         sets = [jaccard.shingles(t) for _, t in near_corpus(seed, 60)]
