@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WORD, scratch, small, words
 
 #: Statistics of the vector, with the least standard deviation assumed of each: clean text varies by that much.
-FEATURES = {"log_word_length": 0.05, "root_symbols": 0.05, "root_repeats": 0.2, "root_dup_lines": 0.35}
+FEATURES = {"log_word_length": 0.05, "root_symbols": 0.05, "repeats": 0.05, "dup_lines": 0.1}
 #: Fixed point of the vectors.
 SCALE = 1024
 #: Rows of a group that a subset must hold.
@@ -91,8 +91,8 @@ def vectors(stats: DataFrame) -> DataFrame:
     values = {
         "log_word_length": F.log(F.greatest(F.col("word_chars") / n, F.lit(0.1))),
         "root_symbols": F.sqrt(F.col("n_symbols") / n),
-        "root_repeats": F.sqrt(F.col("n_repeat_words") / n),
-        "root_dup_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+        "repeats": F.col("n_repeat_words") / n,
+        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
     }
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fixed = {f"x{i}": F.round(values[k] * SCALE).cast("long") for i, k in enumerate(FEATURES)}

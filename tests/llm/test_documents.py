@@ -14,7 +14,7 @@ from quillspark.llm import jaccard, licenses, mixing, pieces, pii, quality, secr
 from quillspark.llm.graph import components
 from quillspark.llm.queries import tokenizer_file
 
-from .brute import brute_components, shingle_set, split
+from .brute import brute_components, prose, shingle_set, split
 
 def by_row(df, *columns):
     """A multiset of rows, which repeated documents need."""
@@ -63,6 +63,18 @@ def test_quality_rejects_symbols_and_keeps_clean(documents):
     assert all(r.kept for i, r in rows.items() if i is not None and i < 120 and not symbols(i))
 
 
+def test_quality_rejects_boilerplate_in_a_clean_group(spark):
+    clean = ["\n".join(prose(100 * i + k, 10) for k in [*range(10 + i % 5), *[0] * (i % 8 == 0)]) for i in range(80)]  # some repeat a line
+    repeats = prose(900, 40) + (" " + prose(901, 12)) * 3  # 36 of 76 words
+    lines = prose(902, 60) + "\nok" * 20  # 19 of 21 lines
+    both = prose(903, 60) + ("\n" + prose(904, 2)) * 28  # 56 of 116 words, 27 of 29 lines
+    rows = [(i, t, "en", "s") for i, t in enumerate([*clean, repeats, lines, both])]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(80)] == [True] * 80
+    assert [got[i].kept for i in (80, 81, 82)] == [False] * 3
+
+
 def test_mcd_ignores_a_third_of_outliers(spark):
     r = random.Random(1)
     rows = [("en", "s", *(round(r.gauss(0, 1) * 200) + (0 if i % 3 else 8000) for _ in range(4))) for i in range(300)]
