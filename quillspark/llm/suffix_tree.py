@@ -9,10 +9,10 @@ frequent successor its count less DISCOUNT; what is left goes to the suffix's di
 in proportion. The root is the add-one unigram distribution, in which a word of the class
 has its own probability. Each token is scored in the longest retained suffix of what precedes it.
 
-Counts cover the whole training corpus and come from distributed aggregations. What is
-collected and broadcast is bounded by the floor on relative frequency: of symbols,
-contexts and successors there are at most 2**FLOOR_BITS each, whatever the corpus. Rare words are
-counted and looked up by a shuffled join.
+Counts cover the whole training corpus and come from distributed aggregations. Symbols,
+contexts and successors need the same number of occurrences at every size, so the tree grows
+with the corpus; it is collected and broadcast, and must fit in the memory of the driver and
+of each worker. Rare words are counted and looked up by a shuffled join.
 """
 
 from __future__ import annotations
@@ -31,9 +31,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import lean, scratch, slices
 
-#: Symbols, contexts and successors need this share of all tokens ...
-FLOOR_BITS = 22
-#: ... and this many occurrences.
+#: Occurrences that symbols, contexts and successors need.
 LEAST_SYMBOL, LEAST_CONTEXT, LEAST_SUCCESSOR = 32, 64, 4
 DISCOUNT = 0.75
 #: Bytes of text that are counted or scored at once.
@@ -162,7 +160,7 @@ def _in_batches(docs: DataFrame, emit: Callable[[list[np.ndarray], np.ndarray],
 
 
 def _columns(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A table of bounded size as arrays, by key."""
+    """A table that fits in memory as arrays, by key."""
     rows = counted.select("key", "n").toArrow()
     key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
     order = np.argsort(key)
@@ -204,15 +202,14 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     unigrams = scratch(_in_batches(docs, lambda h, starts: h), "unigrams")
     size = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    floor = size["n"] / 2**FLOOR_BITS
-    words, counts = _columns(unigrams.filter(F.col("n") >= max(LEAST_SYMBOL, floor)))
+    words, counts = _columns(unigrams.filter(F.col("n") >= LEAST_SYMBOL))
     model = Model(words, counts, size["n"], size["v"])
     root, shared = model.root(), spark.sparkContext.broadcast(model)
     end = int(model.symbols(np.array([END_HASH]))[0])
 
     # Depth 1: a context is a symbol; the start stands before each text and comes as often as the end.
     masses = np.concatenate([counts, [size["n"] - counts.sum()], [counts[end] if end < len(counts) else 0]])
-    often = (masses >= max(LEAST_CONTEXT, floor)) & (np.arange(len(masses)) != end)
+    often = (masses >= LEAST_CONTEXT) & (np.arange(len(masses)) != end)
     contexts = np.flatnonzero(often)
 
     def pairs(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -221,13 +218,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         state = _find(contexts, m.history(s, starts, 1))
         return (state * m.width + s)[state >= 0]
 
-    bigrams = scratch(_in_batches(docs, pairs).filter(F.col("n") >= max(LEAST_SUCCESSOR, floor)), "bigrams")
+    bigrams = scratch(_in_batches(docs, pairs).filter(F.col("n") >= LEAST_SUCCESSOR), "bigrams")
     keys, n = _columns(bigrams)
     _retain(model, 0, contexts, masses[contexts], keys, n, root)
 
     # Depth 2: the frequent pairs, less those that end a text.
     pair = contexts[keys // model.width] * model.width + keys % model.width
-    often = (n >= max(LEAST_CONTEXT, floor)) & (keys % model.width != end)
+    often = (n >= LEAST_CONTEXT) & (keys % model.width != end)
     two, masses = pair[often], n[often]
     order = np.argsort(two)
     two, masses = two[order], masses[order]
@@ -238,7 +235,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         state = _find(two, m.history(s, starts, 2))
         return (state * m.width + s)[state >= 0]
 
-    trigrams = scratch(_in_batches(docs, triples).filter(F.col("n") >= max(LEAST_SUCCESSOR, floor)), "trigrams")
+    trigrams = scratch(_in_batches(docs, triples).filter(F.col("n") >= LEAST_SUCCESSOR), "trigrams")
     keys, n = _columns(trigrams)
     _retain(model, 1, two, masses, keys, n, root)
     return model, unigrams
@@ -292,9 +289,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     out = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, tree double, rare array<bigint>"
     scored = scratch(docs.select("doc_id", "text").mapInArrow(lean(run, _forget), out), "suffix-scores")
-    floor = max(LEAST_SYMBOL, model.total / 2**FLOOR_BITS)
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    rare = rare.join(unigrams.filter(F.col("n") < floor), "key", "left")
+    rare = rare.join(unigrams.filter(F.col("n") < LEAST_SYMBOL), "key", "left")
     log_p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * log_p).alias("log_p"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     whole = scored.drop("rare").join(rare, "row", "left")

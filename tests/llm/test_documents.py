@@ -470,6 +470,15 @@ def test_suffix_tree_states_are_distributions(spark, monkeypatch):
             assert m.probabilities(s, np.arange(0, len(s), 3), root)[2::3].sum() == pytest.approx(1)
 
 
+def test_suffix_tree_floors_do_not_depend_on_size(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "FLOOR_BITS", 6, raising=False)  # a share of the tokens once raised the floors of large corpora
+    rows = [(None, "a rare pair " + "b c " * 100)] * 64
+    m, _ = suffix_tree.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    ids = {w: int(m.symbols(suffix_tree.tokens(w)[:1])[0]) for w in ("a", "rare", "pair")}
+    assert m.other not in ids.values()
+    assert ids["rare"] in m.contexts[0]
+
+
 # --- pieces
 
 
