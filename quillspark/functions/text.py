@@ -92,13 +92,14 @@ def drop_stop_words(words: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column
 
 
 def ngrams(words: Column, n_max: int = 2) -> Column:
-    """All runs of 1 to ``n_max`` words, joined by spaces; built after stop words went, so they bridge them."""
-    out = words
+    """All runs of 1 to ``n_max`` words, joined by spaces; built after stop words went, so they bridge them.
+
+    ``words`` stands outside every lambda, so it is not evaluated again for each run; give it
+    a column of its own (as ``document_terms`` does) to have it evaluated once.
+    """
+    out = runs = words
     for n in range(2, n_max + 1):
-        grams = F.when(F.size(words) >= n, _runs(words, n)).otherwise(F.array().cast("array<string>"))
-        out = F.concat(out, grams)
+        rest = F.greatest(F.size(words) - n + 1, F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), rest), F.slice(words, F.lit(n), rest), lambda a, b: F.concat(a, F.lit(" "), b))
+        out = F.concat(out, runs)
     return out
-
-
-def _runs(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))

@@ -12,9 +12,9 @@ from quillspark.functions.text import STOP_WORDS, drop_stop_words, ngrams, token
 
 def document_terms(docs: DataFrame, id_col: str, text_col: str, group: str | None = None, n_max: int = 2, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """id, (group,) term, tf. A text is tokenised once; its repeats are added up in place, before anything is shuffled."""
-    terms = ngrams(drop_stop_words(tokens(F.coalesce(F.col(text_col), F.lit(""))), stop), n_max)
     keep = [id_col, *([group] if group else [])]
-    return docs.select(*keep, F.explode(terms).alias("term")).groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    cut = docs.select(*keep, drop_stop_words(tokens(F.coalesce(F.col(text_col), F.lit(""))), stop).alias("__words"))
+    return cut.select(*keep, F.explode(ngrams(F.col("__words"), n_max)).alias("term")).groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(terms: DataFrame, min_df: int = 10, max_terms: int | None = 100_000) -> DataFrame:
@@ -73,7 +73,8 @@ def tfidf_top(docs: DataFrame, terms: DataFrame, id_col: str, group: str, groups
     sizes = sizes.withColumn("n_all", F.sum("n_group").over(Window.partitionBy())).withColumnRenamed(group, "__g")
     w = kept.join(vocab, "term").join(F.broadcast(sizes), F.col(group) == F.col("__g"))
     w = w.withColumn("w", F.col("tf") * (F.log((1 + F.col("n_all")) / (1 + F.col("df"))) + 1))
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col))))
+    norms = w.groupBy(F.col(id_col).alias("__id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
+    w = w.join(norms, F.col(id_col) == F.col("__id")).withColumn("w", F.col("w") / F.col("__norm"))
     means = w.groupBy(group, "term").agg((F.sum("w") / F.first("n_group")).alias("mean_tfidf"))
     order = Window.partitionBy(group).orderBy(F.desc("mean_tfidf"), "term")
     return means.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n).select(F.col(group).alias("group"), "term", "mean_tfidf")
