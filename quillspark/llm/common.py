@@ -8,8 +8,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +100,128 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
         return
+
+
+_U = np.uint64
+
+
+def mix(x: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit finalizer (splitmix)."""
+    x = x + _U(salt)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+#: Bytes hashed at once; words longer than LONG_WORD are hashed one by one.
+HASH_BLOCK, LONG_WORD = 4 << 20, 256
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, the same for A-Z and a-z.
+_LETTER = mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(_U), 77)
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2**64."""
+    n = HASH_BLOCK + 1
+    return tuple(np.concatenate([np.ones(1, _U), np.cumprod(np.full(n - 1, b, _U), dtype=_U)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, and where each begins (and the last ends); null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)), at - at[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts end to end, A-Z lower-cased, and the place of each text's first word (and of the end).
+
+    A word's hash is a polynomial in its bytes, read off running sums over the whole batch,
+    so there is no loop over words. Such sums are weak for crafted long words; these are
+    hashed one by one.
+    """
+    data, at = flat_bytes(texts)
+    inside = ~_BLANK[data]
+    first, last = inside.copy(), inside.copy()
+    if len(data):
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        first[1:] &= ~inside[:-1] | edge[1:-1]
+        last[:-1] &= ~inside[1:] | edge[1:-1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out, (power, inverse), k = np.empty(len(begin), _U), _powers(), 0
+    while k < len(begin):
+        upto = max(k + 1, int(np.searchsorted(end, begin[k] + HASH_BLOCK, side="right")))
+        b, e = begin[k:upto] - begin[k], end[k:upto] - begin[k]
+        if e[-1] <= HASH_BLOCK:
+            sums = np.zeros(e[-1] + 1, _U)
+            np.cumsum(_LETTER[data[begin[k] : end[upto - 1]]] * power[: e[-1]], out=sums[1:])
+            out[k:upto] = mix((sums[e] - sums[b]) * inverse[b], 9) + (e - b).astype(_U)
+        k = upto
+    for i in np.flatnonzero(end - begin > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes().lower())
+    return out, np.searchsorted(begin, at)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``keys`` (whole numbers) as tables that cut no group, with the starts of the groups (and the end)."""
+    held: list[pa.RecordBatch] = []
+
+    def changes(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        k = np.stack([t.column(c).to_numpy() if isinstance(t, pa.Table) else t.column(c).to_numpy(zero_copy_only=False) for c in keys], 1)
+        return np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+
+    def give(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        return t, np.concatenate([[0], changes(t), [t.num_rows]])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = changes(b)
+        new = bool(held) and any(held[-1].column(c)[-1] != b.column(c)[0] for c in keys)
+        cut = int(at[-1]) if len(at) else 0
+        if cut or new:
+            yield give([*held, *([b.slice(0, cut)] if cut else [])])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield give(held)
+
+
+class Forest:
+    """Union-find over 0..n-1 that keeps the links which joined two trees."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return int(x)
+
+    def join(self, x: int, others: np.ndarray) -> None:
+        """Join x with each of ``others``; one link for each tree that is new to x."""
+        top = self.root(x)
+        for y in others[np.unique(self.up[others], return_index=True)[1]].tolist():
+            other = self.root(y)
+            if other != top:
+                self.links.append((x, y))
+                low, high = min(top, other), max(top, other)
+                self.up[high] = top = low
+
+    def roots(self) -> np.ndarray:
+        up = self.up
+        while True:
+            higher = up[up]
+            if (higher == up).all():
+                return up
+            up = self.up = higher

@@ -4,25 +4,23 @@ A document is the set of its distinct shingles (runs of some words). Documents w
 equal sets form a class; classes are joined.
 
 Two sets of sizes s and t with Jaccard j or more differ in at most (s+t)(1-j)/(1+j)
-shingles, at 0.9 a 19th. Shingles are hashed into one group more than that (and a few spare), so two
+shingles, at 0.9 a 19th. Shingles are hashed into one group more than that (and some spare), so two
 linked sets hold exactly the same shingles in some group: the content of a group, hashed,
 is a block of the index, and linked classes meet in a block whatever their other words
-are. A passage that many documents share makes no block, as a group mixes shingles
+are. A passage that many documents share seldom makes a block, as a group mixes shingles
 of the whole text.
 
 In each block an R-tree indexes the classes as points: the counts of their shingles in
 DIMENSIONS further hash groups. The sum of coordinate minima of a point and the upper
 corner of a box bounds the overlap with all points below, and of two points with each
-other; what the bound lets through is verified on the sets themselves.
-
-The join verifies every pair of classes that a block's bound lets through, so m near copies
-that all link to each other take m(m-1)/2 verifications, as many as there are links.
-
-Where only the groups are asked for, links inside a group need not be looked for. There
-every class first takes its best bounded partner of each block. That links nearly all
-there is to link; groups are formed. Then each block that still holds members of
-different groups is searched for all pairs across groups. So a block of m near copies
-costs about m verifications, not m*m, and no link between groups is lost.
+other. Pairs that the bound lets through are joined by union-find, and a block gives a
+spanning forest of them: never more rows than members. The components of all forests
+(bundles) are closed under all links.
+
+Each bundle's sets are then brought together once, whatever the number of blocks they
+met in; there an R-tree proposes pairs, each is verified on the sets, and only counts and
+components leave the task. Bundles of more than BUNDLE shingles are dealt over many
+tasks: see ``_large_bundles``.
 """
 
 from __future__ import annotations
@@ -32,14 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import lean, scratch, slices, small
+from quillspark.llm.common import Forest, lean, mix, scratch, slices, small, whole_groups, word_hashes
 from quillspark.llm.graph import components
 
-
 @dataclass(frozen=True)
 class Rule:
     """What a link is: sets of shingles of ``size`` words with a Jaccard of ``percent`` or more."""
@@ -60,60 +56,53 @@ class Rule:
 #: Of the query op4_jaccard_join.
 CONTRACT = Rule(3, 90)
 DIMENSIONS = 64
-#: Groups more than differences can spoil; sets with no more empty groups than this skip them.
-SPARE = 2
 #: Size classes grow by half; a pair meets in the class of its larger set.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
     EDGES.append(max(EDGES[-1] + 1, EDGES[-1] * 3 // 2))
 _EDGES = np.array(EDGES)
-#: Members of a block that one task compares at once; larger blocks are cut and their parts paired.
+#: Members of a block that one task compares at once.
 PART = 1024
+#: Blocks of a class that are tried first.
+FIRST_BLOCKS = 2
+#: Shingles in the sets of a bundle that one task verifies.
+BUNDLE = 1 << 20
 LEAF, FANOUT = 32, 16
 
 _U = np.uint64
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit finalizer (splitmix)."""
-    x = x + _U(salt)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def _forget() -> None:
-    _HASHES.clear()
+def text_shingles(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text, sorted distinct 64-bit hashes of its shingles; of its whole word sequence if that is shorter."""
+    h, at = word_hashes(texts)
+    flat = np.full(max(len(h) - size + 1, 0), size, _U)
+    for i in range(size):
+        flat = mix(flat * _U(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i], 1)
+    out = []
+    for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if e - b >= size:
+            out.append(np.unique(flat[b : e - size + 1]))
+            continue
+        whole = np.full(int(e > b), e - b, _U)
+        for i in range(b, e):
+            whole = mix(whole * _U(0x9E3779B97F4A7C15) + h[i], 1)
+        out.append(whole)
+    return out
 
 
 def shingles(text: str | None, size: int = CONTRACT.size) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; of its whole word sequence if that is shorter."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, _U)
-    h = np.array([_HASHES[w] for w in words], _U)
-    n = min(size, len(h))
-    s = np.full(len(h) - n + 1, n, _U)
-    for i in range(n):
-        s = _mix(s * _U(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i], 1)
-    return np.unique(s)
+    return text_shingles(pa.array([text], pa.string()), size)[0]
 
 
 def _max_difference(top: int, rule: Rule) -> int:
     return 2 * top * (rule.denominator - 2 * rule.numerator) // rule.denominator
 
 
+def spare(differences: int) -> int:
+    """Groups more than ``differences`` can spoil; a set with no more empty groups than this skips them."""
+    return 2 + differences // 8
+
+
 def signatures(s: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
     """Block keys of a set: for its size class, and for the next if a larger partner may be there."""
     n, out = len(s), []
@@ -121,48 +110,50 @@ def signatures(s: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
         return np.empty(0, np.int64)
     largest = n * (rule.denominator - rule.numerator) // rule.numerator
     own, top = np.searchsorted(_EDGES, [n, largest], side="right")
+    place, value = mix(s, 2), mix(s, 3)
     for level in range(own, top + 1):
         k = _max_difference(EDGES[level] - 1, rule)
         if not k:
             continue
-        groups = k + 1 + SPARE
-        g = _mix(s, 2) % _U(groups)
+        groups = k + 1 + spare(k)
+        g = place % _U(groups)
         content = np.zeros(groups, _U)
-        np.add.at(content, g, _mix(s, 3))
+        np.add.at(content, g, value)
         held = np.bincount(g.astype(np.int64), minlength=groups) > 0
         ids = np.arange(groups, dtype=_U)
-        if groups - held.sum() <= SPARE:
+        if groups - held.sum() <= spare(k):
             ids, content = ids[held], content[held]
-        out.append(_mix(content * _U(3) + _mix(ids + _U(level << 32), 4), 5))
+        out.append(mix(content * _U(3) + mix(ids + _U(level << 32), 4), 5))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
 def counts(s: np.ndarray) -> np.ndarray:
     """The point of a set: how many of its shingles fall into each dimension (at most 65535 counted)."""
-    n = np.bincount((_mix(s, 6) % _U(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+    n = np.bincount((mix(s, 6) % _U(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
     return np.minimum(n, 65535).astype("<u2")
 
 
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes that name a set."""
+    return int(mix(s, 7).sum(dtype=_U).view(np.int64)), int(mix(s, 8).sum(dtype=_U).view(np.int64))
+
+
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n (set size), k1 and k2 (hash of the set), point, blocks."""
+    """For each row of ``docs`` (doc_id, text): doc_id, th (hash of the text), n (set size), k1 and k2 (hashes of the set), point, blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, k1, k2, point, blocks, at = [], [], [], [], [], [0]
-            for t in b.column("text").to_pylist():
-                s = shingles(t, rule.size)
-                n.append(len(s))
-                k1.append(int(_mix(s, 7).sum(dtype=_U).view(np.int64)))
-                k2.append(int(_mix(s, 8).sum(dtype=_U).view(np.int64)))
-                point.append(counts(s).tobytes())
-                blocks.append(signatures(s, rule))
-                at.append(at[-1] + len(blocks[-1]))
-            keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(blocks) if blocks else np.empty(0, np.int64)))
-            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(point, pa.binary()), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "point", "blocks"])
+            sets = text_shingles(b.column("text"), rule.size)
+            names = [_names(s) for s in sets]
+            keys = [signatures(s, rule) for s in sets]
+            at = np.cumsum([0, *map(len, keys)])
+            blocks = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            columns = [b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array([counts(s).tobytes() for s in sets], pa.binary()), blocks]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "k1", "k2", "point", "blocks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(run, _forget), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, point binary, blocks array<bigint>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, th bigint, n bigint, k1 bigint, k2 bigint, point binary, blocks array<bigint>")
 
 
 class RTree:
@@ -212,162 +203,309 @@ class RTree:
         return at[ok], bound[ok]
 
 
-def block_pairs(ids: np.ndarray, part: np.ndarray, group: np.ndarray, sizes: np.ndarray, points: np.ndarray, cross: bool, best_only: bool, rule: Rule) -> list[tuple[int, int]]:
-    """Pairs (smaller id, larger id) of a block's members in different groups that the bound lets through.
+def block_forest(grp: np.ndarray, sizes: np.ndarray, points: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of places that join all members of a block whose bounds allow a link; members of one ``grp`` are joined already.
 
-    ``cross``: only between parts 0 and 1. ``best_only``: for each member just the pair of
-    largest bound relative to size with a smaller id.
+    With ``side`` only pairs of different sides are tried.
     """
+    n = len(grp)
     rest = sizes - points.sum(1, dtype=np.int64)
-    tree, out = RTree(points, sizes, rest, rule), []
-    for x in range(len(ids)):
-        at, bound = tree.search(points[x], int(sizes[x]), int(rest[x]))
-        ok = (ids[at] < ids[x]) & (group[at] != group[x])
-        if cross:
-            ok &= part[at] != part[x]
-        at, bound = at[ok], bound[ok]
-        if best_only and len(at):
-            at = at[np.lexsort((ids[at], -bound / (sizes[at] + sizes[x])))[:1]]
-        out += [(int(i), int(ids[x])) for i in ids[at]]
-    return out
-
-
-def candidates(members: DataFrame, best_only: bool, rule: Rule) -> DataFrame:
-    """Distinct pairs a < b that blocks propose. ``members``: block, id, grp, n, point."""
-    members = scratch(members, "members")
-    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    big = scratch(sizes.filter("parts > 1"), "big-blocks")
-    cut = members.join(small(big, 48), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("part"), "id", "grp", "n", "point")
+    tree, forest = RTree(points, sizes, rest, rule), Forest(n)
+    first = np.unique(grp, return_index=True, return_inverse=True)[1:]
+    forest.up = first[0][first[1]]
+    for x in range(n):
+        if (forest.up == forest.up[0]).all():
+            break
+        at, _ = tree.search(points[x], int(sizes[x]), int(rest[x]))
+        if side is not None:
+            at = at[side[at] != side[x]]
+        if len(at):
+            forest.join(x, at)
+    return forest.links
+
+
+def _forests(members: DataFrame, keys: tuple[str, ...], rule: Rule) -> DataFrame:
+    """Edges a, b of the forests of all groups of ``members``: keys, k1, grp, n, point, and side where keys are part pairs."""
+    sided = "side" in members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for last, b in _with_last(batches):
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if held is not None and held.num_rows and b is not None else (b if b is not None else held)
-            if b is None or not b.num_rows:
-                continue
-            key = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in ("block", "i", "j")], 1)
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            ends = np.append(starts[1:], len(key))
-            held = None
-            if not last:
-                held = b.slice(int(starts[-1]))
-                starts, ends = starts[:-1], ends[:-1]
-            ids, part, grp, n = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "part", "grp", "n"))
-            points = np.frombuffer(b"".join(b.column("point").to_pylist()), "<u2").reshape(-1, DIMENSIONS)
+        for t, starts in whole_groups(batches, keys):
+            k1, grp, n = (t.column(c).to_numpy() for c in ("k1", "grp", "n"))
+            side = t.column("side").to_numpy() if sided else None
+            points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u2").reshape(-1, DIMENSIONS)
             found: set[tuple[int, int]] = set()
-            two = ends - starts == 2
-            p = starts[two]
-            if len(p):  # most blocks are pairs: one box, one bound
+            size = np.diff(starts)
+            p = starts[:-1][size == 2]
+            if len(p):  # most blocks are pairs: one bound
                 q = p + 1
                 rest = n - points.sum(1, dtype=np.int64)
                 bound = np.minimum(points[p], points[q]).sum(1, dtype=np.int64) + np.minimum(rest[p], rest[q])
-                ok = (rule.denominator * bound >= rule.numerator * (n[p] + n[q])) & (grp[p] != grp[q]) & (ids[p] != ids[q])
-                ok &= (key[p, 1] == key[p, 2]) | (part[p] != part[q])
-                found.update(zip(np.minimum(ids[p], ids[q])[ok].tolist(), np.maximum(ids[p], ids[q])[ok].tolist(), strict=True))
-            for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
-                if e - s > 2:
-                    found.update(block_pairs(ids[s:e], part[s:e], grp[s:e], n[s:e], points[s:e], bool(key[s, 1] != key[s, 2]), best_only, rule))
+                ok = (rule.denominator * bound >= rule.numerator * (n[p] + n[q])) & (grp[p] != grp[q])
+                ok &= True if side is None else side[p] != side[q]
+                found.update(zip(k1[p[ok]].tolist(), k1[q[ok]].tolist(), strict=True))
+            for b, e in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist(), strict=True):
+                links = block_forest(grp[b:e], n[b:e], points[b:e], rule, None if side is None else side[b:e])
+                found.update((int(k1[b + x]), int(k1[b + y])) for x, y in links)
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    dealt = cut.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "id")
-    return dealt.mapInArrow(lean(run), "a bigint, b bigint").distinct()
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a bigint, b bigint")
 
 
-def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
-    """(False, batch) for each, then (True, None)."""
-    for b in batches:
-        yield False, b
-    yield True, None
+def _grouped(members: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
+    """``members`` of the blocks that still hold several components of ``edges``, with grp."""
+    groups = scratch(components(edges), f"{tag}-groups").select(F.col("node").alias("k1"), F.col("component").alias("grp"))
+    members = members.drop("grp").join(small(groups, 32), "k1", "left").withColumn("grp", F.coalesce("grp", "k1"))
+    members = scratch(members, f"{tag}-members")
+    mixed = members.groupBy("block").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
+    mixed = scratch(mixed.select("block", F.ceil(F.col("rows") / PART).cast("int").alias("parts")), f"{tag}-mixed")
+    return scratch(members.join(small(mixed, 32), "block"), f"{tag}-mixed-members")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Those ``pairs`` (a, b) of doc_ids whose sets are similar enough."""
-    ids = scratch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "verify-ids")
+def _in_parts(members: DataFrame, tag: str) -> DataFrame:
+    """``members`` with part: blocks of more than PART members are cut by a hash."""
+    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 1")
+    cut = members.drop("parts").join(small(scratch(sizes, f"{tag}-large-blocks"), 32), "block", "left")
+    return cut.withColumn("part", F.pmod(F.xxhash64("k1"), F.coalesce("parts", F.lit(1))).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingles(t, rule.size) for t in b.column("text").to_pylist()]
-            at = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["doc_id", "s"])
 
-    texts = docs.select("doc_id", "text").join(small(ids, 48), "doc_id", "left_semi")
-    sets = scratch(texts.mapInArrow(lean(run, _forget), "doc_id bigint, s array<bigint>"), "verify-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return both.filter(rule.denominator * common.cast("long") >= rule.numerator * total.cast("long")).select("a", "b").distinct()
+def bundles(members: DataFrame, rule: Rule) -> DataFrame:
+    """k1, bundle: the components of all pairs that share a block and pass its bound. ``members``: block, k1, n, point.
+
+    The least blocks of each class come first (near copies have most blocks in common, and so
+    these); then the blocks that still hold several components. Of blocks with more than
+    PART members, first the parts are searched each for itself, then one member of each
+    component, and what is still apart by pairs of parts.
+    """
+    ranked = members.groupBy("k1").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    first = members.join(ranked, "k1").filter("block = lo or block = hi").drop("lo", "hi").withColumn("grp", F.col("k1"))
+    edges = scratch(_forests(_in_parts(first, "first"), ("block", "part"), rule), "edges-1")
+    rest = _grouped(members, edges, "first")
+
+    large = rest.filter("parts > 1")
+    if not large.isEmpty():
+        one = large.groupBy("block", "grp", "parts").agg(F.min("k1").alias("k1")).join(large.select("block", "k1", "n", "point"), ["block", "k1"])
+        edges = scratch(edges.unionByName(_forests(_in_parts(one, "second"), ("block", "part"), rule)), "edges-2")
+        rest = _grouped(members, edges, "second")
+        large = rest.filter("parts > 1").withColumn("mine", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+        cut = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cut = cut.select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "k1", "grp", "n", "point")
+        within = cut.filter("i = j").drop("side")
+        across = _forests(cut.filter("i <> j"), ("block", "i", "j"), rule).unionByName(_forests(within, ("block", "i"), rule))
+        edges = edges.unionByName(across)
+    edges = scratch(edges.unionByName(_forests(rest.filter("parts = 1"), ("block",), rule)), "edges-3")
+    return components(edges).select(F.col("node").alias("k1"), F.col("component").alias("bundle"))
+
+
+def set_links(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some different sets, how many others it links to, and the place of one in its component."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    flat, local = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    points = np.stack([counts(s) for s in sets])
+    rest = sizes - points.sum(1, dtype=np.int64)
+    tree, forest = RTree(points, sizes, rest, rule), Forest(m)
+    links, marked = np.zeros(m, np.int64), np.zeros(len(flat) + 1, bool)
+    mine = [local[at[x] : at[x + 1]] for x in range(m)]
+    for x in range(m):
+        near, _ = tree.search(points[x], int(sizes[x]), int(rest[x]))
+        near = near[near > x]
+        if not len(near):
+            continue
+        marked[mine[x]] = True
+        for k in range(0, len(near), PART):
+            some = near[k : k + PART]
+            hits = marked[np.concatenate([mine[y] for y in some.tolist()])]
+            common = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), dtype=np.int64)
+            linked = some[rule.denominator * common >= rule.numerator * (sizes[x] + sizes[some])]
+            links[linked] += 1
+            links[x] += len(linked)
+            if len(linked):
+                forest.join(x, linked)
+        marked[mine[x]] = False
+    return links, forest.roots()
 
 
-def _links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """All links a < b between classes."""
-    return scratch(verified(docs, scratch(candidates(members, best_only=False, rule=rule), "pairs"), rule), "links")
+_LABELS = "k1 bigint, k2 bigint, component_id bigint, n_links bigint"
 
 
-def _connecting_links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """Links a < b that connect the same classes as all links do."""
-    tried = scratch(candidates(members, best_only=True, rule=rule), "best-pairs")
-    links = scratch(verified(docs, tried, rule), "links-1")
-    groups = scratch(components(links), "groups-1")
-    grouped = members.drop("grp").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-    grouped = scratch(grouped.select("block", "id", "grp", "n", "point"), "grouped")
-    mixed = scratch(grouped.groupBy("block").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("block"), "mixed-blocks")
-    rest = candidates(grouped.join(small(mixed, 48), "block", "left_semi"), best_only=False, rule=rule)
-    rest = scratch(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    return scratch(links.union(verified(docs, rest, rule)), "links-2")
+def _in_one_task(members: DataFrame, rule: Rule) -> DataFrame:
+    """Labels of the classes of bundles that fit a task: bundle, k1, k2, class_id, s (a row for each class, or repeats of it)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, ("bundle",)):
+            k1, k2 = (t.column(c).to_numpy() for c in ("k1", "k2"))
+            own = t.column("class_id").to_pylist()
+            values = t.column("s").combine_chunks() if isinstance(t.column("s"), pa.ChunkedArray) else t.column("s")
+            at, flat = values.offsets.to_numpy(), values.values.to_numpy().view(_U)
+            out: list[tuple] = []
+            for b, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                rows = [r for r in range(b, e) if r == b or k1[r] != k1[r - 1] or k2[r] != k2[r - 1]]
+                links, roots = set_links([flat[at[r] : at[r + 1]] for r in rows], rule)
+                least: dict[int, int | None] = {}
+                for r, root in zip(rows, roots.tolist(), strict=True):
+                    ids = [x for x in (least.get(root), own[r]) if x is not None]
+                    least[root] = min(ids) if ids else None
+                out += [(int(k1[r]), int(k2[r]), least[root], n) for r, root, n in zip(rows, roots.tolist(), links.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["k1", "k2", "component_id", "n_links"])
+
+    return members.repartition("bundle").sortWithinPartitions("bundle", "k1", "k2").mapInArrow(lean(run), _LABELS)
+
+
+def _large_bundles(members: DataFrame, rule: Rule) -> DataFrame:
+    """Labels of the classes of bundles beyond BUNDLE, over many tasks.
+
+    With a = denominator and b = denominator - 2 * numerator, sets x and y link if
+    a * |x ^ y| <= b * (|x| + |y|). A bundle's centre holds the shingles of more than half of
+    its sets, and x has the weight a * |x ^ centre| - b * |x|. If the weights of two add up to no
+    more than 0, they link for certain: so all sets of weight 0 or less (the near ones) link
+    with each other, and are counted without being compared. Far sets are compared with all
+    others, by parts of PART, on their differences from the centre, which give |x ^ y|
+    exactly. A bundle of copies of one text has few far sets.
+    """
+    a, b = rule.denominator, rule.denominator - 2 * rule.numerator
+    members = scratch(members.groupBy("bundle", "k1", "k2", "class_id").agg(F.first("s").alias("s")), "large-sets")
+    sized = members.groupBy("bundle").agg(F.count(F.lit(1)).alias("m"))
+    common = members.select("bundle", F.explode("s").alias("v")).groupBy("bundle", "v").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(scratch(sized, "large-sizes")), "bundle").filter("2 * c > m")
+    centres = scratch(common.groupBy("bundle").agg(F.sort_array(F.collect_list("v")).alias("centre")), "large-centres")
+    placed = members.join(small(centres, 1 << 20), "bundle", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    apart = F.array_union(F.array_except("s", "centre"), F.array_except("centre", "s"))
+    placed = placed.select("bundle", "k1", "k2", "class_id", F.size("s").cast("bigint").alias("n"), apart.alias("d"))
+    placed = placed.withColumn("near", a * F.size("d") - b * F.col("n") <= 0)
+    placed = scratch(placed, "large-differences")
+    parts = placed.groupBy("bundle").agg(F.count_if("near").alias("nears"), F.count_if(~F.col("near")).alias("fars"), F.min(F.when(F.col("near"), F.col("k1"))).alias("head"))
+    parts = F.broadcast(scratch(parts.withColumns({"p_near": F.ceil(F.col("nears") / PART).cast("int"), "p_far": F.ceil(F.col("fars") / PART).cast("int")}), "large-parts"))
+    rows = placed.join(parts, "bundle")
+    upto = lambda p: F.explode(F.when(F.col(p) > 0, F.sequence(F.lit(0), F.col(p) - 1)))
+    mine = lambda p: F.pmod(F.xxhash64("k1", "k2"), F.greatest(F.col(p), F.lit(1))).cast("int")
+    cells = ("bundle", "kind", "i", "j")
+    columns = (*cells, "side", "k1", "k2", "n", "d")
+    far = rows.filter("not near").withColumn("mine", mine("p_far"))
+    among = far.withColumn("other", upto("p_far")).select("bundle", F.lit(0).alias("kind"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *columns[5:])
+    to_near = far.withColumn("other", upto("p_near")).select("bundle", F.lit(1).alias("kind"), F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *columns[5:])
+    near = rows.filter("near").withColumn("mine", mine("p_near")).withColumn("other", upto("p_far"))
+    near = near.select("bundle", F.lit(1).alias("kind"), F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), *columns[5:])
 
-def near_groups(docs: DataFrame, rule: Rule = CONTRACT, count_links: bool = True) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, cells):
+            kind, i, j, side, k1, k2, n = (t.column(c).to_numpy() for c in ("kind", "i", "j", "side", "k1", "k2", "n"))
+            values = t.column("d").combine_chunks() if isinstance(t.column("d"), pa.ChunkedArray) else t.column("d")
+            at, flat = values.offsets.to_numpy(), values.values.to_numpy()
+            out: list[np.ndarray] = []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                names, local = np.unique(flat[at[lo] : at[hi]], return_inverse=True)
+                d = np.diff(at[lo : hi + 1])
+                own, size, s = local.reshape(-1), n[lo:hi], side[lo:hi]
+                begin = at[lo:hi] - at[lo]
+                whole = bool(kind[lo] == 0 and i[lo] == j[lo])
+                marked, forest, links = np.zeros(len(names) + 1, bool), Forest(hi - lo), np.zeros(hi - lo, np.int64)
+                hits_of = np.repeat(np.arange(hi - lo), d)
+                for x in range(hi - lo):
+                    others = np.arange(hi - lo) > x if whole else (s != s[x]) & (s[x] == 0)
+                    if not others.any():
+                        continue
+                    marked[own[begin[x] : begin[x] + d[x]]] = True
+                    common = np.bincount(hits_of[marked[own]], minlength=hi - lo)
+                    marked[own[begin[x] : begin[x] + d[x]]] = False
+                    linked = np.flatnonzero(others & (a * (d[x] + d - 2 * common) <= b * (size[x] + size)))
+                    links[linked] += 1
+                    links[x] += len(linked)
+                    if len(linked):
+                        forest.join(x, linked)
+                out.append(np.stack([k1[lo:hi], k2[lo:hi], links, k1[lo:hi][forest.roots()]], 1))
+            rows = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(4)], ["k1", "k2", "links", "to"])
+
+    dealt = among.unionByName(to_near).unionByName(near).repartition(*cells).sortWithinPartitions(*cells)
+    found = scratch(dealt.mapInArrow(lean(run), "k1 bigint, k2 bigint, links bigint, to bigint"), "large-links")
+    star = rows.filter("near and k1 <> head").select(F.col("k1").alias("a"), F.col("head").alias("b"))
+    groups = components(found.filter("k1 <> to").select(F.col("k1").alias("a"), F.col("to").alias("b")).unionByName(star))
+    added = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+    labels = rows.select("k1", "k2", "class_id", F.when(F.col("near"), F.col("nears") - 1).otherwise(0).alias("certain")).join(added, ["k1", "k2"], "left")
+    labels = labels.join(groups.select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    labels = scratch(labels, "large-labels")
+    least = labels.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    return labels.join(least, "component").select("k1", "k2", "component_id", (F.col("certain") + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"))
+
+
+def near_groups(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Groups of ``docs`` (doc_id bigint, text; other columns are not read) connected by similarity: links of ``rule``.
 
-    Returns a row for each row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with
-    an equal set), component_id (smallest doc_id reachable by links, itself included) and,
-    with ``count_links``, n_links (other classes that its class links to). Documents without words have no shingles, are
-    linked with nothing and are their own component. Rows that share a doc_id are taken for one
-    document that has the links of all of them; a null doc_id joins the class of its set. An
-    empty table gives an empty result.
+    Returns a row for each row of ``docs``: doc_id, th (hash of the text), n_shingles, class_id (smallest doc_id with
+    an equal set), component_id (smallest doc_id reachable by links, itself included) and
+    n_links (other classes that its class links to; every link is verified and counted).
+    Documents without words have no shingles, are linked with nothing and are their own
+    component. Rows that share a doc_id are documents of their own; a row without one takes
+    part, and where nothing it reaches has an id, its component_id is null. An empty table
+    gives an empty result.
     """
     table = scratch(features(docs, rule), "shingle-features")
     sets = table.filter("n > 0")
-    classes = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count(F.lit(1)).alias("rows"))
-    keyed = sets.select("k1", "k2", F.explode("blocks").alias("block"))
+    keyed = sets.select("k1", F.explode("blocks").alias("block"))
     shared = scratch(keyed.groupBy("block").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("block"), "shared-blocks")
-    met = scratch(keyed.join(small(shared, 48), "block", "left_semi").distinct(), "block-members")
-    classes = scratch(classes.filter("id is not null"), "classes")
-    members = met.join(classes.select("k1", "k2", "id", "n", "point"), ["k1", "k2"]).select("block", "id", F.col("id").alias("grp"), "n", "point").distinct()
-    members = scratch(members, "members")
-
-    links = _links(docs, members, rule) if count_links else _connecting_links(docs, members, rule)
-    groups = components(links)
-
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = groups.join(ends, "node", "left")
-    labels = classes.select("k1", "k2", "id", "rows").join(linked, F.col("id") == F.col("node"), "left")
-    labels = scratch(labels.filter("rows > 1 or node is not null").select("k1", "k2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), "n_links"), "labels")
-    out = table.select("doc_id", "n", "k1", "k2").join(small(labels, 96), ["k1", "k2"], "left")
+    met = keyed.join(small(shared, 32), "block", "left_semi").distinct()
+    classes = scratch(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
+    members = scratch(met.join(classes.select("k1", "n", "point"), "k1"), "members")
+    bundled = scratch(bundles(members, rule), "bundles")
+
+    wanted = classes.select("k1", "k2", "class_id", "n").join(small(bundled, 32), "k1")
+    wanted = wanted.join(scratch(wanted.groupBy("bundle").agg((F.sum("n") > BUNDLE).alias("large")), "bundle-sizes"), "bundle")
+    wanted = scratch(wanted.select("bundle", "k1", "k2", "class_id", "large"), "bundle-classes")
+    labels = _in_one_task(_with_sets(docs, wanted.filter("not large"), rule), rule)
+    large = wanted.filter("large")
+    if not large.isEmpty():
+        labels = labels.unionByName(_large_bundles(_with_sets(docs, large, rule), rule))
+    labels = classes.select("k1", "k2", "class_id", "rows").join(scratch(labels, "link-labels"), ["k1", "k2"], "left").filter("rows > 1 or n_links > 0")
+    labels = scratch(labels.select("k1", "k2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_links"), "labels")
+    out = table.select("doc_id", "th", "n", "k1", "k2").join(small(labels, 48), ["k1", "k2"], "left")
     alone = F.col("n") == 0
     return out.select(
         "doc_id",
+        "th",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
-        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def _with_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """``wanted`` (bundle, k1, k2, class_id) with s, the set of each class; a class may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = text_shingles(b.column("text"), rule.size)
+            names = [_names(s) for s in sets]
+            at = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["k1", "k2", "s"])
+
+    ids = small(wanted.filter("class_id is not null").select(F.col("class_id").alias("doc_id")).distinct(), 32)
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.filter("doc_id is null and text is not null"))
+    return texts.mapInArrow(lean(run), "k1 bigint, k2 bigint, s array<bigint>").join(small(wanted.drop("large"), 48), ["k1", "k2"])
+
+
 def drop_near_copies(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """``docs`` with one document left of each group: that with the smallest doc_id; others are unchanged.
 
-    Rows without a doc_id stay unless an equal set has one. Of rows that repeat a doc_id one stays.
+    Of rows of a group that share this doc_id, the one with the least hash of its text stays,
+    and of rows equal in both, the one with the least hash of all its columns. Rows without a doc_id go if their
+    group has one, else stay; so do texts without words. An empty table gives an empty result.
     """
-    found = scratch(near_groups(docs, rule, count_links=False), "near-groups")
-    gone = found.filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    repeated = scratch(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(small(scratch(gone.filter("doc_id is not null"), "gone"), 48), "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    found = scratch(near_groups(docs, rule), "near-groups")
+    kept = found.filter("doc_id is not null and component_id = doc_id and n_shingles > 0")
+    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("th").alias("least")).filter("rows > 1")
+    again = scratch(again, "repeated-ids")
+    gone = found.filter("component_id is not null and (doc_id is null or component_id <> doc_id)").select("doc_id", "th")
+    gone = gone.unionByName(kept.join(small(again, 48), "doc_id").filter("th <> least").select("doc_id", "th"))
+    gone = scratch(gone.distinct().withColumnsRenamed({"doc_id": "__doc_id", "th": "__th"}), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__th"))
+    left = docs.join(small(gone, 48), same, "left_anti")
+    if again.isEmpty():
+        return left
+    ids = small(again.select("doc_id"), 32)
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    once = left.join(ids, "doc_id", "left_semi").select(*docs.columns).withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
+    return left.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

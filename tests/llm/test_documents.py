@@ -267,9 +267,10 @@ def test_components_equal_all_pairs(spark, seed, monkeypatch):
     assert len(set(want.values())) < len(want) - 8
 
 
-@pytest.mark.parametrize("part", [8, 1024])
-def test_links_equal_all_pairs(spark, part, monkeypatch):
+@pytest.mark.parametrize(("part", "bundle"), [(8, 1 << 20), (1024, 1 << 20), (8, 200), (3, 1)])
+def test_links_equal_all_pairs(spark, part, bundle, monkeypatch):
     monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "BUNDLE", bundle)
     base = [f"w{i}" for i in range(120)]
     rows = near_corpus(3, 120) + [(1000 + i, " ".join(base[: 4 * i] + [f"new{i}"] + base[4 * i + 1 :])) for i in range(24)]
     sets = {s: set() for s in map(shingle_set, dict(rows).values())}
@@ -283,6 +284,7 @@ def test_links_equal_all_pairs(spark, part, monkeypatch):
 @pytest.mark.parametrize(("rule", "seed"), [(jaccard.Rule(5, 80), 5), (jaccard.Rule(5, 80), 6), (jaccard.Rule(2, 70), 5)])
 def test_other_rules_equal_all_pairs(spark, rule, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "BUNDLE", 300)  # so that bundles are dealt over tasks
     rows = near_corpus(seed, 130)
     runs = lambda w: frozenset(tuple(w[i : i + rule.size]) for i in range(max(1, len(w) - rule.size + 1))) if w else frozenset()
     sets = {i: runs(split(t.lower())) for i, t in rows}
