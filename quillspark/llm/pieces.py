@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from quillspark.llm.common import lean, slices
 
 SPACE = "▁"
-#: Chunks a worker remembers; beyond it starts afresh, which costs time but changes nothing.
-REMEMBERED = 300_000
+#: Chunks a worker remembers in each of two generations; beyond it the older is forgotten, which costs time but changes nothing.
+REMEMBERED = 250_000
 #: Bytes of text that are cut into chunks at once.
 PORTION = 2 << 20
 #: Chunks longer than this are not remembered.
@@ -168,7 +168,10 @@ class Codec:
         self.alone = "\n" if not any("\n" in p for p in self.ids if len(p) > 1) else ""
         self.cut = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.known: dict[str, str] = {}
-        self.shown: dict[int, str] = {}
+        self.older: dict[str, str] = {}
+        #: Chunks whose ids don't decode to their text.
+        self.odd: set[str] = set()
+        self.shown: dict[int, tuple[str, bytes]] = {}
         self.decoded: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)} | {i: bytes([b]) for b, i in self.bytes.items()}
 
     def fallback(self, piece: str) -> list[int]:
@@ -176,40 +179,56 @@ class Codec:
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
     def encode_chunks(self, chunks: list[str]) -> list[str]:
-        """Ids of each chunk, joined by commas."""
-        out, short = [""] * len(chunks), [i for i, c in enumerate(chunks) if len(c) <= ROW]
-        shown = self.shown
-        for rows, symbols in self.pairs.merge_all([(i, chunks[i]) for i in short]):
+        """Ids of each chunk, joined by commas. They are decoded as well, and chunks that come back otherwise are noted as odd."""
+        out, shown = [""] * len(chunks), self.shown
+        for rows, symbols in self.pairs.merge_all([(i, c) for i, c in enumerate(chunks) if len(c) <= ROW]):
             for i, row in zip(rows, symbols, strict=True):
-                out[i] = ",".join([shown[x] if x in shown else self._show(x) for x in row if x >= 0])
+                ids, back = zip(*[shown[x] if x in shown else self._show(x) for x in row if x >= 0], strict=True)
+                out[i] = ",".join(ids)
+                if b"".join(back) != chunks[i].replace(SPACE, " ").encode():
+                    self.odd.add(chunks[i])
         for i, c in enumerate(chunks):
             if len(c) > ROW:
                 ids = [x for piece in agenda_encode(c, self.ranks) for x in ([self.ids[piece]] if piece in self.ids else self.fallback(piece))]
                 out[i] = ",".join(map(str, ids))
+                if b"".join([self.decoded[x] for x in ids]) != c.replace(SPACE, " ").encode():
+                    self.odd.add(c)
         return out
 
-    def _show(self, symbol: int) -> str:
+    def _show(self, symbol: int) -> tuple[str, bytes]:
+        """The ids of a symbol, joined by commas, and what they decode to."""
         char = self.pairs.char(symbol)
-        text = self.shown[symbol] = str(symbol) if char is None else ",".join(map(str, self.fallback(char)))
-        return text
+        ids = [symbol] if char is None else self.fallback(char)
+        shown = self.shown[symbol] = ",".join(map(str, ids)), b"".join([self.decoded[i] for i in ids])
+        return shown
 
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_batch(self, texts: list[str]) -> list[str]:
-        """For each text, its ids joined by commas."""
+    def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
+        """For each text, its ids joined by commas, and what they decode to."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, cut = self.known, [self.chunks(t) for t in texts]
-        new = set().union(*cut).difference(known) if cut else set()
-        fresh = sorted(new, key=len)
+            self.known, self.older, self.odd = {}, self.known, self.odd & self.known.keys()
+        known, older, cut = self.known, self.older, [self.chunks(t) for t in texts]
+        new = set().union(*cut).difference(known)
+        again = new.intersection(older)
+        known.update({c: older[c] for c in again})
+        fresh = sorted(new - again, key=len)
         rendered = dict(zip(fresh, self.encode_chunks(fresh), strict=True))
         self.verify(rendered)
         known.update(rendered)
-        out = [",".join([known[c] for c in cs]) for cs in cut]
+        out = []
+        for text, chunks in zip(texts, cut, strict=True):
+            joined = ",".join([known[c] for c in chunks])
+            if self.odd and not self.odd.isdisjoint(chunks):
+                out.append((joined, self.decode(list(map(int, joined.split(","))))))
+            else:  # every chunk was decoded when it was encoded, and gave its characters back
+                out.append((joined, text.replace(SPACE, " ")))
         for c in rendered:
             if len(c) > LONG_CHUNK:
                 del known[c]
+        if self.odd:
+            self.odd = {c for c in self.odd if len(c) <= LONG_CHUNK}
         return out
 
     def verify(self, fresh: dict[str, str]) -> None:
@@ -225,7 +244,7 @@ class Codec:
                 raise ValueError(f"ids of {chunk!r} differ from the library's: {ids}, {theirs}")
 
     def encode(self, text: str | None) -> list[int]:
-        joined = self.encode_batch([text or ""])[0]
+        joined = self.encode_batch([text or ""])[0][0]
         return list(map(int, joined.split(","))) if joined else []
 
     def decode(self, ids: list[int]) -> str:
@@ -259,15 +278,13 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = True) ->
         for b in slices(batches, PORTION):
             n, ids, coded, decoded, same = [], [], [], [], []
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for text, joined in zip(texts, c.encode_batch(texts), strict=True):
-                numbers = list(map(int, joined.split(","))) if joined else []
-                back = c.decode(numbers)
-                n.append(len(numbers))
+            for text, (joined, back) in zip(texts, c.encode_batch(texts), strict=True):
+                n.append(joined.count(",") + 1 if joined else 0)
                 coded.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == text)
                 if with_ids:
-                    ids.append(np.array(numbers, np.int32))
+                    ids.append(np.fromstring(joined, np.int32, sep=","))
             columns = [b.column("doc_id"), pa.array(n, pa.int64())] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids
             columns += [pa.array(coded, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens"] + ["ids"] * with_ids + ["ids_sha256", "decoded_sha256", "same"])
