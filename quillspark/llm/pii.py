@@ -23,8 +23,16 @@ IBAN_LENGTHS = {
     26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
     31: "MT SC", 32: "LC", 33: "RU",
 }
-_END = "(?![A-Za-z0-9])"
-_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}{_END}" for n, c in IBAN_LENGTHS.items())
+# Word ends are those of ASCII text, so that they mean the same in every regular-expression dialect.
+_BEGIN, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}{{end}}" for n, c in IBAN_LENGTHS.items())
+
+
+def iban_pattern(begin: str, end: str, ahead: str = "") -> str:
+    """Account numbers of known countries at their length, of others at any."""
+    known = _BY_COUNTRY.replace("{end}", end)
+    return rf"{begin}{ahead}(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}{end})"
+
 
 # What the kinds look like.
 PATTERNS = {
@@ -32,8 +40,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BY_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}{_END})",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": iban_pattern(_BEGIN, _END, "(?=[A-Z]{2}[0-9]{2})"),
+    "ssn": rf"{_BEGIN}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
 }
 #: A text without this holds none of the kind.
 TRIGGERS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
@@ -46,28 +54,60 @@ CONTEXT = {
     "iban": "iban|bank|account|transfer|bic|swift",
     "ssn": "ssn|social|security|taxpayer",
 }
-#: Score before context; a confirmed checksum is most of it.
-PRIOR = {"email": 0.7, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
-CONTEXT_BONUS, CONTEXT_CHARS, REPORT_FROM = 0.2, 40, 0.5
+#: Words that make a kind less likely when they stand near.
+AGAINST = {
+    "email": "example|sample|noreply",
+    "ip": "version|release|section",
+    "card": "order|isbn|serial|tracking",
+    "phone": "isbn|serial|version",
+    "iban": "serial|sample|example",
+    "ssn": "serial|part|order|version",
+}
+#: Score in hundredths before context; a confirmed checksum is most of it.
+PRIOR = {"email": 70, "ip": 60, "card": 80, "phone": 60, "iban": 80, "ssn": 40}
+BONUS, PENALTY, CONTEXT_CHARS, REPORT_FROM = 20, 35, 40, 50
 
 
-def find(text: Column, pattern: str) -> Column:
-    """Leftmost matches of ``pattern``: array of start, end (code points, end exclusive), hit, before, after."""
-    hits, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def pieces(text: Column, pattern: str) -> Column:
+    """Leftmost matches of ``pattern`` with what stands around: array of hit, gap (since the match before), before, after."""
+    hits, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     near = F.transform(
-        F.arrays_zip(hits.alias("h"), pieces.alias("b"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("a")),
-        lambda x: F.struct(x["h"].alias("hit"), F.length(x["b"]).alias("gap"), F.right(x["b"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["a"], F.lit(CONTEXT_CHARS)).alias("after")),
+        F.arrays_zip(hits.alias("h"), rest.alias("b"), F.slice(rest, F.lit(2), F.size(rest)).alias("a")),
+        lambda x: F.struct(x["h"].alias("hit"), F.length(x["b"]).cast("bigint").alias("gap"), F.right(x["b"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["a"], F.lit(CONTEXT_CHARS)).alias("after")),
     )
-    near = F.filter(near, lambda x: x["hit"].isNotNull())
-    kind = "struct<start:bigint,end:bigint,hit:string,before:string,after:string>"
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.filter(near, lambda x: x["hit"].isNotNull())
+
+
+def chunked(near: Column) -> Column:
+    """``pieces`` in chunks of about the square root of their number; ``near`` must be a column."""
+    n = F.size(near)
+    step = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n, step), lambda i: F.slice(near, i, step))).otherwise(F.array().cast(f"array<array<{_PIECE}>>"))
+
+
+def placed(chunks: Column) -> Column:
+    """``pieces`` with start and end in code points; ``chunks`` must be a column.
+
+    Running sums are taken over chunks, then within each: a fold that appends to its result
+    copies it each time, and so no array that is built this way is longer than a chunk.
+    """
+    width = lambda x: x["gap"] + F.length(x["hit"])
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + width(x)))
+    zero = F.lit(0).cast("bigint")
+    offsets = F.aggregate(
+        totals,
+        F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+        lambda s: s["out"],
+    )
+    kind = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         end = start + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"], x["before"], x["after"]))).alias("out"))
 
-    return F.aggregate(near, state, step, lambda s: s["out"])
+    return F.flatten(F.zip_with(chunks, offsets, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])))
 
 
 def luhn(digits: Column) -> Column:
@@ -108,37 +148,54 @@ def confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _stands_alone(kind: str, x: Column) -> Column:
+    """An ssn is no part of a longer number with hyphens."""
+    return ~(F.right(x["before"], F.lit(1)) == "-") & ~(F.left(x["after"], F.lit(1)) == "-") if kind == "ssn" else F.lit(True)
+
+
+_PIECE = "struct<hit:string,gap:bigint,before:string,after:string>"
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,hit:string,score:double>>"
 
 
-def kind_spans(text: Column, kind: str) -> Column:
-    """Confirmed spans of one kind, scored."""
-    context = rf"(?i)\b(?:{CONTEXT[kind]})\b"
+def kind_spans(found: Column, kind: str) -> Column:
+    """Confirmed spans of one kind among ``placed`` matches, scored."""
 
     def as_span(x: Column) -> Column:
-        near = F.concat_ws(" ", x["before"], x["after"]).rlike(context)
-        score = F.lit(PRIOR[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
+        around = F.concat_ws(" ", x["before"], x["after"])
+        said = lambda words, by: F.when(around.rlike(rf"(?i){_BEGIN}(?:{words}){_END}"), by).otherwise(0)
+        score = (F.lit(PRIOR[kind]) + said(CONTEXT[kind], BONUS) - said(AGAINST[kind], PENALTY)) / 100
         return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"), score.alias("score"))
 
-    spans = F.transform(F.filter(find(text, PATTERNS[kind]), lambda x: confirmed(kind, x["hit"])), as_span)
+    spans = F.transform(F.filter(found, lambda x: confirmed(kind, x["hit"]) & _stands_alone(kind, x)), as_span)
     if kind in ADDED:
-        spans = F.filter(spans, lambda s: s["score"] >= REPORT_FROM)
-    may = text.contains(TRIGGERS[kind]) if TRIGGERS[kind] else F.lit(True)
-    return F.when(may & text.rlike(PATTERNS[kind]), spans).otherwise(F.array()).cast(_SPANS)
+        spans = F.filter(spans, lambda s: s["score"] * 100 >= REPORT_FROM)
+    return spans.cast(_SPANS)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``pii``: array of start, rank (place in KINDS), end, kind, hit, score, by start, then rank.
+    """``docs`` with ``pii``: array of start, rank (place in KINDS), end, kind, hit, score (0 to 1), by start, then rank.
 
     Matches that fail their check are dropped, with no second try inside them. Kinds of
-    BASE are always reported; added ones from a score of REPORT_FROM, which for those
-    without a checksum takes a context word. A null or empty text has no spans. All columns
-    of ``docs`` pass through; one named ``pii`` is replaced.
+    BASE are always reported; added ones from a score of REPORT_FROM hundredths: an ssn takes a
+    context word, an iban none that speaks against it. A null or empty text has no spans; rows that
+    repeat are scanned each; an empty table gives an empty result. Time is linear in a text's
+    length, and nearly so in its matches. All columns of ``docs`` pass through; one named ``pii`` is replaced.
     """
-    said = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("pii", F.sort_array(F.concat(*(kind_spans(said, kind) for kind in KINDS))))
+    own = docs.columns
+    said = docs.withColumn("__said", F.coalesce(F.col(text), F.lit("")))
+    may = lambda kind: (F.col("__said").contains(TRIGGERS[kind]) if TRIGGERS[kind] else F.lit(True)) & F.col("__said").rlike(PATTERNS[kind])
+    # Each step is a column of its own, so that no lambda evaluates another step again for each element.
+    near = said.withColumns({f"__{k}": F.when(may(k), pieces(F.col("__said"), PATTERNS[k])).otherwise(F.array().cast(f"array<{_PIECE}>")) for k in KINDS})
+    cut = near.withColumns({f"__{k}": chunked(F.col(f"__{k}")) for k in KINDS})
+    done = cut.withColumn("pii", F.sort_array(F.concat(*(kind_spans(placed(F.col(f"__{k}")), k) for k in KINDS))))
+    return done.select(*own, *(["pii"] if "pii" not in own else []))
 
 
 def spans_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def scores_text(spans: Column) -> Column:
+    """Scores in hundredths, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillspark.llm import pii
+
 OP8 = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -44,20 +46,29 @@ _IBAN = "replace(m, ' ', '')"
 _MOD97 = f"""cast(list_reduce(list_prepend(0::bigint, list_transform(string_split({_IBAN}[5:] || {_IBAN}[1:4], ''), lambda c:
   case when c >= 'A' then cast(ascii(c) - 55 as bigint) else cast(c as bigint) end)), lambda a, b: (a * (case when b > 9 then 100 else 10 end) + b) % 97) as bigint) = 1"""
 _NEAR = "(coalesce(before, '') || ' ' || coalesce(after, ''))"
+_score = "case kind " + " ".join(
+    f"when '{k}' then {pii.PRIOR[k]} + case when regexp_matches({_NEAR}, '(?i)\\b(?:{pii.CONTEXT[k]})\\b') then {pii.BONUS} else 0 end - case when regexp_matches({_NEAR}, '(?i)\\b(?:{pii.AGAINST[k]})\\b') then {pii.PENALTY} else 0 end"
+    for k in pii.KINDS
+) + " end"
 OP2 = f"""
 with s as (
   {_spans("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true")}
   union all {_spans("ip", 1, "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(x as bigint), 999) > 255)) = 0")}
   union all {_spans("card", 2, "[0-9](?:[\\x20-]?[0-9])+", _LUHN)}
   union all {_spans("phone", 3, "\\+[0-9][\\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15")}
-  union all {_spans("iban", 4, "\\b[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}\\b", _MOD97)}
-  union all {_spans("ssn", 5, "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", f"not regexp_matches(m, '^(?:000|666|9..)|-00-|-0000$') and regexp_matches({_NEAR}, '(?i)\\b(?:ssn|social|security|taxpayer)\\b')")}
+  union all {_spans("iban", 4, pii.iban_pattern(r"\b", r"\b"), _MOD97)}
+  union all {_spans("ssn", 5, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "not regexp_matches(m, '^(?:000|666|9..)|-00-|-0000$') and right(coalesce(before, ''), 1) <> '-' and left(coalesce(after, ''), 1) <> '-'")}
+), p as (
+  select *, {_score} as score from s
+), r as (
+  select * from p where rank < 4 or score >= {pii.REPORT_FROM}
 )
 select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
   count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
   sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < 4), '')) as base_sha256,
-  coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank), '') as spans
-from documents d left join s using (doc_id) group by d.doc_id
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank), '') as spans,
+  coalesce(string_agg(score, ',' order by s, rank), '') as scores
+from documents d left join r using (doc_id) group by d.doc_id
 """
 
 
