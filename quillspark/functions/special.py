@@ -1,13 +1,35 @@
-"""Tail probabilities of test statistics, in plain Python on the driver: they are for a few numbers, not for columns."""
+"""Tail probabilities of test statistics: for numbers on the driver, and of normal and chi-square statistics for columns."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: 97.5 % point of the normal distribution.
 Z975 = 1.959963984540054
 
 
+#: Terms of the expansions of the normal tail, and where the one for large values takes over.
+TERMS, FAR = 120, 2.0
+
+
+def two_sided_p(z: Column) -> Column:
+    """Probability that a normal variable is farther from 0 than ``z``: a power series near 0, a continued fraction beyond."""
+    x = F.abs(z.cast("double"))
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    down = F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1))
+    series = F.aggregate(down, F.lit(1.0), lambda t, k: 1 + x * x / (2 * k + 1) * t)
+    fraction = F.aggregate(down, F.lit(0.0), lambda t, k: k / (x + t))
+    return F.when(x < FAR, 1 - 2 * density * x * series).otherwise(2 * density / (x + fraction))
+
+
+def chi_square_1_p(x: Column) -> Column:
+    """Upper tail of a chi-square variable with one degree of freedom."""
+    return two_sided_p(F.sqrt(F.greatest(x.cast("double"), F.lit(0.0))))
+
+
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 

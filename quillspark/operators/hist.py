@@ -60,22 +60,41 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "value")
 
 
+def quantiles(h: DataFrame, shares: Sequence[float], by: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
+    """by and a column for each of ``shares``: quantiles with linear interpolation, exact for any number of distinct values.
+
+    Ranks are found in running sums over ranges of values, so no group's values are held together.
+    """
+    ranked = running(h, ["n"], by, wide=True)
+    totals = h.groupBy(*by).agg(F.sum("n").alias("__all")).withColumnsRenamed({k: f"__k_{k}" for k in by})
+    ranked = ranked.join(totals, _keys(ranked, by)).drop(*(f"__k_{k}" for k in by))
+    first, v = F.col("cum_n") - F.col("n"), F.col("v").cast("double")
+    parts, wanted = [], F.lit(False)
+    for share, name in zip(shares, names or [f"q{i}" for i in range(len(shares))], strict=True):
+        at = share * (F.col("__all") - 1)
+        lo, hi = F.floor(at), F.ceil(at)
+        weight = F.when((lo >= first) & (lo < F.col("cum_n")), 1 - (at - lo)).otherwise(0.0) + F.when((hi >= first) & (hi < F.col("cum_n")) & (hi > lo), at - lo).otherwise(0.0)
+        wanted = wanted | ((hi >= first) & (lo < F.col("cum_n")))
+        parts.append(F.sum(F.when(weight > 0, weight * v)).alias(name))
+    return ranked.filter(wanted).groupBy(*by).agg(*parts)
+
+
+def _with_quantiles(summary: DataFrame, df: DataFrame, value: str, shares: Sequence[float], names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    q = quantiles(histogram(df, value, keys), shares, keys, names).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    return summary.join(q, _keys(summary, keys), "left").drop(*(f"__k_{k}" for k in keys))
+
+
 def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """count, mean, sample standard deviation, minimum, quartiles and maximum, by ``keys``."""
-    quartile = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max(value).alias("max")
-    )
+    summary = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    whole = _with_quantiles(summary, df, value, (0.25, 0.5, 0.75), ("q25", "q50", "q75"), keys)
+    return whole.select(*keys, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def descriptives(df: DataFrame, value: str, label: str, keys: Sequence[str]) -> DataFrame:
     """n, mean, median, population standard deviation, interquartile range and label shares in percent, by ``keys``."""
+    labels = ("positive", "neutral", "negative")
     part = lambda name: (100 * F.count_if(F.col(label) == name) / F.count(F.lit(1))).alias(f"pct_{name}")
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.stddev_pop(value).alias("std"),
-        (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"),
-        *(part(x) for x in ("positive", "neutral", "negative")),
-    )
+    summary = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *map(part, labels))
+    whole = _with_quantiles(summary, df, value, (0.25, 0.5, 0.75), ("__q25", "median", "__q75"), keys)
+    return whole.select(*keys, "n", "mean", "median", "std", (F.col("__q75") - F.col("__q25")).alias("iqr"), *(f"pct_{x}" for x in labels))

@@ -95,8 +95,10 @@ def holm(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05) ->
 
 def ecdf_points(df: DataFrame, value: str, group: str, wide: bool = False) -> DataFrame:
     """group, v, f: the steps of each group's distribution function."""
-    run = running(histogram(df, value, [group]), ["n"], [group], wide)
-    return run.select(group, "v", (F.col("cum_n") / F.sum("n").over(Window.partitionBy(group))).alias("f"))
+    h = histogram(df, value, [group])
+    totals = h.groupBy(F.col(group).alias("__g")).agg(F.sum("n").alias("__all"))
+    run = running(h, ["n"], [group], wide).join(totals, F.col(group).eqNullSafe(F.col("__g")))
+    return run.select(group, "v", (F.col("cum_n") / F.col("__all")).alias("f"))
 
 
 def pairwise_dominance(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:

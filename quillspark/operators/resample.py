@@ -1,17 +1,23 @@
 """Bootstrap intervals from value histograms.
 
 Resampling n rows with replacement is a multinomial draw over the histogram, so no row
-leaves the executors and the cost does not depend on n. Each cell is one task's group.
+leaves the executors and the cost does not depend on n. A cell's values are cut into ranges
+of about RANGE values: a draw first deals n over the ranges, then each range's share over its values,
+which is the same distribution. Iterations are dealt in runs of RUN. Each (cell, range, run)
+is a unit of work of bounded size; the draw over the ranges has a seed of cell and run, so all ranges agree on it.
+A range tells its part of the statistic (means and medians are sums over ranges), and parts
+are added up by iteration.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.hist import histogram
@@ -32,8 +38,8 @@ def median(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 STATISTICS: dict[str, Statistic] = {"mean": mean, "median": median, "proportion": mean}
-#: Iterations drawn at once.
-CHUNK = 250
+#: Distinct values of a cell that are drawn together, iterations of a unit of work, and those drawn at once.
+RANGE, RUN, CHUNK = 4096, 1000, 250
 
 
 def draw(values: np.ndarray, counts: np.ndarray, statistic: Statistic, iterations: int, rng: np.random.Generator) -> np.ndarray:
@@ -44,52 +50,113 @@ def draw(values: np.ndarray, counts: np.ndarray, statistic: Statistic, iteration
     return np.concatenate(out)
 
 
-def _seed(seed: int, key: object) -> np.random.Generator:
-    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-
-
-def _named(statistic: str | Statistic) -> Statistic:
-    return STATISTICS[statistic] if isinstance(statistic, str) else statistic
+def _seed(seed: int, key: object, *more: int) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(repr(key).encode()), *more])
+
+
+def part_of(statistic: str, values: np.ndarray, counts: np.ndarray, below: np.ndarray, n: int) -> np.ndarray:
+    """What a range adds to a statistic in each row of ``counts``, with ``below`` drawn from lower ranges and ``n`` in all."""
+    if statistic != "median":
+        return counts @ values / n
+    upto = below[:, None] + counts.cumsum(1)
+    out = np.zeros(len(counts))
+    for rank in ((n - 1) // 2, n // 2):
+        at = (upto <= rank).sum(1)
+        mine = (rank >= below) & (at < len(values))
+        out += np.where(mine, values[np.minimum(at, len(values) - 1)], 0.0) / 2
+    return out
+
+
+def _ranges(h: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, part, values, counts, totals (rows in each part of the cell): a row for each range of each cell's values."""
+    most = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 1
+    parts = math.ceil(most / RANGE)
+    if parts > 1:
+        cuts = h.groupBy(*keys).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("__cuts"))
+        h = _match(h, cuts, keys).withColumn("part", F.size(F.filter("__cuts", lambda b: b < F.col("v")))).drop("__cuts")
+    else:
+        h = h.withColumn("part", F.lit(0))
+    ranges = h.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("x"), F.sum("n").alias("__n"))
+    totals = ranges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", F.col("__n").alias("n")))).alias("__t"))
+    return _match(ranges, totals, keys).select(*keys, "part", F.col("x.v").alias("values"), F.col("x.n").alias("counts"), F.col("__t.part").alias("parts"), F.col("__t.n").alias("totals"))
+
+
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, null being equal to null."""
+    right = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on: Column = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(right, on).drop(*(f"__k_{k}" for k in keys))
+
+
+def replicates(h: DataFrame, keys: Sequence[str], statistic: str, iterations: int, seed: int) -> DataFrame:
+    """keys, i, s: the statistic in each iteration, and in the cell itself as iteration -1."""
+    keys = list(keys)
+    runs = math.ceil(iterations / RUN)
+    units = _ranges(h, keys).withColumn("run", F.explode(F.sequence(F.lit(-1), F.lit(runs - 1))))
+    units = units.repartition(*keys, "part", "run")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                key, values, counts = tuple(row[k] for k in keys), np.asarray(row["values"], float), np.asarray(row["counts"], np.int64)
+                totals, run = np.asarray(row["totals"], np.int64), int(row["run"])
+                place, n = int(np.searchsorted(row["parts"], row["part"])), int(totals.sum())
+                if run < 0:
+                    first, found = -1, part_of(statistic, values, counts[None], totals[None, :place].sum(1), n)
+                else:
+                    first, size, found = run * RUN, min(RUN, iterations - run * RUN), []
+                    over, own = _seed(seed, key, run), _seed(seed, key, run, int(row["part"]) + 1)
+                    for i in range(0, size, CHUNK):
+                        dealt = over.multinomial(n, totals / n, min(CHUNK, size - i))
+                        drawn = own.multinomial(dealt[:, place], counts / counts.sum())
+                        found.append(part_of(statistic, values, drawn, dealt[:, :place].sum(1), n))
+                    found = np.concatenate(found)
+                out = pd.DataFrame({"i": np.arange(first, first + len(found)), "s": found})
+                for k, v in zip(keys, key, strict=True):
+                    out[k] = pd.Series([v] * len(out), dtype=object)
+                yield out[[*keys, "i", "s"]]
+
+    schema = ", ".join([*(f"`{k}` {h.schema[k].dataType.simpleString()}" for k in keys), "i bigint, s double"])
+    return units.mapInPandas(work, schema).groupBy(*keys, "i").agg(F.sum("s").alias("s"))
+
+
+def _interval(level: float) -> list[Column]:
+    drawn = F.when(F.col("i") >= 0, F.col("s"))
+    return [F.max(F.when(F.col("i") < 0, F.col("s"))).alias("estimate"), F.percentile(drawn, F.lit((1 - level) / 2)).alias("ci_lo"), F.percentile(drawn, F.lit((1 + level) / 2)).alias("ci_hi")]
 
 
 def bootstrap_ci(df: DataFrame, value: str, keys: Sequence[str], statistic: str | Statistic = "mean", iterations: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """keys, n, estimate, ci_lo, ci_hi: percentile bootstrap of each cell.
 
-    ``statistic`` is a name or a function of (ascending values, counts per iteration). Runs
+    ``statistic`` is a name of STATISTICS, or a function of (ascending values, counts per
+    iteration), for which a cell's distinct values must fit in one task. Runs
     with equal seeds agree. Cells without values give no row.
     """
-    h = histogram(df.withColumn(value, F.col(value).cast("double")), value, keys)
-    how, keys = _named(statistic), list(keys)
+    h, keys = histogram(df.withColumn(value, F.col(value).cast("double")), value, keys), list(keys)
+    if isinstance(statistic, str):
+        cells = replicates(h, keys, statistic, iterations, seed).groupBy(*keys).agg(*_interval(level))
+        return _match(cells, h.groupBy(*keys).agg(F.sum("n").alias("n")), keys).select(*keys, "n", "estimate", "ci_lo", "ci_hi")
     fields = [h.schema[k] for k in keys]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
         values, counts = pdf["v"].to_numpy(float), pdf["n"].to_numpy(np.int64)
         key = tuple(pdf[k].iloc[0] for k in keys)
-        drawn = draw(values, counts, how, iterations, _seed(seed, key))
+        drawn = draw(values, counts, statistic, iterations, _seed(seed, key))
         lo, hi = np.quantile(drawn, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*key, counts.sum(), how(values, counts[None, :])[0], lo, hi]], columns=[*keys, "n", "estimate", "ci_lo", "ci_hi"])
+        return pd.DataFrame([[*key, counts.sum(), statistic(values, counts[None, :])[0], lo, hi]], columns=[*keys, "n", "estimate", "ci_lo", "ci_hi"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n bigint, estimate double, ci_lo double, ci_hi double"])
     return (h.groupBy(*keys) if keys else h.groupBy()).applyInPandas(run, schema)
 
 
-def bootstrap_diff_ci(df: DataFrame, value: str, group: str, a: str, b: str, statistic: str | Statistic = "mean", iterations: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """n1, n2, estimate, ci_lo, ci_hi of the difference of a statistic between two groups, drawn independently."""
+def bootstrap_diff_ci(df: DataFrame, value: str, group: str, a: str, b: str, statistic: str = "mean", iterations: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """n1, n2, estimate, ci_lo, ci_hi of the difference of a statistic between two groups, drawn independently; no row if one is empty."""
     h = histogram(df.filter(F.col(group).isin(a, b)).withColumn(value, F.col(value).cast("double")), value, [group])
-    how = _named(statistic)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, drawn, point, sizes = _seed(seed, (a, b)), [], [], []
-        for g in (a, b):
-            mine = pdf[pdf[group] == g].sort_values("v")
-            values, counts = mine["v"].to_numpy(float), mine["n"].to_numpy(np.int64)
-            if not len(values):
-                return pd.DataFrame(columns=["n1", "n2", "estimate", "ci_lo", "ci_hi"])
-            drawn.append(draw(values, counts, how, iterations, rng))
-            point.append(how(values, counts[None, :])[0])
-            sizes.append(counts.sum())
-        lo, hi = np.quantile(drawn[0] - drawn[1], [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*sizes, point[0] - point[1], lo, hi]], columns=["n1", "n2", "estimate", "ci_lo", "ci_hi"])
-
-    return h.groupBy().applyInPandas(run, "n1 bigint, n2 bigint, estimate double, ci_lo double, ci_hi double")
+    side = lambda g: F.max(F.when(F.col(group) == g, F.col("s")))
+    apart = replicates(h, [group], statistic, iterations, seed).groupBy("i").agg((side(a) - side(b)).alias("s")).agg(*_interval(level))
+    rows = lambda g: F.sum(F.when(F.col(group) == g, F.col("n")))
+    sizes = h.agg(rows(a).alias("n1"), rows(b).alias("n2")).filter("n1 is not null and n2 is not null")
+    return sizes.crossJoin(apart).select("n1", "n2", "estimate", "ci_lo", "ci_hi")

@@ -29,11 +29,12 @@ def population(df: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 
 def equal_cells(df: DataFrame, strata: Sequence[str], id_col: str, seed: int = 42) -> DataFrame:
-    """Every cell cut to the size of the smallest."""
-    least = population(df, strata).agg(F.min("population").alias("__least"))
-    order = Window.partitionBy(*strata).orderBy("__key", id_col)
-    ranked = df.withColumn("__key", sample_key(seed, id_col)).withColumn("__r", F.row_number().over(order))
-    return ranked.join(F.broadcast(least), F.col("__r") <= F.col("__least")).select(*df.columns)
+    """Every cell cut to the size of the smallest.
+
+    The smallest size is computed first, one number, so that the rank limit stands below the shuffle.
+    """
+    least = population(df, strata).agg(F.min("population")).first()[0]
+    return bottom_k(df, strata, least or 0, id_col, seed).select(*df.columns)
 
 
 def sampling_summary(df: DataFrame, category: str, year: str, categories: Sequence[str], years: tuple[int, int], k: int, equal: bool = False) -> DataFrame:

@@ -62,31 +62,30 @@ def ols_simple(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFra
 
 
 def ols_interaction(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
-    """term, coef, se, t for y ~ x * group with two groups, the first in order as the base; plus n, dof and r2.
+    """term, coef, se, t for y ~ x * group with any number of groups, the first in order as the base; plus n, dof and r2.
 
-    Two groups saturate the model: the base's fit and the differences of the other's, with a
-    pooled residual variance. Everything comes from one aggregation by group.
+    Groups saturate the model: the base's fit and the differences of the others', with a
+    pooled residual variance. Everything comes from one aggregation by group. One group alone gives no rows.
     """
     fits = ols_simple(df.filter(F.col(group).isNotNull()), y, x, [group]).withColumn("y_mean", F.col("intercept") + F.col("slope") * F.col("x_mean"))
-    names = fits.agg(F.min(group).alias("g0"), F.max(group).alias("g1"))
-    at = lambda c, k: F.max(F.when(F.col(group) == F.col(k), F.col(c))).alias(f"{c}_{k}")
-    wide = fits.join(F.broadcast(names), F.lit(True)).groupBy("g0", "g1").agg(*(at(c, k) for c in ("n", "slope", "intercept", "sxx", "syy", "sse", "x_mean", "y_mean") for k in ("g0", "g1")))
-    n = F.col("n_g0") + F.col("n_g1")
-    s2 = (F.col("sse_g0") + F.col("sse_g1")) / (n - 4)
-    between = F.col("n_g0") * F.col("n_g1") / n * (F.col("y_mean_g0") - F.col("y_mean_g1")) ** 2
-    r2 = 1 - (F.col("sse_g0") + F.col("sse_g1")) / (F.col("syy_g0") + F.col("syy_g1") + between)
-    v_slope = lambda k: s2 / F.col(f"sxx_{k}")
-    v_int = lambda k: s2 * (1 / F.col(f"n_{k}") + F.col(f"x_mean_{k}") ** 2 / F.col(f"sxx_{k}"))
-    term = lambda i, name, coef, var: F.struct(F.lit(i).alias("i"), name.alias("term"), coef.alias("coef"), F.sqrt(var).alias("se"))
-    other = F.concat(F.lit(f"C({group})[T."), F.col("g1").cast("string"), F.lit("]"))
-    terms = F.array(
-        term(0, F.lit("Intercept"), F.col("intercept_g0"), v_int("g0")),
-        term(1, other, F.col("intercept_g1") - F.col("intercept_g0"), v_int("g0") + v_int("g1")),
-        term(2, F.lit(x), F.col("slope_g0"), v_slope("g0")),
-        term(3, F.concat(F.lit(f"{x}:"), other), F.col("slope_g1") - F.col("slope_g0"), v_slope("g0") + v_slope("g1")),
+    at = F.struct("n", "slope", "intercept", "sxx", "x_mean")
+    weighted = lambda c: F.sum(F.col("n") * c)
+    totals = fits.agg(
+        F.min(group).alias("g0"), F.min_by(at, group).alias("base"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all_n"), F.sum("sse").alias("all_sse"),
+        (F.sum("syy") + weighted(F.col("y_mean") ** 2) - weighted(F.col("y_mean")) ** 2 / F.sum("n")).alias("all_syy"),
     )
-    out = wide.filter(F.col("g0") != F.col("g1")).select(F.explode(terms).alias("t"), n.alias("n"), (n - 4).alias("dof"), r2.alias("r2"))
-    return out.select("t.i", "t.term", "t.coef", "t.se", (F.col("t.coef") / F.col("t.se")).alias("t"), "n", "dof", "r2").orderBy("i").drop("i")
+    s2 = F.col("all_sse") / (F.col("all_n") - 2 * F.col("groups"))
+    v_slope = lambda sxx: s2 / sxx
+    v_int = lambda n, mean, sxx: s2 * (1 / n + mean**2 / sxx)
+    own, b = (v_int(F.col("n"), F.col("x_mean"), F.col("sxx")), v_slope(F.col("sxx"))), F.col("base")
+    base = (v_int(b["n"], b["x_mean"], b["sxx"]), v_slope(b["sxx"]))
+    term = lambda i, name, coef, var: F.struct(F.lit(i).alias("i"), name.alias("term"), coef.alias("coef"), F.sqrt(var).alias("se"))
+    other = F.concat(F.lit(f"C({group})[T."), F.col(group).cast("string"), F.lit("]"))
+    first = F.array(term(0, F.lit("Intercept"), F.col("intercept"), own[0]), term(2, F.lit(x), F.col("slope"), own[1]))
+    more = F.array(term(1, other, F.col("intercept") - b["intercept"], own[0] + base[0]), term(3, F.concat(F.lit(f"{x}:"), other), F.col("slope") - b["slope"], own[1] + base[1]))
+    rows = fits.join(F.broadcast(totals), F.lit(True)).filter("groups > 1")
+    out = rows.select(group, F.explode(F.when(F.col(group) == F.col("g0"), first).otherwise(more)).alias("t"), F.col("all_n").alias("n"), (F.col("all_n") - 2 * F.col("groups")).alias("dof"), (1 - F.col("all_sse") / F.col("all_syy")).alias("r2"))
+    return out.orderBy("t.i", group).select("t.term", "t.coef", "t.se", (F.col("t.coef") / F.col("t.se")).alias("t"), "n", "dof", "r2")
 
 
 def with_p_values(rows: Sequence[Any], dof: str | None = None, level: float = 0.95) -> list[dict[str, Any]]:

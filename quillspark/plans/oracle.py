@@ -53,15 +53,16 @@ v_grams as (select id, grp, list_concat(k, list_transform(range(1, len(k)), lamb
 v_terms as (select id, grp, term, count(*) as tf from (select id, grp, unnest(g) as term from v_grams) group by all)"""
 
 
-def _mann_whitney(source: str, value: str, group: str, a: str, b: str, by: str = "") -> str:
+def _mann_whitney(source: str, value: str, group: str, a: str, b: str, by: str = "", exact: bool = False) -> str:
     lead, part = (f"{by}, ", f"partition by {by}") if by else ("", "")
     tail = f"group by {by}" if by else ""
+    digits = 15 if exact else 6
     return f"""r as (select {lead}{group} as g, rank() over ({part} order by {value}) + (count(*) over (partition by {lead}{value}) - 1) / 2e0 as rk,
     count(*) over (partition by {lead}{value}) as t from {source} where {group} in ('{a}', '{b}')),
 s as (select {lead}count(*) filter (g = '{a}') as n1, count(*) filter (g = '{b}') as n2, sum(rk) filter (g = '{a}') as r1, sum(cast(t as double) * t - 1) as tie from r {tail}),
 u as (select *, r1 - n1 * (n1 + 1) / 2e0 as u0, cast(n1 + n2 as double) as n from s)
 select {lead}n1, n2, round(u0, 6) as u, round(tie, 6) as tie_term,
-  round((greatest(u0, cast(n1 as double) * n2 - u0) - cast(n1 as double) * n2 / 2 - 0.5) / sqrt(cast(n1 as double) * n2 / 12 * (n + 1 - tie / (n * (n - 1)))), 6) as z,
+  round((greatest(u0, cast(n1 as double) * n2 - u0) - cast(n1 as double) * n2 / 2 - 0.5) / sqrt(cast(n1 as double) * n2 / 12 * (n + 1 - tie / (n * (n - 1)))), {digits}) as z,
   round(2 * u0 / (cast(n1 as double) * n2) - 1, 6) as delta from u"""
 
 
@@ -85,9 +86,24 @@ SEN = _with(
 join (select grp, median(x) as mx, median(i) as mi from i group by grp) m on s.grp = m.grp""",
     PAIRS,
 )
-HOLM = """p as (select grp, yr, (abs(round(avg(score), 4)) * 7) % 0.2e0 as p from v_scores group by all),
-o as (select *, row_number() over (partition by grp order by p) as r, count(*) over (partition by grp) as m from p),
-a as (select grp, yr, p, max(least(1e0, p * (m - r + 1))) over (partition by grp order by p) as p_adj from o)"""
+
+
+def two_sided_p(z: str) -> str:
+    """Two-sided normal probability, by a power series near 0 and a continued fraction beyond."""
+    down = "list_transform(range(1, 121), lambda i: cast(121 - i as double))"
+    density = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()))"
+    series = f"list_reduce(list_prepend(1e0, {down}), lambda t, k: 1 + ({z}) * ({z}) / (2 * k + 1) * t)"
+    fraction = f"list_reduce(list_prepend(0e0, {down}), lambda t, k: k / (abs({z}) + t))"
+    return f"(case when abs({z}) < 2 then 1 - 2 * {density} * abs({z}) * {series} else 2 * {density} / (abs({z}) + {fraction}) end)"
+
+
+def _holm() -> str:
+    exact = _mann_whitney("v_scores", "score", "grp", "1-URGENT", "5-LOW", "yr", exact=True)
+    return f"""{_inner("w", exact)}, p as (select yr, {two_sided_p("z")} as p from w),
+o as (select *, row_number() over (order by p) as r, count(*) over () as m from p),
+a as (select yr, p, max(least(1e0, p * (m - r + 1))) over (order by p) as p_adj from o)"""
+
+
 OLS = """select {g} count(*) as n, regr_slope(score, yr) as slope, regr_intercept(score, yr) as intercept, regr_r2(score, yr) as r2,
   regr_sxx(score, yr) as sxx, regr_syy(score, yr) as syy, regr_syy(score, yr) - regr_slope(score, yr) * regr_sxy(score, yr) as sse, avg(yr) as xm, avg(score) as ym from v_scores"""
 INTERACTION = f"""f as ({OLS.format(g='grp,')} where grp in ('1-URGENT', '5-LOW') group by grp),
@@ -142,6 +158,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "src_parquet": "select o_orderkey, o_orderpriority, round(o_totalprice, 2) as o_totalprice from orders",
         "src_jsonl": _with('select rating, title, md5(text) as text_md5, "timestamp", helpful_vote, verified_purchase from v_reviews'),
+        "sink_parquet": _with("select id, yr, round(score, 4) as score from v_scores"),
+        "sink_csv": _with("select grp, yr, count(score) as n, round(avg(score), 6) as mean from v_scores group by all"),
+        "sink_json": _with("select grp, yr, count(score) as n, round(avg(score), 6) as mean from v_scores group by all"),
+        "stage_cache": _with('select grp, yr, count(*) as population, false as before, true as same, false as other from v_scores group by all'),
         "parse_record": _with("select 'A' as category, year, rating, title, md5(text) as text_md5, helpful_vote, verified_purchase, \"timestamp\" from v_parsed", PARSED),
         "epoch_year": _with(f"select doc_id, {YEAR_OF} as year from v_reviews"),
         "year_range": _with("select year, count(*) as n from v_parsed where year between 2016 and 2019 group by year", PARSED),
@@ -210,10 +230,10 @@ def oracle_sql() -> dict[str, str]:
         "rank_biserial": _with("select delta as r from mw", _inner("mw", _mann_whitney("v_scores", "score", "grp", "1-URGENT", "5-LOW"))),
         "ks_2samp": _split(_ks("v_scores", "score", "grp", "1-URGENT", "5-LOW")),
         "ks_2samp_wide": _split(_ks("lineitem", "l_extendedprice", "l_returnflag", "A", "R")),
-        "holm": _with("select grp, yr, round(p, 6) as p, round(p_adj, 6) as p_adj, p_adj < 0.05 as significant from a", HOLM),
-        "sig_flag": _with("select grp, yr, case when p_adj < 0.05 then 'yes' else 'no' end as answer from a", HOLM),
+        "holm": _with("select yr, round(p, 6) as p, round(p_adj, 6) as p_adj, p_adj < 0.05 as significant from a", _holm()),
+        "sig_flag": _with("select yr, case when p_adj < 0.05 then 'yes' else 'no' end as answer from a", _holm()),
         "mann_kendall": _with(
-            """select s.grp, n, s, round(v, 6) as var_s, round(s / (n * (n - 1) / 2e0), 6) as tau, round((s - sign(s)) / sqrt(v), 6) as z from (select grp, cast(sum(sign(y - x)) as bigint) as s from p group by grp) s
+            f"""select s.grp, n, s, round(v, 6) as var_s, round(s / (n * (n - 1) / 2e0), 6) as tau, round((s - sign(s)) / sqrt(v), 6) as z, round({two_sided_p("((s - sign(s)) / sqrt(v))")}, 6) as p from (select grp, cast(sum(sign(y - x)) as bigint) as s from p group by grp) s
             join (select grp, cast(sum(t) as bigint) as n, (sum(t) * (sum(t) - 1) * (2 * sum(t) + 5) - sum(t * (t - 1) * (2 * t + 5))) / 18e0 as v from (select grp, x, count(*) as t from i group by all) group by grp) t on s.grp = t.grp""",
             PAIRS,
         ),
@@ -239,13 +259,17 @@ def oracle_sql() -> dict[str, str]:
             from (select grp, "true" as label, count(*) as n from v_labelled group by all)) where r = 1"""
         ),
         "chi2_2x2": _with(
-            """select a_hit, a_miss, b_hit, b_miss, round((a_hit + a_miss + b_hit + b_miss) * greatest(0, abs(cast(a_hit as double) * b_miss - cast(a_miss as double) * b_hit) - (a_hit + a_miss + b_hit + b_miss) / 2e0) ** 2
-            / (cast(a_hit + a_miss as double) * (b_hit + b_miss) * (a_hit + b_hit) * (a_miss + b_miss)), 6) as chi2 from (select count(*) filter (grp = '1-URGENT' and h) as a_hit, count(*) filter (grp = '1-URGENT' and not h) as a_miss,
-            count(*) filter (grp = '5-LOW' and h) as b_hit, count(*) filter (grp = '5-LOW' and not h) as b_miss from (select grp, "true" = pred as h from v_labelled))"""
+            f"""select a_hit, a_miss, b_hit, b_miss, round(chi2, 6) as chi2, round({two_sided_p("sqrt(chi2)")}, 6) as p from (select *, (a_hit + a_miss + b_hit + b_miss) * greatest(0, abs(cast(a_hit as double) * b_miss - cast(a_miss as double) * b_hit) - (a_hit + a_miss + b_hit + b_miss) / 2e0) ** 2
+            / (cast(a_hit + a_miss as double) * (b_hit + b_miss) * (a_hit + b_hit) * (a_miss + b_miss)) as chi2 from (select count(*) filter (grp = '1-URGENT' and h) as a_hit, count(*) filter (grp = '1-URGENT' and not h) as a_miss,
+            count(*) filter (grp = '5-LOW' and h) as b_hit, count(*) filter (grp = '5-LOW' and not h) as b_miss from (select grp, "true" = pred as h from v_labelled)))"""
         ),
         "agreement_by_length": _with(
-            """select bucket, count(*) as n, round(avg(case when "true" = pred then 1e0 else 0 end), 6) as accuracy from (select *, case when id % 73 = 0 then null when id % 73 <= 5 then '≤5' when id % 73 <= 20 then '6–20' when id % 73 <= 50 then '21–50' else '>50' end as bucket from v_labelled)
-            where bucket is not null group by bucket"""
+            f"""select bucket, count(*) as n, round(avg(case when "true" = pred then 1e0 else 0 end), 6) as accuracy from (select case when t <= 0 then null when t <= 5 then '≤5' when t <= 20 then '6–20' when t <= 50 then '21–50' else '>50' end as bucket,
+              case when rating in (4, 5) then 'positive' when rating in (1, 2) then 'negative' else 'neutral' end as "true", case when c >= 0.05 then 'positive' when c <= -0.05 then 'negative' else 'neutral' end as pred
+              from (select v.id, rating, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) as t, round(coalesce(s, 0) / sqrt(coalesce(s, 0) ** 2 + 15), 6) as c from v_docs v
+              left join (select id, sum(valence) as s from (select id, unnest({WORDS}) as word from v_docs) join l using (word) group by id) h on v.id = h.id))
+            where bucket is not null group by bucket""",
+            _lexicon(),
         ),
         "mismatch_counts": _with(f"select grp, count(*) filter (k = 'high_star_negative') as high_star_negative, count(*) filter (k = 'low_star_positive') as low_star_positive from (select grp, {MISMATCH} as k from v_scores) group by grp"),
         "clean_text": clean,

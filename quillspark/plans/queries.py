@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import langid, sentiment, text
+from quillspark.functions import langid, sentiment, special, text
 from quillspark.operators import agreement, figures, hist, rank, resample, sampling, trend, words
 from quillspark.plans import views
-from quillspark.sources import readers
+from quillspark.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,12 +43,49 @@ def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews written as JSON lines, then read with the declared schema."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    path = f"{root.rstrip('/')}/quillspark/reviews-{uuid.uuid4().hex}"
+    path = sinks.shared_folder(spark, "reviews")
     views.reviews(spark, sf_dir).drop("lang", "doc_id").write.json(path)
     return readers.read_jsonl(spark, path).select("rating", "title", F.md5("text").alias("text_md5"), "timestamp", "helpful_vote", "verified_purchase")
 
 
+@query
+def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written by year, then read back."""
+    path = sinks.shared_folder(spark, "by-year")
+    sinks.write_parquet(views.scores(spark, sf_dir).select("id", "yr", "score"), path, ["yr"])
+    return readers.read_parquet(spark, path).select("id", "yr", F.round("score", 4).alias("score"))
+
+
+@query
+def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table as CSV, read back with its schema."""
+    path, table = sinks.shared_folder(spark, "csv"), yearly_means(spark, sf_dir)
+    sinks.write_csv(table, path)
+    return readers.read_csv(spark, path, table.schema)
+
+
+@query
+def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON text, read back."""
+    path, table = sinks.shared_folder(spark, "json"), yearly_means(spark, sf_dir)
+    sinks.json_rows(table).write.text(path)
+    return readers.read_jsonl(spark, path, table.schema, strict=True)
+
+
+@query
+def stage_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage table is current for its own fingerprint alone."""
+    path = sinks.shared_folder(spark, "stage")
+    before = sinks.stage_is_current(spark, path, "one")
+    rows = sinks.write_stage(population_of_grid(spark, sf_dir), path, "one")
+    known = {"before": before, "same": sinks.stage_is_current(spark, path, "one"), "other": sinks.stage_is_current(spark, path, "two")}
+    return rows.withColumns({k: F.lit(v) for k, v in known.items()})
+
+
+def population_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.population(views.scores(spark, sf_dir), ["grp", "yr"])
+
+
 @query
 def parse_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = readers.parse_reviews(views.reviews(spark, sf_dir), "A")
@@ -354,7 +389,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bootstrap_ci_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.bootstrap_ci(views.ties(spark, sf_dir), "score", ["grp"], "median", iterations=2000)
+    return resample.bootstrap_ci(views.ties(spark, sf_dir), "score", ["grp"], "median")
 
 
 @query
@@ -364,13 +399,15 @@ def bootstrap_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = trend.yearly_means(views.scores(spark, sf_dir), "score", ["grp", "yr"]).select("grp", "yr", F.pmod(F.abs(F.round("mean", 4)) * 7, F.lit(0.2)).alias("p"))
-    return rounded(rank.holm(p, "p", ["grp"]), "p", "p_adj")
+    """The yearly tests of two groups, their p values adjusted over the years."""
+    tests = rank.mann_whitney(views.scores(spark, sf_dir), "score", "grp", URGENT, LOW, by=["yr"])
+    p = tests.select("yr", special.two_sided_p(F.col("z")).alias("p"))
+    return rounded(rank.holm(p, "p"), "p", "p_adj")
 
 
 @query
 def sig_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return holm(spark, sf_dir).select("grp", "yr", F.when(F.col("significant"), "yes").otherwise("no").alias("answer"))
+    return holm(spark, sf_dir).select("yr", F.when(F.col("significant"), "yes").otherwise("no").alias("answer"))
 
 
 def _daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +417,7 @@ def _daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mann_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = trend.mann_kendall(_daily_series(spark, sf_dir), "day", "mean", ["grp"])
-    return rounded(m.select("grp", "n", "s", "var_s", "tau", "z"), "var_s", "tau", "z")
+    return rounded(m.select("grp", "n", "s", "var_s", "tau", "z", special.two_sided_p(F.col("z")).alias("p")), "var_s", "tau", "z", "p")
 
 
 @query
@@ -444,12 +481,16 @@ def majority_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chi2_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(agreement.chi2_2x2(labelled(spark, sf_dir), "grp", URGENT, LOW, F.col("true") == F.col("pred")), "chi2")
+    return rounded(agreement.chi2_2x2(labelled(spark, sf_dir), "grp", URGENT, LOW, F.col("true") == F.col("pred")).withColumn("p", special.chi_square_1_p(F.col("chi2"))), "chi2", "p")
 
 
 @query
 def agreement_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = labelled(spark, sf_dir).withColumn("tokens", (F.col("id") % 73).cast("int"))
+    """Stars against the lexicon's sentiment, by the number of tokens of the text."""
+    table = sentiment.lexicon_table(spark, LEXICON)
+    docs = views.docs(spark, sf_dir).withColumn("tokens", text.token_len(F.col("text")))
+    said = sentiment.lexicon_sums(docs, table).select(F.col("id").alias("__id"), sentiment.sentiment_label(F.round("compound", 6)).alias("pred"))
+    v = docs.join(said, F.col("id") == F.col("__id")).withColumn("true", sentiment.star_label(F.col("rating")))
     return rounded(agreement.agreement_by_length(v, "true", "pred", "tokens"), "accuracy")
 
 

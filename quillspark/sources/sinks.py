@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import math
 import os
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -14,6 +16,14 @@ from pyspark.sql import functions as F
 MARK = "_QUILLSPARK_CONFIG"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder, a cluster is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='quillspark-')).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 

@@ -88,6 +88,25 @@ def test_bootstrap_is_repeatable_and_median_averages(spark, frame):
     assert resample.median(np.array([1.0, 2.0, 5.0]), np.array([[1, 0, 1], [1, 1, 1], [0, 4, 0]])).tolist() == [3.0, 2.0, 2.0]
 
 
+@pytest.mark.parametrize("statistic", ["mean", "median"])
+def test_bootstrap_over_ranges_is_the_same_distribution(spark, monkeypatch, statistic):
+    df = spark.createDataFrame([("a", float(i * i % 997)) for i in range(400)] + [(None, 1.0), (None, 2.0)], "g string, v double")
+    whole = {r.g: r for r in resample.bootstrap_ci(df, "v", ["g"], statistic, iterations=4000).collect()}
+    monkeypatch.setattr(resample, "RANGE", 16)
+    parts = {r.g: r for r in resample.bootstrap_ci(df, "v", ["g"], statistic, iterations=4000).collect()}
+    assert whole.keys() == parts.keys() == {"a", None}
+    assert parts["a"].estimate == pytest.approx(whole["a"].estimate) and parts["a"].n == 400
+    wide = whole["a"].ci_hi - whole["a"].ci_lo
+    assert abs(parts["a"].ci_lo - whole["a"].ci_lo) < 0.15 * wide and abs(parts["a"].ci_hi - whole["a"].ci_hi) < 0.15 * wide
+
+
+def test_quantiles_equal_percentile(spark):
+    df = spark.createDataFrame([(g, v) for g in ("a", "b", None) for v in [1.0, 1.0, 4.0, 9.5, -3.0, 2.0, 2.0][: 7 if g else 1]], "g string, v double")
+    got = {r.g: (r.q0, r.q1, r.q2) for r in hist.quantiles(hist.histogram(df, "v", ["g"]), (0.25, 0.5, 0.9), ["g"]).collect()}
+    want = df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q")).collect()
+    assert got == {r.g: tuple(r.q) for r in want}
+
+
 def test_bootstrap_with_a_function(frame):
     top = lambda v, c: np.where(c[:, -1] > 0, v[-1], v[-2])
     assert resample.bootstrap_ci(frame, "v", ["g"], top, iterations=100).count() == 2
