@@ -1,36 +1,40 @@
-"""Approximate nearest neighbours: 2-stable projections in kd-trees with a chi-square stopping test.
+"""Approximate nearest neighbours: 2-stable projections in a kd-tree with a chi-square stopping test.
 
 Unit vectors are projected by a seeded Gaussian matrix to PROJECTED dimensions. For a pair at
 distance d the squared projected distance is d^2 times a chi-square variable with that many
-degrees of freedom. A kd-tree over the projections yields leaves in order of projected distance; their
-vectors are verified in full. Once the next leaf is so far that a vector nearer than the
-k-th best so far would have been seen with probability CONFIDENCE, the search stops.
+degrees of freedom. Neighbours in the projection are verified in full, nearest first, until the next ones are
+so far that a vector nearer than the k-th best so far would have been seen with probability CONFIDENCE.
 
-Every row is indexed. Rows are dealt into blocks of bounded size, each with a tree of its
-own; queries, in blocks too, visit all of them and keep k of each, and the best k
-of these are the answer.
+The upper levels of the kd-tree are fitted on a sample of SAMPLE rows and split all rows into
+cells; each cell, in one task, has a tree of its own down to leaves. A query first takes
+its k-th distance within the sample, and then goes only to cells whose region passes the test at that
+distance: so rows are moved once, whatever the number of queries, and queries are streamed past
+the rows of a cell. Cells that many equal rows make too large are cut by a hash.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch
+from quillspark.llm.common import lean, scratch
 
 PROJECTED = 16
 #: Probability with which each true neighbour lies within the radius that was searched.
-CONFIDENCE = 0.97
+CONFIDENCE = 0.95
 LEAF = 128
 SEED = 20240607
-#: Rows of a block: a 64th of the table within these bounds.
-BLOCK_ROWS = (4096, 65536)
-QUERY_ROWS = 16384
+#: Rows on which the cells are fitted, at most; a cell takes this many of them at least.
+SAMPLE, SAMPLE_LEAF = 16384, 16
+#: Rows of a cell: a 64th of the table within these bounds.
+CELL_ROWS = (2048, 32768)
+#: Queries that are compared with a leaf at once.
+TOGETHER = 128
 
 
 def chi_square_quantile(p: float, df: int) -> float:
@@ -53,65 +57,127 @@ def chi_square_quantile(p: float, df: int) -> float:
 
 
 class KdTree:
-    """Median splits on the widest dimension; boxes are those of the points below."""
-
-    def __init__(self, points: np.ndarray):
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.children: list[tuple[int, int] | None] = []
-        self.rows: list[np.ndarray | None] = []
-        if len(points):
-            self._grow(points, np.arange(len(points)))
-
-    def _grow(self, points: np.ndarray, rows: np.ndarray) -> int:
-        p, node = points[rows], len(self.low)
-        self.low.append(p.min(0))
-        self.high.append(p.max(0))
-        self.children.append(None)
-        self.rows.append(rows if len(rows) <= LEAF else None)
-        if len(rows) > LEAF:
-            half = len(rows) // 2
-            order = np.argpartition(p[:, int(np.argmax(self.high[node] - self.low[node]))], half)
-            self.children[node] = (self._grow(points, rows[order[:half]]), self._grow(points, rows[order[half:]]))
-        return node
-
-    def nearest_leaves(self, point: np.ndarray):
-        """(squared distance of the box, rows) of leaves, nearest first."""
-        agenda = [(0.0, 0)] if self.low else []
-        while agenda:
-            d, node = heapq.heappop(agenda)
-            if self.rows[node] is not None:
-                yield d, self.rows[node]
+    """Median splits on the widest dimension; ``low`` and ``high`` bound what each leaf can hold, ``rows`` are its rows.
+
+    With ``regions`` a leaf's bounds are the cuts above it, which hold for any point that falls there.
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int, regions: bool = False):
+        self.rows: list[np.ndarray] = []
+        self.cuts: list[tuple[int, float, int, int]] = []
+        low, high = [], []
+        end = np.full(points.shape[1], np.inf)
+
+        def grow(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> int:
+            """Number of a node: of a cut, or -1 less that of a leaf."""
+            p = points[rows]
+            axis = int(np.argmax(np.ptp(p, axis=0))) if len(rows) else 0
+            at = float(np.median(p[:, axis])) if len(rows) > leaf else 0.0
+            right = p[:, axis] >= at if len(rows) > leaf else np.zeros(0, bool)
+            if len(rows) <= leaf or right.all() or not right.any():
+                self.rows.append(rows)
+                low.append(lo if regions or not len(rows) else p.min(0))
+                high.append(hi if regions or not len(rows) else p.max(0))
+                return -len(self.rows)
+            node = len(self.cuts)
+            self.cuts.append((axis, at, 0, 0))
+            below, above = hi.copy(), lo.copy()
+            below[axis] = above[axis] = at
+            self.cuts[node] = axis, at, grow(rows[~right], lo, below), grow(rows[right], above, hi)
+            return node
+
+        self.root = grow(np.arange(len(points)), -end, end)
+        self.low, self.high = np.stack(low), np.stack(high)
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        """Number of the leaf where each point falls."""
+        out = np.zeros(len(points), np.int32)
+        todo = [(self.root, np.arange(len(points)))]
+        while todo:
+            node, rows = todo.pop()
+            if node < 0:
+                out[rows] = -node - 1
                 continue
-            for child in self.children[node]:
-                gap = np.maximum(self.low[child] - point, 0) + np.maximum(point - self.high[child], 0)
-                heapq.heappush(agenda, (max(d, float(gap @ gap)), child))
-
-
-def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
-    """Cosines row by row: equal rows give equal numbers wherever they stand."""
-    return (vectors * query).sum(1) / (norms * norm)
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query id, vector id, cosine): up to k of this block for each query, ties to the smaller id."""
-    norms, query_norms = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
-    axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTED))
-    low, low_queries = vectors / norms[:, None] @ axes, queries / query_norms[:, None] @ axes
-    tree, reach = KdTree(low), chi_square_quantile(CONFIDENCE, PROJECTED)
-    out = []
-    for q in range(len(query_ids)):
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        for box, rows in tree.nearest_leaves(low_queries[q]):
-            if len(best) == k and box > max(0.0, 2 - 2 * best[-1]) * reach + 1e-9:
-                break
-            rows = rows[ids[rows] != query_ids[q]]
-            all_ids = np.concatenate([best_ids, ids[rows]])
-            score = np.concatenate([best, cosines(vectors[rows], norms[rows], queries[q], query_norms[q])])
-            top = np.lexsort((all_ids, -score))[:k]
-            best_ids, best = all_ids[top], score[top]
-        out += [(int(query_ids[q]), int(i), float(s)) for i, s in zip(best_ids, best, strict=True)]
-    return out
+            axis, at, left, right = self.cuts[node]
+            above = points[rows, axis] >= at
+            todo += [(left, rows[~above]), (right, rows[above])]
+        return out
+
+    def gaps(self, points: np.ndarray) -> np.ndarray:
+        """Squared distance of each point to the bounds of each leaf."""
+        out = np.empty((len(points), len(self.rows)))
+        for leaf in range(len(self.rows)):
+            gap = np.maximum(self.low[leaf] - points, 0) + np.maximum(points - self.high[leaf], 0)
+            out[:, leaf] = (gap * gap).sum(1)
+        return out
+
+
+def axes(width: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((width, PROJECTED))
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(1))
+
+
+def project(vectors: np.ndarray) -> np.ndarray:
+    return vectors / _norms(vectors)[:, None] @ axes(vectors.shape[1])
+
+
+class Cell:
+    """The rows of a cell in a tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        # Of equal vectors only the least ids can be answers, and one may be the query itself.
+        order = np.lexsort((ids, *vectors.T))
+        v = vectors[order]
+        begins = np.concatenate([[True], (v[1:] != v[:-1]).any(1)])
+        nth = np.arange(len(v)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        order = order[nth <= k]
+        self.ids, self.vectors, self.k = ids[order], vectors[order], k
+        self.norms, self.low = _norms(self.vectors), project(self.vectors)
+        self.squares = (self.low * self.low).sum(1)
+        self.tree, self.reach = KdTree(self.low, LEAF), chi_square_quantile(CONFIDENCE, PROJECTED)
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids and cosines of up to k rows for each query, best first, and how many rows were verified. ``bound``: squared distance that need not be exceeded."""
+        n, k = len(ids), self.k
+        norms, low = _norms(queries), project(queries)
+        squares, bound = (low * low).sum(1), bound.copy()
+        gaps = self.tree.gaps(low)
+        found = [np.empty(0, np.int64)] * n
+        score = [np.empty(0)] * n
+        verified = np.zeros(n, np.int64)
+
+        def visit(leaf: int, who: np.ndarray) -> None:
+            rows = self.tree.rows[leaf]
+            apart = squares[who][:, None] + self.squares[rows][None] - 2 * low[who] @ self.low[rows].T
+            q, r = np.nonzero((apart <= (bound[who] * self.reach + 1e-9)[:, None]) & (self.ids[rows][None] != ids[who][:, None]))
+            if not len(q):
+                return
+            q, r = who[q], rows[r]
+            # Products are added in the same order for every pair, so equal rows give equal numbers.
+            cosine = np.einsum("ij,ij->i", self.vectors[r], queries[q]) / (self.norms[r] * norms[q])
+            verified[:] += np.bincount(q, minlength=n)
+            starts = np.flatnonzero(np.diff(q, prepend=-1))
+            for b, e in zip(starts, np.append(starts[1:], len(q))[: len(starts)], strict=True):
+                x = q[b]
+                all_ids, all_scores = np.concatenate([found[x], self.ids[r[b:e]]]), np.concatenate([score[x], cosine[b:e]])
+                top = np.lexsort((all_ids, -all_scores))[:k]
+                found[x], score[x] = all_ids[top], all_scores[top]
+                if len(top) == k:
+                    bound[x] = min(bound[x], max(0.0, 2 - 2 * score[x][-1]))
+
+        nearest = gaps.argmin(1)
+        for leaf in range(gaps.shape[1]):
+            who = np.flatnonzero(nearest == leaf)
+            if len(who):
+                visit(leaf, who)
+        for leaf in range(gaps.shape[1]):
+            who = np.flatnonzero((nearest != leaf) & (gaps[:, leaf] <= bound * self.reach + 1e-9))
+            if len(who):
+                visit(leaf, who)
+        return found, score, verified
 
 
 def usable(vector: Column) -> Column:
@@ -120,10 +186,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _vectors(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+    v = b.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` rows of ``table`` with the largest cosine to each of ``queries`` (both vec_id bigint, embedding).
 
-    Returns query_id, rank (from 1), vec_id, score, ties to the smaller vec_id. Null, zero and
+    Returns query_id, rank (from 1), vec_id, score and verified (rows compared in full for the query), ties to the smaller vec_id. Null, zero and
     non-finite vectors and null ids take no part; vectors of another length are no candidates; a
     query's own row is none; fewer candidates give fewer rows. Of rows that share a
     vec_id each is a candidate, and the least vector is the query. Other columns are not
@@ -131,21 +203,90 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     pick = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows, asked = pick(table), pick(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = rows.count()
-    blocks = max(1, math.ceil(n / min(max(n // 64, BLOCK_ROWS[0]), BLOCK_ROWS[1])))
-    query_blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    spread = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    # A row may repeat an id, so a block is chosen by id and vector.
-    indexed = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("b"), spread(query_blocks).alias("q"), F.lit(False).alias("asks"))
-    asking = asked.select("vec_id", "v", spread(blocks).alias("b"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("q"), F.lit(True).alias("asks"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, same in pdf.groupby(pdf["v"].map(len)):
-            v, ids, asks = np.stack(same["v"].to_numpy()).astype(float), same["vec_id"].to_numpy(), same["asks"].to_numpy()
-            found += search_block(ids[~asks], v[~asks], ids[asks], v[asks], k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    met = indexed.unionByName(asking).groupBy("b", "q").applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    widths = sorted(r["w"] for r in asked.select(F.size("v").alias("w")).distinct().collect())  # nearly always one
+    found = [_nearest(rows.filter(F.size("v") == w), asked.filter(F.size("v") == w), k) for w in widths]
+    if not found:
+        return asked.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, verified bigint")
+    met = found[0]
+    for more in found[1:]:
+        met = met.unionByName(more)
+    met = scratch(met, "neighbours")
+    # Where a neighbour of the sample was missed, fewer than k rows may have passed the test; such queries go everywhere.
+    full = met.filter("vec_id is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= k)
+    short = scratch(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short-queries")
+    if not short.isEmpty():
+        met = met.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+        for w in widths:
+            met = met.unionByName(_nearest(rows.filter(F.size("v") == w), short.filter(F.size("v") == w), k, everywhere=True))
+        met = scratch(met, "neighbours-all")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scratch(met, "neighbours").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    seen = F.sum("verified").over(Window.partitionBy("query_id"))
+    ranked = met.select("query_id", "vec_id", "score", seen.alias("verified")).filter("vec_id is not null").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, everywhere: bool = False) -> DataFrame:
+    """``nearest`` for vectors of one length, with the best of every cell; with ``everywhere`` cells are not ruled out by the sample."""
+    n = rows.count()
+    size = min(max(n // 64, CELL_ROWS[0]), CELL_ROWS[1])
+    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(SAMPLE).toArrow()
+    ids, seeds = sample.column("vec_id").to_numpy(), _vectors(sample)
+    cells = KdTree(project(seeds), max(SAMPLE_LEAF, math.ceil(len(seeds) * size / max(n, 1))), regions=True)
+    seed_norms, reach = _norms(seeds), chi_square_quantile(CONFIDENCE, PROJECTED)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, seeds / seed_norms[:, None], cells))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value[2]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.place(project(_vectors(b))) if b.num_rows else np.empty(0, np.int32))], ["vec_id", "v", "cell"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, seeds, cells = shared.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(i, TOGETHER)
+                v = _vectors(b)
+                score = v / _norms(v)[:, None] @ seeds.T
+                score[ids[None] == b.column("vec_id").to_numpy()[:, None]] = -2
+                few = everywhere or score.shape[1] < k
+                kth = np.full(len(v), -1.0) if few else np.partition(score, -k, 1)[:, -k]
+                bound = np.full(len(v), np.inf) if everywhere else np.where(kth < -1, 4.0, 2 - 2 * kth) + 1e-9
+                q, cell = np.nonzero(cells.gaps(project(v)) <= (bound * reach)[:, None])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(q)), b.column("v").take(pa.array(q)), pa.array(cell.astype(np.int32)), pa.array(bound[q])], ["vec_id", "v", "cell", "bound"])
+
+    placed = scratch(rows.mapInArrow(lean(place), "vec_id bigint, v array<double>, cell int"), "placed-rows")
+    counted = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * size)).cast("int").alias("parts"))
+    counted = F.broadcast(scratch(counted, "cells"))  # a row for each cell; these are no more than SAMPLE / SAMPLE_LEAF
+    stored = placed.join(counted, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("bound"))
+    sent = asked.mapInArrow(lean(ask), "vec_id bigint, v array<double>, cell int, bound double").join(counted, "cell")
+    sent = sent.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "v", "bound")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, cell = None, [], None
+        for whole in batches:
+            cells, parts, asks = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "asks"))
+            change = np.flatnonzero((cells[1:] != cells[:-1]) | (parts[1:] != parts[:-1]) | (asks[1:] != asks[:-1])) + 1 if whole.num_rows else []
+            for lo, hi in zip([0, *change], [*change, whole.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                b = whole.slice(lo, hi - lo)
+                if now != (key := (cells[lo], parts[lo])):
+                    now, held, cell = key, [], None
+                if not asks[lo]:
+                    held.append((b.column("vec_id").to_numpy(), _vectors(b)))
+                    continue
+                if not held:
+                    continue
+                cell = cell or Cell(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), k)
+                for i in range(0, b.num_rows, TOGETHER):
+                    some = b.slice(i, TOGETHER)
+                    own = some.column("vec_id").to_numpy()
+                    found, score, verified = cell.search(own, _vectors(some), some.column("bound").to_numpy())
+                    times = [len(x) for x in found]
+                    answers = [pa.array(np.repeat(own, times)), pa.array(np.concatenate(found)), pa.array(np.concatenate(score)), pa.array(np.zeros(sum(times), np.int64))]
+                    told = [pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.float64()), pa.array(verified)]
+                    yield pa.RecordBatch.from_arrays(answers, ["query_id", "vec_id", "score", "verified"])
+                    yield pa.RecordBatch.from_arrays(told, ["query_id", "vec_id", "score", "verified"])
+
+    dealt = stored.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
+    return dealt.mapInArrow(lean(run), "query_id bigint, vec_id bigint, score double, verified bigint")

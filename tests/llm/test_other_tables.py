@@ -26,11 +26,11 @@ def brute_nearest(ids, vectors, asked, k):
 
 
 def test_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", (256, 512))
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", 16)
+    for name, value in (("CELL_ROWS", (64, 256)), ("SAMPLE", 300), ("TOGETHER", 7), ("LEAF", 16)):
+        monkeypatch.setattr(neighbours, name, value)
     r = np.random.default_rng(0)
     v = r.standard_normal((1500, 32)).astype(np.float32)
-    v[100:140] = v[100]  # copies: ties go to the smaller id
+    v[100:500] = v[100]  # copies, more than a cell holds: ties go to the smaller id
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id bigint, embedding array<float>")
     got = collections.defaultdict(list)
     for x in neighbours.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
@@ -40,7 +40,20 @@ def test_recall_and_scores(spark, monkeypatch):
     want = brute_nearest(np.arange(1500), v.astype(float), range(0, 1500, 50), 5)
     hits = sum(len(set(got[q]) & set(want[q])) for q in want)
     assert got.keys() == want.keys() and hits / (5 * len(want)) >= 0.9
-    assert got[100] == [101, 102, 103, 104, 105]
+    assert all(len(x) == 5 for x in got.values())
+    assert got[100] == [101, 102, 103, 104, 105] and got[150] == [100, 101, 102, 103, 104]
+
+
+def test_close_neighbours_take_few_comparisons(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", (128, 128)), ("SAMPLE", 1024), ("LEAF", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(1)
+    v = np.repeat(r.standard_normal((150, 32)), 10, axis=0) + 0.02 * r.standard_normal((1500, 32))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(df, df.filter("vec_id % 50 = 0")).collect()
+    want = brute_nearest(np.arange(1500), v, range(0, 1500, 50), 5)
+    assert sum(x.vec_id in want[x.query_id] for x in got) / 150 >= 0.9
+    assert sum(x.verified for x in got if x["rank"] == 1) < 0.5 * 30 * 1500
 
 
 def test_vectors_that_take_no_part(spark):
