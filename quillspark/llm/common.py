@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -61,7 +62,35 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    for made in _OPEN:
+        made.append(table)
+    return table
+
+
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def temporary_tables(keep: list[DataFrame]) -> Iterator[None]:
+    """Tables that ``scratch`` writes inside are deleted at the end, but for those that have been put into ``keep``."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not made]
+    kept = {t.scratch_path for t in keep}
+    discard(*(t for t in made if t.scratch_path not in kept))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``scratch`` wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -102,6 +131,23 @@ def release() -> None:
         return
 
 
+def with_starts(df: DataFrame, lengths: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of all lengths before each one of the array column ``lengths``.
+
+    Sums run over chunks of about the square root of their number, then within each: a fold that
+    appends to its result copies it each time, so no array built this way is longer than a chunk.
+    """
+    zero = F.lit(0).cast("bigint")
+    n, step = F.size(lengths), F.greatest(F.ceil(F.sqrt(F.size(lengths))), F.lit(1)).cast("int")
+    cut = F.when(n > 0, F.transform(F.sequence(F.lit(1), n, step), lambda i: F.slice(lengths, i, step))).otherwise(F.array().cast("array<array<bigint>>"))
+    df = df.withColumn("__cut", cut)
+    add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    totals = F.transform("__cut", lambda c: F.aggregate(c, zero, lambda a, x: a + x))
+    offsets = F.aggregate(totals, begin(zero), add, lambda s: s["out"])
+    return df.withColumn(out, F.flatten(F.zip_with("__cut", offsets, lambda c, at: F.aggregate(c, begin(at), add, lambda s: s["out"])))).drop("__cut")
+
+
 _U = np.uint64
 
 

@@ -3,8 +3,12 @@
 Each document becomes a vector of transformed statistics. For every (lang, source) the
 minimum-covariance-determinant estimate is sought by concentration steps: from a
 start, take the half of the rows with the smallest Mahalanobis distances, estimate mean and
-covariance from it, repeat; the determinant never grows. Two deterministic starts are
-tried (median with MAD, mean with covariance) and the smaller determinant wins. A document is
+covariance from it, and repeat until nothing changes. Two deterministic starts are
+tried (median with MAD, mean with covariance) and the smaller determinant wins. The covariance of
+the half is brought to that of all normal rows by its consistency factor; then mean and covariance are
+taken once more from all rows within the REWEIGHT quantile, with their factor. Estimates are shrunk
+towards those of the language, and these towards all, by n / (n + SHRINK): a group of any size
+has one, and none changes by a step. A document is
 rejected when its squared distance exceeds a chi-square quantile.
 
 All sums are over fixed-point integers, so estimates do not depend on the order of rows, and
@@ -20,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, scratch, small, words
+from quillspark.llm.common import WORD, scratch, small, temporary_tables, words
 
 #: Statistics of the vector, with the least standard deviation assumed of each: clean text varies by that much.
 FEATURES = {"log_word_length": 0.05, "root_symbols": 0.05, "repeats": 0.05, "dup_lines": 0.1}
@@ -28,9 +32,12 @@ FEATURES = {"log_word_length": 0.05, "root_symbols": 0.05, "repeats": 0.05, "dup
 SCALE = 1024
 #: Rows of a group that a subset must hold.
 SUBSET = 0.5
-STEPS = 3
-#: Sources with fewer rows in a language are pooled there; a pool with fewer gets no estimate and rejects nothing.
-LEAST_ROWS = 20
+#: A group's concentration steps end when its determinant shrinks no more, after these at the latest.
+MOST_STEPS = 20
+#: Quantile within which rows count for the final estimate.
+REWEIGHT = 0.975
+#: Rows that the estimate of the language, and that of all, counts for in the mean of both.
+SHRINK = 50
 #: Probability that a clean document passes, were the vectors normal.
 PASS_PROBABILITY = 1 - 1e-6
 #: Bins of a distance histogram in a doubling of the squared distance.
@@ -46,15 +53,28 @@ def chi_square_4(p: float) -> float:
     return hi
 
 
+def _within_4(x: Column) -> Column:
+    """Probability that a chi-square variable with four degrees of freedom is at most ``x``."""
+    return 1 - F.exp(-x / 2) * (1 + x / 2)
+
+
+def consistency(share: Column) -> Column:
+    """Factor from the covariance of the ``share`` of normal rows with the smallest distances to that of all."""
+    share = F.least(share, F.lit(0.999999))
+    newton = lambda q, _: F.greatest(q - (_within_4(q) - share) / (q * F.exp(-q / 2) / 4), q / 4)
+    q = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(3.0), newton)
+    return F.aggregate(F.array(q), F.lit(0.0), lambda _, x: share / (1 - F.exp(-x / 2) * (1 + x / 2 + x * x / 8)))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, source) to doc_id, lang, source and the base statistics.
 
-    n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words; a null
+    row_hash (of text, lang and source), n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words; a null
     text has none of them.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    cut = docs.select("doc_id", "lang", "source", text.alias("text"), words(F.col("text")).alias("w"), lines.alias("lines"))
+    cut = docs.select("doc_id", "lang", "source", F.xxhash64("text", "lang", "source").alias("row_hash"), text.alias("text"), words(F.col("text")).alias("w"), lines.alias("lines"))
     span = F.greatest(F.size("w") - 2, F.lit(0))
     # (hash of a window, where it starts), sorted: equal windows are neighbours.
     # A window is named by two hashes, 96 bits, so that texts of any length keep apart.
@@ -76,6 +96,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "row_hash",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -115,8 +136,8 @@ def _same_group(a: DataFrame, b: DataFrame, how: str = "inner", also: tuple[str,
     return a.join(b, on, how).drop(*(f"__{c}" for c in (*_GROUP, *also)))
 
 
-def _moments(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Mean and covariance of each group from exact integer sums, with the least variances added."""
+def _sums(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n, mean and covariance of each group from exact integer sums, with the least variances added."""
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(f"x{i}").cast("decimal(18,0)")).alias(f"s{i}") for i in range(P)]
     sums += [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(18,0)")).alias(f"s{i}{j}") for i, j in _PAIRS]
     summed = rows.groupBy(*keys).agg(*sums)
@@ -124,7 +145,11 @@ def _moments(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     mean = {f"m{i}": F.col(f"s{i}").cast("double") / n / SCALE for i in range(P)}
     least = list(FEATURES.values())
     cov = {f"c{i}{j}": F.col(f"s{i}{j}").cast("double") / n / SCALE**2 - (F.col(f"s{i}").cast("double") / n / SCALE) * (F.col(f"s{j}").cast("double") / n / SCALE) + (least[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
-    return _factor(summed.select(*keys, "n", *(v.alias(k) for k, v in (mean | cov).items())), keys)
+    return summed.select(*keys, "n", *(v.alias(k) for k, v in (mean | cov).items()))
+
+
+def _moments(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return _factor(_sums(rows, keys), keys)
 
 
 def _factor(estimates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -172,54 +197,93 @@ def _median_start(rows: DataFrame) -> DataFrame:
     return _factor(mads.groupBy(*_GROUP).agg(F.lit(0).cast("long").alias("n"), *mean, *cov), _GROUP).withColumn("start", F.lit(0))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``grp``: "=" and the source, or "" for sources pooled in a language, counting rows that pass the base rules."""
-    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    rows = rows.withColumn("grp", source)
-    large = rows.filter(~F.col("base_failed")).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= LEAST_ROWS)
-    known = _same_group(rows, scratch(large, "mcd-groups"), "left")
-    return known.withColumn("grp", F.when(F.col("rows").isNotNull(), F.col("grp")).otherwise("")).drop("rows")
+def _weighted(estimates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n, mean p*, covariance q* of the groups of ``estimates`` (n, m*, c*) taken together."""
+    n = F.sum("n").cast("double")
+    mean = {i: F.sum(F.col("n") * F.col(f"m{i}")) / n for i in range(P)}
+    cov = {(i, j): F.sum(F.col("n") * (F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}"))) / n - mean[i] * mean[j] for i, j in _PAIRS}
+    return estimates.groupBy(*keys).agg(n.alias("pool"), *(v.alias(f"p{i}") for i, v in mean.items()), *(v.alias(f"q{i}{j}") for (i, j), v in cov.items()))
+
+
+def _shrunk(estimates: DataFrame) -> DataFrame:
+    """``estimates`` (n, m*, c*) drawn towards p*, q* of the same row."""
+    w = F.col("n") / (F.col("n") + SHRINK)
+    mixed = {f"m{i}": w * F.col(f"m{i}") + (1 - w) * F.col(f"p{i}") for i in range(P)}
+    mixed |= {f"c{i}{j}": w * F.col(f"c{i}{j}") + (1 - w) * F.col(f"q{i}{j}") for i, j in _PAIRS}
+    rest = [c for c in estimates.columns if c not in mixed and c[0] not in "pq"]
+    return estimates.select(*rest, *(v.alias(k) for k, v in mixed.items()))
 
 
 def mcd_estimates(rows: DataFrame) -> DataFrame:
-    """lang, grp, mean m*, factor l*: the MCD estimate of every group of ``rows`` with LEAST_ROWS rows."""
-    sized = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= LEAST_ROWS)
-    rows = _same_group(rows, scratch(sized.select(*_GROUP), "mcd-sized"))
+    """lang, grp, n, mean m*, covariance c*: the reweighted MCD estimate of every group of ``rows``."""
     rows = rows.select(*_GROUP, *(f"x{i}" for i in range(P)))
     mean_start = _moments(rows, _GROUP).withColumn("start", F.lit(1))
     now = scratch(_median_start(rows).unionByName(mean_start), "mcd-starts")
-    keys = (*_GROUP, "start")
+    keys, settled = (*_GROUP, "start"), []
     bin_of = F.floor(F.log2(F.greatest(_distance(), F.lit(2.0**-20))) * BINS).cast("int")
-    for step in range(STEPS):
+    for step in range(MOST_STEPS):
         placed = _same_group(rows, now).select(*keys, *(f"x{i}" for i in range(P)), bin_of.alias("bin"))
         counted = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"))
         cuts = scratch(_histogram_quantile(counted, keys, "bin", SUBSET).withColumnRenamed("bin", "cut"), f"mcd-cuts-{step}")
         subset = _same_group(placed, cuts, also=("start",)).filter(F.col("bin") <= F.col("cut"))
-        now = scratch(_moments(subset, keys), f"mcd-step-{step}")
+        was = now.select(*keys, F.col("logdet").alias("was"))
+        found = scratch(_same_group(_moments(subset, keys), was, also=("start",)).withColumn("better", F.lit(step == 0) | (F.col("logdet") < F.col("was") - 1e-6)).drop("was"), f"mcd-step-{step}")
+        settled.append(_same_group(now, found.filter("not better").select(*keys), "left_semi", also=("start",)))
+        now = found.filter("better").drop("better")
+        if now.isEmpty():
+            break
+    for done in settled:
+        now = now.unionByName(done)
     best = Window.partitionBy(*_GROUP).orderBy("logdet", "start")
-    return now.withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r", "start", "n", "logdet")
+    raw = now.withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r", "start", "logdet").withColumnRenamed("n", "half")
+    sized = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("all_rows"))
+    raw = scratch(_same_group(raw, sized).withColumn("factor", consistency(F.col("half") / F.col("all_rows"))).drop("half", "all_rows"), "mcd-raw")
+    near = _same_group(rows, raw).filter(_distance() / F.col("factor") <= chi_square_4(REWEIGHT)).select(*_GROUP, *(f"x{i}" for i in range(P)))
+    whole = _sums(near, _GROUP)
+    factor = consistency(F.lit(REWEIGHT))
+    return scratch(whole.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * factor for i, j in _PAIRS}), "mcd-reweighted")
+
+
+def final_estimates(rows: DataFrame) -> DataFrame:
+    """lang, grp, m*, l*: ``mcd_estimates`` shrunk towards the language and all, as mean and factor."""
+    own = mcd_estimates(rows)
+    every = _weighted(own, ())
+    languages = _weighted(own, ("lang",)).select("lang", F.col("pool").alias("n"), *(F.col(f"p{i}").alias(f"m{i}") for i in range(P)), *(F.col(f"q{i}{j}").alias(f"c{i}{j}") for i, j in _PAIRS))
+    languages = _shrunk(languages.crossJoin(every.drop("pool"))).select(F.col("lang").alias("__lang"), *(F.col(f"m{i}").alias(f"p{i}") for i in range(P)), *(F.col(f"c{i}{j}").alias(f"q{i}{j}") for i, j in _PAIRS))
+    mixed = _shrunk(own.join(languages, F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang"))
+    return _factor(mixed, _GROUP).drop("n", "logdet")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Base statistics and verdict for each row of ``docs`` (doc_id, text, lang, source; other columns are not read).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    distance (squared, null without an estimate) and kept: false if base_failed or the
+    distance (squared; null if all rows of its group fail the base rules) and kept: false if base_failed or the
     distance exceeds the chi-square quantile of PASS_PROBABILITY. Estimates are made from
-    rows that pass the base rules; small sources are pooled by language. A null language or source is a group of its own; a
+    rows that pass the base rules. A null language or source is a group of its own; a
     null or empty text fails; an empty table gives an empty result; repeated rows count each.
     """
-    rows = grouped(scratch(vectors(statistics(docs)), "quality-vectors"))
-    estimates = scratch(mcd_estimates(rows.filter(~F.col("base_failed"))), "mcd-estimates")
+    return judged(docs).drop("row_hash")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``judge`` with row_hash."""
+    keep: list[DataFrame] = []
+    with temporary_tables(keep):
+        rows = scratch(vectors(statistics(docs)).withColumn("grp", F.col("source")), "quality-vectors")
+        estimates = scratch(final_estimates(rows.filter(~F.col("base_failed"))), "mcd-estimates")
+        keep += [rows, estimates]
     scored = _same_group(rows, estimates, "left").withColumn("distance", _distance())
     far = F.coalesce(F.col("distance") > chi_square_4(PASS_PROBABILITY), F.lit(False))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & ~far).alias("kept"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & ~far).alias("kept"), "row_hash")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that ``judge`` rejects.
+    """``docs`` without the rows that ``judge`` rejects; all columns stay.
 
-    A doc_id that repeats goes if any of its rows is rejected; rows without doc_id stay.
+    A row goes by its own doc_id (null too), text, lang and source: rows equal in these get the
+    same verdict, others that share a doc_id their own. A null or empty text goes; an empty table stays empty.
     """
-    rejected = scratch(judge(docs).filter("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(small(rejected, 48), "doc_id", "left_anti").select(*docs.columns)
+    rejected = judged(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text", "lang", "source") == F.col("__hash"))
+    return docs.join(small(scratch(rejected, "rejected"), 48), same, "left_anti")
