@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of BLOCK_WORDS words; windows overlap by half and together
-cover the whole text. A template matches a block that holds at least THRESHOLD of its
+A block is a window of BLOCK_WORDS words, or of the power of two that holds the template
+twice; windows overlap by half and together cover the whole text, so a notice stands whole in one. A template matches a block that holds at least THRESHOLD of its
 distinct words. Words of the templates are ordered by how many documents of the corpus
 hold them, rarest first. Of a template with n words that needs a of them, one of
 the first n - a + 1 must be in any matching block (prefix filter), the block must have a
@@ -26,16 +26,84 @@ from quillspark.llm.common import lean, slices
 
 # Phrases that name a license.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Notices by which licenses are applied to works.
+# Notices by which licenses are applied to works, and texts of short licenses, with the label of each.
 TEMPLATES = {
-    "apache": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "apache-line": ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
+    "apache-notice": (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to "
+        "in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "bsd-line": ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    "bsd-text": (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution this software is provided by "
+        "the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied "
+        "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+        "contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+        "to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any "
+        "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of "
+        "the use of this software even if advised of the possibility of such damage",
+    ),
+    "cc-by-line": ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    "gpl-line": ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    "gpl-notice": (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 2 of the license or at your option any later version this program is "
+        "distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+        "fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu "
+        "general public license along with this program",
+    ),
+    "isc-line": ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    "isc-text": (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author "
+        "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss "
+        "of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with "
+        "the use or performance of this software",
+    ),
+    "mit-line": ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    "mit-text": (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+        "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
+        "to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software the software is provided as is without warranty of any kind express or implied including but not limited "
+        "to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+        "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising "
+        "from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "mpl-line": ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    "unlicense-text": (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any "
+        "means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest "
+        "in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our "
+        "heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+        "to this software under copyright law",
+    ),
+    "zlib-text": (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+        "damages arising from the use of this software permission is granted to anyone to use this software for any purpose including "
+        "commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this "
+        "software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product "
+        "an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly "
+        "marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any "
+        "source distribution",
+    ),
 }
+#: Words of the shortest blocks; a template is sought in blocks of the least power of two that holds it twice.
 BLOCK_WORDS = 64
 THRESHOLD = 0.8
 #: Score of a document that names a license but holds no notice.
@@ -61,6 +129,11 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
     return found
 
 
+def block_words(notice: str) -> int:
+    """Length of the blocks in which a template is sought."""
+    return max(BLOCK_WORDS, 1 << (2 * len(notice.split()) - 1).bit_length())
+
+
 @dataclass(frozen=True)
 class Index:
     """Templates as word ranks in the global order, with the prefix index into them."""
@@ -71,18 +144,25 @@ class Index:
     prefix: dict[bytes, tuple[str, ...]]
 
     @classmethod
-    def build(cls, frequency: dict[bytes, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Index:
-        sets = {label: {w.encode() for w in notice.split()} for label, notice in templates.items()}
+    def build(cls, frequency: dict[bytes, int], templates: dict[str, str], threshold: float = THRESHOLD) -> Index:
+        sets = {name: {w.encode() for w in notice.split()} for name, notice in templates.items()}
         order = sorted(set().union(*sets.values()), key=lambda w: (frequency.get(w, 0), w))
         rank = {w: i for i, w in enumerate(order)}
-        ordered = {label: sorted(rank[w] for w in s) for label, s in sets.items()}
-        need = {label: math.ceil(threshold * len(s)) for label, s in sets.items()}
+        ordered = {name: sorted(rank[w] for w in s) for name, s in sets.items()}
+        need = {name: math.ceil(threshold * len(s)) for name, s in sets.items()}
         prefix: dict[bytes, tuple[str, ...]] = {}
-        for label, ranks in ordered.items():
-            for r in ranks[: len(ranks) - need[label] + 1]:
-                prefix[order[r]] = (*prefix.get(order[r], ()), label)
+        for name, ranks in ordered.items():
+            for r in ranks[: len(ranks) - need[name] + 1]:
+                prefix[order[r]] = (*prefix.get(order[r], ()), name)
         return cls(rank, {k: tuple(v) for k, v in ordered.items()}, need, prefix)
 
+    @classmethod
+    def by_length(cls, frequency: dict[bytes, int], templates: dict[str, tuple[str, str]] | None = None) -> dict[int, Index]:
+        """An index for each length of blocks."""
+        notices = {name: notice for name, (_, notice) in (templates or TEMPLATES).items()}
+        lengths = sorted({block_words(n) for n in notices.values()})
+        return {length: cls.build(frequency, {k: n for k, n in notices.items() if block_words(n) == length}) for length in lengths}
+
     def block_matches(self, block: Iterable[bytes]) -> dict[str, float]:
         """Containment of every template that the block matches."""
         held = set(block)
@@ -118,9 +198,9 @@ class Index:
         return best
 
 
-def word_frequency(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> dict[bytes, int]:
+def word_frequency(docs: DataFrame) -> dict[bytes, int]:
     """In how many documents each word of the templates stands (a table of fixed size)."""
-    wanted = frozenset(w.encode() for notice in templates.values() for w in notice.split())
+    wanted = frozenset(w.encode() for _, notice in TEMPLATES.values() for w in notice.split())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
@@ -137,13 +217,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """Licenses of each row of ``docs`` (doc_id and text; other columns are not read).
 
     Returns doc_id, n_words, places (array of word, label: where phrases stand, by word),
-    templates (array of label, containment) and score: the best containment, or PHRASE_SCORE
+    templates (array of label, template, containment) and score: the best containment, or PHRASE_SCORE
     if that is higher and a phrase stands in the text; else 0. A null or empty text has no
     words; repeated rows are scanned each; an empty table gives an empty result.
     """
-    index = Index.build(word_frequency(docs))
+    indexes = Index.by_length(word_frequency(docs))
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])
-    match = pa.struct([("label", pa.string()), ("containment", pa.float64())])
+    match = pa.struct([("label", pa.string()), ("template", pa.string()), ("containment", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -151,14 +231,14 @@ def scan(docs: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 words = words_of(t)
                 at = sorted(phrase_places(words))
-                best = index.matches(words)
+                best = {name: share for length, index in indexes.items() for name, share in index.matches(words, length).items()}
                 n.append(len(words))
                 places.append([{"word": i, "label": label} for i, label in at])
-                templates.append([{"label": k, "containment": v} for k, v in sorted(best.items())])
+                templates.append([{"label": TEMPLATES[k][0], "template": k, "containment": v} for k, v in sorted(best.items())])
                 scores.append(max([PHRASE_SCORE if at else 0.0, *best.values()]))
             columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(places, pa.list_(place)), pa.array(templates, pa.list_(match)), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "places", "templates", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, n_words bigint, places array<struct<word:bigint,label:string>>, templates array<struct<label:string,containment:double>>, score double"
+    out = f"doc_id {kind}, n_words bigint, places array<struct<word:bigint,label:string>>, templates array<struct<label:string,template:string,containment:double>>, score double"
     return docs.select("doc_id", "text").mapInArrow(lean(run), out)

@@ -77,17 +77,16 @@ def _op10() -> str:
 
     listed = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
     phrases = " union all ".join(f"select {listed(p)} as p, '{label}' as label" for p, label in licenses.PHRASES.items())
-    templates = " union all ".join(f"select '{label}' as label, list_distinct({listed(t)}) as t" for label, t in licenses.TEMPLATES.items())
-    step = licenses.BLOCK_WORDS // 2
+    templates = " union all ".join(f"select '{label}' as label, list_distinct({listed(t)}) as t, {licenses.block_words(t)} as size" for label, t in licenses.TEMPLATES.values())
     return rf"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 p as ({phrases}), t as ({templates}),
 e as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w),
 b as (select doc_id, i - 1 as word, label from e join p on w[i] = p[1] where w[i:i + len(p) - 1] = p),
 bs as (select doc_id, count(*) as n, min(word) as f, max(word) as l, string_agg(distinct label, ',' order by label) as labels from b group by doc_id),
-blocks as (select doc_id, list_distinct(w[k * {step} + 1:k * {step} + {licenses.BLOCK_WORDS}]) as held
-  from (select doc_id, w, unnest(range(0, cast(greatest(0, ceil((len(w) - {licenses.BLOCK_WORDS}) / {step}e0)) as bigint) + 1)) as k from w)),
-m as (select doc_id, label, len(list_intersect(held, t)) / cast(len(t) as double) as share from blocks, t where len(list_intersect(held, t)) >= ceil({licenses.THRESHOLD}e0 * len(t))),
+blocks as (select doc_id, size, list_distinct(w[k * size // 2 + 1:k * size // 2 + size]) as held
+  from (select doc_id, w, size, unnest(range(0, cast(greatest(0, ceil((len(w) - size) / (size / 2e0))) as bigint) + 1)) as k from w, (select distinct size from t))),
+m as (select doc_id, label, len(list_intersect(held, t)) / cast(len(t) as double) as share from blocks join t on blocks.size = t.size where len(list_intersect(held, t)) >= ceil({licenses.THRESHOLD}e0 * len(t))),
 both_labels as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from b union all select doc_id, label from m) group by doc_id)
 select w.doc_id, len(w.w) as n_words, coalesce(bs.n, 0) as n_base, bs.f as first_word, bs.l as last_word, coalesce(bs.labels, '') as base_labels, coalesce(both_labels.labels, '') as labels,
   coalesce(greatest(case when bs.n > 0 then {licenses.PHRASE_SCORE}e0 else 0e0 end, ms.share), 0e0) as score
