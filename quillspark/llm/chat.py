@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import with_starts
+
 TURN_END = "</turn>\n"
 #: Events that say a message from the start; a delta extends what was said.
 RESETS = ("message", "edit", "regenerate")
@@ -73,24 +75,21 @@ def render(messages: DataFrame, chunk_turns: int = 256) -> DataFrame:
     turns = turns.withColumn("shown", F.concat("head", "said", F.lit(TURN_END)))
     turn = F.struct("turn", "role", "text", "shown", F.length("head").alias("head_n"), F.length("said").alias("said_n"), F.length("shown").alias("n"), (F.col("role") == "assistant").alias("loss"))
     chunks = turns.groupBy("conv_id", F.floor(F.col("turn") / chunk_turns).alias("chunk")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    spot = "struct<start:bigint,end:bigint,loss_start:bigint,loss_end:bigint>"
+    chunks = with_starts(chunks.withColumn("lengths", F.transform("t", lambda t: t["n"].cast("bigint"))), "lengths", "begins")
 
-    def place(state: Column, t: Column) -> Column:
-        at = state["n"] + t["head_n"]
-        mark = F.struct(state["n"].alias("start"), (state["n"] + t["n"]).alias("end"), at.alias("loss_start"), (at + F.when(t["loss"], t["said_n"]).otherwise(0)).alias("loss_end"))
-        return F.struct((state["n"] + t["n"]).alias("n"), F.concat(state["spots"], F.array(mark)).alias("spots"))
+    def spot(t: Column, begin: Column) -> Column:
+        at = begin + t["head_n"]
+        return F.struct(begin.alias("start"), (begin + t["n"]).alias("end"), at.alias("loss_start"), (at + F.when(t["loss"], t["said_n"]).otherwise(0)).alias("loss_end"))
 
-    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast(f"array<{spot}>").alias("spots"))
-    chunks = chunks.select("conv_id", "chunk", F.array_join(F.col("t.shown"), "").alias("shown"), F.aggregate("t", none, place).alias("at"))
-    whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "shown", F.col("at.n").alias("n"), F.col("at.spots").alias("spots")))).alias("c"))
-    zero = F.array(F.lit(0).cast("bigint"))
-    starts = F.aggregate("c", zero, lambda s, c: F.concat(s, F.array(F.element_at(s, -1) + c["n"])))
-    whole = whole.withColumn("starts", starts)
+    shown = F.array_join(F.col("t.shown"), "")
+    chunks = chunks.select("conv_id", F.struct("chunk", shown.alias("shown"), F.length(shown).cast("bigint").alias("n"), F.zip_with("t", "begins", spot).alias("spots")).alias("c"))
+    whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    whole = with_starts(whole.withColumn("lengths", F.col("c.n")), "lengths", "begins")
 
     def shift(c: Column, base: Column) -> Column:
         return F.transform(c["spots"], lambda x: F.struct(*((x[k] + base).alias(k) for k in ("start", "end", "loss_start", "loss_end"))))
 
-    spots = F.flatten(F.zip_with("c", F.slice("starts", F.lit(1), F.size("c")), shift))
+    spots = F.flatten(F.zip_with("c", "begins", shift))
     return whole.select("conv_id", F.array_join(F.col("c.shown"), "").alias("formatted"), spots.alias("turns")).select("conv_id", F.size("turns").cast("long").alias("n_turns"), "formatted", "turns")
 
 
@@ -107,12 +106,25 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return cut.select(*rendered.columns, messages.alias("messages"), F.array_join(masked, "").alias("loss_text"))
 
 
+#: Characters of a streamed delta, and of a draft that is taken back.
+DELTA_CHARS, DRAFT_CHARS = 200, 12
+
+
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The log of a table of turns: each row opens a message and streams its text."""
+    """The log of a table of turns, as it would have come about.
+
+    Each row opens a message with a draft (its end, turned round). A user's draft is edited
+    and an assistant's regenerated; then the text is streamed in deltas of DELTA_CHARS. Only a fold in
+    order of seq gives the text back.
+    """
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("message_id"))
-    opened = F.struct(F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit("").alias("text"))
-    streamed = F.struct(F.lit(1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.col("text"))
-    return rows.select("conv_id", "message_id", "turn", "role", F.explode(F.array(opened, streamed)).alias("e")).select("conv_id", "message_id", "turn", "e.seq", "e.kind", "role", "e.text")
+    event = lambda seq, kind, text: F.struct(seq.cast("long").alias("seq"), kind.alias("kind"), text.alias("text"))
+    draft = F.reverse(F.right("text", F.lit(DRAFT_CHARS)))
+    reset = F.when(F.coalesce("role", F.lit("")) == "assistant", "regenerate").otherwise("edit")
+    first = F.array(event(F.lit(0), F.lit("message"), F.lit("")), event(F.lit(1), F.lit("delta"), draft), event(F.lit(2), reset, F.lit("")))
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / DELTA_CHARS) - 1, F.lit(0)).cast("int"))
+    deltas = F.transform(pieces, lambda i: event(i + 3, F.lit("delta"), F.substring("text", i * DELTA_CHARS + 1, F.lit(DELTA_CHARS))))
+    return rows.select("conv_id", "message_id", "turn", "role", F.explode(F.concat(first, deltas)).alias("e")).select("conv_id", "message_id", "turn", "e.seq", "e.kind", "role", "e.text")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

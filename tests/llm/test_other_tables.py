@@ -102,6 +102,21 @@ def test_conversations_read_back(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_turn_and_a_long_text(spark):
+    rows = [(1, 0, "assistant", f"row {i:05d}") for i in range(20_000)] + [(2, 0, "user", "w " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {x.conv_id: x for x in chat.format_conversations(df).collect()}
+    assert got[1].loss_text == "".join(t for _, _, _, t in rows[:-1]) and got[1].turns[-1].end == len(got[1].formatted)
+    assert got[2].messages[0].text == rows[-1][3]
+
+
+def test_the_log_of_a_table_needs_the_fold(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x" * 450), (1, 1, "assistant", "answer")], "conv_id int, turn int, role string, text string")
+    log = chat.conversation_events(df).collect()
+    assert collections.Counter(e.kind for e in log) == {"message": 2, "delta": 6, "edit": 1, "regenerate": 1}
+    assert "".join(e.text for e in log if e.turn == 1) != "answer"
+
+
 def test_events_fold(spark):
     log = [
         (1, "m1", 0, 1, "message", "user", "he"), (1, "m1", 0, 2, "delta", "user", "llo"),
