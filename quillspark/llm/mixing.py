@@ -16,7 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch, small, word_count
+from quillspark.llm.common import scratch, small, temporary_tables, word_count
+
+
+#: Shards that share out blocks at once.
+RACK = 4096
 
 
 def apportion(votes: DataFrame, group: Sequence[str], vote: str, seats: str, order: Sequence[Column], out: str) -> DataFrame:
@@ -80,20 +84,37 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     order; an empty table gives an empty result; repeated rows are separate documents.
     Equal seeds give equal results, however the rows are laid out.
     """
-    sized = scratch(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = scratch(source_targets(totals, weights, share, max_epochs), "mix-targets")
-    blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
-    quotas = apportion(targets.withColumn("blocks", blocks), [], "target", "blocks", [F.col("sid")], "quota")
-    quotas = scratch(quotas.select("source", "sid", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("shards")), "mix-quotas")
-
-    seeded = F.xxhash64(F.lit(seed), "doc_id", "size")
-    rows = sized.join(quotas.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumn("shard", F.pmod(seeded, F.col("shards")))
-    shards = rows.groupBy("sid", "quota", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = apportion(shards, ["sid"], "shard_size", "quota", [F.col("shard")], "shard_quota")
-    m = F.greatest(F.lit(1), F.round(F.col("shard_size") / block_words)).cast("long")
-    shards = scratch(shards.select("sid", "shard", "shard_size", m.alias("m"), F.least(F.col("shard_quota"), max_epochs * m).alias("q"), F.pmod(F.xxhash64(F.lit(seed), "sid", "shard"), m).alias("start")), "mix-shards")
+    keep: list[DataFrame] = []
+    with temporary_tables(keep):
+        sized = scratch(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+        totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+        targets = scratch(source_targets(totals, weights, share, max_epochs), "mix-targets")
+        blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
+        quotas = apportion(targets.withColumn("blocks", blocks), [], "target", "blocks", [F.col("sid")], "quota")
+        quotas = scratch(quotas.select("source", "sid", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("shards")), "mix-quotas")
+
+        seeded = F.xxhash64(F.lit(seed), "doc_id", "size")
+        rows = sized.join(quotas.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        rows = rows.withColumn("shard", F.pmod(seeded, F.col("shards")))
+        shards = rows.groupBy("sid", "quota", "shard").agg(F.sum("size").alias("shard_size"))
+        # Blocks go to racks of shards first, so that no window holds more rows than a rack has shards, or a source racks.
+        shards = scratch(shards.withColumn("rack", F.floor(F.col("shard") / RACK)), "mix-shard-sizes")
+        racks = shards.groupBy("sid", "quota", "rack").agg(F.sum("shard_size").alias("rack_size"))
+        racks = apportion(racks, ["sid"], "rack_size", "quota", [F.col("rack")], "rack_quota").select("sid", "rack", "rack_quota")
+        shards = apportion(shards.join(racks, ["sid", "rack"]), ["sid", "rack"], "shard_size", "rack_quota", [F.col("shard")], "shard_quota")
+        m = F.greatest(F.lit(1), F.round(F.col("shard_size") / block_words)).cast("long")
+        shards = shards.withColumn("m", m).withColumn("room", F.greatest(max_epochs * F.col("m") - F.col("shard_quota"), F.lit(0)))
+        # What a shard cannot hold goes to others of its source, in proportion to their room.
+        shards = scratch(shards.withColumn("over", F.greatest(F.col("shard_quota") - max_epochs * F.col("m"), F.lit(0))), "mix-quotas-of-shards")
+        lost = shards.groupBy("sid").agg(F.sum("over").alias("lost")).filter("lost > 0")
+        again = shards.groupBy("sid", "rack").agg(F.sum("room").alias("rack_room")).join(lost, "sid").filter("rack_room > 0")
+        again = apportion(again, ["sid"], "rack_room", "lost", [F.col("rack")], "rack_more").select("sid", "rack", "rack_more")
+        more = shards.filter("room > 0").select("sid", "rack", "shard", "room").join(again, ["sid", "rack"])
+        more = apportion(more, ["sid", "rack"], "room", "rack_more", [F.col("shard")], "more").select("sid", "shard", "more")
+        q = F.least(F.col("shard_quota") + F.coalesce("more", F.lit(0)), max_epochs * F.col("m"))
+        shards = shards.join(more, ["sid", "shard"], "left")
+        shards = scratch(shards.select("sid", "shard", "shard_size", "m", q.alias("q"), F.pmod(F.xxhash64(F.lit(seed), "sid", "shard"), F.col("m")).alias("start")), "mix-shards")
+        keep += [sized, quotas, shards]
 
     line = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
     placed = rows.join(shards, ["sid", "shard"]).withColumn("__end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
@@ -120,8 +141,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: whole documents, each as often as ``mix_sources`` says (``copies``).
 
-    Rows that share a doc_id are repeated alike, as often as the one taken least.
+    Rows that share a doc_id (null too) are repeated alike, as often as the one taken least. Null texts
+    have no words and go; an empty table stays empty; all columns stay, whatever their names.
     """
-    taken = scratch(mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").alias("__copies")), "mix-copies")
-    some = small(taken.filter(F.col("__copies") > 0), 64)
-    return docs.join(some, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = scratch(mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.min("copies").alias("__mix_copies")), "mix-copies")
+    some = small(taken.filter(F.col("__mix_copies") > 0), 64)
+    rows = docs.join(some, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).drop("__mix_id", "__mix_copies", "__mix_copy")
