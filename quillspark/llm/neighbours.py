@@ -14,6 +14,7 @@ the rows of a cell. Cells that many equal rows make too large are cut by a hash.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import lean, scratch
+from quillspark.llm.common import lean, scratch, temporary_tables
 
 PROJECTED = 16
 #: Probability with which each true neighbour lies within the radius that was searched.
@@ -147,18 +148,22 @@ class Cell:
         gaps = self.tree.gaps(low)
         found = [np.empty(0, np.int64)] * n
         score = [np.empty(0)] * n
-        verified = np.zeros(n, np.int64)
+        verified, kth = np.zeros(n, np.int64), np.full(n, -np.inf)
 
-        def visit(leaf: int, who: np.ndarray) -> None:
+        def visit(leaf: int, who: np.ndarray, all_rows: bool = False) -> None:
             rows = self.tree.rows[leaf]
-            apart = squares[who][:, None] + self.squares[rows][None] - 2 * low[who] @ self.low[rows].T
-            q, r = np.nonzero((apart <= (bound[who] * self.reach + 1e-9)[:, None]) & (self.ids[rows][None] != ids[who][:, None]))
+            near = self.ids[rows][None] != ids[who][:, None]
+            if not all_rows:
+                near &= squares[who][:, None] + self.squares[rows][None] - 2 * low[who] @ self.low[rows].T <= (bound[who] * self.reach + 1e-9)[:, None]
+            q, r = np.nonzero(near)
             if not len(q):
                 return
             q, r = who[q], rows[r]
             # Products are added in the same order for every pair, so equal rows give equal numbers.
             cosine = np.einsum("ij,ij->i", self.vectors[r], queries[q]) / (self.norms[r] * norms[q])
             verified[:] += np.bincount(q, minlength=n)
+            good = cosine >= kth[q]
+            q, r, cosine = q[good], r[good], cosine[good]
             starts = np.flatnonzero(np.diff(q, prepend=-1))
             for b, e in zip(starts, np.append(starts[1:], len(q))[: len(starts)], strict=True):
                 x = q[b]
@@ -166,13 +171,14 @@ class Cell:
                 top = np.lexsort((all_ids, -all_scores))[:k]
                 found[x], score[x] = all_ids[top], all_scores[top]
                 if len(top) == k:
+                    kth[x] = score[x][-1]
                     bound[x] = min(bound[x], max(0.0, 2 - 2 * score[x][-1]))
 
         nearest = gaps.argmin(1)
         for leaf in range(gaps.shape[1]):
             who = np.flatnonzero(nearest == leaf)
             if len(who):
-                visit(leaf, who)
+                visit(leaf, who, all_rows=True)  # so that k are found
         for leaf in range(gaps.shape[1]):
             who = np.flatnonzero((nearest != leaf) & (gaps[:, leaf] <= bound * self.reach + 1e-9))
             if len(who):
@@ -204,21 +210,23 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pick = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows, asked = pick(table), pick(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     widths = sorted(r["w"] for r in asked.select(F.size("v").alias("w")).distinct().collect())  # nearly always one
-    found = [_nearest(rows.filter(F.size("v") == w), asked.filter(F.size("v") == w), k) for w in widths]
-    if not found:
+    if not widths:
         return asked.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, verified bigint")
-    met = found[0]
-    for more in found[1:]:
-        met = met.unionByName(more)
-    met = scratch(met, "neighbours")
-    # Where a neighbour of the sample was missed, fewer than k rows may have passed the test; such queries go everywhere.
-    full = met.filter("vec_id is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= k)
-    short = scratch(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short-queries")
-    if not short.isEmpty():
-        met = met.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
-        for w in widths:
-            met = met.unionByName(_nearest(rows.filter(F.size("v") == w), short.filter(F.size("v") == w), k, everywhere=True))
-        met = scratch(met, "neighbours-all")
+
+    def every(asking: DataFrame, everywhere: bool) -> DataFrame:
+        found = [_nearest(rows.filter(F.size("v") == w), asking.filter(F.size("v") == w), k, everywhere) for w in widths]
+        return functools.reduce(DataFrame.unionByName, found)
+
+    keep: list[DataFrame] = []
+    with temporary_tables(keep):
+        met = scratch(every(asked, False), "neighbours")
+        # A query that came to fewer than k rows goes to every cell.
+        full = met.filter("vec_id is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= k)
+        short = scratch(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short-queries")
+        if not short.isEmpty():
+            met = met.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+            met = scratch(met.unionByName(every(short, True)), "neighbours-all")
+        keep.append(met)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     seen = F.sum("verified").over(Window.partitionBy("query_id"))
     ranked = met.select("query_id", "vec_id", "score", seen.alias("verified")).filter("vec_id is not null").withColumn("rank", F.row_number().over(order))
