@@ -1,7 +1,6 @@
 """Lexicon sentiment: a relational core, and a scorer with the usual rules.
 
-The lexicon is a parameter (word, valence); a small one of our own serves for
-demonstration. Scores depend on the lexicon, so they are not comparable with those of
+The lexicon is a parameter (word, valence); a list of our own serves where none is given. Scores depend on the lexicon, so they are not comparable with those of
 other packages unless theirs is supplied.
 """
 
@@ -16,13 +15,16 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
 
-# Demonstration valences.
-DEMO_LEXICON = {
-    "amazing": 2.8, "awesome": 3.1, "awful": -2.0, "bad": -2.5, "best": 3.2, "broken": -2.0, "cheap": -0.8, "disappointed": -2.1,
-    "excellent": 2.7, "fine": 0.8, "good": 1.9, "great": 3.1, "happy": 2.7, "hate": -2.7, "horrible": -2.5, "love": 3.2,
-    "nice": 1.8, "perfect": 2.7, "poor": -2.1, "problem": -1.7, "sad": -2.1, "terrible": -2.1, "useless": -1.8, "waste": -1.8,
-    "wonderful": 2.7, "worst": -3.1, "worthless": -1.9, "trash": -1.5,
-}
+# Words of seven strengths, rated for this library; no other list went into it.
+RATED = {
+    3.0: "amazing awesome best excellent exceptional fantastic flawless incredible love loved outstanding perfect perfectly stunning superb wonderful",
+    2.0: "beautiful comfortable delighted durable effective enjoy enjoyed favorite favourite gentle glad good great happy helpful impressed lovely pleased quality recommend reliable satisfied sturdy thrilled",
+    1.0: "clean convenient cute decent easy fine fresh nice okay ok quick smooth soft useful works worth",
+    -1.0: "basic bulky cheap dull expensive greasy heavy loose noisy odd overpriced slow small stiff thin tight",
+    -2.0: "annoying bad boring broke broken cheaply complaint crack cracked damaged disappointed disappointing fail failed fake flimsy irritated leak leaked leaking messy misleading poor problem problems return returned sad smelly stopped uncomfortable unhappy useless wrong",
+    -3.0: "awful disgusting dreadful garbage hate hated horrible junk nasty painful refund ruined scam terrible trash waste wasted worst worthless",
+}
+DEMO_LEXICON = {word: valence for valence, words in RATED.items() for word in words.split()}
 #: Added to the squared sum before the root, which maps sums to (-1, 1).
 ALPHA = 15
 NEGATIONS = frozenset("no not never none nor neither cannot can't don't didn't doesn't isn't wasn't won't wouldn't without hardly".split())

@@ -22,6 +22,7 @@ from quillspark.operators import agreement, figures, hist, rank, resample, sampl
 from quillspark.session import get_session, setup_logging
 from quillspark.sources import readers, sinks
 
+# Columns of the published stage table.
 CLEAN_COLUMNS = ("category", "year", "rating", "title", "text", "review_text", "char_len", "token_len", "helpful_vote", "verified_purchase", "timestamp")
 
 
@@ -34,6 +35,16 @@ class Pipeline:
         self.spark, self.cfg, self.detector, self.lexicon = spark, cfg, detector, lexicon
         self.a, self.b = cfg.sources
         self.log = setup_logging()
+        self.held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """``df`` kept until the stage or analysis that uses it more than once is done."""
+        self.held.append(df.persist())
+        return self.held[-1]
+
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
     # --- tables
 
@@ -52,10 +63,10 @@ class Pipeline:
         title, body = text.clean_text(F.col("title")), text.clean_text(F.col("text"))
         rows = sampled.withColumn("title", title).withColumn("text", body)
         rows = rows.withColumn("review_text", text.concat_title(F.col("title"), F.col("text"))).filter(F.col("review_text") != "")
-        before = rows.select(*rows.columns).persist()
-        unique = sampling.drop_duplicates_first(before, ["category", "year", "review_text"], ["timestamp", "rating", "title", "text"])
+        before = self.hold(rows)
+        unique = self.hold(sampling.drop_duplicates_first(before, ["category", "year", "review_text"], ["timestamp", "rating", "title", "text"]))
         kept = unique if self.detector is None else langid.keep_language(unique, "review_text", self.detector, ascii_least=self.cfg.ascii_least)
-        kept = kept.withColumn("char_len", text.char_len(F.col("review_text"))).withColumn("token_len", text.token_len(F.col("review_text"))).select(*CLEAN_COLUMNS).persist()
+        kept = self.hold(kept.withColumn("char_len", text.char_len(F.col("review_text"))).withColumn("token_len", text.token_len(F.col("review_text"))).select(*CLEAN_COLUMNS))
         steps = [("sampled", sampled.count()), ("not empty", before.count()), ("not duplicate", unique.count()), ("language", kept.count())]
         log = [(name, n, (steps[i - 1][1] if i else n) - n) for i, (name, n) in enumerate(steps)]
         self.write(self.spark.createDataFrame(log, "step string, rows_remaining bigint, rows_dropped bigint").coalesce(1), "preprocessing_log", "Rows kept by each step")
@@ -89,7 +100,7 @@ class Pipeline:
     def trends(self, df: DataFrame) -> dict[str, Any]:
         """How scores move over the years."""
         b, v, keys = self.cfg.bootstrap, "vader_compound", ["category", "year"]
-        cells = resample.bootstrap_ci(df, v, keys, "mean", b.iterations, b.level, b.seed).withColumnRenamed("estimate", "mean").persist()
+        cells = self.hold(resample.bootstrap_ci(df, v, keys, "mean", b.iterations, b.level, b.seed).withColumnRenamed("estimate", "mean"))
         self.write(cells, "rq2_yearly_means", "Yearly means")
         self.write(figures.trend_band(cells, *keys), "figure_trend")
         mk = trend.mann_kendall(cells, "year", "mean", ["category"]).collect()
@@ -113,7 +124,7 @@ class Pipeline:
         both = {"overall": [], "by_category": ["category"]}
         metrics = {}
         for name, by in both.items():
-            grid = agreement.confusion(rated, "star_label", "vader_label", by=by).persist()
+            grid = self.hold(agreement.confusion(rated, "star_label", "vader_label", by=by))
             metrics[name] = {"metrics": agreement.agreement_metrics(grid, by).collect(), "classes": agreement.class_metrics(grid, by).collect(), "kappa": agreement.kappa_quadratic(grid, by).collect(), "majority": agreement.majority_baseline(rated, "star_label", by).collect()}
             self.write(grid, f"figure_confusion_{name}")
         chi = agreement.chi2_2x2(rated, "category", self.a, self.b, F.col("hit") == 1).first()
@@ -131,15 +142,14 @@ class Pipeline:
         w, out = self.cfg.words, {}
         docs = df.withColumn("id", F.monotonically_increasing_id())
         for name, rows, group, a, b in [(c, docs.filter(F.col("category") == c), "star_label", "positive", "negative") for c in (self.a, self.b)] + [("crosscat", docs, "category", self.a, self.b)]:
-            rows = rows.filter(F.col(group).isin(a, b)).select("id", group, "review_text").persist()
-            terms = words.document_terms(rows, "id", "review_text", group, w.max_ngram).persist()
+            rows = self.hold(rows.filter(F.col(group).isin(a, b)).select("id", group, "review_text"))
+            terms = self.hold(words.document_terms(rows, "id", "review_text", group, w.max_ngram))
             top = words.top_bottom_k(words.fighting_words(words.group_counts(terms, group, a, b, w.min_df, w.max_terms)), w.top_n, a, b)
             self.write(top, f"rq4_words_{name}", f"Distinctive words: {a} and {b} ({name})")
             self.write(words.word_bars(top), f"figure_words_{name}")
             self.write(words.tfidf_top(rows, terms, "id", group, [a, b], w.top_n, w.min_df, w.max_terms), f"tfidf_{name}")
             out[name] = {a: [r.term for r in top.filter(F.col("distinctive_of") == a).limit(10).collect()], b: [r.term for r in top.filter(F.col("distinctive_of") == b).limit(10).collect()]}
-            terms.unpersist()
-            rows.unpersist()
+            self.release()
         return out
 
     # --- running
@@ -156,7 +166,9 @@ class Pipeline:
             self.log.info("%s is there", name)
             return self.spark.read.parquet(path)
         self.log.info("making %s", name)
-        return sinks.write_stage(make(), path, mark)
+        table = sinks.write_stage(make(), path, mark)
+        self.release()
+        return table
 
     def run(self, only: Sequence[str] = ("distributions", "trends", "agreement", "words"), force: bool = False) -> dict[str, Any]:
         """Make the tables that are missing, run the analyses and write results; returns them too."""
@@ -172,6 +184,7 @@ class Pipeline:
             self.log.info("analysing %s", name)
             results[name] = getattr(self, name)(scored)
             sinks.write_json(results[name], f"{self.cfg.output}/stats/{name}.json")
+            self.release()
         return results
 
 

@@ -610,7 +610,7 @@ def kde_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def trend_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ci = resample.bootstrap_ci(views.scores(spark, sf_dir), "score", ["grp", "yr"], "mean", iterations=2000)
+    ci = resample.bootstrap_ci(views.scores(spark, sf_dir), "score", ["grp", "yr"], "mean")
     return figures.trend_band(ci.withColumnRenamed("estimate", "mean"), "grp", "yr")
 
 
