@@ -11,7 +11,7 @@ are. A passage that many documents share seldom makes a block, as a group mixes
 of the whole text.
 
 In each block an R-tree indexes the classes as points: the counts of their shingles in
-DIMENSIONS further hash groups. The sum of coordinate minima of a point and the upper
+DIMENSIONS or more further hash groups, more for larger sets. The sum of coordinate minima of a point and the upper
 corner of a box bounds the overlap with all points below, and of two points with each
 other. Pairs that the bound lets through are joined by union-find, and a block gives a
 spanning forest of them: never more rows than members. The components of all forests
@@ -55,7 +55,8 @@ class Rule:
 
 #: Of the query op4_jaccard_join.
 CONTRACT = Rule(3, 90)
-DIMENSIONS = 64
+#: Least dimensions of a point, and shingles for each beyond.
+DIMENSIONS, SHINGLES_A_DIMENSION = 64, 20
 #: Size classes grow by half; a pair meets in the class of its larger set.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
@@ -127,10 +128,34 @@ def signatures(s: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its shingles fall into each dimension (at most 65535 counted)."""
-    n = np.bincount((mix(s, 6) % _U(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
-    return np.minimum(n, 65535).astype("<u2")
+def width(n: int) -> int:
+    """Dimensions of the point of a set of ``n``: so many that sets with nothing in common stay under the bound."""
+    return max(DIMENSIONS, 1 << max(n // SHINGLES_A_DIMENSION - 1, 0).bit_length())
+
+
+def counts(s: np.ndarray, dimensions: int | None = None) -> np.ndarray:
+    """The point of a set: how many of its shingles fall into each dimension (at most 255 counted). Halves of a point add up to the point of half the width."""
+    dimensions = dimensions or width(len(s))
+    n = np.bincount((mix(s, 6) % _U(dimensions)).astype(np.int64), minlength=dimensions)
+    return np.minimum(n, 255).astype(np.uint8)
+
+
+class Points:
+    """The points of many rows, of several widths, given out at the least width of those asked for."""
+
+    def __init__(self, column: list[bytes]):
+        self.widths = np.array([len(x) for x in column], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.widths)])[:-1]
+        self.flat = np.frombuffer(b"".join(column), np.uint8)
+
+    def take(self, rows: np.ndarray, dimensions: int) -> np.ndarray:
+        """Points of ``rows``, none narrower than ``dimensions``."""
+        out = np.empty((len(rows), dimensions), np.int32)
+        for w in np.unique(self.widths[rows]).tolist():
+            which = np.flatnonzero(self.widths[rows] == w)
+            p = self.flat[self.begins[rows[which]][:, None] + np.arange(w)]
+            out[which] = p.reshape(len(which), w // dimensions, dimensions).sum(1, dtype=np.int32)
+        return out
 
 
 def _names(s: np.ndarray) -> tuple[int, int]:
@@ -232,19 +257,22 @@ def _forests(members: DataFrame, keys: tuple[str, ...], rule: Rule) -> DataFrame
         for t, starts in whole_groups(batches, keys):
             k1, grp, n = (t.column(c).to_numpy() for c in ("k1", "grp", "n"))
             side = t.column("side").to_numpy() if sided else None
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u2").reshape(-1, DIMENSIONS)
+            points = Points(t.column("point").to_pylist())
             found: set[tuple[int, int]] = set()
             size = np.diff(starts)
-            p = starts[:-1][size == 2]
-            if len(p):  # most blocks are pairs: one bound
-                q = p + 1
-                rest = n - points.sum(1, dtype=np.int64)
-                bound = np.minimum(points[p], points[q]).sum(1, dtype=np.int64) + np.minimum(rest[p], rest[q])
-                ok = (rule.denominator * bound >= rule.numerator * (n[p] + n[q])) & (grp[p] != grp[q])
-                ok &= True if side is None else side[p] != side[q]
-                found.update(zip(k1[p[ok]].tolist(), k1[q[ok]].tolist(), strict=True))
+            twos = starts[:-1][size == 2]
+            common = np.minimum(points.widths[twos], points.widths[twos + 1])
+            for w in np.unique(common).tolist():  # most blocks are pairs: one bound
+                p = twos[common == w]
+                for some in np.array_split(p, 1 + len(p) * w // (1 << 20)):
+                    q, a, b = some + 1, points.take(some, w), points.take(some + 1, w)
+                    bound = np.minimum(a, b).sum(1, dtype=np.int64) + np.minimum(n[some] - a.sum(1), n[q] - b.sum(1))
+                    ok = (rule.denominator * bound >= rule.numerator * (n[some] + n[q])) & (grp[some] != grp[q])
+                    ok &= True if side is None else side[some] != side[q]
+                    found.update(zip(k1[some[ok]].tolist(), k1[q[ok]].tolist(), strict=True))
             for b, e in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist(), strict=True):
-                links = block_forest(grp[b:e], n[b:e], points[b:e], rule, None if side is None else side[b:e])
+                rows = np.arange(b, e)
+                links = block_forest(grp[b:e], n[b:e], points.take(rows, int(points.widths[rows].min())), rule, None if side is None else side[b:e])
                 found.update((int(k1[b + x]), int(k1[b + y])) for x, y in links)
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -303,7 +331,7 @@ def set_links(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarra
     sizes = np.array([len(s) for s in sets])
     flat, local = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    points = np.stack([counts(s) for s in sets])
+    points = np.stack([counts(s, width(int(sizes.min()))) for s in sets])
     rest = sizes - points.sum(1, dtype=np.int64)
     tree, forest = RTree(points, sizes, rest, rule), Forest(m)
     links, marked = np.zeros(m, np.int64), np.zeros(len(flat) + 1, bool)
@@ -429,6 +457,28 @@ def _large_bundles(members: DataFrame, rule: Rule) -> DataFrame:
     return labels.join(least, "component").select("k1", "k2", "component_id", (F.col("certain") + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"))
 
 
+def shared_blocks(sets: DataFrame) -> DataFrame:
+    """block, k1 of those ``blocks`` that sets of several k1 have: one shuffle, in order of both, and a look at the neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, k1, last = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last row so far, and whether its block has had another
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block, k1 = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in ((block, "block"), (k1, "k1")))
+            new = np.concatenate([[True], (block[1:] != block[:-1]) | (k1[1:] != k1[:-1])])
+            block, k1 = block[new], k1[new]
+            like = block[1:] == block[:-1]
+            told = np.concatenate([like, [False]]) | np.concatenate([[last], like])
+            yield pa.RecordBatch.from_arrays([pa.array(block[:-1][told[:-1]]), pa.array(k1[:-1][told[:-1]])], ["block", "k1"])
+            block, k1, last = block[-1:], k1[-1:], bool(told[-1])
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(k1)], ["block", "k1"])
+
+    keyed = sets.select("k1", F.explode("blocks").alias("block"))
+    return keyed.select("block", "k1").repartition("block").sortWithinPartitions("block", "k1").mapInArrow(lean(run), "block bigint, k1 bigint")
+
+
 def near_groups(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Groups of ``docs`` (doc_id bigint, text; other columns are not read) connected by similarity: links of ``rule``.
 
@@ -444,11 +494,10 @@ def near_groups(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     with temporary_tables(keep):
         table = scratch(features(docs, rule), "shingle-features")
         sets = table.filter("n > 0")
-        keyed = sets.select("k1", F.explode("blocks").alias("block"))
-        shared = scratch(keyed.groupBy("block").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("block"), "shared-blocks")
-        met = keyed.join(small(shared, 32), "block", "left_semi").distinct()
         classes = scratch(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
-        members = scratch(met.join(classes.select("k1", "n", "point"), "k1"), "members")
+        copies = small(scratch(classes.filter("rows > 1").select("k1", "k2", "class_id"), "copied-classes"), 48)
+        once = sets.select("doc_id", "k1", "k2", "blocks").join(copies, ["k1", "k2"], "left").filter("class_id is null or doc_id = class_id")
+        members = scratch(shared_blocks(once).join(classes.select("k1", "n", "point"), "k1"), "members")
         bundled = scratch(bundles(members, rule), "bundles")
 
         wanted = classes.select("k1", "k2", "class_id", "n").join(small(bundled, 32), "k1")

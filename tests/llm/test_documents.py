@@ -401,12 +401,19 @@ def test_every_linked_pair_shares_a_block():
                     assert keys[a] & keys[b]
 
 
+def test_points_fold_to_narrower_ones():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 62, n).astype(np.uint64)) for i, n in enumerate((10, 1500, 3000, 9000))]
+    points = jaccard.Points([jaccard.counts(s).tobytes() for s in sets])
+    assert len(set(points.widths.tolist())) > 2
+    assert (points.take(np.arange(4), 64) == np.stack([jaccard.counts(s, 64) for s in sets[:3]] + [np.bincount((jaccard.mix(sets[3], 6) % np.uint64(64)).astype(int), minlength=64)])).all()
+
+
 def test_rtree_finds_all_that_the_bound_allows():
     import numpy as np
 
     r = np.random.default_rng(3)
     base = r.integers(0, 6, (40, jaccard.DIMENSIONS))
-    points = np.concatenate([np.clip(base + (r.random(base.shape) < 0.02), 0, None) for _ in range(40)]).astype("<u2")
+    points = np.concatenate([np.clip(base + (r.random(base.shape) < 0.02), 0, None) for _ in range(40)]).astype(np.int32)
     sizes = points.sum(1, dtype=np.int64)
     tree = jaccard.RTree(points, sizes, np.zeros(len(sizes), np.int64))
     for x in range(0, len(points), 37):
