@@ -133,8 +133,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id and ``secrets`` (array of start, end, kind, partner; by start, then kind) for each row of ``docs``.
 
     ``docs``: doc_id and text; other columns are not read. Positions are code points, end
-    exclusive; ``partner`` is the start of the linked part, -1 if none. A null or empty text
-    has none; repeated rows are scanned each; an empty table gives an empty result.
+    exclusive; ``partner`` is the start of the linked part, -1 if none. Spans that begin together go in
+    the order of KINDS, and of partners equally near the first is taken. Texts of any length are scanned
+    whole, one at a time. A null or empty text has none; repeated rows are scanned each; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,11 @@ def redact_text(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, n_chars and any others) with secrets redacted and n_chars of the new text."""
+    """``docs`` (text, n_chars and any others) with secrets redacted and n_chars of the new text.
+
+    Null texts stay null (n_chars too), rows that repeat are redacted alike, texts of any length whole;
+    all other columns stay, whatever their names; an empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
