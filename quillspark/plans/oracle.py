@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillspark.functions.langid import FUNCTION_WORDS
+
 VIEWS = r"""
 v_scores as (select o_orderkey as id, o_orderpriority as grp, cast(year(o_orderdate) as int) as yr,
   cast(o_orderkey % 5 + 1 as int) as rating, (floor(o_totalprice / 25) - 10000) / 10000e0 as score from orders),
@@ -88,6 +90,14 @@ join (select grp, median(x) as mx, median(i) as mi from i group by grp) m on s.g
 )
 
 
+SAID = "v_said as (select *, " + ", ".join(f"len(list_filter({WORDS}, lambda w: w in ({', '.join(repr(w) for w in said.split())}))) as n_{lang}" for lang, said in FUNCTION_WORDS.items()) + " from v_docs)"
+
+
+def _is(lang: str) -> str:
+    """Whether a language has more function words in the text than any other."""
+    return f"(n_{lang} > 0 and n_{lang} > greatest({', '.join(f'n_{x}' for x in FUNCTION_WORDS if x != lang)}))"
+
+
 def two_sided_p(z: str) -> str:
     """Two-sided normal probability, by a power series near 0 and a continued fraction beyond."""
     down = "list_transform(range(1, 121), lambda i: cast(121 - i as double))"
@@ -168,7 +178,7 @@ def oracle_sql() -> dict[str, str]:
         "drop_empty": _with(f"select doc_id from v_reviews where {STRIPPED} <> ''"),
         "concat_title": _with("select doc_id, md5(case when trim(coalesce(title, '')) <> '' then trim(title) || '. ' || text else text end) as joined_md5 from v_reviews"),
         "fast_reject": _with(f"select id from v_docs where {ASCII} >= 0.85"),
-        "lang_en": _with(f"select id, lang from v_docs where {ASCII} >= 0.85 and lang = 'en'"),
+        "lang_en": _with(f"select id, lang from v_said where {ASCII} >= 0.85 and {_is('en')}", SAID),
         "group_filter": _with("select grp, yr, count(*) as n, round(sum(score), 6) as total from v_scores group by all"),
         "label_filter": _with('select id, "true" from v_labelled where "true" <> \'neutral\''),
         "mismatch_pred": _with(f"select id, {MISMATCH} as kind from v_scores where {MISMATCH} is not null"),
@@ -190,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "vocab_align": _with("select term, cast(y_i as bigint) as y_i, cast(y_j as bigint) as y_j from y", terms, COUNTS),
         "star_map": _with("select id, case when trunc(rating - 0.1) in (4, 5) then 'positive' when trunc(rating - 0.1) in (1, 2) then 'negative' else 'neutral' end as label from v_scores"),
         "cat_dim": _with("select case category when 'A' then 'even_sources' else 'odd_sources' end as file_name, count(*) as n from v_docs group by 1"),
-        "mask_align": _with(f"select id, {ASCII} >= 0.85 and lang = 'en' as kept from v_docs"),
+        "mask_align": _with(f"select id, {ASCII} >= 0.85 and {_is('en')} as kept from v_said", SAID),
         "pairwise_dominance": _with("select n_pairs, wins, losses, round((wins - losses) / cast(n_pairs as double), 6) as delta from q", DOMINANCE),
         "cliffs_delta": _with("select round((wins - losses) / cast(n_pairs as double), 6) as delta from q", DOMINANCE),
         "sen_pairs": SEN,

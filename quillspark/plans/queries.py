@@ -121,7 +121,7 @@ def fast_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lang_en(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.keep_language(views.docs(spark, sf_dir), "text", langid.ColumnDetector("lang")).select("id", "lang")
+    return langid.keep_language(views.docs(spark, sf_dir), "text", langid.FunctionWordDetector()).select("id", "lang")
 
 
 @query
@@ -223,7 +223,7 @@ def cat_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mask_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = (text.ascii_ratio(F.col("text")) >= 0.85) & (F.col("lang") == "en")
+    keep = (text.ascii_ratio(F.col("text")) >= 0.85) & F.coalesce(langid.FunctionWordDetector().column(F.col("text")) == "en", F.lit(False))
     return views.docs(spark, sf_dir).select("id", keep.alias("kept"))
 
 

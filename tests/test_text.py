@@ -101,3 +101,11 @@ def test_tfidf_counts_documents_without_terms(spark):
 
 def test_log_odds_of_one_term_is_undefined(spark):
     assert words.fighting_words(spark.createDataFrame([("x", 3, 2)], "term string, y_i bigint, y_j bigint")).first().z is None
+
+
+def test_languages_by_function_words(spark):
+    said = ["The cat was on the mat", "Der Hund und die Katze", "le chat est dans la maison avec une souris", "los perros y una casa con jardín", "xyz 123", "", None, "the und"]
+    got = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", langid.FunctionWordDetector().column(F.col("t")).alias("l")).orderBy("i").collect()
+    assert [r.l for r in got] == ["en", "de", "fr", "es", None, None, None, None]
+    lists = [set(w.split()) for w in langid.FUNCTION_WORDS.values()]
+    assert len(set().union(*lists)) == sum(map(len, lists))
