@@ -31,15 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import lean, mix, scratch, slices, small, temporary_tables, whole_groups, word_hashes
+from quillspark.llm.common import lean, mix, release, scratch, slices, small, temporary_tables, whole_groups, word_hashes
 
 #: Symbols of the longest context.
 DEPTH = 3
 #: Occurrences that contexts and successors need.
 LEAST_CONTEXT, LEAST_SUCCESSOR = 64, 4
 DISCOUNT = 0.75
-#: Bytes of text that are counted or scored at once.
-SLICE = 3 << 20
+#: Bytes of text that are counted at once, and scored at once (with the tree beside them).
+SLICE, SCORED = 3 << 20, 1 << 20
 #: Bytes of text whose runs share a bucket.
 BUCKET = 8 << 20
 #: A tree of no more bytes is broadcast, as are the most frequent words and contexts.
@@ -101,13 +101,13 @@ def _earlier(values: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Sorted hashes with values. Their leading bits say where to look, so a key takes one or two steps; that index is made anew where it arrives."""
+    """Sorted hashes with values. Their leading bits say where to look, so a key takes a few steps; that index is made anew where it arrives."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         names = keys.view(_U)
         order = np.argsort(names, kind="stable")
         self.names, self.values, self.first = names[order], [v[order] for v in values], None
-        self.shift = _U(64 - max(8, len(keys).bit_length()))
+        self.shift = _U(64 - max(8, len(keys).bit_length() - 2))
 
     @property
     def keys(self) -> np.ndarray:
@@ -124,6 +124,8 @@ class Lookup:
         if self.first is None:
             heads = np.arange(1 << int(64 - self.shift), dtype=_U) << self.shift
             self.first = np.append(np.searchsorted(self.names, heads), len(self.names)).astype(np.int32)
+            del heads
+            release()
         asked = keys.view(_U) if keys.flags.c_contiguous else np.ascontiguousarray(keys).view(_U)
         head = (asked >> self.shift).astype(np.int64)
         at, end = self.first[head], self.first[head + 1]
@@ -360,7 +362,7 @@ def score_with(docs: DataFrame, tree: Tree) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, successors, states = shared.value
         row = TaskContext.get().partitionId() << 40
-        for b in slices(batches, SLICE):
+        for b in slices(batches, SCORED):
             ids = b.column("doc_id").to_pylist()
             r = Runs.of(b.column("text"))
             n = words.get(r.symbols, 0, 0)
@@ -425,7 +427,7 @@ def _score_by_join(docs: DataFrame, tree: Tree) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for b in slices(batches, SLICE):
+        for b in slices(batches, SCORED):
             ids = b.column("doc_id").to_pylist()
             r = Runs.of(b.column("text"))
             token = r.place > 0
