@@ -53,7 +53,7 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch(df: DataFrame, tag: str) -> DataFrame:
+def scratch(df: DataFrame, tag: str, compression: str = "snappy", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage (a lost executor costs no recomputation) and gives the
@@ -61,7 +61,7 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression, partitionBy=list(partition_by) or None)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     for made in _OPEN:
