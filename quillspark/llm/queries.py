@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, drake, jaccard, licenses, mixing, neighbours, pieces, pii, quality, resampling, secrets, suffix_tree
+from quillspark.llm import chat, drake, extraction, jaccard, licenses, mixing, neighbours, pieces, pii, quality, resampling, secrets, suffix_tree
 from quillspark.llm.common import table
 
 
@@ -106,10 +106,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", sha.alias("centroid_sha256"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_secret_scan, op4_jaccard_join, op5_source_mixing, op6_suffix_tree_scoring, op7_nearest_neighbours, op8_chat_formatting, op9_sentencepiece, op10_license_scan, op11_centroid_clustering, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_secret_scan, op4_jaccard_join, op5_source_mixing, op6_suffix_tree_scoring, op7_nearest_neighbours, op8_chat_formatting, op9_sentencepiece, op10_license_scan, op11_centroid_clustering, op12_html_extraction, op13_importance_resampling)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import pii
+from quillspark.llm import drake, pii, resampling
 
 OP8 = r"""
 with t as (
@@ -94,5 +94,74 @@ from w left join bs on w.doc_id = bs.doc_id left join both_labels on w.doc_id =
 """
 
 
+def _op11() -> str:
+    """Every round written out: the nearest centroids, then the floors of the means."""
+    near = lambda c: f"""(select vec_id, r, q, c as cluster, d as distance from (
+      select v.vec_id, v.r, v.q, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d,
+        row_number() over (partition by v.r order by list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.c) as k
+      from v cross join {c} c) where k = 1)"""
+    rounds = ", ".join(
+        f"""a{i} as materialized (select * from {near(f"c{i}")} x),
+        c{i + 1} as materialized (select c.c, coalesce(m.q, c.q) as q from c{i} c left join (
+          select cluster, list(cast(s // n - case when s % n < 0 then 1 else 0 end as bigint) order by place) as q from (
+            select cluster, place, sum(x) as s, count(*) as n from (select cluster, unnest(q) as x, unnest(range({drake.DIMENSION})) as place from a{i}) group by cluster, place) group by cluster) m on c.c = m.cluster)"""
+        for i in range(drake.ROUNDS)
+    )
+    last = f"c{drake.ROUNDS}"
+    return f"""
+with v as materialized (
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: cast(floor({drake.SCALE} * cast(x as double)) as bigint)) as q from embeddings
+  where len(embedding) = {drake.DIMENSION} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {drake.DIMENSION}
+), c0 as materialized (
+  select row_number() over (order by h, q) - 1 as c, q from (select sha256('{drake.SEED}:' || coalesce(cast(vec_id as varchar), '')) as h, q from v order by h, q limit {drake.CLUSTERS})
+), {rounds}, f as materialized (select * from {near(last)} x)
+select f.vec_id, cast(f.cluster as integer) as cluster, cast(f.distance as bigint) as distance, cast(sum(f.distance) over (partition by f.cluster) as bigint) as cluster_inertia,
+  cast(sum(f.distance) over () as bigint) as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256
+from f join {last} c on f.cluster = c.c
+"""
+
+
+#: The pages of the tables hold their article in an element of that name; the query finds that out by itself.
+OP12 = r"""
+with a as (
+  select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^>]*$', '') as a from pages
+), b as (
+  select page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(a, '</?(?:p|h[1-6]|li|ul|ol|div)(?:\s[^>]*)?>', chr(1), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(1)) as blocks from a
+), c as (
+  select page_id, url, coalesce(array_to_string(list_filter(list_transform(blocks, lambda x:
+    trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '') as text from b
+)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from c
+"""
+
+#: The table of the usual CRC of 32 bits, from its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(cast(i as bigint), range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end))"
+OP13 = rf"""
+with w as materialized (
+  select kind, id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select 's' as kind, doc_id as id, text from documents union all select 't', item_id, text from benchmark)
+), f as materialized (
+  select kind, r, array_to_string(w[i:i + n - 1], ' ') as f, count(*) as m from (select kind, r, w, unnest(range(1, len(w) + 1)) as i from w), (select unnest([1, 2, 3]) as n)
+  where i + n - 1 <= len(w) group by all
+), t as materialized (select {_CRC_TABLE} as t), h as materialized (
+  select f, cast(xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(octet_length(encode(f))), lambda k: cast(('0x' || hex(encode(f))[2 * k + 1:2 * k + 2]) as bigint))),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), cast(4294967295 as bigint)) % {resampling.BUCKETS} as int) as b
+  from (select distinct f from f), t
+), g as materialized (
+  select b, cast(floor(1000 * ln((t + 1) * (all_s + {resampling.BUCKETS}) / ((s + 1) * (all_t + {resampling.BUCKETS})))) as bigint) as g from (
+    select b, s, t, sum(s) over () as all_s, sum(t) over () as all_t from (
+      select b, cast(coalesce(sum(m) filter (kind = 's'), 0) as double) as s, cast(coalesce(sum(m) filter (kind = 't'), 0) as double) as t from f join h using (f) group by b))
+), d as (
+  select w.id as doc_id, len(w.w) as n_words, cast(coalesce(x.n, 0) as bigint) as n_features, cast(coalesce(x.weight, 0) as bigint) as weight
+  from w left join (select r, sum(m) as n, sum(m * g) as weight from f join h using (f) join g using (b) group by r) x using (r) where kind = 's'
+), s as (
+  select *, weight + cast(floor(-1000 * ln(-ln((cast(('0x' || sha256('{resampling.SEED}:' || coalesce(cast(doc_id as varchar), ''))[1:8]) as bigint) + 0.5e0) / 4294967296e0))) as bigint) as score from d
+), o as (
+  select *, row_number() over (order by n_words < {resampling.LEAST_WORDS}, score desc, doc_id nulls last) as k, {resampling.PERCENT} * (count(*) filter (n_words >= {resampling.LEAST_WORDS}) over ()) // 100 as take from s
+)
+select doc_id, n_features, weight, score, case when n_words >= {resampling.LEAST_WORDS} and k <= take then k end as rank from o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_personal_data": OP2, "op8_chat_formatting": OP8, "op10_license_scan": _op10()}
+    return {"op2_personal_data": OP2, "op8_chat_formatting": OP8, "op10_license_scan": _op10(), "op11_centroid_clustering": _op11(), "op12_html_extraction": OP12, "op13_importance_resampling": OP13}
