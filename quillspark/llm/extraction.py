@@ -119,6 +119,8 @@ class _Open:
         self.stack: list[tuple[int, str]] = [(0, "#root")]
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
+        #: Elements that were open when the page was declared to end.
+        self.unclosed: list[tuple[int, str]] = []
 
     def last(self, tag: str) -> int:
         at = self.places.get(tag)
@@ -141,6 +143,8 @@ class _Open:
         """What an end tag does: a block's closes all inside it, another's does nothing beyond the block around it."""
         depth = self.last(tag)
         if depth and (tag in BLOCK or not self.blocks or self.blocks[-1] < depth):
+            if tag in ("body", "html"):
+                self.unclosed += self.stack[depth + 1 :]
             self.close(depth)
 
     def make_way(self, tag: str) -> None:
@@ -199,7 +203,7 @@ def parse(text: str) -> Page:
             if tag not in VOID:
                 open_.push(_element(page, open_.stack[-1][0], tag, m[2]), tag)
     flush()
-    _settle(page, text, [i for i, _ in open_.stack])
+    _settle(page, text, [i for i, tag in open_.unclosed + open_.stack if page.tag[i] == tag])
     return page
 
 
