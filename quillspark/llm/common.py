@@ -37,6 +37,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(tag: str) -> str:
+    """A column name that no table of a user has."""
+    return f"__{tag}_{uuid.uuid4().hex}"
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of ``df`` as references, whatever characters their names have."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Forest, lean, mix, scratch, slices, small, temporary_tables, whole_groups, word_hashes
+from quillspark.llm.common import Forest, fresh, lean, mix, quoted, scratch, slices, small, temporary_tables, whole_groups, word_hashes
 from quillspark.llm.graph import components
 
 @dataclass(frozen=True)
@@ -495,18 +495,22 @@ def near_groups(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
         table = scratch(features(docs, rule), "shingle-features")
         sets = table.filter("n > 0")
         classes = scratch(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
-        copies = small(scratch(classes.filter("rows > 1").select("k1", "k2", "class_id"), "copied-classes"), 48)
-        once = sets.select("doc_id", "k1", "k2", "blocks").join(copies, ["k1", "k2"], "left").filter("class_id is null or doc_id = class_id")
+        copies = small(scratch(classes.filter("rows > 1").select("k1", "k2", "class_id", F.lit(True).alias("copied")), "copied-classes"), 48)
+        told = sets.select("doc_id", "k1", "k2", "blocks").join(copies, ["k1", "k2"], "left")
+        # Of equal sets one goes on; those of one document's repeats are told apart by nothing, so they are put together in each task first.
+        again = told.filter("copied and (class_id is null or doc_id = class_id)").select("k1", "k2", "blocks").dropDuplicates(["k1", "k2"])
+        once = told.filter("copied is null").select("k1", "k2", "blocks").unionByName(again)
         members = scratch(shared_blocks(once).join(classes.select("k1", "n", "point"), "k1"), "members")
         bundled = scratch(bundles(members, rule), "bundles")
 
         wanted = classes.select("k1", "k2", "class_id", "n").join(small(bundled, 32), "k1")
         wanted = wanted.join(scratch(wanted.groupBy("bundle").agg((F.sum("n") > BUNDLE).alias("large")), "bundle-sizes"), "bundle")
         wanted = scratch(wanted.select("bundle", "k1", "k2", "class_id", "large"), "bundle-classes")
-        labels = _in_one_task(_with_sets(docs, wanted.filter("not large"), rule), rule)
+        repeated = small(scratch(table.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-documents"), 32)
+        labels = _in_one_task(_with_sets(docs, wanted.filter("not large"), repeated, rule), rule)
         large = wanted.filter("large")
         if not large.isEmpty():
-            labels = labels.unionByName(_large_bundles(_with_sets(docs, large, rule), rule))
+            labels = labels.unionByName(_large_bundles(_with_sets(docs, large, repeated, rule), rule))
         labels = classes.select("k1", "k2", "class_id", "rows").join(scratch(labels, "link-labels"), ["k1", "k2"], "left").filter("rows > 1 or n_links > 0")
         labels = scratch(labels.select("k1", "k2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_links"), "labels")
         keep += [table, labels]
@@ -522,8 +526,12 @@ def near_groups(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     )
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """``wanted`` (bundle, k1, k2, class_id) with s, the set of each class; a class may repeat."""
+def _with_sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, rule: Rule) -> DataFrame:
+    """``wanted`` (bundle, k1, k2, class_id) with s, the set of each class.
+
+    Rows that repeat a document (ids in ``repeated``, and those without) are put together by text before their
+    sets are made, in each task first, so a class comes once, or once for each of its texts that share the id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -535,7 +543,9 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     ids = small(wanted.filter("class_id is not null").select(F.col("class_id").alias("doc_id")).distinct(), 32)
     texts = docs.select("doc_id", "text")
-    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.filter("doc_id is null and text is not null"))
+    known = texts.join(ids, "doc_id", "left_semi")
+    more = known.join(repeated, "doc_id", "left_semi").unionByName(texts.filter("doc_id is null and text is not null"))
+    texts = known.join(repeated, "doc_id", "left_anti").unionByName(more.distinct())
     return texts.mapInArrow(lean(run), "k1 bigint, k2 bigint, s array<bigint>").join(small(wanted.drop("large"), 48), ["k1", "k2"])
 
 
@@ -554,13 +564,14 @@ def drop_near_copies(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
         again = scratch(again, "repeated-ids")
         gone = found.filter("component_id is not null and (doc_id is null or component_id <> doc_id)").select("doc_id", "th")
         gone = gone.unionByName(kept.join(small(again, 48), "doc_id").filter("th <> least").select("doc_id", "th"))
-        gone = scratch(gone.distinct().withColumnsRenamed({"doc_id": "__doc_id", "th": "__th"}), "gone")
+        its, sign, place = fresh("doc_id"), fresh("th"), fresh("r")
+        gone = scratch(gone.distinct().withColumnsRenamed({"doc_id": its, "th": sign}), "gone")
         keep += [again, gone]
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__th"))
+    same = F.col("doc_id").eqNullSafe(F.col(its)) & (F.xxhash64("text") == F.col(sign))
     left = docs.join(small(gone, 48), same, "left_anti")
     if again.isEmpty():
         return left
     ids = small(again.select("doc_id"), 32)
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
-    once = left.join(ids, "doc_id", "left_semi").select(*docs.columns).withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
-    return left.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*quoted(docs)))
+    once = left.join(ids, "doc_id", "left_semi").select(*quoted(docs)).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+    return left.join(ids, "doc_id", "left_anti").select(*quoted(docs)).unionByName(once)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch, small, temporary_tables, word_count
+from quillspark.llm.common import fresh, scratch, small, temporary_tables, word_count
 
 
 #: Shards that share out blocks at once.
@@ -144,7 +144,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id (null too) are repeated alike, as often as the one taken least. Null texts
     have no words and go; an empty table stays empty; all columns stay, whatever their names.
     """
-    taken = scratch(mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.min("copies").alias("__mix_copies")), "mix-copies")
-    some = small(taken.filter(F.col("__mix_copies") > 0), 64)
-    rows = docs.join(some, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
-    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).drop("__mix_id", "__mix_copies", "__mix_copy")
+    its, copies, copy = fresh("id"), fresh("copies"), fresh("copy")
+    taken = scratch(mix_sources(docs, **options).groupBy(F.col("doc_id").alias(its)).agg(F.min("copies").alias(copies)), "mix-copies")
+    rows = docs.join(small(taken.filter(F.col(copies) > 0), 64), F.col("doc_id").eqNullSafe(F.col(its)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(its, copies, copy)

@@ -1,7 +1,8 @@
 r"""Personal data (native): patterns propose spans, checksums confirm them, context scores them.
 
 Positions come from cutting the text by the pattern: piece and match lengths, added
-up, give every start and end in code points. Patterns are written so that no input
+up, give every start and end in code points. Context is what stands within CONTEXT_CHARS code points of the whole text,
+other matches included. Patterns are written so that no input
 makes them slow: possessive or short bounded repeats, and a look-behind so that a run
 that failed is not tried again from within.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import fresh, quoted
+
 #: Kinds every scan reports, in the order of ties; then what this method adds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
@@ -69,11 +72,12 @@ BONUS, PENALTY, CONTEXT_CHARS, REPORT_FROM = 20, 35, 40, 50
 
 
 def pieces(text: Column, pattern: str) -> Column:
-    """Leftmost matches of ``pattern`` with what stands around: array of hit, gap (since the match before), before, after."""
+    """Leftmost matches of ``pattern`` with what stands around: array of hit, gap (since the match before), before (the end of the gap), after (what follows in the text)."""
     hits, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    after = F.regexp_extract_all(text, F.lit(rf"{pattern}(?=((?s:.{{0,{CONTEXT_CHARS}}})))"), F.lit(1))
     near = F.transform(
-        F.arrays_zip(hits.alias("h"), rest.alias("b"), F.slice(rest, F.lit(2), F.size(rest)).alias("a")),
-        lambda x: F.struct(x["h"].alias("hit"), F.length(x["b"]).cast("bigint").alias("gap"), F.right(x["b"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["a"], F.lit(CONTEXT_CHARS)).alias("after")),
+        F.arrays_zip(hits.alias("h"), rest.alias("b"), after.alias("a")),
+        lambda x: F.struct(x["h"].alias("hit"), F.length(x["b"]).cast("bigint").alias("gap"), F.right(x["b"], F.lit(CONTEXT_CHARS)).alias("before"), x["a"].alias("after")),
     )
     return F.filter(near, lambda x: x["hit"].isNotNull())
 
@@ -86,18 +90,20 @@ def chunked(near: Column) -> Column:
 
 
 def placed(chunks: Column) -> Column:
-    """``pieces`` with start and end in code points; ``chunks`` must be a column.
+    """``pieces`` with start and end in code points, and before reaching over earlier matches; ``chunks`` must be a column.
 
-    Running sums are taken over chunks, then within each: a fold that appends to its result
+    Running sums, and the last characters so far, are taken over chunks, then within each: a fold that appends to its result
     copies it each time, and so no array that is built this way is longer than a chunk.
     """
     width = lambda x: x["gap"] + F.length(x["hit"])
-    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + width(x)))
-    zero = F.lit(0).cast("bigint")
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"))
+    add = lambda s, x: F.struct((s["at"] + width(x)).alias("at"), last(s["tail"], x["before"], x["hit"]).alias("tail"))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, begin, add))
     offsets = F.aggregate(
         totals,
-        F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+        F.struct(begin.alias("now"), F.array().cast("array<struct<at:bigint,tail:string>>").alias("out")),
+        lambda s, v: F.struct(F.struct((s["now"]["at"] + v["at"]).alias("at"), last(s["now"]["tail"], v["tail"]).alias("tail")).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")),
         lambda s: s["out"],
     )
     kind = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
@@ -105,9 +111,12 @@ def placed(chunks: Column) -> Column:
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"], x["before"], x["after"]))).alias("out"))
+        before = last(s["tail"], x["before"])
+        found = F.struct(start.alias("start"), end.alias("end"), x["hit"], before.alias("before"), x["after"])
+        return F.struct(end.alias("at"), last(before, x["hit"]).alias("tail"), F.concat(s["out"], F.array(found)).alias("out"))
 
-    return F.flatten(F.zip_with(chunks, offsets, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])))
+    first = lambda at: F.struct(at["at"].alias("at"), at["tail"].alias("tail"), F.array().cast(kind).alias("out"))
+    return F.flatten(F.zip_with(chunks, offsets, lambda c, at: F.aggregate(c, first(at), step, lambda s: s["out"])))
 
 
 def luhn(digits: Column) -> Column:
@@ -181,14 +190,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     repeat are scanned each; an empty table gives an empty result. Time is linear in a text's
     length, and nearly so in its matches. All columns of ``docs`` pass through; one named ``pii`` is replaced.
     """
-    own = docs.columns
-    said = docs.withColumn("__said", F.coalesce(F.col(text), F.lit("")))
-    may = lambda kind: (F.col("__said").contains(TRIGGERS[kind]) if TRIGGERS[kind] else F.lit(True)) & F.col("__said").rlike(PATTERNS[kind])
+    own, name = docs.columns, {k: fresh(k) for k in ("said", *KINDS)}
+    said = docs.withColumn(name["said"], F.coalesce(F.col(text), F.lit("")))
+    whole = F.col(name["said"])
+    may = lambda kind: (whole.contains(TRIGGERS[kind]) if TRIGGERS[kind] else F.lit(True)) & whole.rlike(PATTERNS[kind])
     # Each step is a column of its own, so that no lambda evaluates another step again for each element.
-    near = said.withColumns({f"__{k}": F.when(may(k), pieces(F.col("__said"), PATTERNS[k])).otherwise(F.array().cast(f"array<{_PIECE}>")) for k in KINDS})
-    cut = near.withColumns({f"__{k}": chunked(F.col(f"__{k}")) for k in KINDS})
-    done = cut.withColumn("pii", F.sort_array(F.concat(*(kind_spans(placed(F.col(f"__{k}")), k) for k in KINDS))))
-    return done.select(*own, *(["pii"] if "pii" not in own else []))
+    near = said.withColumns({name[k]: F.when(may(k), pieces(whole, PATTERNS[k])).otherwise(F.array().cast(f"array<{_PIECE}>")) for k in KINDS})
+    cut = near.withColumns({name[k]: chunked(F.col(name[k])) for k in KINDS})
+    done = cut.withColumn("pii", F.sort_array(F.concat(*(kind_spans(placed(F.col(name[k])), k) for k in KINDS))))
+    return done.select(*quoted(docs), *(["pii"] if "pii" not in own else []))
 
 
 def spans_text(spans: Column) -> Column:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, scratch, small, temporary_tables, words
+from quillspark.llm.common import WORD, fresh, scratch, small, temporary_tables, words
 
 #: Statistics of the vector, with the least standard deviation assumed of each: clean text varies by that much.
 FEATURES = {"log_word_length": 0.05, "root_symbols": 0.05, "repeats": 0.05, "dup_lines": 0.1}
@@ -284,6 +284,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     A row goes by its own doc_id (null too), text, lang and source: rows equal in these get the
     same verdict, others that share a doc_id their own. A null or empty text goes; an empty table stays empty.
     """
-    rejected = judged(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text", "lang", "source") == F.col("__hash"))
+    its, sign = fresh("id"), fresh("hash")
+    rejected = judged(docs).filter("not kept").select(F.col("doc_id").alias(its), F.col("row_hash").alias(sign)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(its)) & (F.xxhash64("text", "lang", "source") == F.col(sign))
     return docs.join(small(scratch(rejected, "rejected"), 48), same, "left_anti")

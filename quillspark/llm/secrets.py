@@ -172,7 +172,9 @@ def redact(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             yield b.set_column(at, b.schema.field(at), pa.array([redact_text(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 
-    clean = docs.mapInArrow(lean(run), docs.schema)
-    if "n_chars" not in docs.columns:
-        return clean
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes names without dots only
+    clean = plain.mapInArrow(lean(run), plain.schema)
+    if "n_chars" in docs.columns:
+        n = f"c{docs.columns.index('n_chars')}"
+        clean = clean.withColumn(n, F.length(f"c{at}").cast(plain.schema[n].dataType))
+    return clean.toDF(*docs.columns)

@@ -26,16 +26,15 @@ from f group by conv_id
 
 
 def _spans(kind: str, rank: int, pattern: str, test: str) -> str:
-    """Matches of ``pattern`` with their positions, from the pieces between them; ``test`` sees the match as m."""
+    """Matches of ``pattern`` with their positions, from the pieces between them, and what stands around in the text; ``test`` sees the match as m."""
     p = pattern.replace("'", "''")
-    return f"""select doc_id, {rank} as rank, '{kind}' as kind, m, before, after, pos + gap as s, pos + gap + length(m) as e from (
-      select doc_id, unnest(hits) as m, unnest(list_transform(range(1, len(hits) + 1), lambda i: length(pieces[i]))) as gap,
-        unnest(list_transform(range(1, len(hits) + 1), lambda i: right(pieces[i], 40))) as before,
-        unnest(list_transform(range(1, len(hits) + 1), lambda i: left(pieces[i + 1], 40))) as after,
-        unnest(list_transform(range(1, len(hits) + 1), lambda i: cast(coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)
-          + coalesce(list_sum(list_transform(pieces[1:i - 1], lambda h: length(h))), 0) as bigint))) as pos
-      from (select doc_id, regexp_extract_all(text, '{p}') as hits, regexp_split_to_array(text, '{p}') as pieces from documents where text is not null)
-    ) where {test}"""
+    return f"""select * from (select doc_id, {rank} as rank, '{kind}' as kind, m, s, s + length(m) as e,
+        substr(text, greatest(s - {pii.CONTEXT_CHARS}, 0) + 1, least(s, {pii.CONTEXT_CHARS})) as before, substr(text, s + length(m) + 1, {pii.CONTEXT_CHARS}) as after from (
+      select doc_id, text, unnest(hits) as m, unnest(list_transform(range(1, len(hits) + 1), lambda i: cast(length(pieces[i])
+          + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)
+          + coalesce(list_sum(list_transform(pieces[1:i - 1], lambda h: length(h))), 0) as bigint))) as s
+      from (select doc_id, text, regexp_extract_all(text, '{p}') as hits, regexp_split_to_array(text, '{p}') as pieces from documents where text is not null)
+    )) where {test}"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
