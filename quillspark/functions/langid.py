@@ -1,99 +1,150 @@
-"""Language identification: a protocol, a trainable default and a stub that trusts a column."""
+"""Language identification by character n-grams, all inside the JVM.
+
+A text is reduced to lower-case letters with single spaces between, its runs of two and three
+characters are hashed to BUCKETS, and every language has an array of whole-number weights for them:
+the logarithm of how often its training text has a bucket, on a scale where an unseen one counts nothing.
+Sums of weights, tempered because runs overlap, give a posterior; below ``least`` the language is unknown (null).
+Texts mostly in a script that one language is written in by far the most are told by the script.
+
+The profiles that come with the library are counted from its seed texts; ``Profiles.train`` counts them from a table.
+"""
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NGRAM = 3
+ORDERS = (2, 3)
+BUCKETS = 1 << 15
+#: Weights are SCALE * ln(1 + rate / FLOOR), a rate being the occurrences in PER runs of a length.
+SCALE, FLOOR, PER = 32, 0.1, 1000
+#: What the scores are divided by for the posterior, and the least posterior of an answer.
+TEMPER, LEAST = 2.0, 0.6
+#: Scripts and the language taken for each; the first that holds more than half of the letters decides.
+SCRIPTS = {"Cyrillic": "ru", "Greek": "el", "Arabic": "ar", "Hebrew": "he", "Thai": "th", "Devanagari": "hi", "Hangul": "ko", "Hiragana": "ja", "Katakana": "ja", "Han": "zh"}
 
 
-def grams(text: str) -> Counter[str]:
-    padded = f" {' '.join(text.lower().split())} "
-    return Counter(padded[i : i + NGRAM] for i in range(len(padded) - NGRAM + 1))
+def letters(text: Column) -> Column:
+    """Lower-case letters, one space for all else between them and at both ends."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
-class NgramDetector:
-    """Naive Bayes over character n-grams with add-half smoothing; ties and texts without letters give ``None``."""
+def buckets(said: Column) -> Column:
+    """The buckets of all runs of ``letters``, in one pass for each length."""
+    runs = F.concat(*(F.regexp_extract_all(said, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in ORDERS))
+    return F.transform(runs, lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int"))
 
-    def __init__(self, profiles: Mapping[str, Mapping[str, int]]):
-        self.profiles = {lang: dict(p) for lang, p in profiles.items()}
-        self.sizes = {lang: sum(p.values()) for lang, p in self.profiles.items()}
-        self.distinct = len({g for p in self.profiles.values() for g in p}) + 1
 
-    @classmethod
-    def train(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, profile_size: int = 5000) -> NgramDetector:
-        """Fit on at most ``per_language`` labelled texts of each language (those with the least hash) and keep the ``profile_size`` commonest n-grams."""
-        from quillspark.operators.sampling import bottom_k
-
-        rows = docs.select(lang_col, F.col(text_col).alias("t")).filter(f"{lang_col} is not null and t is not null")
-        sample = bottom_k(rows, [lang_col], per_language, "t").toLocalIterator()  # whole texts, a partition at a time
-        counted: dict[str, Counter[str]] = {}
-        for r in sample:
-            counted.setdefault(r[lang_col], Counter()).update(grams(r["t"]))
-        return cls({lang: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:profile_size]) for lang, c in counted.items()})
-
-    def detect(self, text: str | None) -> str | None:
-        seen = grams(text or "")
-        if not any(c.isalpha() for c in text or ""):
-            return None
-        scores = {lang: sum(n * math.log((p.get(g, 0) + 0.5) / (self.sizes[lang] + 0.5 * self.distinct)) for g, n in seen.items()) for lang, p in self.profiles.items()}
-        return min(scores, key=lambda k: (-scores[k], k), default=None)
+def plain_letters(text: str) -> str:
+    """``letters`` of a string on the driver."""
+    return f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} "
 
-    def column(self, text: Column) -> Column:
-        """As an Arrow-batched column. It is marked non-deterministic so that the planner runs it once."""
 
-        @F.pandas_udf("string")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(self.detect)
+def weights_of(counts: Mapping[tuple[int, int], int]) -> list[int]:
+    """Weights of all buckets from counts by (length of the run, bucket)."""
+    totals: Counter[int] = Counter()
+    for (n, _), c in counts.items():
+        totals[n] += c
+    out = [0] * BUCKETS
+    for (n, bucket), c in sorted(counts.items()):
+        out[bucket] += round(SCALE * math.log1p(c * PER / totals[n] / FLOOR))
+    return out
 
-        return run.asNondeterministic()(text)
 
+class Profiles:
+    """Weights by language. Of equally likely languages none is taken."""
 
-class ColumnDetector:
-    """Takes the language from a column that is already there."""
+    def __init__(self, weights: Mapping[str, list[int]], least: float = LEAST):
+        self.weights, self.least = dict(sorted(weights.items())), least
 
-    def __init__(self, name: str = "lang"):
-        self.name = name
+    @classmethod
+    def of_texts(cls, texts: Mapping[str, str | Iterable[str]], least: float = LEAST) -> Profiles:
+        """From texts on the driver; meant for small ones."""
+        found = {}
+        for lang, given in texts.items():
+            counts: Counter[tuple[int, int]] = Counter()
+            for text in [given] if isinstance(given, str) else given:
+                said = plain_letters(text)
+                counts.update((n, zlib.crc32(said[i : i + n].encode()) % BUCKETS) for n in ORDERS for i in range(len(said) - n + 1))
+            found[lang] = weights_of(counts)
+        return cls(found, least)
+
+    @classmethod
+    def train(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> Profiles:
+        """From all labelled rows, counted in Spark; what is collected is a count for each language, length and bucket at most."""
+        said = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), letters(F.col(text_col)).alias("said"))
+        runs = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.regexp_extract_all("said", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)).alias("runs")) for n in ORDERS)))
+        each = said.select("lang", runs.alias("r")).select("lang", "r.n", F.explode("r.runs").alias("run"))
+        counted = each.groupBy("lang", "n", (F.crc32(F.col("run").cast("binary")) % BUCKETS).cast("int").alias("bucket")).count()
+        found: dict[str, dict[tuple[int, int], int]] = {}
+        for r in counted.toLocalIterator():
+            found.setdefault(r["lang"], {})[r["n"], r["bucket"]] = r["count"]
+        return cls({lang: weights_of(c) for lang, c in found.items()}, least)
+
+    def posterior(self, text: Column) -> Column:
+        """Struct of lang and p, the likeliest language and its posterior; null for null and where languages tie or nothing is known."""
+        if not self.weights:
+            return F.lit(None).cast("struct<lang:string,p:double>")
+        tables = {lang: F.split(F.lit(",".join(map(str, w))), ",").cast("array<int>") for lang, w in self.weights.items()}
+
+        def likeliest(ids: Column) -> Column:
+            total = lambda w: F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, b: a + F.get(w, b))
+            sums = map(total, tables.values())
+            return F.array(*(F.struct(s.alias("score"), F.lit(lang).alias("lang")) for s, lang in zip(sums, tables, strict=True)))
+
+        def answer(found: Column) -> Column:
+            top = F.array_max(found)
+            whole = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.exp((x["score"] - top["score"]) / (SCALE * TEMPER)))
+            tied = F.size(F.filter(found, lambda x: x["score"] == top["score"])) > 1
+            return F.when((top["score"] > 0) & ~tied, F.struct(top["lang"].alias("lang"), (1 / whole).alias("p")))
+
+        # Lambdas name what would else be evaluated again for each language.
+        scored = F.transform(F.array(buckets(letters(text))), likeliest)
+        return F.transform(scored, answer)[0]
 
     def column(self, text: Column) -> Column:
-        return F.col(self.name)
+        """The language of ``text``, null if unknown."""
+        found = F.transform(F.array(self.posterior(text)), lambda x: F.when(x["p"] >= self.least, x["lang"]))[0]
+        return F.when(F.rlike(text, F.lit(r"[^\x00-\x{024F}]")), F.coalesce(script_language(text), found)).otherwise(found)
 
 
-#: Function words of some languages, none in two lists.
-FUNCTION_WORDS = {
-    "de": "aber auch auf aus bei das dem den der des die durch ein eine einer er es ich ist mit nicht oder sich sie sind und von war wie wir zu zum zur",
-    "en": "about an and are as at be but by for from had has have he her his if in is it its not of on or she that the their there they this to was we were which with you",
-    "es": "como con cuando del desde donde el ella ellos entre esta este hasta la las los muy otro para pero por porque sin sobre su sus una uno y ya",
-    "fr": "au aux avec ce cette dans elle et il ils je le les leur lui mais nous ou par pas pour qui sans ses sont une vous",
-}
+def script_language(text: Column) -> Column:
+    """The language of the script that most letters are in, null if it is Latin or another."""
+    said = F.regexp_replace(text, r"[^\p{L}]+", "")
+    share = lambda script: F.regexp_count(said, F.lit(rf"\p{{Is{script}}}")) / F.nullif(F.length(said), F.lit(0))
+    kana = share("Hiragana") + share("Katakana")
+    rules = F.when((kana > 0) & (kana + share("Han") > 0.5), "ja")
+    for script, lang in SCRIPTS.items():
+        rules = rules.when(share(script) > 0.5, lang)
+    return rules
 
 
-class FunctionWordDetector:
-    """The language with most function words in the text, all inside the JVM; ties and texts without any give null."""
+@functools.cache
+def default_profiles() -> Profiles:
+    """Profiles of the seed texts."""
+    from quillspark.functions.seeds import SEEDS
 
-    def __init__(self, words: Mapping[str, str] = FUNCTION_WORDS):
-        self.words = {lang: tuple(said.split()) for lang, said in sorted(words.items())}
+    return Profiles.of_texts(SEEDS)
 
-    def column(self, text: Column) -> Column:
-        from quillspark.functions.text import tokens
 
-        said = tokens(F.coalesce(text, F.lit("")))
-        among = lambda known: lambda w: w.isin(*known)
-        hits = [F.size(F.filter(said, among(known))) for known in self.words.values()]
-        found = F.array(*(F.struct(n.alias("n"), F.lit(lang).alias("lang")) for n, lang in zip(hits, self.words, strict=True)))
-        ranked = F.sort_array(found, asc=False)
-        return F.aggregate(F.array(ranked), F.lit(None).cast("string"), lambda _, r: F.when((r[0]["n"] > 0) & (r[0]["n"] > r[1]["n"]), r[0]["lang"]))
+class ColumnDetector:
+    """Takes the language from a column that is already there."""
+
+    def __init__(self, name: str = "lang"):
+        self.name = name
+
+    def column(self, text: Column) -> Column:
+        return F.col(self.name)
 
 
-def keep_language(df: DataFrame, text_col: str, detector: NgramDetector | FunctionWordDetector | ColumnDetector, language: str = "en", ascii_least: float = 0.85) -> DataFrame:
-    """Rows in ``language``: first the cheap share of ASCII, inside the JVM, then the detector on what is left."""
+def keep_language(df: DataFrame, text_col: str, detector: Profiles | ColumnDetector, language: str = "en", ascii_least: float = 0.85) -> DataFrame:
+    """Rows in ``language``: first the cheap share of ASCII, then the detector on what is left."""
     from quillspark.functions.text import ascii_ratio
 
-    cheap = df.filter(ascii_ratio(F.col(text_col)) >= ascii_least)
-    return cheap.withColumn("__lang", detector.column(F.col(text_col))).filter(F.col("__lang") == language).drop("__lang")
+    return df.filter(ascii_ratio(F.col(text_col)) >= ascii_least).filter(detector.column(F.col(text_col)) == language)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.functions.langid import FUNCTION_WORDS
+from quillspark.functions import langid
+from quillspark.functions.seeds import SEEDS
 
 VIEWS = r"""
 v_scores as (select o_orderkey as id, o_orderpriority as grp, cast(year(o_orderdate) as int) as yr,
@@ -90,12 +91,29 @@ join (select grp, median(x) as mx, median(i) as mi from i group by grp) m on s.g
 )
 
 
-SAID = "v_said as (select *, " + ", ".join(f"len(list_filter({WORDS}, lambda w: w in ({', '.join(repr(w) for w in said.split())}))) as n_{lang}" for lang, said in FUNCTION_WORDS.items()) + " from v_docs)"
+SEED_ROWS = "(select * from (values " + ", ".join("('{}', '{}')".format(lang, text.replace("'", "''")) for lang, text in SEEDS.items()) + ") x(lang, text))"
+#: The table of the usual CRC of 32 bits, from its polynomial.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(cast(i as bigint), range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end))"
 
 
-def _is(lang: str) -> str:
-    """Whether a language has more function words in the text than any other."""
-    return f"(n_{lang} > 0 and n_{lang} > greatest({', '.join(f'n_{x}' for x in FUNCTION_WORDS if x != lang)}))"
+def _detected(train: str) -> str:
+    """v_lang: id and detected, the language of each of v_docs by profiles counted from ``train`` (lang, text)."""
+    said = r"string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', '')"
+    runs = " union all ".join(f"select {{0}}, {n} as n, unnest(list_transform(range(1, greatest(len(c) - {n - 2}, 1)), lambda i: {' || '.join(f'c[i + {k}]' for k in range(n))})) as g from {{1}}" for n in langid.ORDERS)
+    return f"""lc as (select lang, {said} as c from {train} t where lang is not null and text is not null),
+dc as (select id, {said} as c from v_docs where text is not null),
+lg as materialized (select lang, n, g, count(*) as m from ({runs.format("lang", "lc")}) group by all),
+dg as materialized (select id, g, count(*) as m from ({runs.format("id", "dc")}) group by all),
+crc as materialized (select {CRC_TABLE} as t),
+h as materialized (select g, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(octet_length(encode(g))), lambda k: cast(('0x' || hex(encode(g))[2 * k + 1:2 * k + 2]) as bigint))),
+  lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), cast(4294967295 as bigint)) % {langid.BUCKETS} as bucket from (select g from lg union select g from dg), crc),
+lw as materialized (select lang, bucket, sum(cast(round({langid.SCALE} * ln(1 + m * {langid.PER}e0 / total / {langid.FLOOR})) as bigint)) as w from (
+  select lang, n, bucket, sum(m) as m, sum(sum(m)) over (partition by lang, n) as total from lg join h using (g) group by lang, n, bucket) group by lang, bucket),
+ls as (select id, lang, sum(m * w) as s from dg join h using (g) join lw using (bucket) group by all),
+v_lang as (select id, case when s > 0 and not tied and 1 / p >= {langid.LEAST} then lang end as detected from (
+  select id, any_value(lang) filter (s = top) as lang, any_value(top) as s, count(*) filter (s = top) > 1 as tied,
+    sum(exp((s - top) / ({langid.SCALE} * {langid.TEMPER}))) + (any_value(k) - count(*)) * exp(-any_value(top) / ({langid.SCALE} * {langid.TEMPER})) as p
+  from (select *, max(s) over (partition by id) as top, (select count(distinct lang) from lw) as k from ls) group by id))"""
 
 
 def two_sided_p(z: str) -> str:
@@ -178,7 +196,8 @@ def oracle_sql() -> dict[str, str]:
         "drop_empty": _with(f"select doc_id from v_reviews where {STRIPPED} <> ''"),
         "concat_title": _with("select doc_id, md5(case when trim(coalesce(title, '')) <> '' then trim(title) || '. ' || text else text end) as joined_md5 from v_reviews"),
         "fast_reject": _with(f"select id from v_docs where {ASCII} >= 0.85"),
-        "lang_en": _with(f"select id, lang from v_said where {ASCII} >= 0.85 and {_is('en')}", SAID),
+        "lang_en": _with(f"select id, lang from v_docs join v_lang using (id) where {ASCII} >= 0.85 and detected = 'en'", _detected(SEED_ROWS)),
+        "lang_detect": _with("select id, lang, detected from v_docs left join v_lang using (id)", _detected("v_docs")),
         "group_filter": _with("select grp, yr, count(*) as n, round(sum(score), 6) as total from v_scores group by all"),
         "label_filter": _with('select id, "true" from v_labelled where "true" <> \'neutral\''),
         "mismatch_pred": _with(f"select id, {MISMATCH} as kind from v_scores where {MISMATCH} is not null"),
@@ -200,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "vocab_align": _with("select term, cast(y_i as bigint) as y_i, cast(y_j as bigint) as y_j from y", terms, COUNTS),
         "star_map": _with("select id, case when trunc(rating - 0.1) in (4, 5) then 'positive' when trunc(rating - 0.1) in (1, 2) then 'negative' else 'neutral' end as label from v_scores"),
         "cat_dim": _with("select case category when 'A' then 'even_sources' else 'odd_sources' end as file_name, count(*) as n from v_docs group by 1"),
-        "mask_align": _with(f"select id, {ASCII} >= 0.85 and {_is('en')} as kept from v_said", SAID),
+        "mask_align": _with(f"select id, {ASCII} >= 0.85 and coalesce(detected = 'en', false) as kept from v_docs left join v_lang using (id)", _detected(SEED_ROWS)),
         "pairwise_dominance": _with("select n_pairs, wins, losses, round((wins - losses) / cast(n_pairs as double), 6) as delta from q", DOMINANCE),
         "cliffs_delta": _with("select round((wins - losses) / cast(n_pairs as double), 6) as delta from q", DOMINANCE),
         "sen_pairs": SEN,

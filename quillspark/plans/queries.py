@@ -121,14 +121,13 @@ def fast_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lang_en(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.keep_language(views.docs(spark, sf_dir), "text", langid.FunctionWordDetector()).select("id", "lang")
+    return langid.keep_language(views.docs(spark, sf_dir), "text", langid.default_profiles()).select("id", "lang")
 
 
 @query
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.docs(spark, sf_dir).select("id", "text", "lang")
-    detector = langid.NgramDetector.train(docs, per_language=100)
-    return docs.select("id", "lang", detector.column(F.col("text")).alias("detected"))
+    return docs.select("id", "lang", langid.Profiles.train(docs).column(F.col("text")).alias("detected"))
 
 
 @query
@@ -223,7 +222,7 @@ def cat_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mask_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = (text.ascii_ratio(F.col("text")) >= 0.85) & F.coalesce(langid.FunctionWordDetector().column(F.col("text")) == "en", F.lit(False))
+    keep = (text.ascii_ratio(F.col("text")) >= 0.85) & F.coalesce(langid.default_profiles().column(F.col("text")) == "en", F.lit(False))
     return views.docs(spark, sf_dir).select("id", keep.alias("kept"))
 
 

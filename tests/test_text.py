@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import langid, sentiment, text
+from quillspark.functions import sentiment, text
 from quillspark.operators import words
 
 
@@ -73,21 +73,6 @@ def test_lexicon_join_equals_counting(spark):
     assert got == {1: (3, 3.0), 2: (0, 0.0), 3: (0, 0.0)}
 
 
-def test_language_detector(spark):
-    docs = spark.createDataFrame([("the cat and the dog went out", "en"), ("der Hund und die Katze gehen", "de")], "text string, lang string")
-    d = langid.NgramDetector.train(docs)
-    assert (d.detect("the dog and the cat"), d.detect("die Katze und der Hund"), d.detect("123"), d.detect(None)) == ("en", "de", None, None)
-    assert langid.keep_language(docs, "text", d).count() == 1
-
-
-def test_language_of_what_follows_a_long_header(spark):
-    train = lambda *rows: langid.NgramDetector.train(spark.createDataFrame(rows, "text string, lang string"))
-    assert train(("- " * 1500 + "der Hund", "de")).profiles["de"]["hun"] == 1
-    d = train(("the cat and the dog went out", "en"), ("der Hund und die Katze gehen", "de"))
-    assert d.detect("the dog and the cat " * 101 + "die Katze und der Hund " * 2000) == "de"
-    assert d.detect("1" * 2500 + " die Katze und der Hund") == "de"
-
-
 def test_tfidf_counts_documents_without_terms(spark):
     import math
 
@@ -101,11 +86,3 @@ def test_tfidf_counts_documents_without_terms(spark):
 
 def test_log_odds_of_one_term_is_undefined(spark):
     assert words.fighting_words(spark.createDataFrame([("x", 3, 2)], "term string, y_i bigint, y_j bigint")).first().z is None
-
-
-def test_languages_by_function_words(spark):
-    said = ["The cat was on the mat", "Der Hund und die Katze", "le chat est dans la maison avec une souris", "los perros y una casa con jardín", "xyz 123", "", None, "the und"]
-    got = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", langid.FunctionWordDetector().column(F.col("t")).alias("l")).orderBy("i").collect()
-    assert [r.l for r in got] == ["en", "de", "fr", "es", None, None, None, None]
-    lists = [set(w.split()) for w in langid.FUNCTION_WORDS.values()]
-    assert len(set().union(*lists)) == sum(map(len, lists))
