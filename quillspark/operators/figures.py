@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.hist import histogram, quantiles
+from quillspark.operators.prefix import settled
 
 
 def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """group, q1, median, q3 and whiskers: the farthest values within 1.5 interquartile ranges of the box."""
-    h = histogram(df, value, [group])
+    h = settled(histogram(df, value, [group]))
     v = F.col("v").cast("double")
     q = quantiles(h, (0.25, 0.5, 0.75), [group], ("q1", "median", "q3"))
     iqr = 1.5 * (F.col("q3") - F.col("q1"))

@@ -1,9 +1,8 @@
 """Value histograms: what rank-based statistics run on instead of rows.
 
 A histogram has a row for each distinct (keys, value) and is built with map-side
-combining, so heavy values cost nothing. Running sums over a histogram of few distinct
-values are one window. ``wide`` ones, of values that hardly repeat, are cut into ranges by
-quantiles; each range runs its own window and adds the totals of the ranges below.
+combining, so heavy values cost nothing. It is computed once and kept (``settled``); running sums over
+it are windows while it is small, and sums over ranges of values (``prefix``) when it is not.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a wide histogram is cut into.
-RANGES = 256
+from quillspark.operators.prefix import matched, prefix_sums, settled
 
 
 def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **counts: Column) -> DataFrame:
@@ -24,34 +22,14 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **counts: Col
     return kept.groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(k) for k, c in counts.items()))
 
 
-def running(h: DataFrame, columns: Sequence[str], by: Sequence[str] = (), wide: bool = False) -> DataFrame:
+def running(h: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``h`` with cum_<column>: sums of each column over values up to this one, within ``by``."""
-    if not wide:
-        upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        return h.withColumns({f"cum_{c}": F.sum(c).over(upto) for c in columns})
-    bounds = h.agg(F.percentile_approx(F.col("v").cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    cuts = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-    ranged = h.withColumn("__range", F.size(F.filter(cuts, lambda b: b < F.col("v").cast("double"))))
-    totals = ranged.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__t_{c}") for c in columns))
-    below = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumns({f"__t_{c}": F.coalesce(F.sum(f"__t_{c}").over(below), F.lit(0)) for c in columns})
-    totals = totals.withColumnsRenamed({k: f"__k_{k}" for k in by})
-    upto = Window.partitionBy(*by, "__range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(totals.withColumnRenamed("__range", "__range2"), (ranged["__range"] == F.col("__range2")) & _keys(ranged, by))
-    return joined.withColumns({f"cum_{c}": F.sum(c).over(upto) + F.col(f"__t_{c}") for c in columns}).select(*h.columns, *(f"cum_{c}" for c in columns))
-
-
-def _keys(left: DataFrame, by: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for k in by:
-        on = on & left[k].eqNullSafe(F.col(f"__k_{k}"))
-    return on
-
-
-def midranks(h: DataFrame, by: Sequence[str] = (), wide: bool = False) -> DataFrame:
+    return prefix_sums(h, columns, by, ["v"])
+
+
+def midranks(h: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``h`` with ``rank``: the mean rank of the rows that share a value."""
-    ranked = running(h, ["n"], by, wide)
-    return ranked.withColumn("rank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2)
+    return running(h, ["n"], by).withColumn("rank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -63,11 +41,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def quantiles(h: DataFrame, shares: Sequence[float], by: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
     """by and a column for each of ``shares``: quantiles with linear interpolation, exact for any number of distinct values.
 
-    Ranks are found in running sums over ranges of values, so no group's values are held together.
+    Ranks are found in running sums, so no group's values are held together.
     """
-    ranked = running(h, ["n"], by, wide=True)
-    totals = h.groupBy(*by).agg(F.sum("n").alias("__all")).withColumnsRenamed({k: f"__k_{k}" for k in by})
-    ranked = ranked.join(totals, _keys(ranked, by)).drop(*(f"__k_{k}" for k in by))
+    h = settled(h)
+    ranked = matched(running(h, ["n"], by), h.groupBy(*by).agg(F.sum("n").alias("__all")), by)
     first, v = F.col("cum_n") - F.col("n"), F.col("v").cast("double")
     parts, wanted = [], F.lit(False)
     for share, name in zip(shares, names or [f"q{i}" for i in range(len(shares))], strict=True):
@@ -79,22 +56,38 @@ def quantiles(h: DataFrame, shares: Sequence[float], by: Sequence[str] = (), nam
     return ranked.filter(wanted).groupBy(*by).agg(*parts)
 
 
-def _with_quantiles(summary: DataFrame, df: DataFrame, value: str, shares: Sequence[float], names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    q = quantiles(histogram(df, value, keys), shares, keys, names).withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    return summary.join(q, _keys(summary, keys), "left").drop(*(f"__k_{k}" for k in keys))
+def _summary(h: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """keys, n, mean, ss (squared deviations), min, max, quartiles q25, q50, q75 and ``more`` sums, all from one histogram.
+
+    Rows of null or NaN values are in ``more`` alone.
+    """
+    there = h.filter(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double")))
+    there.known_rows = h.known_rows
+    v, n = F.col("v").cast("double"), F.col("n")
+    sums = there.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    apart = matched(there.select(*keys, "v", F.col("n").alias("__n")), sums.select(*keys, "mean"), keys)
+    squares = apart.groupBy(*keys).agg(F.sum(F.col("__n") * F.pow(v - F.col("mean"), F.lit(2.0))).alias("ss"))
+    whole = h.groupBy(*keys).agg(*more, F.count(F.lit(1)).alias("__values"))
+    for part in (sums, squares, quantiles(there, (0.25, 0.5, 0.75), keys, ("q25", "q50", "q75"))):
+        whole = matched(whole, part, keys, "left")
+    return whole
+
+
+def _with_nulls(df: DataFrame, value: str, keys: Sequence[str], *counts: Column) -> DataFrame:
+    return settled(df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"), *counts))
 
 
 def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """count, mean, sample standard deviation, minimum, quartiles and maximum, by ``keys``."""
-    summary = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    whole = _with_quantiles(summary, df, value, (0.25, 0.5, 0.75), ("q25", "q50", "q75"), keys)
-    return whole.select(*keys, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+    """n, mean, sample standard deviation, minimum, quartiles and maximum, by ``keys``; null and NaN values are left out. The table is read once."""
+    s = _summary(_with_nulls(df, value, keys), keys)
+    std = F.sqrt(F.col("ss") / F.nullif(F.col("n") - 1, F.lit(0)))
+    return s.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "mean", std.alias("std"), "min", "q25", "q50", "q75", "max")
 
 
 def descriptives(df: DataFrame, value: str, label: str, keys: Sequence[str]) -> DataFrame:
-    """n, mean, median, population standard deviation, interquartile range and label shares in percent, by ``keys``."""
+    """n (all rows), mean, median, population standard deviation, interquartile range and label shares in percent, by ``keys``. The table is read once."""
     labels = ("positive", "neutral", "negative")
-    part = lambda name: (100 * F.count_if(F.col(label) == name) / F.count(F.lit(1))).alias(f"pct_{name}")
-    summary = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *map(part, labels))
-    whole = _with_quantiles(summary, df, value, (0.25, 0.5, 0.75), ("__q25", "median", "__q75"), keys)
-    return whole.select(*keys, "n", "mean", "median", "std", (F.col("__q75") - F.col("__q25")).alias("iqr"), *(f"pct_{x}" for x in labels))
+    h = _with_nulls(df, value, keys, *(F.count_if(F.col(label) == x).alias(f"__{x}") for x in labels))
+    s = _summary(h, keys, F.sum("n").alias("rows"), *(F.sum(f"__{x}").alias(f"__{x}") for x in labels))
+    part = lambda x: (100 * F.col(f"__{x}") / F.col("rows")).alias(f"pct_{x}")
+    return s.select(*keys, F.col("rows").alias("n"), "mean", F.col("q50").alias("median"), F.sqrt(F.col("ss") / F.col("n")).alias("std"), (F.col("q75") - F.col("q25")).alias("iqr"), *map(part, labels))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.hist import histogram, midranks, running
+from quillspark.operators.prefix import matched, settled
 
 
 def cliffs_from_u(u: Column, n1: Column, n2: Column) -> Column:
@@ -18,14 +19,14 @@ def cliffs_from_u(u: Column, n1: Column, n2: Column) -> Column:
 rank_biserial = cliffs_from_u
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequence[str] = (), wide: bool = False) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """U of group ``a`` against ``b`` in every cell of ``by``.
 
     by, n1, n2, u, tie_term (sum of t^3 - t), z (tie-corrected, continuity 1/2) and delta. A cell
     without rows of one group gives null z and delta.
     """
     both = df.filter(F.col(group).isin(a, b))
-    h = midranks(histogram(both, value, by, a=F.col(group) == a), by, wide)
+    h = midranks(histogram(both, value, by, a=F.col(group) == a), by)
     n = F.col("n").cast("double")
     sums = h.groupBy(*by).agg(
         F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(n * n * n - n).alias("tie_term")
@@ -38,37 +39,24 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequ
     return sums.select(*by, "n1", "n2", u.alias("u"), "tie_term", z.alias("z"), F.when(n1 * n2 > 0, 2 * u / (n1 * n2) - 1).alias("delta"))
 
 
-def ks_2samp(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequence[str] = (), wide: bool = False) -> DataFrame:
+def ks_2samp(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """by, n1, n2 and d, the largest distance of the two distribution functions."""
     both = df.filter(F.col(group).isin(a, b))
-    h = histogram(both, value, by, a=F.col(group) == a, b=F.col(group) == b)
-    if not wide:
-        all_of = Window.partitionBy(*by)
-        run = running(h, ["a", "b"], by).withColumn("n1", F.sum("a").over(all_of)).withColumn("n2", F.sum("b").over(all_of))
-        gap = F.abs(F.col("cum_a") / F.nullif(F.col("n1"), F.lit(0)) - F.col("cum_b") / F.nullif(F.col("n2"), F.lit(0)))
-        return run.groupBy(*by).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("d"))
-    run = running(h, ["a", "b"], by, wide=True)
-    sizes = h.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2")).withColumnsRenamed({k: f"__{k}" for k in by})
-    on = F.lit(True)
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    h = settled(histogram(both, value, by, a=F.col(group) == a, b=F.col(group) == b))
+    sizes = h.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     gap = F.abs(F.col("cum_a") / F.nullif(F.col("n1"), F.lit(0)) - F.col("cum_b") / F.nullif(F.col("n2"), F.lit(0)))
-    return run.join(F.broadcast(sizes) if not by else sizes, on).groupBy(*by).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("d"))
+    return matched(running(h, ["a", "b"], by), sizes, by).groupBy(*by).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("d"))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), wide: bool = False) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """by, n and rho: the Pearson correlation of mid-ranks, from the joint histogram of the two columns."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    joint = rows.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = {}
+    joint = settled(rows.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    ranked = joint
     for c in ("x", "y"):
-        h = joint.groupBy(*by, F.col(c).alias("v")).agg(F.sum("n").alias("n"))
-        ranks[c] = midranks(h, by, wide).select(*(F.col(k).alias(f"__{k}_{c}") for k in by), F.col("v").alias(f"__{c}"), F.col("rank").alias(f"r{c}"))
-    for c, r in ranks.items():
-        on = F.col(c) == F.col(f"__{c}")
-        for k in by:
-            on = on & F.col(k).eqNullSafe(F.col(f"__{k}_{c}"))
-        joint = joint.join(r, on)
+        ranks = midranks(joint.groupBy(*by, F.col(c).alias("v")).agg(F.sum("n").alias("n")), by)
+        ranked = matched(ranked, ranks.select(*by, F.col("v").alias(c), F.col("rank").alias(f"r{c}")), [*by, c])
+    joint = ranked
     n, rx, ry = F.col("n").cast("double"), F.col("rx"), F.col("ry")
     s = joint.groupBy(*by).agg(F.sum(n).alias("s"), F.sum(n * rx).alias("sx"), F.sum(n * ry).alias("sy"), F.sum(n * rx * rx).alias("sxx"), F.sum(n * ry * ry).alias("syy"), F.sum(n * rx * ry).alias("sxy"))
     cov = lambda p, q, pq: F.col(pq) - F.col(p) * F.col(q) / F.col("s")
@@ -93,11 +81,10 @@ def holm(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05) ->
     return adjusted.withColumn("significant", F.col("p_adj") < alpha)
 
 
-def ecdf_points(df: DataFrame, value: str, group: str, wide: bool = False) -> DataFrame:
+def ecdf_points(df: DataFrame, value: str, group: str) -> DataFrame:
     """group, v, f: the steps of each group's distribution function."""
-    h = histogram(df, value, [group])
-    totals = h.groupBy(F.col(group).alias("__g")).agg(F.sum("n").alias("__all"))
-    run = running(h, ["n"], [group], wide).join(totals, F.col(group).eqNullSafe(F.col("__g")))
+    h = settled(histogram(df, value, [group]))
+    run = matched(running(h, ["n"], [group]), h.groupBy(group).agg(F.sum("n").alias("__all")), [group])
     return run.select(group, "v", (F.col("cum_n") / F.col("__all")).alias("f"))
 
 

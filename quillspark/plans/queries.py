@@ -372,13 +372,13 @@ def ks_2samp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ks_2samp_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rounded(rank.ks_2samp(v, "l_extendedprice", "l_returnflag", "A", "R", wide=True), "d")
+    return rounded(rank.ks_2samp(v, "l_extendedprice", "l_returnflag", "A", "R"), "d")
 
 
 @query
 def mannwhitney_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rounded(rank.mann_whitney(v, "l_extendedprice", "l_returnflag", "A", "R", wide=True), "u", "tie_term", "z", "delta")
+    return rounded(rank.mann_whitney(v, "l_extendedprice", "l_returnflag", "A", "R"), "u", "tie_term", "z", "delta")
 
 
 @query

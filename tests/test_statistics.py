@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import agreement, figures, hist, rank, resample, trend
+from quillspark.operators import agreement, figures, hist, prefix, rank, resample, trend
 
 R = random.Random(5)
 ROWS = [(R.choice("ab"), R.choice([1, 2]), R.randint(0, 6) / 2) for _ in range(160)]
@@ -25,12 +25,18 @@ def brute_u(a, b):
     return sum((x > y) + 0.5 * (x == y) for x in a for y in b)
 
 
-def test_mann_whitney_by_cell(frame):
-    for wide in (False, True):
-        for r in rank.mann_whitney(frame, "v", "g", "a", "b", by=["y"], wide=wide).collect():
-            a, b = split(year=r.y)
-            assert (r.n1, r.n2, r.u) == (len(a), len(b), pytest.approx(brute_u(a, b)))
-            assert r.delta == pytest.approx(2 * r.u / (len(a) * len(b)) - 1)
+@pytest.fixture(params=["windows", "ranges"])
+def sums(request, monkeypatch):
+    """Running sums by windows, and by ranges as for many rows."""
+    if request.param == "ranges":
+        monkeypatch.setattr(prefix, "WINDOW_ROWS", 0)
+
+
+def test_mann_whitney_by_cell(frame, sums):
+    for r in rank.mann_whitney(frame, "v", "g", "a", "b", by=["y"]).collect():
+        a, b = split(year=r.y)
+        assert (r.n1, r.n2, r.u) == (len(a), len(b), pytest.approx(brute_u(a, b)))
+        assert r.delta == pytest.approx(2 * r.u / (len(a) * len(b)) - 1)
 
 
 def test_u_is_antisymmetric(frame):
@@ -41,25 +47,23 @@ def test_u_is_antisymmetric(frame):
     assert ab.z == pytest.approx(ba.z)
 
 
-def test_ks_distance(frame):
+def test_ks_distance(frame, sums):
     a, b = map(np.array, split())
     d = max(abs((a <= x).mean() - (b <= x).mean()) for x in set(a) | set(b))
-    for wide in (False, True):
-        assert rank.ks_2samp(frame, "v", "g", "a", "b", wide=wide).first().d == pytest.approx(d)
+    assert rank.ks_2samp(frame, "v", "g", "a", "b").first().d == pytest.approx(d)
 
 
-def test_dominance_without_pairs(frame):
+def test_dominance_without_pairs(frame, sums):
     a, b = split()
     r = rank.pairwise_dominance(frame, "v", "g", "a", "b").first()
     assert (r.n_pairs, r.wins, r.losses) == (len(a) * len(b), sum(x > y for x in a for y in b), sum(x < y for x in a for y in b))
 
 
-def test_spearman_is_pearson_of_midranks(frame):
+def test_spearman_is_pearson_of_midranks(frame, sums):
     import pandas as pd
 
     pdf = pd.DataFrame(ROWS, columns=["g", "y", "v"])
-    for wide in (False, True):
-        assert rank.spearman(frame, "y", "v", wide=wide).first().rho == pytest.approx(pdf["y"].rank().corr(pdf["v"].rank()))
+    assert rank.spearman(frame, "y", "v").first().rho == pytest.approx(pdf["y"].rank().corr(pdf["v"].rank()))
 
 
 def test_missing_group_and_nulls_and_empty(spark):
