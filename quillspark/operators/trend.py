@@ -6,41 +6,39 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.special import normal_two_sided, t_quantile, t_two_sided
+from quillspark.operators.hist import quantiles
+from quillspark.operators.pairs import pair_statistics
+from quillspark.operators.prefix import matched, prefix_sums, settled
 
 
 def yearly_means(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
 
 
-def _same(left: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(F.col(f"{prefix}{k}"))
-    return on
-
-
 def mann_kendall(series: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """by, n, s, var_s (tie-aware), tau, z (continuity 1), slope (Sen, per step) and intercept.
 
-    ``series`` is short: a row per period. Steps count periods that are there, not time between them.
+    ``series`` has a row per period; steps count periods that are there, not time between them. No pairs are made:
+    s comes from a count of ascents and of ties, the slope from counts of slopes below a bound (``pairs``).
     """
-    rows = series.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).select(*by, "i", F.col(value).cast("double").alias("x"))
-    later = rows.select(*(F.col(k).alias(f"__{k}") for k in by), F.col("i").alias("j"), F.col("x").alias("y"))
-    pairs = rows.join(later, _same(rows, by, "__") & (F.col("i") < F.col("j")))
-    of_pairs = pairs.groupBy(*by).agg(F.sum(F.signum(F.col("y") - F.col("x"))).cast("long").alias("s"), F.median((F.col("y") - F.col("x")) / (F.col("j") - F.col("i"))).alias("slope"))
+    by = list(by)
+    there = settled(series.filter(F.col(value).isNotNull()).select(*by, F.col(order).alias("__order"), F.col(value).cast("double").alias("x"), F.lit(1).alias("one")))
+    rows = settled(prefix_sums(there, ["one"], by, ["__order"]).select(*by, (F.col("cum_one") - 1).alias("i"), "x"))
     t = F.col("t").cast("double")
-    ties = rows.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(t * (t - 1) * (2 * t + 5)).alias("tied"))
-    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("mid"), F.median("i").alias("mid_i"))
-    for extra, prefix in ((ties, "__a_"), (of_pairs, "__b_")):
-        extra = extra.withColumnsRenamed({k: f"{prefix}{k}" for k in by})
-        whole = whole.join(extra, _same(whole, by, prefix), "left").drop(*(f"{prefix}{k}" for k in by))
-    n, s = F.col("n").cast("double"), F.col("s")
+    tied = rows.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("t"))
+    ties = tied.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(t * (t - 1) * (2 * t + 5)).alias("tied"), F.sum(t * (t - 1) / 2).cast("bigint").alias("same"))
+    middle = quantiles(tied.withColumnsRenamed({"x": "v", "t": "n"}), (0.5,), by, ("mid",))
+    whole = matched(matched(ties, middle, by), pair_statistics(rows, by), by, "left")
+    n = F.col("n").cast("double")
+    s = (2 * F.col("p") + F.col("same") - F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
     var_s = (n * (n - 1) * (2 * n + 5) - F.col("tied")) / 18
-    return whole.select(*by, "n", "s", var_s.alias("var_s"), (s / F.nullif(n * (n - 1) / 2, F.lit(0.0))).alias("tau"), ((s - F.signum(s)) / F.nullif(F.sqrt(var_s), F.lit(0.0))).alias("z"), "slope", (F.col("mid") - F.col("mid_i") * F.col("slope")).alias("intercept"))
+    z = (F.col("s") - F.signum("s")) / F.nullif(F.sqrt("var_s"), F.lit(0.0))
+    done = whole.filter("n > 0").withColumn("s", F.when(F.col("n") > 1, s)).withColumn("var_s", var_s)
+    return done.select(*by, "n", "s", "var_s", (F.col("s") / F.nullif(n * (n - 1) / 2, F.lit(0.0))).alias("tau"), z.alias("z"), "slope", (F.col("mid") - (n - 1) / 2 * F.col("slope")).alias("intercept"))
 
 
 def trend_word(z: float | None, alpha: float = 0.05) -> str:
