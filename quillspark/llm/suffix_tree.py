@@ -166,9 +166,10 @@ def _counted(docs: DataFrame, buckets: int, runs_of: Callable[[Runs], tuple[np.n
                 context, symbol = (np.zeros(len(first), np.int64) if alone else context[first]), symbol[first]
             bucket = (mix((symbol * 8 + (context & 7)).view(_U), 31) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(ends)).tolist()
-            parts = [order[ends[k] : ends[k + 1]] for k in full]
+            dealt = bucket[order]
+            begin = np.flatnonzero(np.diff(dealt, prepend=-1))  # however many buckets there are, only those met cost anything
+            full = dealt[begin]
+            parts = np.split(order, begin[1:]) if len(begin) else []
             step = lambda x: np.diff(x, prepend=0).astype(kind).tobytes()
             columns = [pa.array(full, pa.int64()), pa.array([step(context[o]) for o in parts], pa.binary()), pa.array([symbol[o].astype(kind).tobytes() for o in parts], pa.binary()), pa.array([n[o].astype(np.int32).tobytes() for o in parts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "context", "symbol", "n"])
