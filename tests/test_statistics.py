@@ -89,14 +89,15 @@ def test_bootstrap_mean_agrees_with_theory(spark):
 def test_bootstrap_is_repeatable_and_median_averages(spark, frame):
     once, again = (resample.bootstrap_ci(frame, "v", ["g"], "median", iterations=500).orderBy("g").collect() for _ in range(2))
     assert once == again
-    assert resample.median(np.array([1.0, 2.0, 5.0]), np.array([[1, 0, 1], [1, 1, 1], [0, 4, 0]])).tolist() == [3.0, 2.0, 2.0]
+    for counts, want in (([1, 0, 1], 3.0), ([1, 1, 1], 2.0), ([0, 4, 0], 2.0)):
+        assert resample._median_part(np.array([1.0, 2.0, 5.0]), np.array([counts]), np.zeros(1, int), sum(counts)).tolist() == [[want]]
 
 
-@pytest.mark.parametrize("statistic", ["mean", "median"])
+@pytest.mark.parametrize("statistic", ["mean", "median", "variance"])
 def test_bootstrap_over_ranges_is_the_same_distribution(spark, monkeypatch, statistic):
     df = spark.createDataFrame([("a", float(i * i % 997)) for i in range(400)] + [(None, 1.0), (None, 2.0)], "g string, v double")
     whole = {r.g: r for r in resample.bootstrap_ci(df, "v", ["g"], statistic, iterations=4000).collect()}
-    monkeypatch.setattr(resample, "RANGE", 16)
+    monkeypatch.setattr(resample, "LEAF", 16)
     parts = {r.g: r for r in resample.bootstrap_ci(df, "v", ["g"], statistic, iterations=4000).collect()}
     assert whole.keys() == parts.keys() == {"a", None}
     assert parts["a"].estimate == pytest.approx(whole["a"].estimate) and parts["a"].n == 400
@@ -111,9 +112,30 @@ def test_quantiles_equal_percentile(spark):
     assert got == {r.g: tuple(r.q) for r in want}
 
 
-def test_bootstrap_with_a_function(frame):
-    top = lambda v, c: np.where(c[:, -1] > 0, v[-1], v[-2])
-    assert resample.bootstrap_ci(frame, "v", ["g"], top, iterations=100).count() == 2
+def test_bootstrap_of_a_statistic_of_sums(frame):
+    log_mean = resample.Sums((lambda v: np.log1p(v),), lambda s, n: F.exp(s[0] / n) - 1)
+    for r in resample.bootstrap_ci(frame, "v", ["g"], log_mean, iterations=300).collect():
+        mine = [v for g, _, v in ROWS if g == r.g]
+        assert r.estimate == pytest.approx(np.expm1(np.log1p(mine).mean())) and r.ci_lo < r.estimate < r.ci_hi
+
+
+def test_leaves_deal_out_all_rows():
+    totals = [5, 0, 7, 3, 20, 1]  # leaves of a tree of depth 3; two of its eight are empty
+    node = lambda level, k: sum(totals[k << (3 - level) : (k + 1) << (3 - level)])
+    rng = lambda *x: np.random.default_rng([9, *x])
+    got = [resample.down_the_tree(36, 500, leaf, [(node(lv, leaf >> (3 - lv)), node(lv + 1, leaf >> (3 - lv) << 1)) for lv in range(3)], rng) for leaf in range(6)]
+    dealt = np.array([m for m, _ in got])
+    assert (dealt.sum(0) == 36).all() and (np.array([b for _, b in got]) == np.cumsum(dealt, 0) - dealt).all()
+    assert np.abs(dealt.mean(1) - totals).max() < 0.6
+
+
+@pytest.mark.parametrize("statistic", ["mean", "median"])
+def test_bootstrap_of_a_million_distinct_values(spark, statistic):
+    df = spark.range(1_000_000).select(F.lit("x").alias("g"), F.col("id").cast("double").alias("v"))
+    r = resample.bootstrap_ci(df, "v", ["g"], statistic, iterations=20).first()
+    half = 1_000_000 / 12**0.5 / 1000
+    assert r.n == 1_000_000 and r.estimate == 499_999.5 and abs(r.ci_lo - r.estimate) < 8 * half and r.ci_lo < r.ci_hi
+
 
 
 def test_ols_and_interaction(spark):
