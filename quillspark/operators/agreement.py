@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.special import Z975
+from quillspark.operators.prefix import matched
+
 LABELS = ("negative", "neutral", "positive")
 
 
@@ -25,6 +28,17 @@ def confusion(df: DataFrame, true: str, pred: str, labels: Sequence[str] = LABEL
     return grid.withColumn("row_share", F.col("n") / F.nullif(row, F.lit(0)))
 
 
+def confusion_with_total(df: DataFrame, true: str, pred: str, by: str, labels: Sequence[str] = LABELS) -> DataFrame:
+    """scope, by, true, pred, n, row_share: ``confusion`` of every ``by`` (scope "each") and of all rows (scope "all", by null), from one pass over the rows."""
+    counted = df.groupBy(F.col(by), F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    sets = counted.groupingSets([[F.col(by), F.col("true"), F.col("pred")], [F.col("true"), F.col("pred")]], F.col(by), F.col("true"), F.col("pred"))
+    both = sets.agg(F.grouping(by).alias("__all"), F.sum("n").alias("n")).select(F.when(F.col("__all") == 1, "all").otherwise("each").alias("scope"), by, "true", "pred", "n")
+    pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("true"), F.lit(p).alias("pred")) for t in labels for p in labels))).alias("c")
+    cells = both.select("scope", by).distinct().select("scope", by, pairs).select("scope", by, "c.true", "c.pred")
+    grid = matched(cells, both, ["scope", by, "true", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.withColumn("row_share", F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy("scope", by, "true")), F.lit(0)))
+
+
 def class_metrics(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by, label, support, precision, recall, f1 (0 where undefined) from a confusion grid."""
     marks = grid.select(*by, F.explode(F.array(F.struct(F.col("true").alias("label"), F.col("n").alias("t"), F.lit(0).alias("p"), F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0).alias("d")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").cast("int").alias("p"), F.lit(0).cast("long").alias("d")))).alias("m"))
@@ -68,6 +82,13 @@ def majority_baseline(df: DataFrame, true: str, by: Sequence[str] = ()) -> DataF
     return best.select(*by, F.col("b.label").alias("label"), (-F.col("b.k") / F.col("all_n")).alias("share"))
 
 
+def majority_of(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``majority_baseline`` from a confusion grid."""
+    counted = grid.groupBy(*by, F.col("true").alias("label")).agg(F.sum("n").alias("n"))
+    best = counted.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("k"), "label")).alias("b"), F.sum("n").alias("all_n"))
+    return best.select(*by, F.col("b.label").alias("label"), (-F.col("b.k") / F.nullif("all_n", F.lit(0))).alias("share"))
+
+
 def chi2_2x2(df: DataFrame, group: str, a: str, b: str, hit: Column) -> DataFrame:
     """a_hit, a_miss, b_hit, b_miss, chi2: 2x2 test of a condition in two groups, Yates-corrected."""
     rows = df.filter(F.col(group).isin(a, b) & hit.isNotNull())
@@ -92,9 +113,18 @@ def length_bucket(tokens: Column) -> Column:
 
 
 def agreement_by_length(df: DataFrame, true: str, pred: str, tokens: str) -> DataFrame:
-    """bucket, n, accuracy; empty buckets are left out."""
+    """bucket, n, accuracy with its Wilson interval ci_lo, ci_hi (95 %); empty buckets are left out."""
     rows = df.withColumn("bucket", length_bucket(F.col(tokens))).filter(F.col("bucket").isNotNull())
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(true) == F.col(pred)).cast("double")).alias("accuracy"))
+    found = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(true) == F.col(pred)).cast("double")).alias("accuracy"))
+    lo, hi = wilson(F.col("accuracy"), F.col("n"))
+    return found.withColumns({"ci_lo": lo, "ci_hi": hi})
+
+
+def wilson(share: Column, n: Column, z: float = Z975) -> tuple[Column, Column]:
+    """Score interval of a proportion."""
+    middle = share + z * z / (2 * n)
+    half = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (middle - half) / (1 + z * z / n), (middle + half) / (1 + z * z / n)
 
 
 def mismatch_type(rating: Column, score: Column, high_stars: float = 4, low_stars: float = 2, high: float = 0.5, low: float = -0.5) -> Column:

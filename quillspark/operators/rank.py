@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.special import ks_two_sided_p, t_two_sided_p
 from quillspark.operators.hist import histogram, midranks, running
 from quillspark.operators.prefix import matched, settled
 
@@ -40,16 +41,17 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequ
 
 
 def ks_2samp(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """by, n1, n2 and d, the largest distance of the two distribution functions."""
+    """by, n1, n2, d, the largest distance of the two distribution functions, and its p."""
     both = df.filter(F.col(group).isin(a, b))
     h = settled(histogram(both, value, by, a=F.col(group) == a, b=F.col(group) == b))
     sizes = h.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     gap = F.abs(F.col("cum_a") / F.nullif(F.col("n1"), F.lit(0)) - F.col("cum_b") / F.nullif(F.col("n2"), F.lit(0)))
-    return matched(running(h, ["a", "b"], by), sizes, by).groupBy(*by).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("d"))
+    found = matched(running(h, ["a", "b"], by), sizes, by).groupBy(*by).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("d"))
+    return found.withColumn("p", ks_two_sided_p(F.col("d"), F.col("n1"), F.col("n2")))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """by, n and rho: the Pearson correlation of mid-ranks, from the joint histogram of the two columns."""
+    """by, n, rho and p: the Pearson correlation of mid-ranks, from the joint histogram of the two columns, and its t probability."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     joint = settled(rows.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")))
     ranked = joint
@@ -61,7 +63,9 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     s = joint.groupBy(*by).agg(F.sum(n).alias("s"), F.sum(n * rx).alias("sx"), F.sum(n * ry).alias("sy"), F.sum(n * rx * rx).alias("sxx"), F.sum(n * ry * ry).alias("syy"), F.sum(n * rx * ry).alias("sxy"))
     cov = lambda p, q, pq: F.col(pq) - F.col(p) * F.col(q) / F.col("s")
     rho = cov("sx", "sy", "sxy") / F.nullif(F.sqrt(cov("sx", "sx", "sxx") * cov("sy", "sy", "syy")), F.lit(0.0))
-    return s.select(*by, F.col("s").cast("long").alias("n"), rho.alias("rho"))
+    found = s.select(*by, F.col("s").cast("long").alias("n"), rho.alias("rho"))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("rho") ** 2, F.lit(1e-300)))
+    return found.withColumn("p", F.when(F.col("n") > 2, t_two_sided_p(t, F.col("n") - 2)))
 
 
 def spearman_ci(rho: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

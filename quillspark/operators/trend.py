@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.special import normal_two_sided, t_quantile, t_two_sided
+from quillspark.functions.special import normal_two_sided, t_quantile, t_two_sided, t_two_sided_p
 from quillspark.operators.hist import quantiles
 from quillspark.operators.pairs import pair_statistics
 from quillspark.operators.prefix import matched, prefix_sums, settled
@@ -48,7 +48,7 @@ def trend_word(z: float | None, alpha: float = 0.05) -> str:
 
 
 def ols_simple(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """by, n, slope, intercept, r2, se (of the slope), sxx, syy, x_mean."""
+    """by, n, slope, intercept, r2, se and p (of the slope), sxx, syy, sse, x_mean."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", F.col(x).cast("double")).withColumn("__y", F.col(y).cast("double"))
     pair = (F.col("__y"), F.col("__x"))
     s = rows.groupBy(*by).agg(
@@ -56,11 +56,12 @@ def ols_simple(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFra
     )
     sse = F.col("syy") - F.col("slope") * F.col("sxy")
     se = F.when(F.col("n") > 2, F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n") - 2) / F.nullif(F.col("sxx"), F.lit(0.0))))
-    return s.select(*by, "n", "slope", "intercept", "r2", se.alias("se"), "sxx", "syy", F.greatest(sse, F.lit(0.0)).alias("sse"), "x_mean")
+    found = s.select(*by, "n", "slope", "intercept", "r2", se.alias("se"), "sxx", "syy", F.greatest(sse, F.lit(0.0)).alias("sse"), "x_mean")
+    return found.withColumn("p", t_two_sided_p(F.col("slope") / F.nullif("se", F.lit(0.0)), F.col("n") - 2))
 
 
 def ols_interaction(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
-    """term, coef, se, t for y ~ x * group with any number of groups, the first in order as the base; plus n, dof and r2.
+    """term, coef, se, t, p for y ~ x * group with any number of groups, the first in order as the base; plus n, dof and r2.
 
     Groups saturate the model: the base's fit and the differences of the others', with a
     pooled residual variance. Everything comes from one aggregation by group. One group alone gives no rows.
@@ -83,7 +84,8 @@ def ols_interaction(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     more = F.array(term(1, other, F.col("intercept") - b["intercept"], own[0] + base[0]), term(3, F.concat(F.lit(f"{x}:"), other), F.col("slope") - b["slope"], own[1] + base[1]))
     rows = fits.join(F.broadcast(totals), F.lit(True)).filter("groups > 1")
     out = rows.select(group, F.explode(F.when(F.col(group) == F.col("g0"), first).otherwise(more)).alias("t"), F.col("all_n").alias("n"), (F.col("all_n") - 2 * F.col("groups")).alias("dof"), (1 - F.col("all_sse") / F.col("all_syy")).alias("r2"))
-    return out.orderBy("t.i", group).select("t.term", "t.coef", "t.se", (F.col("t.coef") / F.col("t.se")).alias("t"), "n", "dof", "r2")
+    done = out.orderBy("t.i", group).select("t.term", "t.coef", "t.se", (F.col("t.coef") / F.nullif("t.se", F.lit(0.0))).alias("t"), "n", "dof", "r2")
+    return done.withColumn("p", t_two_sided_p(F.col("t"), F.col("dof")))
 
 
 def with_p_values(rows: Sequence[Any], dof: str | None = None, level: float = 0.95) -> list[dict[str, Any]]:

@@ -71,8 +71,9 @@ select {lead}n1, n2, round(u0, 6) as u, round(tie, 6) as tie_term,
 
 def _ks(source: str, value: str, group: str, a: str, b: str) -> str:
     return f"""h as (select {value} as v, count(*) filter ({group} = '{a}') as a, count(*) filter ({group} = '{b}') as b from {source} where {group} in ('{a}', '{b}') group by 1),
-c as (select sum(a) over (order by v) / cast(sum(a) over () as double) as fa, sum(b) over (order by v) / cast(sum(b) over () as double) as fb, sum(a) over () as n1, sum(b) over () as n2 from h)
-select cast(max(n1) as bigint) as n1, cast(max(n2) as bigint) as n2, round(max(abs(fa - fb)), 6) as d from c"""
+c as (select sum(a) over (order by v) / cast(sum(a) over () as double) as fa, sum(b) over (order by v) / cast(sum(b) over () as double) as fb, sum(a) over () as n1, sum(b) over () as n2 from h),
+k as (select cast(max(n1) as bigint) as n1, cast(max(n2) as bigint) as n2, max(abs(fa - fb)) as d0, round(cast(max(n1) as double) * max(n2) / (max(n1) + max(n2))) as m from c)
+select n1, n2, round(d0, 6) as d, round({ks_two_sided_p("d0", "m")}, 6) as p from k"""
 
 
 def _spearman(by: str = "") -> str:
@@ -125,6 +126,20 @@ def two_sided_p(z: str) -> str:
     return f"(case when abs({z}) < 2 then 1 - 2 * {density} * abs({z}) * {series} else 2 * {density} / (abs({z}) + {fraction}) end)"
 
 
+def t_two_sided_p(t: str, v: str) -> str:
+    """Two-sided t probability: the density after t = sqrt(v) tan(a), summed by Simpson's rule from a to where nothing is left."""
+    a, v = f"atan(abs({t}) / sqrt({v}))", f"cast({v} as double)"
+    h = f"((least(pi() / 2, {a} + 40 / sqrt({v})) - {a}) / 2000)"
+    f = f"(case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end) * exp(({v} - 1) * ln(greatest(cos({a} + k * {h}), 1e-300)))"
+    return f"(2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt(pi()) * list_sum(list_transform(range(0, 2001), lambda k: {f})) * {h} / 3)"
+
+
+def ks_two_sided_p(d: str, n: str) -> str:
+    """Twice Smirnov's one-sided sum, each term by itself."""
+    part = f"exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + (j - 1) * ln({d} + j / {n}) + case when j < {n} then ({n} - j) * ln(1 - {d} - j / {n}) else 0 end)"
+    return f"least(1, 2 * {d} * list_sum(list_transform(range(0, cast(floor({n} * (1 - {d})) as bigint) + 1), lambda j: case when j < {n} and 1 - {d} - j / {n} <= 0 then 0 else {part} end)))"
+
+
 def _holm() -> str:
     exact = _mann_whitney("v_scores", "score", "grp", "1-URGENT", "5-LOW", "yr", exact=True)
     return f"""{_inner("w", exact)}, p as (select yr, {two_sided_p("z")} as p from w),
@@ -149,6 +164,9 @@ m as (select g.grp, g.yr, coalesce(n.n, 0) as population_count from g left join
 SUMMARY_ROWS = "select grp, yr, population_count, least(population_count, 400) as sampled_count, cast(400 as bigint) as target_count, cast(greatest(0, 400 - population_count) as bigint) as shortfall from m"
 CONFUSION = "c as (select \"true\", pred, count(*) as n from v_labelled group by all), x as (select g.\"true\", g.pred, coalesce(c.n, 0) as n from " + GRID + " g left join c on g.\"true\" = c.\"true\" and g.pred = c.pred)"
 CONFUSION_BY = "c as (select grp, \"true\", pred, count(*) as n from v_labelled group by all), x as (select q.grp, g.\"true\", g.pred, coalesce(c.n, 0) as n from (select distinct grp from v_labelled) q cross join " + GRID + " g left join c on q.grp = c.grp and g.\"true\" = c.\"true\" and g.pred = c.pred)"
+LABEL_LIST = "['negative', 'neutral', 'positive']"
+CONFUSION_SETS = "s as (select case when grouping(grp) = 1 then 'all' else 'each' end as scope, grp, \"true\", pred, count(*) as n from v_labelled group by grouping sets ((grp, \"true\", pred), (\"true\", pred))), x as (select q.scope, q.grp, g.\"true\", g.pred, coalesce(s.n, 0) as n from (select distinct scope, grp from s) q cross join " + GRID + " g left join s on q.scope = s.scope and q.grp is not distinct from s.grp and g.\"true\" = s.\"true\" and g.pred = s.pred)"
+RHO_P = t_two_sided_p("rho * sqrt((n - 2) / (1 - rho * rho))", "(n - 2)")
 METRICS = """t as (select {g} "true" as label, sum(n) as support, sum(n) filter ("true" = pred) as hits from x group by all),
 q as (select {g} pred as label, sum(n) as predicted from x group by all),
 f as (select {tg} t.label, support, coalesce(hits / nullif(predicted, 0), 0) as p, coalesce(hits / nullif(support, 0), 0) as r from t join q on t.label = q.label {on})"""
@@ -202,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "label_filter": _with('select id, "true" from v_labelled where "true" <> \'neutral\''),
         "mismatch_pred": _with(f"select id, {MISMATCH} as kind from v_scores where {MISMATCH} is not null"),
         "shortfall_filter": _with(f"select * from ({SUMMARY_ROWS}) where shortfall > 0", SUMMARY),
-        "term_regex": _with("select term, round(coef, 6) as coef, round(se, 6) as se, n, round(r2, 6) as r2 from t where regexp_matches(term, 'yr.*LOW|LOW.*yr')", INTERACTION),
+        "term_regex": _with(f"select term, round(coef, 6) as coef, round(se, 6) as se, n, round(r2, 6) as r2, round({t_two_sided_p('coef / se', '(n - 4)')}, 6) as p from t where regexp_matches(term, 'yr.*LOW|LOW.*yr')", INTERACTION),
         "col_select": _with("select id, grp, yr, rating from v_scores"),
         "reservoir": _with(f"select id, grp, yr from (select *, row_number() over (partition by grp, yr order by {HASHED}, id) as r from v_scores) where r <= 20"),
         "pop_count": _with("select grp, yr, count(*) as population from v_scores group by all"),
@@ -248,6 +266,18 @@ def oracle_sql() -> dict[str, str]:
         "yearly_means": _with("select grp, yr, count(score) as n, round(avg(score), 6) as mean from v_scores group by all"),
         "confusion": _with('select "true", pred, n from x', CONFUSION),
         "confusion_norm": _with('select grp, "true", pred, n, round(n / nullif(cast(sum(n) over (partition by grp, "true") as double), 0), 6) as row_share from x', CONFUSION_BY),
+        "confusion_with_total": _with('select scope, grp, "true", pred, n, round(n / nullif(cast(sum(n) over (partition by scope, grp, "true") as double), 0), 6) as row_share from x', CONFUSION_SETS),
+        "agreement_with_total": _with(
+            f"""select m.scope, m.grp, m.n, m.accuracy, macro_f1, kappa, label as majority, round(share, 6) as share from
+            (select scope, grp, cast(sum(n) as bigint) as n, round(sum(n) filter ("true" = pred) / cast(sum(n) as double), 6) as accuracy from x group by all) m
+            join (select scope, grp, round(avg(coalesce(2e0 * hits / nullif(t + p, 0), 0)), 6) as macro_f1 from (select scope, grp, label, sum(hits) as hits, sum(t) as t, sum(p) as p from (
+              select scope, grp, "true" as label, n as t, 0 as p, case when "true" = pred then n else 0 end as hits from x union all select scope, grp, pred, 0, n, 0 from x) group by all) group by scope, grp) f on m.scope = f.scope and m.grp is not distinct from f.grp
+            join (select scope, grp, round(1 - sum(d * n) / sum(d * rn * cn / cast(tn as double)), 6) as kappa from (select scope, grp, n, (list_position({LABEL_LIST}, "true") - list_position({LABEL_LIST}, pred)) ** 2 as d,
+              sum(n) over (partition by scope, grp, "true") as rn, sum(n) over (partition by scope, grp, pred) as cn, sum(n) over (partition by scope, grp) as tn from x) group by scope, grp) k on m.scope = k.scope and m.grp is not distinct from k.grp
+            join (select scope, grp, label, n / cast(tn as double) as share from (select scope, grp, "true" as label, sum(n) as n, sum(sum(n)) over (partition by scope, grp) as tn, row_number() over (partition by scope, grp order by sum(n) desc, "true") as r from x group by scope, grp, "true") where r = 1) j
+              on m.scope = j.scope and m.grp is not distinct from j.grp""",
+            CONFUSION_SETS,
+        ),
         "term_counts": _with("select grp, term, cast(sum(tf) as bigint) as n from v_terms group by all", terms),
         "doc_freq": _with("select term, count(*) as df, cast(sum(tf) as bigint) as tf from v_terms group by term having count(*) >= 10", terms),
         "unique_years": _with("select distinct yr from v_scores"),
@@ -266,10 +296,10 @@ def oracle_sql() -> dict[str, str]:
             join (select grp, cast(sum(t) as bigint) as n, (sum(t) * (sum(t) - 1) * (2 * sum(t) + 5) - sum(t * (t - 1) * (2 * t + 5))) / 18e0 as v from (select grp, x, count(*) as t from i group by all) group by grp) t on s.grp = t.grp""",
             PAIRS,
         ),
-        "ols_simple": _with(f"select grp, n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2, round(sqrt(sse / (n - 2) / sxx), 6) as se from ({OLS.format(g='grp,')} group by grp)"),
-        "ols_interaction": _with("select term, round(coef, 6) as coef, round(se, 6) as se, n, round(r2, 6) as r2 from t", INTERACTION),
-        "spearman": _with("select n, round(rho, 6) as rho from sp", _spearman()),
-        "spearman_grouped": _with("select grp, n, round(rho, 6) as rho from sp", _spearman("grp")),
+        "ols_simple": _with(f"select grp, n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2, round(sqrt(sse / (n - 2) / sxx), 6) as se, round({t_two_sided_p('slope / sqrt(sse / (n - 2) / sxx)', '(n - 2)')}, 6) as p from ({OLS.format(g='grp,')} group by grp)"),
+        "ols_interaction": _with(f"select term, round(coef, 6) as coef, round(se, 6) as se, n, round(r2, 6) as r2, round({t_two_sided_p('coef / se', '(n - 4)')}, 6) as p from t", INTERACTION),
+        "spearman": _with(f"select n, round(rho, 6) as rho, round({RHO_P}, 6) as p from sp", _spearman()),
+        "spearman_grouped": _with(f"select grp, n, round(rho, 6) as rho, round({RHO_P}, 6) as p from sp", _spearman("grp")),
         "spearman_ci": _with("select round(tanh(atanh(rho) - 1.959963984540054 / sqrt(n - 3)), 6) as ci_lo, round(tanh(atanh(rho) + 1.959963984540054 / sqrt(n - 3)), 6) as ci_hi from sp", _spearman()),
         "classification_metrics": _with("select label, cast(support as bigint) as support, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from f", CONFUSION, METRICS.format(g="", tg="", on="")),
         "agreement_overall": _with(
@@ -293,11 +323,12 @@ def oracle_sql() -> dict[str, str]:
             count(*) filter (grp = '5-LOW' and h) as b_hit, count(*) filter (grp = '5-LOW' and not h) as b_miss from (select grp, "true" = pred as h from v_labelled)))"""
         ),
         "agreement_by_length": _with(
-            f"""select bucket, count(*) as n, round(avg(case when "true" = pred then 1e0 else 0 end), 6) as accuracy from (select case when t <= 0 then null when t <= 5 then '≤5' when t <= 20 then '6–20' when t <= 50 then '21–50' else '>50' end as bucket,
+            f"""select bucket, n, round(a, 6) as accuracy, round((a + zz / (2 * n) - sqrt(zz) * sqrt(a * (1 - a) / n + zz / (4e0 * n * n))) / (1 + zz / n), 6) as ci_lo, round((a + zz / (2 * n) + sqrt(zz) * sqrt(a * (1 - a) / n + zz / (4e0 * n * n))) / (1 + zz / n), 6) as ci_hi
+            from (select bucket, count(*) as n, avg(case when "true" = pred then 1e0 else 0 end) as a, 1.959963984540054e0 ** 2 as zz from (select case when t <= 0 then null when t <= 5 then '≤5' when t <= 20 then '6–20' when t <= 50 then '21–50' else '>50' end as bucket,
               case when rating in (4, 5) then 'positive' when rating in (1, 2) then 'negative' else 'neutral' end as "true", case when c >= 0.05 then 'positive' when c <= -0.05 then 'negative' else 'neutral' end as pred
               from (select v.id, rating, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) as t, round(coalesce(s, 0) / sqrt(coalesce(s, 0) ** 2 + 15), 6) as c from v_docs v
               left join (select id, sum(valence) as s from (select id, unnest({WORDS}) as word from v_docs) join l using (word) group by id) h on v.id = h.id))
-            where bucket is not null group by bucket""",
+            where bucket is not null group by bucket)""",
             _lexicon(),
         ),
         "mismatch_counts": _with(f"select grp, count(*) filter (k = 'high_star_negative') as high_star_negative, count(*) filter (k = 'low_star_positive') as low_star_positive from (select grp, {MISMATCH} as k from v_scores) group by grp"),

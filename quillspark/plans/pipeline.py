@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import Config, load_config
 from quillspark.functions import langid, sentiment, text
-from quillspark.functions.special import chi_square_1, ks_two_sided, normal_two_sided, t_two_sided
+from quillspark.functions.special import chi_square_1, normal_two_sided
 from quillspark.operators import agreement, figures, hist, rank, resample, sampling, trend, words
 from quillspark.session import get_session, setup_logging
 from quillspark.sources import readers, sinks
@@ -91,7 +91,7 @@ class Pipeline:
         m, k = rank.mann_whitney(df, v, g, self.a, self.b).first(), rank.ks_2samp(df, v, g, self.a, self.b).first()
         cis = {s: resample.bootstrap_ci(df, v, [g], s, b.iterations, b.level, b.seed).collect() for s in ("mean", "median")}
         diffs = {s: resample.bootstrap_diff_ci(df, v, g, self.a, self.b, s, b.iterations, b.level, b.seed).first() for s in ("mean", "median")}
-        tests = [("mannwhitney", m.u, normal_two_sided(m.z) if m.z is not None else None, m.delta, "rank_biserial"), ("ks", k.d, ks_two_sided(k.d, m.n1, m.n2) if k.d is not None else None, m.delta, "cliffs_delta")]
+        tests = [("mannwhitney", m.u, normal_two_sided(m.z) if m.z is not None else None, m.delta, "rank_biserial"), ("ks", k.d, k.p, m.delta, "cliffs_delta")]
         self.write(self.spark.createDataFrame(tests, "test string, stat double, p double, effect_size double, effect_name string"), "rq1", "Tests between categories")
         for name, table in (("kde", figures.kde_grid(df, v, g, -1.0, 1.0)), ("ecdf", rank.ecdf_points(df, v, g)), ("box", figures.box_stats(df, v, g))):
             self.write(table, f"figure_{name}")
@@ -121,12 +121,12 @@ class Pipeline:
         b, w = self.cfg.bootstrap, self.cfg.mismatch
         rated = df.filter(F.col("star_label").isNotNull()).withColumn("hit", (F.col("star_label") == F.col("vader_label")).cast("double"))
         rho = rank.spearman(rated, "rating", "vader_compound").first()
-        both = {"overall": [], "by_category": ["category"]}
-        metrics = {}
-        for name, by in both.items():
-            grid = self.hold(agreement.confusion(rated, "star_label", "vader_label", by=by))
-            metrics[name] = {"metrics": agreement.agreement_metrics(grid, by).collect(), "classes": agreement.class_metrics(grid, by).collect(), "kappa": agreement.kappa_quadratic(grid, by).collect(), "majority": agreement.majority_baseline(rated, "star_label", by).collect()}
-            self.write(grid, f"figure_confusion_{name}")
+        grid, cell = self.hold(agreement.confusion_with_total(rated, "star_label", "vader_label", "category")), ["scope", "category"]
+        tables = {"metrics": agreement.agreement_metrics(grid, cell), "classes": agreement.class_metrics(grid, cell), "kappa": agreement.kappa_quadratic(grid, cell), "majority": agreement.majority_of(grid, cell)}
+        found = {k: t.collect() for k, t in tables.items()}
+        metrics = {name: {k: [r for r in rows if r.scope == scope] for k, rows in found.items()} for name, scope in (("overall", "all"), ("by_category", "each"))}
+        self.write(grid.filter("scope = 'all'").drop("scope", "category"), "figure_confusion_overall")
+        self.write(grid.filter("scope = 'each'").drop("scope"), "figure_confusion_by_category")
         chi = agreement.chi2_2x2(rated, "category", self.a, self.b, F.col("hit") == 1).first()
         lengths = resample.bootstrap_ci(rated.withColumn("bucket", agreement.length_bucket(F.col("token_len"))).filter("bucket is not null"), "hit", ["bucket"], "proportion", b.iterations, b.level, b.seed)
         self.write(lengths.withColumnRenamed("estimate", "accuracy"), "rq3_agreement_by_length", "Agreement by length")
@@ -134,8 +134,7 @@ class Pipeline:
         wrong = rated.withColumn("mismatch_type", kind).filter(F.col("mismatch_type").isNotNull()).withColumn("__id", F.sha2(F.concat_ws("|", "timestamp", "rating", "review_text"), 256))
         chosen = sampling.bottom_k(wrong, ["category", "mismatch_type"], w.per_direction, "__id", self.cfg.sampling.seed)
         self.write(chosen.select("category", "year", "rating", "vader_compound", "token_len", "review_text", "mismatch_type"), "mismatches")
-        p = None if rho.rho is None or rho.n < 3 else t_two_sided(rho.rho * ((rho.n - 2) / max(1 - rho.rho**2, 1e-300)) ** 0.5, rho.n - 2)
-        return {"spearman": {"rho": rho.rho, "n": rho.n, "p": p}, **metrics, "chi2": chi, "chi2_p": chi_square_1(chi.chi2) if chi.chi2 is not None else None, "mismatches": agreement.mismatch_counts(rated, kind, ["category"]).collect()}
+        return {"spearman": {"rho": rho.rho, "n": rho.n, "p": rho.p}, **metrics, "chi2": chi, "chi2_p": chi_square_1(chi.chi2) if chi.chi2 is not None else None, "mismatches": agreement.mismatch_counts(rated, kind, ["category"]).collect()}
 
     def words(self, df: DataFrame) -> dict[str, Any]:
         """Which words set positive from negative reviews apart in a category, and the categories from each other."""

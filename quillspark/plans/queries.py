@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import langid, sentiment, special, text
-from quillspark.operators import agreement, figures, hist, rank, resample, sampling, trend, words
+from quillspark.operators import agreement, figures, hist, prefix, rank, resample, sampling, trend, words
 from quillspark.plans import views
 from quillspark.sources import readers, sinks
 
@@ -314,6 +314,23 @@ def confusion_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agreement.confusion(labelled(spark, sf_dir), "true", "pred", by=["grp"]), "row_share")
 
 
+@query
+def confusion_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's confusion and that of all rows from one aggregation."""
+    return rounded(agreement.confusion_with_total(labelled(spark, sf_dir), "true", "pred", "grp"), "row_share")
+
+
+@query
+def agreement_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, macro F1, kappa and the majority's share of each group and of all rows, from one grid."""
+    grid, cell = prefix.settled(agreement.confusion_with_total(labelled(spark, sf_dir), "true", "pred", "grp")), ["scope", "grp"]
+    parts = (agreement.kappa_quadratic(grid, cell), agreement.majority_of(grid, cell).withColumnRenamed("label", "majority"))
+    found = agreement.agreement_metrics(grid, cell)
+    for part in parts:
+        found = prefix.matched(found, part, cell)
+    return rounded(found, "accuracy", "macro_f1", "kappa", "share")
+
+
 @query
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn_terms(spark, sf_dir).groupBy("grp", "term").agg(F.sum("tf").alias("n"))
@@ -366,13 +383,13 @@ def cliffs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ks_2samp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rank.ks_2samp(views.scores(spark, sf_dir), "score", "grp", URGENT, LOW), "d")
+    return rounded(rank.ks_2samp(views.scores(spark, sf_dir), "score", "grp", URGENT, LOW), "d", "p")
 
 
 @query
 def ks_2samp_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rounded(rank.ks_2samp(v, "l_extendedprice", "l_returnflag", "A", "R"), "d")
+    return rounded(rank.ks_2samp(v, "l_extendedprice", "l_returnflag", "A", "R"), "d", "p")
 
 
 @query
@@ -428,24 +445,24 @@ def sens_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ols_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = trend.ols_simple(views.scores(spark, sf_dir), "score", "yr", ["grp"])
-    return rounded(o.select("grp", "n", "slope", "intercept", "r2", "se"), "slope", "intercept", "r2", "se")
+    return rounded(o.select("grp", "n", "slope", "intercept", "r2", "se", "p"), "slope", "intercept", "r2", "se", "p")
 
 
 @query
 def ols_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.scores(spark, sf_dir).filter(F.col("grp").isin(URGENT, LOW))
     o = trend.ols_interaction(v, "score", "yr", "grp")
-    return rounded(o.select("term", "coef", "se", "n", "r2"), "coef", "se", "r2")
+    return rounded(o.select("term", "coef", "se", "n", "r2", "p"), "coef", "se", "r2", "p")
 
 
 @query
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rank.spearman(views.scores(spark, sf_dir), "rating", "score"), "rho")
+    return rounded(rank.spearman(views.scores(spark, sf_dir), "rating", "score"), "rho", "p")
 
 
 @query
 def spearman_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rank.spearman(views.scores(spark, sf_dir), "rating", "score", by=["grp"]), "rho")
+    return rounded(rank.spearman(views.scores(spark, sf_dir), "rating", "score", by=["grp"]), "rho", "p")
 
 
 @query
@@ -490,7 +507,7 @@ def agreement_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.docs(spark, sf_dir).withColumn("tokens", text.token_len(F.col("text")))
     said = sentiment.lexicon_sums(docs, table).select(F.col("id").alias("__id"), sentiment.sentiment_label(F.round("compound", 6)).alias("pred"))
     v = docs.join(said, F.col("id") == F.col("__id")).withColumn("true", sentiment.star_label(F.col("rating")))
-    return rounded(agreement.agreement_by_length(v, "true", "pred", "tokens"), "accuracy")
+    return rounded(agreement.agreement_by_length(v, "true", "pred", "tokens"), "accuracy", "ci_lo", "ci_hi")
 
 
 @query

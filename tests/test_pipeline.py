@@ -47,7 +47,7 @@ def test_sql_functions(spark):
 
 
 def test_queries_without_sql_are_known():
-    assert set(QUERIES) - set(oracle_sql()) == {"lang_detect", "bootstrap_ci", "bootstrap_ci_median", "bootstrap_diff_ci", "lexicon_sentiment", "trend_band"}
+    assert set(QUERIES) - set(oracle_sql()) == {"bootstrap_ci", "bootstrap_ci_median", "bootstrap_diff_ci", "lexicon_sentiment", "trend_band"}
     assert set(oracle_sql()) <= set(QUERIES)
 
 
