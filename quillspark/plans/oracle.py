@@ -223,6 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "term_regex": _with(f"select term, round(coef, 6) as coef, round(se, 6) as se, n, round(r2, 6) as r2, round({t_two_sided_p('coef / se', '(n - 4)')}, 6) as p from t where regexp_matches(term, 'yr.*LOW|LOW.*yr')", INTERACTION),
         "col_select": _with("select id, grp, yr, rating from v_scores"),
         "reservoir": _with(f"select id, grp, yr from (select *, row_number() over (partition by grp, yr order by {HASHED}, id) as r from v_scores) where r <= 20"),
+        "streaming_sample": _with(f"select id, grp, yr from (select *, row_number() over (partition by grp, yr order by {HASHED}, id) as r from v_scores) where r <= 20"),
         "pop_count": _with("select grp, yr, count(*) as population from v_scores group by all"),
         "equal_cells": _with(f"select id, grp, yr from (select *, row_number() over (partition by grp, yr order by {HASHED}, id) as r from v_scores) where r <= (select min(n) from (select count(*) as n from v_scores group by grp, yr))"),
         "sampling_summary": _with(SUMMARY_ROWS, SUMMARY),

@@ -11,6 +11,7 @@ from quillspark.functions import langid, sentiment, special, text
 from quillspark.operators import agreement, figures, hist, prefix, rank, resample, sampling, trend, words
 from quillspark.plans import views
 from quillspark.sources import readers, sinks
+from quillspark.streaming import sampling as stream_sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +170,17 @@ def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bottom_k(views.scores(spark, sf_dir), ["grp", "yr"], 20, "id").select("id", "grp", "yr")
 
 
+@query
+def streaming_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reservoir's sample, kept in state while the rows arrive in four batches."""
+    folder, state = sinks.shared_folder(spark, "arriving"), sinks.shared_folder(spark, "state")
+    rows = views.scores(spark, sf_dir).select("id", "grp", "yr")
+    rows.repartition(4, "id").write.parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream_sampling.sample_stream(arriving, ["grp", "yr"], 20, "id", state).awaitTermination()
+    return stream_sampling.latest_sample(spark, state).select("id", "grp", "yr")
+
+
 @query
 def pop_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.population(views.scores(spark, sf_dir), ["grp", "yr"])

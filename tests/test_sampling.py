@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quillspark.config import Config, load_config
 from quillspark.operators import sampling
 from quillspark.sources import readers, sinks
-from quillspark.streaming import sampling as streaming
 
 
 def test_sample_does_not_depend_on_layout(spark):
@@ -99,16 +98,3 @@ def test_sinks(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "csv"), df.schema).count() == 2
     sinks.write_json({"rows": df.collect(), "bad": float("nan")}, str(tmp_path / "o/r.json"))
     assert json.loads((tmp_path / "o/r.json").read_text()) == {"rows": [{"name": "a_b & c", "n": 12345, "v": 0.5}, {"name": "x", "n": 1, "v": None}], "bad": None}
-
-
-def test_streamed_sample_equals_batch_sample(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    rows = [{"rating": float(i % 5), "text": f"t{i}", "timestamp": MIDNIGHT + i} for i in range(60)]
-    for part in range(3):
-        (folder / f"{part}.json").write_text("\n".join(json.dumps(r) for r in rows[part * 20 : part * 20 + 20]))
-    stream = streaming.read_review_stream(spark, str(folder), max_files=1)
-    streaming.sample_stream(stream, ["rating"], 4, "timestamp", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.timestamp for r in streaming.latest_sample(spark, str(tmp_path / "out")).collect()}
-    want = {r.timestamp for r in sampling.bottom_k(spark.createDataFrame(rows), ["rating"], 4, "timestamp").collect()}
-    assert got == want
