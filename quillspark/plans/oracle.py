@@ -198,6 +198,43 @@ def _lexicon() -> str:
     return "l as (select * from (values " + ", ".join(f"('{w}', {v}e0)" for w, v in LEXICON.items()) + ") x(word, valence))"
 
 
+def _rules() -> str:
+    """The sentiment rules over windows: each word is joined with the three words before it, whatever they are."""
+    from quillspark.functions import sentiment as m
+    from quillspark.plans.queries import LEXICON
+
+    rated = LEXICON | {p.replace(" ", "_"): v for p, v in m.IDIOMS.items()}
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    text = rf"regexp_replace(coalesce(text, ''), '({m._EMOJI})', ' \1 ', 'g')"
+    for phrase in m.IDIOMS:
+        text = f"regexp_replace({text}, '(?i)\\b{phrase}\\b', '{phrase.replace(' ', '_')}', 'g')"
+    bare = rf"regexp_replace(w, '^{m._PUNCTUATION}+|{m._PUNCTUATION}+$', '', 'g')"
+    boost = "case word " + " ".join(f"when '{w}' then {b}e0" for w, b in m.BOOSTERS.items()) + " else 0e0 end"
+    step = ""
+    for k in (1, 2, 3):
+        nearer = [f"coalesce(w{j}, '')" for j in range(1, k)]
+        among = lambda names, nearer=tuple(nearer): "(" + " or ".join([f"{w} in ({listed(names)})" for w in nearer] or ["false"]) + ")"
+        step += f"""s{k} as (select *, (v{k - 1} + case when w{k} is not null and x{k} is null then sign(v{k - 1}) * (o{k} + case when o{k} <> 0 and u{k} and mixed then {m.CAPITALS} else 0 end) * {m.FADE[k - 1]} else 0 end)
+            * case when w{k} is null or x{k} is not null then 1 when w{k} = 'never' and {among(("so", "this"))} then {m.NEVER_SO} when w{k} = 'without' and {among(("doubt",))} then 1 when g{k} then {m.NEGATED} else 1 end as v{k} from s{k - 1}), """
+    lags = ", ".join(f"lag({c}, {k}) over z as {a}{k}" for k in (1, 2, 3) for c, a in (("word", "w"), ("valence", "x"), ("boost", "o"), ("negates", "g"), ("upper", "u")))
+    return _with(
+        f"""select id, round(coalesce(down / nullif(everything, 0), 0), 6) as neg, round(coalesce(rest / nullif(everything, 0), 0), 6) as neu, round(coalesce(up / nullif(everything, 0), 0), 6) as pos, round(total / sqrt(total * total + {m.ALPHA}), 6) as compound
+        from (select id, total + sign(total) * emphasis as total, n - hits as rest, up0 + case when up0 > down0 then emphasis else 0 end as up, down0 + case when up0 < down0 then emphasis else 0 end as down,
+          n - hits + up0 + down0 + case when up0 <> down0 then emphasis else 0 end as everything from (
+          select t.id, any_value(len(w)) as n, any_value(emphasis) as emphasis, coalesce(sum(v), 0) as total, count(v) filter (v <> 0) as hits, coalesce(sum(v + 1) filter (v > 0), 0) as up0, -coalesce(sum(v - 1) filter (v < 0), 0) as down0 from t left join f on t.id = f.id group by t.id))""",
+        f"""t0 as (select id, coalesce(text, '') as text, list_transform(list_filter(regexp_split_to_array({text}, '{WS}+'), lambda w: w <> ''), lambda w: case when length({bare}) > 2 then {bare} else w end) as w from v_turns),
+t as (select *, len(list_filter(w, lambda x: regexp_matches(x, '\p{{Lu}}') and not regexp_matches(x, '\p{{Ll}}'))) as us,
+  least(length(text) - length(replace(text, '!', '')), {m.MOST_EXCLAMATIONS}) * {m.EXCLAMATION} + case when length(text) - length(replace(text, '?', '')) > 3 then {m.MANY_QUESTIONS} when length(text) - length(replace(text, '?', '')) > 1 then (length(text) - length(replace(text, '?', ''))) * {m.QUESTION} else 0 end as emphasis from t0),
+e as (select id, us > 0 and us < len(w) as mixed, unnest(w) as raw, unnest(range(len(w))) as at_ from t),
+l as (select * from (values {", ".join(f"('{w}', {v}e0)" for w, v in rated.items())}) x(word, valence)),
+c as (select id, mixed, at_, lower(raw) as word, valence, {boost.replace("word", "lower(raw)", 1)} as boost, lower(raw) in ({listed(m.NEGATIONS)}) or lower(raw) like '%n''t' as negates, regexp_matches(raw, '\p{{Lu}}') and not regexp_matches(raw, '\p{{Ll}}') as upper
+  from e left join l on lower(raw) = l.word),
+g as (select *, min(at_) filter (word = 'but') over (partition by id) as but_at, {lags} from c window z as (partition by id order by at_)),
+s0 as (select *, valence + case when upper and mixed then sign(valence) * {m.CAPITALS} else 0 end as v0 from g where valence <> 0),
+{step}f as (select id, v3 * case when w1 = 'least' and x1 is null and coalesce(w2, '') not in ('at', 'very') then {m.NEGATED} else 1 end * case when at_ < but_at then {m.BEFORE_BUT} when at_ > but_at then {m.AFTER_BUT} else 1 end as v from s3)""",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     terms, stop = _terms(), _kept()
     clean = _with("select id, md5(t) as clean_md5, length(t) as n_chars from c2", _clean("pages"))
@@ -350,6 +387,9 @@ def oracle_sql() -> dict[str, str]:
             join (select grp, count(*) as n_group, sum(count(*)) over () as n_all from v_turns group by grp) g on t.grp = g.grp)) group by grp, term) where r <= 25""",
             terms,
         ),
+        "lexicon_sentiment": _rules(),
+        "sql_surface": _with(f"""select gram, count(*) as n, count(distinct id) as docs from (
+            select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as gram from (select id, {WORDS} as w from v_turns where grp = 'user')) group by gram having count(*) >= 5"""),
         "sentiment_label": _with("select id, pred as label from v_labelled"),
         "star_label": _with("select id, case when trunc(id % 12 / 2e0) in (4, 5) then 'positive' when trunc(id % 12 / 2e0) in (1, 2) then 'negative' else 'neutral' end as label from v_scores"),
         "ecdf_points": _with("select grp, v, round(sum(n) over (partition by grp order by v) / cast(sum(n) over (partition by grp) as double), 6) as f from (select grp, score as v, count(*) as n from v_ties group by all)"),

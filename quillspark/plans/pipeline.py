@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from quillspark.config import Config, load_config
 from quillspark.functions import langid, sentiment, text
@@ -75,8 +76,10 @@ class Pipeline:
     def score(self, cleaned: DataFrame) -> DataFrame:
         """Sentiment scores and the labels of score and stars."""
         c = self.cfg.labels
-        s = sentiment.score_udf(self.lexicon).asNondeterministic()(F.col("review_text"))
-        rows = cleaned.withColumn("__s", s).select(*cleaned.columns, *(F.col(f"__s.{k}").alias(f"vader_{k}") for k in ("neg", "neu", "pos", "compound")))
+        named = cleaned.withColumn("__id", F.monotonically_increasing_id())
+        lexicon = sentiment.lexicon_table(self.spark, self.lexicon)
+        scores = sentiment.score_documents(named, "__id", "review_text", lexicon)
+        rows = named.join(scores, "__id").select(*cleaned.columns, *(F.col(k).alias(f"vader_{k}") for k in ("neg", "neu", "pos", "compound")))
         rows = rows.withColumn("vader_label", sentiment.sentiment_label(F.col("vader_compound"), c.positive_from, c.negative_to))
         return rows.withColumn("star_label", sentiment.star_label(F.col("rating"), c.positive_stars, c.negative_stars))
 
@@ -187,10 +190,33 @@ class Pipeline:
         return results
 
 
-def register_functions(spark: SparkSession, lexicon: Mapping[str, float] | None = None) -> None:
-    """SQL functions of a session: decode_entities(text) and sentiment_score(text)."""
+# Functions of a session whose bodies are SQL, so that the optimizer sees through them.
+SQL_FUNCTIONS = {
+    "star_label(rating double) returns string": "case when cast(rating as int) in (4, 5) then 'positive' when cast(rating as int) in (1, 2) then 'negative' when rating is not null then 'neutral' end",
+    "sentiment_label(score double) returns string": "case when score >= 0.05 then 'positive' when score <= -0.05 then 'negative' when score is not null then 'neutral' end",
+    "compound(valence double) returns double": f"valence / sqrt(valence * valence + {sentiment.ALPHA})",
+    "rank_biserial(u double, n1 double, n2 double) returns double": "2 * u / (n1 * n2) - 1",
+    "sample_key(seed int, id string) returns string": "md5(concat_ws('|', cast(seed as string), id))",
+    "review_tokens(t string) returns array<string>": r"""regexp_extract_all(regexp_replace(regexp_replace(lower(t), '[^\\x00-\\x7F\\p{L}\\p{N}]', ' '), '[^\\x00-\\x7F]', '_'), "\\b[a-z]+(?:'[a-z]+)?\\b", 0)""",
+}
+
+
+@udtf(returnType="place int, gram string")
+class ReviewNgrams:
+    """review_ngrams(words, n_max): every run of one to n_max words with the place of its first, a row each."""
+
+    def eval(self, words: list, n_max: int):
+        for i in range(len(words or [])):
+            for n in range(1, min(n_max, len(words) - i) + 1):
+                yield i, " ".join(words[i : i + n])
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions of a session: decode_entities(text), those of SQL_FUNCTIONS, and the table function review_ngrams(words, n_max)."""
     spark.udf.register("decode_entities", text.decode_entities)
-    spark.udf.register("sentiment_score", sentiment.score_udf(lexicon))
+    spark.udtf.register("review_ngrams", ReviewNgrams)
+    for signature, body in SQL_FUNCTIONS.items():
+        spark.sql(f"create or replace temporary function {signature} return {body}")
 
 
 def main(args: Sequence[str] | None = None) -> None:

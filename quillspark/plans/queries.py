@@ -603,8 +603,22 @@ def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = sentiment.score_udf(LEXICON)
-    return views.turns(spark, sf_dir).select("id", score(F.col("text")).alias("s")).select("id", "s.*")
+    """What users and assistants say, by the lexicon and the rules."""
+    scored = sentiment.score_documents(views.turns(spark, sf_dir), "id", "text", sentiment.lexicon_table(spark, LEXICON))
+    return rounded(scored, "neg", "neu", "pos", "compound")
+
+
+@query
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest runs of up to two words in what users say, through ``spark.sql`` and registered functions alone."""
+    from quillspark.plans.pipeline import register_functions
+
+    register_functions(spark)
+    views.turns(spark, sf_dir).createOrReplaceTempView("turns")
+    return spark.sql("""
+        select g.gram, count(*) as n, count(distinct t.id) as docs
+        from (select id, review_tokens(text) as w from turns where grp = 'user') t, lateral review_ngrams(t.w, 2) g
+        group by g.gram having count(*) >= 5""")
 
 
 @query

@@ -41,13 +41,15 @@ def test_pipeline_runs_and_caches(spark, tmp_path):
 
 
 def test_sql_functions(spark):
-    register_functions(spark, {"good": 2.0})
-    r = spark.sql("select decode_entities('&lt;a&gt;') as t, sentiment_score('good').compound as c").first()
-    assert r.t == "<a>" and r.c == pytest.approx(2 / 19**0.5)
+    register_functions(spark)
+    r = spark.sql("select decode_entities('&lt;a&gt;') as t, compound(2) as c, star_label(4.5) as s, sentiment_label(-0.05) as l, sample_key(42, '7') as k, review_tokens('It''s été ok, x2') as w").first()
+    assert (r.t, r.s, r.l, r.w) == ("<a>", "positive", "negative", ["it's", "ok"]) and r.c == pytest.approx(2 / 19**0.5)
+    grams = spark.sql("select * from review_ngrams(array('a', 'b', 'c'), 2)").collect()
+    assert [(g.place, g.gram) for g in grams] == [(0, "a"), (0, "a b"), (1, "b"), (1, "b c"), (2, "c")]
 
 
 def test_queries_without_sql_are_known():
-    assert set(QUERIES) - set(oracle_sql()) == {"bootstrap_ci", "bootstrap_ci_median", "bootstrap_diff_ci", "lexicon_sentiment", "trend_band"}
+    assert set(QUERIES) - set(oracle_sql()) == {"bootstrap_ci", "bootstrap_ci_median", "bootstrap_diff_ci", "trend_band"}
     assert set(oracle_sql()) <= set(QUERIES)
 
 

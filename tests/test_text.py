@@ -55,18 +55,6 @@ def test_labels(spark):
     assert [tuple(r) for r in got] == [("positive", "positive"), ("negative", "neutral"), ("neutral", "negative"), (None, None)]
 
 
-def test_rules_of_the_scorer():
-    lexicon = {"good": 2.0, "bad": -2.0}
-    score = lambda t: sentiment.score_text(t, lexicon)[3]
-    assert score("good") == pytest.approx(2 / 19**0.5)
-    assert score("not good") < 0 < score("very good") - score("good")
-    assert score("GOOD day") > score("good day")
-    assert score("good!!") > score("good")
-    assert score("good but bad") < 0 < score("bad but good")
-    assert sentiment.score_text("", lexicon) == (0, 0, 0, 0)
-    assert sum(sentiment.score_text("good bad day", lexicon)[:3]) == pytest.approx(1)
-
-
 def test_lexicon_join_equals_counting(spark):
     docs = spark.createDataFrame([(1, "good good bad"), (2, "nothing"), (3, "")], "id int, text string")
     got = {r.id: (r.hits, r.valence) for r in sentiment.lexicon_sums(docs, sentiment.lexicon_table(spark, {"good": 2.0, "bad": -1.0})).collect()}
