@@ -24,6 +24,8 @@ ORDERS = (2, 3)
 BUCKETS = 1 << 15
 #: Weights are SCALE * ln(1 + rate / FLOOR), a rate being the occurrences in PER runs of a length.
 SCALE, FLOOR, PER = 32, 0.1, 1000
+#: Languages whose weights share a long, and the bits of each.
+PACKED, BITS = 3, 21
 #: What the scores are divided by for the posterior, and the least posterior of an answer.
 TEMPER, LEAST = 2.0, 0.6
 #: Scripts and the language taken for each; the first that holds more than half of the letters decides.
@@ -91,12 +93,24 @@ class Profiles:
         """Struct of lang and p, the likeliest language and its posterior; null for null and where languages tie or nothing is known."""
         if not self.weights:
             return F.lit(None).cast("struct<lang:string,p:double>")
-        tables = {lang: F.split(F.lit(",".join(map(str, w))), ",").cast("array<int>") for lang, w in self.weights.items()}
-
-        def likeliest(ids: Column) -> Column:
-            total = lambda w: F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, b: a + F.get(w, b))
-            sums = map(total, tables.values())
-            return F.array(*(F.struct(s.alias("score"), F.lit(lang).alias("lang")) for s, lang in zip(sums, tables, strict=True)))
+        langs = list(self.weights)
+        # The weights of PACKED languages share a long, so one pass over the runs sums them all; a part is short enough for no sum to overflow its bits.
+        most = max(max(w) for w in self.weights.values())
+        part = max(1, ((1 << BITS) - 1) // max(most, 1))
+        packs = []
+        for i in range(0, len(langs), PACKED):
+            packed = [sum(w << BITS * k for k, w in enumerate(ws)) for ws in zip(*(self.weights[x] for x in langs[i : i + PACKED]), strict=True)]
+            packs.append(F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>"))
+        zero = F.lit(0).cast("bigint")
+
+        def sums_of(ids: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1)), F.lit(part)), lambda i: F.slice(ids, i, F.lit(part)))
+            total = lambda table: lambda c: F.aggregate(c, zero, lambda a, b: a + F.get(table, b))
+            return F.array(*(F.transform(parts, total(table)) for table in packs))
+
+        def likeliest(sums: Column) -> Column:
+            score = lambda k: F.aggregate(sums[k // PACKED], zero, lambda a, x: a + F.shiftright(x, BITS * (k % PACKED)).bitwiseAND((1 << BITS) - 1))
+            return F.array(*(F.struct(score(k).alias("score"), F.lit(lang).alias("lang")) for k, lang in enumerate(langs)))
 
         def answer(found: Column) -> Column:
             top = F.array_max(found)
@@ -105,8 +119,8 @@ class Profiles:
             return F.when((top["score"] > 0) & ~tied, F.struct(top["lang"].alias("lang"), (1 / whole).alias("p")))
 
         # Lambdas name what would else be evaluated again for each language.
-        scored = F.transform(F.array(buckets(letters(text))), likeliest)
-        return F.transform(scored, answer)[0]
+        summed = F.transform(F.array(buckets(letters(text))), sums_of)
+        return F.transform(F.transform(summed, likeliest), answer)[0]
 
     def column(self, text: Column) -> Column:
         """The language of ``text``, null if unknown."""
