@@ -2,8 +2,8 @@
 
 Unit vectors are projected by a seeded Gaussian matrix to PROJECTED dimensions. For a pair at
 distance d the squared projected distance is d^2 times a chi-square variable with that many
-degrees of freedom. Neighbours in the projection are verified in full, nearest first, until the next ones are
-so far that a vector nearer than the k-th best so far would have been seen with probability CONFIDENCE.
+degrees of freedom. Neighbours in the projection come one after another, leaves of the tree being opened as the order
+reaches them, and are verified in full until the next is so far that a vector nearer than the k-th best so far would have been seen with probability CONFIDENCE.
 
 The upper levels of the kd-tree are fitted on a sample of SAMPLE rows and split all rows into
 cells; each cell, in one task, has a tree of its own down to leaves. A query first takes
@@ -142,47 +142,43 @@ class Cell:
 
     def search(self, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Ids and cosines of up to k rows for each query, best first, and how many rows were verified. ``bound``: squared distance that need not be exceeded."""
-        n, k = len(ids), self.k
         norms, low = _norms(queries), project(queries)
-        squares, bound = (low * low).sum(1), bound.copy()
-        gaps = self.tree.gaps(low)
-        found = [np.empty(0, np.int64)] * n
-        score = [np.empty(0)] * n
-        verified, kth = np.zeros(n, np.int64), np.full(n, -np.inf)
-
-        def visit(leaf: int, who: np.ndarray, all_rows: bool = False) -> None:
-            rows = self.tree.rows[leaf]
-            near = self.ids[rows][None] != ids[who][:, None]
-            if not all_rows:
-                near &= squares[who][:, None] + self.squares[rows][None] - 2 * low[who] @ self.low[rows].T <= (bound[who] * self.reach + 1e-9)[:, None]
-            q, r = np.nonzero(near)
-            if not len(q):
-                return
-            q, r = who[q], rows[r]
+        gaps, squares = self.tree.gaps(low), (low * low).sum(1)
+        out = [self._one(ids[x], queries[x], norms[x], low[x], squares[x], gaps[x], bound[x]) for x in range(len(ids))]
+        return [o[0] for o in out], [o[1] for o in out], np.array([o[2] for o in out], np.int64)
+
+    def _one(self, own: int, query: np.ndarray, norm: float, low: np.ndarray, square: float, gaps: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows in order of their projected distance, leaves being opened by their gap as that order reaches them; the test is asked before every few rows."""
+        leaves = np.argsort(gaps, kind="stable")
+        found, score, verified = np.empty(0, np.int64), np.empty(0), 0
+        rows, away = np.empty(0, np.int64), np.empty(0)  # opened and not yet verified, nearest first
+        at, wave, few = 0, 1, 4 * self.k
+        while True:
+            known = gaps[leaves[at]] if at < len(leaves) else np.inf  # all rows nearer than this are open
+            ready = int(np.searchsorted(away, known, side="right"))
+            enough = len(found) >= self.k or verified >= few
+            if not ready:
+                if at == len(leaves) or (enough and known > bound * self.reach + 1e-9):
+                    break
+                opened = np.concatenate([self.tree.rows[leaf] for leaf in leaves[at : at + wave]])
+                opened = opened[self.ids[opened] != own]
+                apart = square + self.squares[opened] - 2 * self.low[opened] @ low
+                rows, away = np.concatenate([rows, opened]), np.concatenate([away, apart])
+                order = np.argsort(away, kind="stable")
+                rows, away = rows[order], away[order]
+                at, wave = at + wave, wave * 2
+                continue
+            if enough and away[0] > bound * self.reach + 1e-9:
+                break
+            r, rows, away = rows[: min(ready, few)], rows[min(ready, few) :], away[min(ready, few) :]
             # Products are added in the same order for every pair, so equal rows give equal numbers.
-            cosine = np.einsum("ij,ij->i", self.vectors[r], queries[q]) / (self.norms[r] * norms[q])
-            verified[:] += np.bincount(q, minlength=n)
-            good = cosine >= kth[q]
-            q, r, cosine = q[good], r[good], cosine[good]
-            starts = np.flatnonzero(np.diff(q, prepend=-1))
-            for b, e in zip(starts, np.append(starts[1:], len(q))[: len(starts)], strict=True):
-                x = q[b]
-                all_ids, all_scores = np.concatenate([found[x], self.ids[r[b:e]]]), np.concatenate([score[x], cosine[b:e]])
-                top = np.lexsort((all_ids, -all_scores))[:k]
-                found[x], score[x] = all_ids[top], all_scores[top]
-                if len(top) == k:
-                    kth[x] = score[x][-1]
-                    bound[x] = min(bound[x], max(0.0, 2 - 2 * score[x][-1]))
-
-        nearest = gaps.argmin(1)
-        for leaf in range(gaps.shape[1]):
-            who = np.flatnonzero(nearest == leaf)
-            if len(who):
-                visit(leaf, who, all_rows=True)  # so that k are found
-        for leaf in range(gaps.shape[1]):
-            who = np.flatnonzero((nearest != leaf) & (gaps[:, leaf] <= bound * self.reach + 1e-9))
-            if len(who):
-                visit(leaf, who)
+            cosine = np.einsum("ij,j->i", self.vectors[r], query) / (self.norms[r] * norm)
+            verified += len(r)
+            found, score = np.concatenate([found, self.ids[r]]), np.concatenate([score, cosine])
+            top = np.lexsort((found, -score))[: self.k]
+            found, score = found[top], score[top]
+            if len(top) == self.k:
+                bound = min(bound, max(0.0, 2 - 2 * score[-1]))
         return found, score, verified
 
 
