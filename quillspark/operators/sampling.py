@@ -40,7 +40,7 @@ def equal_cells(df: DataFrame, strata: Sequence[str], id_col: str, seed: int = 4
 def sampling_summary(df: DataFrame, category: str, year: str, categories: Sequence[str], years: tuple[int, int], k: int, equal: bool = False) -> DataFrame:
     """Every (category, year) of the grid, absent ones with 0: population_count, sampled_count, target_count, shortfall."""
     in_range = df.filter(F.col(year).between(*years))
-    counts = population(in_range, [category, year])
+    counts = population(in_range.filter(F.col(category).isin(*categories)), [category, year])  # no more rows than the grid has
     grid = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, categories))).alias("__c")).select("__c", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))).alias("__y"))
     cells = grid.join(F.broadcast(counts), (F.col("__c") == F.col(category)) & (F.col("__y") == F.col(year)), "left")
     cells = cells.select(F.col("__c").alias(category), F.col("__y").alias(year), F.coalesce("population", F.lit(0)).alias("population_count"))

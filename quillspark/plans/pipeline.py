@@ -8,11 +8,11 @@ session, so tables pass as Parquet and nothing is gathered but small results.
 from __future__ import annotations
 
 import argparse
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -37,6 +37,8 @@ class Pipeline:
         self.a, self.b = cfg.sources
         self.log = setup_logging()
         self.held: list[DataFrame] = []
+        #: What is to be done when the stage at hand has been written.
+        self.afterwards: list[Callable[[], None]] = []
 
     def hold(self, df: DataFrame) -> DataFrame:
         """``df`` kept until the stage or analysis that uses it more than once is done."""
@@ -62,16 +64,21 @@ class Pipeline:
     def clean(self, sampled: DataFrame) -> DataFrame:
         """Markup gone, duplicates within a category and year gone, other languages gone."""
         title, body = text.clean_text(F.col("title")), text.clean_text(F.col("text"))
-        rows = sampled.withColumn("title", title).withColumn("text", body)
-        rows = rows.withColumn("review_text", text.concat_title(F.col("title"), F.col("text"))).filter(F.col("review_text") != "")
-        before = self.hold(rows)
-        unique = self.hold(sampling.drop_duplicates_first(before, ["category", "year", "review_text"], ["timestamp", "rating", "title", "text"]))
+        seen = {name: Observation(name) for name in ("sampled", "not empty", "not duplicate", "language")}
+        count = F.count(F.lit(1)).alias("n")
+        rows = sampled.observe(seen["sampled"], count).withColumn("title", title).withColumn("text", body)
+        rows = rows.withColumn("review_text", text.concat_title(F.col("title"), F.col("text"))).filter(F.col("review_text") != "").observe(seen["not empty"], count)
+        unique = sampling.drop_duplicates_first(rows, ["category", "year", "review_text"], ["timestamp", "rating", "title", "text"]).observe(seen["not duplicate"], count)
         kept = unique if self.detector is None else langid.keep_language(unique, "review_text", self.detector, ascii_least=self.cfg.ascii_least)
-        kept = self.hold(kept.withColumn("char_len", text.char_len(F.col("review_text"))).withColumn("token_len", text.token_len(F.col("review_text"))).select(*CLEAN_COLUMNS))
-        steps = [("sampled", sampled.count()), ("not empty", before.count()), ("not duplicate", unique.count()), ("language", kept.count())]
-        log = [(name, n, (steps[i - 1][1] if i else n) - n) for i, (name, n) in enumerate(steps)]
-        self.write(self.spark.createDataFrame(log, "step string, rows_remaining bigint, rows_dropped bigint").coalesce(1), "preprocessing_log", "Rows kept by each step")
-        return kept
+        kept = kept.withColumn("char_len", text.char_len(F.col("review_text"))).withColumn("token_len", text.token_len(F.col("review_text"))).select(*CLEAN_COLUMNS)
+
+        def log() -> None:
+            steps = [(name, o.get["n"]) for name, o in seen.items()]
+            told = [(name, n, (steps[i - 1][1] if i else n) - n) for i, (name, n) in enumerate(steps)]
+            self.write(self.spark.createDataFrame(told, "step string, rows_remaining bigint, rows_dropped bigint").coalesce(1), "preprocessing_log", "Rows kept by each step")
+
+        self.afterwards.append(log)  # the counts come with the write of the table
+        return kept.observe(seen["language"], count)
 
     def score(self, cleaned: DataFrame) -> DataFrame:
         """Sentiment scores and the labels of score and stars."""
@@ -169,6 +176,8 @@ class Pipeline:
             return self.spark.read.parquet(path)
         self.log.info("making %s", name)
         table = sinks.write_stage(make(), path, mark)
+        while self.afterwards:
+            self.afterwards.pop()()
         self.release()
         return table
 

@@ -274,7 +274,7 @@ def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.docs(spark, sf_dir)
-    return v.select("lang").exceptAll(v.filter("lang = 'en'").select("lang")).distinct()
+    return v.select("lang").distinct().subtract(v.filter("lang = 'en'").select("lang").distinct())
 
 
 # --- aggregations

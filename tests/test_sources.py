@@ -72,3 +72,34 @@ def test_interaction_of_three_groups_equals_least_squares(spark):
     se = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * (rest @ rest) / (len(y) - 6))
     assert [t.coef for t in got] == pytest.approx(coef.tolist()) and [t.se for t in got] == pytest.approx(se.tolist())
     assert got[0].r2 == pytest.approx(1 - rest @ rest / ((y - y.mean()) @ (y - y.mean()))) and got[0].dof == len(y) - 6
+
+
+def test_figures_are_saved_in_both_formats(tmp_path):
+    from quillspark.operators import figures
+
+    class Figure:
+        def savefig(self, path, **options):
+            assert options == {"bbox_inches": "tight"}
+            open(path, "w").close()
+
+    paths = figures.save_figure(Figure(), str(tmp_path / "new"), "kde")
+    assert [p.rsplit(".", 1)[1] for p in paths] == ["pdf", "png"] and all((tmp_path / "new" / f"kde.{k}").exists() for k in ("pdf", "png"))
+
+
+def test_logging_writes_to_a_file_and_leaves_other_loggers_alone(tmp_path):
+    import logging
+
+    from quillspark.session import setup_logging
+
+    root = list(logging.getLogger().handlers)
+    try:
+        log = setup_logging(str(tmp_path / "run.log"), level="DEBUG")
+        log.debug("one")
+        setup_logging(str(tmp_path / "run.log")).info("two")
+        for h in log.handlers:
+            h.flush()
+        lines = (tmp_path / "run.log").read_text().splitlines()
+        assert [x.rsplit(" - ", 1)[1] for x in lines] == ["one", "two"] and "[DEBUG] quillspark" in lines[0]
+        assert logging.getLogger().handlers == root and logging.getLogger("py4j").level == logging.WARNING
+    finally:
+        setup_logging()

@@ -172,6 +172,19 @@ def test_length_buckets(spark):
     assert [r.b for r in df.select(agreement.length_bucket(F.col("n")).alias("b")).collect()] == [None, "≤5", "6–20", "6–20", "21–50", "21–50", ">50", None]
 
 
+def test_binned_densities_equal_kernel_sums(spark):
+    r = np.random.default_rng(4)
+    for values in (r.standard_normal(3000), np.repeat([1.0, 2.5, 7.0], [5, 1, 9]), r.standard_normal(500) * 1e6 + 1e9):
+        df = spark.createDataFrame([("a", float(v)) for v in values] + [("flat", 1.0)] * 3, "g string, v double")
+        lo, hi = float(values.min()), float(values.max())
+        h = values.std(ddof=1) * len(values) ** -0.2
+        got = {x.x: x.density for x in figures.kde_grid(df, "v", "g", lo, hi, 31).collect()}
+        for x, d in got.items():
+            want = np.exp(-0.5 * ((x - values) / h) ** 2).mean() / (h * (2 * np.pi) ** 0.5)
+            assert d == pytest.approx(want, abs=2e-7 / h)
+        assert len(got) == 31
+
+
 def test_kde_integrates_to_one(frame):
     rows = figures.kde_grid(frame, "v", "g", -5.0, 9.0, 141).collect()
     for g in "ab":
