@@ -13,8 +13,8 @@ rejected when its squared distance exceeds a chi-square quantile.
 
 All sums are over fixed-point integers, so estimates do not depend on the order of rows, and
 the half is cut at a bin of a distance histogram (all rows of the bin are in), so no group is
-ever sorted or gathered: each step is two aggregations with map-side combining and a
-join with one row per group.
+ever sorted or gathered: each step reads the vectors once, into sums by group and bin that are
+combined map-side, and joins them with one row per group.
 """
 
 from __future__ import annotations
@@ -136,11 +136,18 @@ def _same_group(a: DataFrame, b: DataFrame, how: str = "inner", also: tuple[str,
     return a.join(b, on, how).drop(*(f"__{c}" for c in (*_GROUP, *also)))
 
 
-def _sums(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, n, mean and covariance of each group from exact integer sums, with the least variances added."""
+_TOTALS = ["n", *(f"s{i}" for i in range(P)), *(f"s{i}{j}" for i, j in _PAIRS)]
+
+
+def _totals(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys and exact sums: how many rows, each component and each product of two."""
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(f"x{i}").cast("decimal(18,0)")).alias(f"s{i}") for i in range(P)]
     sums += [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(18,0)")).alias(f"s{i}{j}") for i, j in _PAIRS]
-    summed = rows.groupBy(*keys).agg(*sums)
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _from_totals(summed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n, mean and covariance from exact sums, with the least variances added."""
     n = F.col("n").cast("double")
     mean = {f"m{i}": F.col(f"s{i}").cast("double") / n / SCALE for i in range(P)}
     least = list(FEATURES.values())
@@ -148,6 +155,11 @@ def _sums(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return summed.select(*keys, "n", *(v.alias(k) for k, v in (mean | cov).items()))
 
 
+def _sums(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n, mean and covariance of each group from exact integer sums, with the least variances added."""
+    return _from_totals(_totals(rows, keys), keys)
+
+
 def _moments(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return _factor(_sums(rows, keys), keys)
 
@@ -223,11 +235,13 @@ def mcd_estimates(rows: DataFrame) -> DataFrame:
     bin_of = F.floor(F.log2(F.greatest(_distance(), F.lit(2.0**-20))) * BINS).cast("int")
     for step in range(MOST_STEPS):
         placed = _same_group(rows, now).select(*keys, *(f"x{i}" for i in range(P)), bin_of.alias("bin"))
-        counted = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"))
-        cuts = scratch(_histogram_quantile(counted, keys, "bin", SUBSET).withColumnRenamed("bin", "cut"), f"mcd-cuts-{step}")
-        subset = _same_group(placed, cuts, also=("start",)).filter(F.col("bin") <= F.col("cut"))
+        # The only read of the rows: the sums of every bin, from which the cut and the moments up to it are both taken.
+        binned = scratch(_totals(placed, (*keys, "bin")), f"mcd-bins-{step}")
+        cuts = _histogram_quantile(binned.select(*keys, "bin", F.col("n").alias("rows")), keys, "bin", SUBSET).withColumnRenamed("bin", "cut")
+        subset = _same_group(binned, cuts, also=("start",)).filter(F.col("bin") <= F.col("cut"))
+        moments = _factor(_from_totals(subset.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _TOTALS)), keys), keys)
         was = now.select(*keys, F.col("logdet").alias("was"))
-        found = scratch(_same_group(_moments(subset, keys), was, also=("start",)).withColumn("better", F.lit(step == 0) | (F.col("logdet") < F.col("was") - 1e-6)).drop("was"), f"mcd-step-{step}")
+        found = scratch(_same_group(moments, was, also=("start",)).withColumn("better", F.lit(step == 0) | (F.col("logdet") < F.col("was") - 1e-6)).drop("was"), f"mcd-step-{step}")
         settled.append(_same_group(now, found.filter("not better").select(*keys), "left_semi", also=("start",)))
         now = found.filter("better").drop("better")
         if now.isEmpty():
