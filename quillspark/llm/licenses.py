@@ -8,7 +8,9 @@ the first n - a + 1 must be in any matching block (prefix filter), the block mus
 words at all (length filter), and from the first common word on, both sides must still
 have a words left (positional filter). What survives is verified by intersection.
 
-The templates are a fixed, small side, so no rows are shuffled but word counts.
+Templates come with the operator or as a table (template, label, text). Where their counted bytes are within
+TEMPLATE_BYTES they are the small side and no rows are shuffled but word counts; beyond that blocks and templates are
+joined on the words of the prefixes. Both ways give the same matches.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import lean, slices
+from quillspark.llm.common import lean, scratch, slices, temporary_tables
 
 # Phrases that name a license.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -106,6 +108,8 @@ TEMPLATES = {
 #: Words of the shortest blocks; a template is sought in blocks of the least power of two that holds it twice.
 BLOCK_WORDS = 64
 THRESHOLD = 0.8
+#: Bytes of templates that every task may hold.
+TEMPLATE_BYTES = 8 << 20
 #: Score of a document that names a license but holds no notice.
 PHRASE_SCORE = 0.5
 
@@ -198,9 +202,9 @@ class Index:
         return best
 
 
-def word_frequency(docs: DataFrame) -> dict[bytes, int]:
-    """In how many documents each word of the templates stands (a table of fixed size)."""
-    wanted = frozenset(w.encode() for _, notice in TEMPLATES.values() for w in notice.split())
+def word_frequency(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None) -> dict[bytes, int]:
+    """In how many documents each word of the templates stands (a table bounded by the templates' size)."""
+    wanted = frozenset(w.encode() for _, notice in (templates or TEMPLATES).values() for w in notice.split())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
@@ -213,15 +217,34 @@ def word_frequency(docs: DataFrame) -> dict[bytes, int]:
     return {r["word"].encode(): r["n"] for r in counted.collect()}
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def _named(templates: DataFrame | None) -> dict[str, tuple[str, str]] | None:
+    """The templates by name, in words as texts are cut into; None if they are too many for a task. Those without words match nothing."""
+    if templates is None:
+        return TEMPLATES
+    rows = templates.filter("template is not null and text is not null").groupBy("template").agg(F.min(F.struct("label", "text")).alias("t")).select("template", "t.label", "t.text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    if size > TEMPLATE_BYTES:
+        return None
+    cut = {r["template"]: (r["label"], b" ".join(words_of(r["text"])).decode("utf-8", "surrogatepass")) for r in rows.collect()}
+    return {name: t for name, t in cut.items() if t[1]}
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """Licenses of each row of ``docs`` (doc_id and text; other columns are not read).
 
+    ``templates`` (template, label, text) is sought in place of the operator's own; of rows that share a name the least is taken.
     Returns doc_id, n_words, places (array of word, label: where phrases stand, by word),
-    templates (array of label, template, containment) and score: the best containment, or PHRASE_SCORE
+    templates (array of label, template, containment, by template) and score: the best containment, or PHRASE_SCORE
     if that is higher and a phrase stands in the text; else 0. A null or empty text has no
-    words; repeated rows are scanned each; an empty table gives an empty result.
+    words; texts of any length are cut into blocks whole; repeated rows are scanned each; an empty table gives an empty result.
     """
-    indexes = Index.by_length(word_frequency(docs))
+    named = _named(templates)
+    if named is None:
+        return _scan_by_join(docs, templates)
+    return _scan_with(docs, Index.by_length(word_frequency(docs, named), named) if named else {}, named)
+
+
+def _scan_with(docs: DataFrame, indexes: dict[int, Index], named: dict[str, tuple[str, str]]) -> DataFrame:
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])
     match = pa.struct([("label", pa.string()), ("template", pa.string()), ("containment", pa.float64())])
 
@@ -234,7 +257,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 best = {name: share for length, index in indexes.items() for name, share in index.matches(words, length).items()}
                 n.append(len(words))
                 places.append([{"word": i, "label": label} for i, label in at])
-                templates.append([{"label": TEMPLATES[k][0], "template": k, "containment": v} for k, v in sorted(best.items())])
+                templates.append([{"label": named[k][0], "template": k, "containment": v} for k, v in sorted(best.items())])
                 scores.append(max([PHRASE_SCORE if at else 0.0, *best.values()]))
             columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(places, pa.list_(place)), pa.array(templates, pa.list_(match)), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "places", "templates", "score"])
@@ -242,3 +265,50 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words bigint, places array<struct<word:bigint,label:string>>, templates array<struct<label:string,template:string,containment:double>>, score double"
     return docs.select("doc_id", "text").mapInArrow(lean(run), out)
+
+
+def _word_list(text: Column) -> Column:
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+
+
+def _scan_by_join(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """``scan`` for templates of any number: blocks are joined with templates on the words of the prefixes, then verified on their sets."""
+    keep: list[DataFrame] = []
+    with temporary_tables(keep):
+        rows = scratch(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "license-documents")
+        least = templates.filter("template is not null and text is not null").groupBy("template").agg(F.min(F.struct("label", "text")).alias("t"))
+        sought = least.select("template", "t.label", _word_list(F.col("t.text")).alias("w")).filter("size(w) > 0")
+        twice = F.pow(F.lit(2.0), F.ceil(F.log2(2 * F.size("w")))).cast("bigint")
+        sought = sought.select("template", "label", F.array_distinct("w").alias("words"), F.greatest(F.lit(BLOCK_WORDS), twice).alias("length"))
+        sought = scratch(sought.withColumn("need", F.ceil(THRESHOLD * F.size("words")).cast("int")), "license-templates")
+        known = sought.select(F.explode("words").alias("word")).distinct()
+        in_text = rows.select("row", F.explode(F.array_distinct(_word_list(F.col("text")))).alias("word"))
+        frequency = in_text.join(known, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        ranked = sought.select("template", "length", "need", F.size("words").alias("size"), F.explode("words").alias("word")).join(frequency, "word", "left")
+        order = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "word")
+        prefix = ranked.withColumn("r", F.row_number().over(order)).filter("r <= size - need + 1").select("word", "length", "template")
+        prefix = scratch(prefix, "license-prefixes")
+        lengths = sought.select("length").distinct()
+
+        # Blocks with a word of some prefix of their length, by where each such word stands.
+        said = rows.select("row", F.size(_word_list(F.col("text"))).alias("n_words"), F.posexplode(_word_list(F.col("text"))).alias("at", "word"))
+        hits = said.join(prefix, "word").select("row", "n_words", "at", "length", "template")
+        step = F.col("length") / 2
+        last = F.greatest(F.ceil((F.col("n_words") - F.col("length")) / step), F.lit(0))
+        first = F.floor(F.col("at") / step)
+        both = F.array_distinct(F.array(F.least(first, last), F.least(F.greatest(first - 1, F.lit(0)), last)))
+        pairs = hits.select("row", "length", "template", F.explode(both).alias("block")).distinct()
+        held = rows.select("row", _word_list(F.col("text")).alias("w")).join(pairs, "row")
+        block = F.array_distinct(F.slice("w", (F.col("block") * F.col("length") / 2 + 1).cast("int"), F.col("length").cast("int")))
+        held = held.select("row", "template", block.alias("held")).join(sought.select("template", "label", "words", "need"), "template").filter(F.size("held") >= F.col("need"))
+        common = F.size(F.array_intersect("held", "words"))
+        found = held.select("row", "template", "label", common.alias("c"), "need", F.size("words").alias("of")).filter("c >= need")
+        best = found.groupBy("row", "template", "label").agg(F.max(F.col("c") / F.col("of")).alias("containment"))
+        best = scratch(best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("template", "label", "containment"))).alias("m")), "license-matches")
+        plain = scratch(_scan_with(rows.select(F.struct("row", "doc_id").alias("doc_id"), "text"), {}, {}), "license-phrases")
+        keep += [best, plain]
+    matched = F.transform(F.coalesce("m", F.array().cast("array<struct<template:string,label:string,containment:double>>")), lambda x: F.struct(x["label"], x["template"], x["containment"]))
+    whole = plain.drop("templates").join(best, F.col("doc_id.row") == F.col("row"), "left").withColumn("templates", matched)
+    score = F.greatest(F.col("score"), F.coalesce(F.array_max("templates.containment"), F.lit(0.0)))
+    return whole.select("doc_id.doc_id", "n_words", "places", "templates", score.alias("score"))

@@ -139,7 +139,7 @@ def test_op10(spark, docs):
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     want = con.execute(sql.oracle_sql()[name])
     columns = [c[0] for c in want.description]
