@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
 import logging
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.text import strip
+from quillspark.sources.http import HttpLines
 
 CORRUPT = "_corrupt_record"
 REVIEW = T.StructType(
@@ -37,28 +35,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = REVIEW, st
     return spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def read_jsonl_urls(spark: SparkSession, urls: Sequence[str], schema: T.StructType = REVIEW, timeout: float = 60.0, lines: int = 4096) -> DataFrame:
-    """Line-delimited JSON from HTTP addresses, plain or gzip, one task for each.
+def read_jsonl_urls(spark: SparkSession, urls: Sequence[str], schema: T.StructType = REVIEW, timeout: float = 30.0, part_bytes: int = 64 << 20, retries: int = 3) -> DataFrame:
+    """Line-delimited JSON from HTTP addresses, plain or gzip, a task for each range of a file whose server takes ranges.
 
     Executors stream the lines, so no file passes the driver or a local disk. An address that cannot
     be read fails the job with its name; lines that don't parse keep their text in CORRUPT.
     """
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for url in (u for b in batches for u in b.column(0).to_pylist()):
-            try:
-                with urllib.request.urlopen(url, timeout=timeout) as answer:
-                    held: list[str] = []
-                    for line in gzip.open(answer) if url.partition("?")[0].endswith(".gz") else answer:
-                        held.append(line.decode("utf-8", "replace"))
-                        if len(held) == lines:
-                            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["line"])
-                            held = []
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["line"])
-            except (urllib.error.URLError, OSError, EOFError) as e:
-                raise OSError(f"cannot read {url}: {e}") from e
-
-    got = spark.createDataFrame([(u,) for u in urls], "url string").repartition(max(1, len(urls)), "url").mapInArrow(fetch, "line string")
+    spark.dataSource.register(HttpLines)
+    got = spark.read.format("http_lines").options(urls="\n".join(urls), timeout=timeout, part_bytes=part_bytes, retries=retries).load()
     fields = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return got.filter(F.trim("line") != "").select(F.from_json("line", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import special
 from quillspark.operators import trend
 from quillspark.sources import readers
+from quillspark.sources.http import HttpLines, HttpReader, Part
 
 
 @pytest.fixture
@@ -42,6 +43,62 @@ def test_jsonl_over_http(spark, address):
         readers.read_jsonl_urls(spark, [f"{address}/missing"], timeout=5).collect()
 
 
+@pytest.fixture
+def ranges():
+    """A server that takes ranges, fails every third request and breaks off long answers."""
+    body = "".join(f'{{"rating": {i % 5}.0, "text": "line {i} \u00e9{"x" * (i % 97)}"}}\n' for i in range(3000)).encode() + b'{"rating": 9.0}'
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.send_header("Accept-Ranges", "bytes")
+            self.end_headers()
+
+        def do_GET(self):
+            asked.append(self.headers.get("Range"))
+            if len(asked) % 3 == 0:
+                self.send_error(503)
+                return
+            begin = int(self.headers["Range"].removeprefix("bytes=").rstrip("-"))
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {begin}-{len(body) - 1}/{len(body)}")
+            self.send_header("Content-Length", str(len(body) - begin))
+            self.end_headers()
+            self.wfile.write(body[begin : begin + 90_000])  # then the connection ends
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/r.jsonl", body, asked
+    server.shutdown()
+
+
+@pytest.mark.parametrize("part", [5_000, 60_000, 1 << 20])
+def test_ranges_of_a_file_are_read_by_several_tasks(spark, ranges, part):
+    url, body, asked = ranges
+    spark.dataSource.register(HttpLines)
+    read = spark.read.format("http_lines").options(urls=url, part_bytes=part, retries=5).load()
+    rows = read.orderBy("at").collect()
+    assert [r.line for r in rows] == body.decode().split("\n")
+    assert all(body[r.at : r.at + 10].decode("utf-8", "replace")[:9] == r.line[:9] for r in rows)
+    assert read.rdd.getNumPartitions() == -(-len(body) // part)
+
+
+def test_ranges_shorter_than_lines_lose_nothing():
+    lines = [b"", b"aaaa", b"b" * 50, b"", b"", b"cc", b"d"]
+    body = b"\n".join(lines)
+    for size in (1, 2, 3, 7, 60, 100):
+        reader = HttpReader({"urls": "x"})
+        reader._chunks = lambda part: iter([body[max(part.begin - 1, 0) :][i : i + 5] for i in range(0, len(body), 5)])
+        got = [x for b in range(0, len(body), size) for x in reader._lines(Part("x", b, min(b + size, len(body))))]
+        at = [sum(len(y) + 1 for y in lines[:k]) for k in range(len(lines))]
+        assert got == list(zip(at, lines, strict=True)), size
+
+
 def test_hub_without_its_package(spark):
     pytest.importorskip("pyarrow")
     try:
