@@ -51,10 +51,10 @@ ENDS = {
 }
 #: Words of class and id that mark what is no part of an article, and words that mark one.
 BOILERPLATE = frozenset(
-    "ad ads adsense advert advertisement advertising adslot adbox alert aside banner bottombar breadcrumb breadcrumbs byline callout comment comments commentlist consent cookie cookies copyright cta"
-    " dialog disclaimer discussion disqus dropdown feedback footer gdpr hidden legal login masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination"
-    " paywall popup privacy promo promotion rail recommend recommendations recommended related replies reply respond responses review reviews search share sharing sidebar sidenav signup skip skyscraper"
-    " social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar topbar tracking trending warning widget widgets".split()
+    "ad ads adsense advert advertisement advertising adslot adbox alert aside banner bottombar breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright cta"
+    " dialog disclaimer discussion disqus dropdown footer gdpr hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination"
+    " paywall popup privacy promo promotion rail recommend recommendations recommended related replies reply respond responses search share sharing sidebar sidenav signup skip skyscraper"
+    " social sponsor sponsored subscribe subscription taboola teaser toolbar topbar tracking trending warning widget widgets".split()
 )
 HEADERS = frozenset(("header", "heading", "head"))
 CONTENT = frozenset("article articlebody body content entry main post story text".split())
@@ -62,6 +62,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 
 #: Share of the page's own best score that the host's path must reach.
 ENOUGH = 0.25
+#: How much longer than the best container one may be that adds the main heading to it.
+HEADING_SHARE = 0.2
 #: Paths of so many characters take no further steps.
 LONGEST_PATH = 1_000
 #: Copies of each host's winner when hosts are joined by shuffle, so that one host's pages are dealt over as many tasks.
@@ -81,7 +83,7 @@ class Page:
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     path: list[str] = field(default_factory=list)
-    #: 1: told by tag, 2: by role, class or id.
+    #: 1: told by tag, 2: by role, class or id, 3: a header by its class, which is one outside articles only.
     dropped: list[int] = field(default_factory=list)
     bonus: list[float] = field(default_factory=list)
     #: (element, text, characters in links)
@@ -109,7 +111,7 @@ def _verdict(tag: str, a: dict[str, str], words: list[str]) -> int:
         return 2
     if a.get("role", "").lower() in ROLES or any(w in BOILERPLATE for w in words):
         return 2
-    return 2 * (any(w in HEADERS for w in words) and not any(w in CONTENT for w in words) and tag in CONTAINER)
+    return 3 * (any(w in HEADERS for w in words) and not any(w in CONTENT for w in words) and tag in CONTAINER)
 
 
 class _Open:
@@ -226,19 +228,21 @@ def _settle(page: Page, text: str, still_open: list[int]) -> None:
     if "</body" in end or "</html" in end:
         for i in still_open:
             page.dropped[i] = 0
+    inside = [False] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        inside[i] = (around := inside[page.parent[i]]) or page.tag[i] in ("article", "main")
+        if page.dropped[i] == 3:
+            page.dropped[i] = 0 if around else 2
+        elif page.tag[i] == "header" and not around:
+            page.dropped[i] = 1
     holds = [False] * len(page.tag)
     for i in range(len(page.tag) - 1, 0, -1):
         if holds[i] and page.dropped[i] == 2:
             page.dropped[i] = 0
         if holds[i] or page.tag[i] in ("article", "main") and not page.dropped[i]:
             holds[page.parent[i]] = True
-    inside = [False] * len(page.tag)
     for i in range(1, len(page.tag)):
-        up = page.parent[i]
-        inside[i] = inside[up] or page.tag[i] in ("article", "main")
-        if page.tag[i] == "header" and not inside[up]:
-            page.dropped[i] = 1
-        page.dropped[i] = page.dropped[up] or page.dropped[i]
+        page.dropped[i] = page.dropped[page.parent[i]] or page.dropped[i]
 
 
 def scores(page: Page) -> dict[int, float]:
@@ -260,18 +264,38 @@ def scores(page: Page) -> dict[int, float]:
 
 
 def best(page: Page, found: dict[int, float]) -> int:
-    """The container with the highest score, or the article or main element around it; the whole page where there is none."""
+    """The container with the highest score, or the article or main element around it; the whole page where there is none.
+
+    Without such an element, containers around it are taken as long as they add the main heading and little else.
+    """
     if not found:
         return 0
     top = min(found, key=lambda i: (-found[i], i))
-    around, up = top, top
+    around, up = 0, top
     while up > 0:
         if page.tag[up] in ("article", "main"):
             around = up
             if page.tag[up] == "article":
                 break
         up = page.parent[up]
-    return around
+    if around or not top:
+        return around
+    said, heads = [0] * len(page.tag), [False] * len(page.tag)
+    for node, text, _ in page.blocks:
+        if not page.dropped[node]:
+            said[node] += len(text)
+            heads[node] |= page.tag[node] == "h1"
+    for i in range(len(page.tag) - 1, 0, -1):
+        said[page.parent[i]] += said[i]
+        heads[page.parent[i]] |= heads[i]
+    up = top
+    while up > 0 and not heads[top]:
+        up = page.parent[up]
+        if said[up] > (1 + HEADING_SHARE) * said[top]:
+            break
+        if heads[up] and page.tag[up] in CONTAINER:
+            top = up
+    return top
 
 
 def content(page: Page, chosen: set[int]) -> str:

@@ -86,6 +86,10 @@ def test_what_stays_of_a_page():
     assert extraction.extract("<p>one<p>two &am", None)[0] == "one\ntwo &am"
     assert extraction.extract("<article><header><h1>T</h1></header><p>x y</p><div hidden>no</div><article class='comment'>no</article></article>", None)[0] == "T\nx y"
     assert extraction.extract("<body><div class='page-sidebar'><article><p>in a badly named box</p></article></div></body>", None)[0] == "in a badly named box"
+    assert extraction.extract("<body><div class='page-header'>Site name and slogan</div><article><div class='header'><h2>T</h2></div><p class='meta'>By A</p><p>x y z</p><ol class='commentlist'><li>no</ol></article></body>", None)[0] == "T\nBy A\nx y z"
+    body = "<div class='text'><p>" + prose(1, 80) + "</p><p>" + prose(2, 80) + "</p></div>"
+    titled = f"<body><div id='page'><h1>A title</h1>{body}<div class='sidebar'>no</div></div><div class='links'>{'<a href=x>elsewhere</a> ' * 99}</div></body>"
+    assert extraction.extract(titled, extraction.vote(titled)[0]) == ("A title\n" + prose(1, 80) + "\n" + prose(2, 80), True)
     # A page that breaks off ends its last element; on a whole page an unclosed menu is no menu.
     assert extraction.extract("<body><article><p>said</p></article><footer>(c)", None)[0] == "said"
     assert extraction.extract("<body><nav><div><p>said here</p></div></body></html>", None)[0] == "said here"
