@@ -40,9 +40,9 @@ PERCENT = 5
 SEED = 42
 
 #: Bytes of text whose words share one dictionary.
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: Words whose n-grams are numbered at once, so that one very long text takes bounded memory.
-RUN = 1 << 20
+RUN = 1 << 19
 
 #: What a byte is in a word: A-Z as a-z; 0 ends a word.
 _BYTE = np.arange(256, dtype=np.uint8)
