@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,21 +36,34 @@ def decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if isinstance(t, str) else None)
 
 
+#: A reference as the standard writes it, semicolon and all.
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+@F.pandas_udf(StringType())
+def decode_ended_entities(texts: pd.Series) -> pd.Series:
+    """HTML entities decoded that end in a semicolon; what browsers guess beyond (``&amp`` at the end of a cut text) stays as it is."""
+    decoded = lambda m: html.unescape(m[0]) if m[1] is None or m[1] + ";" in html5 else m[0]
+    return texts.map(lambda t: _REFERENCE.sub(decoded, t) if isinstance(t, str) else None)
+
+
 def decode_common_entities(text: Column) -> Column:
     for entity, char in COMMON_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
-def clean_text(text: Column, all_entities: bool = True, mojibake_compat: bool = True) -> Column:
+def clean_text(text: Column, all_entities: bool = True, mojibake_compat: bool = True, ended_only: bool = False) -> Column:
     """Entities decoded, tags and product marks made spaces, quotes made plain, white space collapsed.
 
     Entities come first, so that escaped tags go too. Texts without an ampersand never reach
     Python. ``mojibake_compat`` also turns every U+00E2 into an apostrophe, as broken
-    encodings of quotes begin with it; that garbles French.
+    encodings of quotes begin with it; that garbles French. ``ended_only`` leaves entities
+    without a semicolon alone.
     """
     if all_entities:
-        text = F.when(F.contains(text, F.lit("&")), decode_entities(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+        decode = decode_ended_entities if ended_only else decode_entities
+        text = F.when(F.contains(text, F.lit("&")), decode(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
     else:
         text = decode_common_entities(text)
     text = F.regexp_replace(text, "<[^>]+>", " ")

@@ -45,6 +45,28 @@ def test_clean_text_decodes_before_it_drops_tags(spark):
     assert apply(spark, ["pâte"], plain) == ["pâte"]
 
 
+def test_entities_without_a_semicolon(spark):
+    said = ["a &amp b &amp", "&amp; &eacute; &#233; &#xe9; &ampx; &nosuch; &amp;quot; &am", None]
+    ended = lambda c: text.clean_text(c, ended_only=True)
+    assert apply(spark, said, ended) == ["a &amp b &amp", "& é é é &ampx; &nosuch; &quot; &am", None]
+    assert apply(spark, said[:1], text.clean_text) == ["a & b &"]
+
+
+def test_clean_text_query_leaves_cut_entities_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import oracle, queries
+
+    page = "<p>x&amp;y &quot;z&quot;</p> cut&amp"
+    spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in queries.QUERIES["clean_text"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("orders", "lineitem", "documents", "labels", "events", "conversations"):
+        con.execute(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    assert got == con.execute(oracle.oracle_sql()["clean_text"]).fetchall()
+
+
 def test_ascii_ratio(spark):
     assert apply(spark, ["", "abc", "é", "aé"], text.ascii_ratio) == [0.0, 1.0, 0.0, 0.5]
 
