@@ -70,3 +70,15 @@ def test_posterior_equals_plain_python(spark):
 def test_detection_runs_in_the_jvm(spark):
     plan = spark.createDataFrame([("a",)], "t string").select(langid.default_profiles().column(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_batches_give_the_answers_of_the_jvm(spark, monkeypatch):
+    said = [t for ts in SHORT.values() for t in ts]
+    said += [None, "", " ", "a", "ab", "123", "zzxq", "İstanbul", "𝒳𝒴 the dog", "это хорошая книга", "これはとても良い本です", "这本书很好", "a\0b", "the cat " * 3000 + "die Katze und der Hund " * 2000]
+    said += ["".join(chr(c) for c in range(0x4E00, 0x5000)) + " the dog and the cat", "the same the same", "the same the same"]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, t string").repartition(3)
+    for slice_ in (langid.SLICE, 20):
+        monkeypatch.setattr(langid, "SLICE", slice_)
+        for profiles in (langid.default_profiles(), langid.Profiles.of_texts({"en": ["the cat", ""], "de": ["die Katze"]}), langid.Profiles({})):
+            for r in df.select("t", profiles.column(F.col("t")).alias("a"), profiles.batched(F.col("t")).alias("b")).collect():
+                assert r.a == r.b, r.t
