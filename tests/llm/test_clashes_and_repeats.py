@@ -89,3 +89,23 @@ def test_rows_that_repeat_make_one_set(spark, monkeypatch):
     got = jaccard.near_groups(rows.unionByName(nulls).unionByName(other)).groupBy("doc_id", "component_id", "n_links").count().collect()
     assert {(r.doc_id, r.component_id, r.n_links): r["count"] for r in got} == {(7, 3, 2): 20_001, (None, 3, 2): 500, (3, 3, 2): 1, (9, 9, 0): 1}
     assert kept["sets"] <= 2 * 3  # a class comes once for its id and once for rows without one
+
+
+def test_shuffle_files_of_a_scratch_table_go_with_its_write(spark):
+    """They stayed until the driver collected its garbage, so a long chain of tables held all of them at once."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.common import SHUFFLE_CLEANUP, discard, scratch
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: set(re.findall(r"\d+", str(tracker.shuffleStatuses().keySet().toString())))
+    before = held()
+    made = scratch(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "cleanup")
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before and made.count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    discard(made)
