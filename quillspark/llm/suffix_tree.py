@@ -14,8 +14,10 @@ packed arrays; a bucket's sums are added in one array. The number of buckets fol
 size of the text, so a bucket stays small at any size. Contexts and successors need the same
 number of occurrences at every size, so the tree grows with the corpus. The tree is made by
 joins and is a table of runs. Where it was counted to fit in MODEL_BYTES, it is
-broadcast to the scoring tasks; beyond that the runs of all texts are joined with it. Both
-give the same scores.
+broadcast to the scoring tasks. Beyond that its most frequent words, contexts and runs are, and
+only what the rest may have is joined with it, key by key: the logarithm of a token's
+probability is a sum of that of the root, the back-off weight of each retained context, and the
+lift of each run of the tree, and none of these depends on another. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -42,13 +44,15 @@ DISCOUNT = 0.75
 SLICE, SCORED = 3 << 20, 1 << 20
 #: Bytes of text whose runs share a bucket.
 BUCKET = 8 << 20
-#: A tree of no more bytes is broadcast, as are the most frequent words and contexts.
+#: A tree of no more bytes is broadcast, as are the candidate contexts; of the words that can follow one, twice as many.
 MODEL_BYTES = 48 << 20
 
 _U = np.uint64
 #: The symbols at both ends of a text; words have hashes of 63 bits.
 START, END = -1, -2
 _WORD = _U((1 << 63) - 1)
+#: What tells keys of runs and of contexts from those of words, and from each other.
+_RUN, _CONTEXT = 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D
 
 
 def join_runs(left: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -204,9 +208,10 @@ def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
 
 @dataclass
 class Tree:
-    """``words``: key, n of all training tokens. ``runs``: key, n, mass, left of the tree's runs.
+    """``words``: key, n of all training tokens. ``runs``: key, n, lift, mass, left of the tree's runs.
 
-    A run that follows a retained context has its occurrences n; one that is a retained context its
+    A run that follows a retained context has its occurrences n, and as lift the logarithm of its probability over what
+    its context would leave to the suffix; one that is a retained context its
     mass (occurrences before a token) and what of it is left to its suffix. A run can be both, and is null where it is not.
     """
 
@@ -242,25 +247,27 @@ def _with_suffixes(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def retained(runs: DataFrame, contexts: DataFrame, tree: Tree, frequent: DataFrame, depth: int) -> DataFrame:
-    """key, kept, left of the ``runs`` (context, words, n) whose contexts (key, mass) pass the divergence test, and of these contexts."""
+    """The tree's rows of the ``runs`` (context, words, n) whose contexts (key, mass) pass the divergence test, and of these contexts."""
     masses = contexts.select(F.col("key").alias("__m"), "mass")
     seen = runs.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("seen")).join(small(masses, 32), F.col("context") == F.col("__m")).drop("__m")
     seen = scratch(seen.withColumn("left", F.col("mass") - F.col("seen") + DISCOUNT * F.col("kinds")), f"seen-{depth}")
     rows = _with_suffixes(runs.join(small(seen.select("context", "mass", "left"), 48), "context").select("context", "mass", "left", "n", "words"), depth)
     p = (F.coalesce("__n", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1))
-    rows = rows.withColumn("last", F.element_at("words", -1)).drop("words", "key")
+    rows = rows.withColumn("last", F.element_at("words", -1)).drop("words")
     rows = rows.join(small(frequent.select(F.col("key").alias("__k"), F.col("n").alias("__n")), 32), F.col("last") == F.col("__k"), "left").withColumn("p", p).drop("last", "__k", "__n")
     for d in range(1, depth):  # with all shallower contexts, as the longest retained suffix is the parent
         rows = _deeper(rows, tree, "p", f"r{d}", f"c{d}", hint=True).drop(f"r{d}", f"c{d}")
+    rows = scratch(rows, f"shallower-{depth}")
     gain = F.sum(F.col("n") * F.log((F.col("n") - DISCOUNT + F.col("left") * F.col("p")) / (F.col("mass") * F.col("p"))))
     tested = seen.join(rows.groupBy("context").agg(gain.alias("gain")), "context")
     unseen = F.col("mass") - F.col("seen")
     whole = F.col("gain") + F.when(unseen > 0, unseen * F.log(F.col("left") / F.col("mass"))).otherwise(0.0)
     cost = 0.5 * math.log(max(tree.total, 2)) * F.col("kinds")
     good = scratch(tested.filter((whole > cost) & (F.col("left") > 0)).select("context", "left", "mass"), f"contexts-{depth}")
-    successors = _with_suffixes(runs.join(small(good.select("context", "mass"), 32), "context").select("words", "n", "mass"), depth)
-    as_run = successors.select("key", F.col("n").cast("long").alias("n"), F.lit(None).cast("double").alias("mass"), F.lit(None).cast("double").alias("left"))
-    return as_run.unionByName(good.select(F.col("context").alias("key"), F.lit(None).cast("long").alias("n"), F.col("mass").cast("double").alias("mass"), "left"))
+    lift = F.log10((F.col("n") - DISCOUNT + F.col("left") * F.col("p")) / (F.col("left") * F.col("p")))
+    successors = rows.join(small(good.select("context"), 16), "context")
+    as_run = successors.select("key", F.col("n").cast("long").alias("n"), lift.alias("lift"), F.lit(None).cast("double").alias("mass"), F.lit(None).cast("double").alias("left"))
+    return as_run.unionByName(good.select(F.col("context").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("lift"), F.col("mass").cast("double").alias("mass"), "left"))
 
 
 def _deeper(rows: DataFrame, tree: Tree, p: str, run: str, context: str, hint: bool = False) -> DataFrame:
@@ -282,14 +289,14 @@ def train(docs: DataFrame) -> Tree:
         buckets = 1 + size // BUCKET
         words = scratch(_counted(docs, buckets, lambda r: (np.empty(0, np.int64), r.symbols), 1).select("key", "n"), "unigrams")
         sums = words.filter(F.col("key") != START).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-        tree = Tree(words, spark.createDataFrame([], "key bigint, n bigint, mass double, left double"), sums["n"], sums["v"], 0)
+        tree = Tree(words, spark.createDataFrame([], "key bigint, n bigint, lift double, mass double, left double"), sums["n"], sums["v"], 0)
 
         # Of each frequent run: key, mass (how often a token follows) and words (its symbols). Nothing follows an end.
         contexts = words.filter((F.col("n") >= LEAST_CONTEXT) & (F.col("key") != END)).select("key", F.col("n").alias("mass"), F.array("key").alias("words"))
         # No other words can follow a context often enough.
         frequent = scratch(words.filter((F.col("n") >= LEAST_SUCCESSOR) & (F.col("key") != START)), "frequent-words")
         many = frequent.count()
-        follow = spark.sparkContext.broadcast(Lookup(*_arrays(frequent, "key"))) if many * 8 <= MODEL_BYTES else None
+        follow = spark.sparkContext.broadcast(Lookup(*_arrays(frequent, "key"))) if many * 8 <= 2 * MODEL_BYTES else None
         contexts = scratch(contexts, "candidates-1")
         for depth in range(1, DEPTH + 1):
             known = contexts.count()
@@ -317,7 +324,7 @@ def train(docs: DataFrame) -> Tree:
                 shared.unpersist()
             more = scratch(retained(joined, contexts, tree, frequent, depth), f"retained-{depth}")
             last = tree
-            tree = Tree(words, scratch(last.runs.unionByName(more).groupBy("key").agg(F.max("n").alias("n"), F.max("mass").alias("mass"), F.max("left").alias("left")), f"tree-{depth}"), last.total, last.distinct, depth)
+            tree = Tree(words, scratch(last.runs.unionByName(more).groupBy("key").agg(F.max("n").alias("n"), F.max("lift").alias("lift"), F.max("mass").alias("mass"), F.max("left").alias("left")), f"tree-{depth}"), last.total, last.distinct, depth)
             deeper = joined.filter((F.col("n") >= LEAST_CONTEXT) & (F.element_at("words", -1) != END))
             contexts = scratch(_with_suffixes(deeper.select("words", F.col("n").alias("mass")), depth).select("key", "mass", "words"), f"candidates-{depth + 1}")
         if follow is not None:
@@ -326,15 +333,15 @@ def train(docs: DataFrame) -> Tree:
     return tree
 
 
-def _most_frequent(words: DataFrame) -> tuple[DataFrame, int]:
-    """The words of at least some number of occurrences, and that number: as many as fit in a third of MODEL_BYTES."""
-    counted = words.groupBy(F.least(F.floor(F.log2("n")), F.lit(62)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("rows")).collect()
+def _most_frequent(table: DataFrame, often: str = "n") -> tuple[DataFrame, int]:
+    """The rows of ``table`` with at least some number of occurrences, and that number: as many as fit in a third of MODEL_BYTES."""
+    counted = table.groupBy(F.least(F.floor(F.log2(often)), F.lit(62)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("rows")).collect()
     rows = {r["k"]: r["rows"] for r in counted}
     k, held = 63, 0
     while k > 0 and (held + rows.get(k - 1, 0)) * 16 <= MODEL_BYTES // 3:
         k -= 1
         held += rows.get(k, 0)
-    return words.filter(F.col("n") >= (1 << k)), 1 << k
+    return table.filter(F.col(often) >= (1 << k)), 1 << k
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -420,36 +427,122 @@ def score_with(docs: DataFrame, tree: Tree) -> DataFrame:
     )
 
 
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places of each key in a filter of ``bits`` bits, a power of two."""
+    return [mix(keys.view(_U), salt) & _U(bits - 1) for salt in (61, 62)]
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """Which places of a filter the ``keys`` (key) take, as the bits of whole numbers; it has 8 bits a key or more, up to two thirds of MODEL_BYTES."""
+    bits = 64
+    n = keys.count()
+    while bits < 8 * n and bits * 2 <= MODEL_BYTES * 8 * 2 // 3:
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = np.concatenate(_places(b.column("key").to_numpy(), bits))
+            place.sort()
+            slot = (place >> _U(6)).astype(np.int64)
+            begin = np.flatnonzero(np.diff(slot, prepend=-1))
+            value = np.bitwise_or.reduceat(_U(1) << (place & _U(63)), begin) if len(begin) else np.empty(0, _U)
+            yield pa.RecordBatch.from_arrays([pa.array(slot[begin]), pa.array(value.view(np.int64))], ["slot", "value"])
+
+    slots = scratch(keys.mapInArrow(lean(run), "slot bigint, value bigint").groupBy("slot").agg(F.bit_or("value").alias("value")), "suffix-filter")
+    slot, value = _arrays(slots, "slot", "value")
+    out = np.zeros(bits // 64, np.int64)
+    out[slot] = value
+    return out
+
+
+def _may_have(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys a filter may have been made of."""
+    values = bitmap.view(_U)
+    one, two = _places(keys, len(values) * 64)
+    return ((values[one >> _U(6)] >> (one & _U(63))) & (values[two >> _U(6)] >> (two & _U(63))) & _U(1)).astype(bool)
+
+
 def _score_by_join(docs: DataFrame, tree: Tree) -> DataFrame:
-    """``score_with`` for trees of any size: every token's runs and contexts are joined with the tree."""
+    """``score_with`` for trees of any size: what the most frequent words, contexts and runs do not tell is joined with the tree.
+
+    Keys that no rare run or context can have, by a filter of their bits, are not asked for.
+    """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    depth = tree.depth
-    names = [*(f"r{d}" for d in range(depth + 1)), *(f"c{d}" for d in range(1, depth + 1))]
+    depth, total, every = tree.depth, tree.total, tree.total + tree.distinct + 1
+    states = tree.runs.filter("mass is not null").select("key", F.col("mass").alias("n"), F.log10(F.col("left") / F.col("mass")).alias("value"))
+    runs = tree.runs.filter("n is not null").select("key", "n", F.col("lift").alias("value"))
+    often, least_word = _most_frequent(tree.words)
+    often_states, least_state = _most_frequent(states)
+    often_runs, least_run = _most_frequent(runs)
+    told = lambda t, least, sign: t.filter(F.col("n") < least).select(F.col("key").bitwiseXOR(F.lit(sign)).alias("key"), F.lit(0.0).alias("base"), "value", F.lit(0).alias("known"))
+    hidden = told(runs, least_run, _RUN).unionByName(told(states, least_state, _CONTEXT))
+    root = F.log10(F.col("n") + 1)
+    rest = hidden.unionByName(tree.words.filter(F.col("n") < least_word).select("key", root.alias("base"), root.alias("value"), F.lit(1).alias("known")))
+    shared = spark.sparkContext.broadcast((Lookup(*_arrays(often, "key", "n")), Lookup(*_arrays(often_states, "key", "value")), Lookup(*_arrays(often_runs, "key", "value")), _filter_of(hidden)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, states, runs, bitmap = shared.value
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches, SCORED):
             ids = b.column("doc_id").to_pylist()
             r = Runs.of(b.column("text"))
+            n = words.get(r.symbols, 0, 0)
             token = r.place > 0
-            at = (r.at - np.arange(len(r.at))).astype(np.int32)
-            columns = []
-            for d in range(depth + 1):  # a run that would begin before its text is null
-                columns.append(pa.array(r.names(d + 1)[token], mask=(r.place < d)[token]))
+            rare = token & (n == 0)
+            base = np.where(token, np.log10((n + 1) / every), 0.0)
+            best, name = base.copy(), r.symbols
+            asked_at, asked = [np.flatnonzero(rare)], [r.symbols[rare]]
             for d in range(1, depth + 1):
-                columns.append(pa.array(_earlier(r.names(d))[token], mask=(r.place < d)[token]))
-            lists = [pa.ListArray.from_arrays(pa.array(at), c) for c in columns]
-            first = [pa.array(np.arange(row, row + len(ids))), b.column("doc_id"), pa.array([held_out(i) for i in ids], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*first, *lists], ["row", "doc_id", "held_out", *names])
+                at = np.flatnonzero(r.place >= d)
+                context, name = name[at - 1], join_runs(_earlier(name), r.symbols)
+                state = states.find(context)
+                best[at[state >= 0]] += states.values[0][state[state >= 0]]
+                sign = context ^ np.int64(_CONTEXT)
+                ask = (state < 0) & _may_have(bitmap, sign)
+                asked_at.append(at[ask])
+                asked.append(sign[ask])
+                at = at[(state >= 0) | ask]  # the others have no retained context, so no run of the tree
+                found = runs.find(name[at])
+                best[at[found >= 0]] += runs.values[0][found[found >= 0]]
+                at = at[found < 0]
+                sign = name[at] ^ np.int64(_RUN)
+                ask = _may_have(bitmap, sign)
+                asked_at.append(at[ask])
+                asked.append(sign[ask])
+            place, keys = np.concatenate(asked_at), np.concatenate(asked)
+            order = np.argsort(place, kind="stable")
+            offsets = np.searchsorted(place[order], r.at).astype(np.int32)
+            sums = lambda v, at=r.at[:-1]: np.add.reduceat(v, at) if len(at) else np.empty(0, v.dtype)
+            length = np.diff(r.at) - 1
+            columns = [
+                pa.array(np.arange(row, row + len(ids))),
+                b.column("doc_id"),
+                pa.array([held_out(i) for i in ids], pa.bool_()),
+                pa.array(length, pa.int64()),
+                pa.array(length - sums(rare.astype(np.int64)), pa.int64()),
+                pa.array(sums(base), pa.float64()),
+                pa.array(sums(best), pa.float64()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "tree", "asked"])
             row += len(ids)
 
-    schema = f"row bigint, doc_id {kind}, held_out boolean, " + ", ".join(f"{c} array<bigint>" for c in names)
-    texts = scratch(docs.select("doc_id", "text").mapInArrow(lean(run), schema), "suffix-runs")
-    tokens = texts.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in names))
-    tokens = tokens.join(tree.words.select(F.col("key").alias("r0"), "n"), "r0", "left")
-    tokens = tokens.withColumn("p", (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1))).withColumn("q", F.col("p"))
-    for d in range(1, depth + 1):
-        tokens = _deeper(tokens, tree, "q", f"r{d}", f"c{d}")
-    sums = tokens.groupBy("row").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("n") > 0).alias("n_known"), F.sum(F.log10("p")).alias("base_score"), F.sum(F.log10("q")).alias("score"))
-    whole = texts.select("row", "doc_id", "held_out").join(sums, "row")
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, tree double, asked array<bigint>"
+    scored = scratch(docs.select("doc_id", "text").mapInArrow(lean(run), out), "suffix-scores")
+    more = scored.select("row", F.explode("asked").alias("key")).join(rest, "key").groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("value").alias("more"), F.sum("known").alias("known"))
+    more = scratch(more, "suffix-rest")
+    none = F.lit(0.0)
+    return (
+        scored.drop("asked")
+        .join(more, "row", "left")
+        .select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
+            F.lit(total).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
+            (F.col("tree") + F.coalesce("more", none)).alias("score"),
+        )
+    )

@@ -581,6 +581,27 @@ def test_suffix_tree_equals_a_plain_one(spark, monkeypatch, depth, by_join):
         assert sum(after(history, w) for w in seen) + (1 - sum(map(root, seen))) == pytest.approx(1, abs=0.02)
 
 
+def test_large_trees_ask_for_what_frequent_keys_do_not_tell(spark, monkeypatch):
+    """Every token's runs and contexts, seven keys a token, were joined with trees that are not broadcast."""
+    for name, value in (("LEAST_CONTEXT", 6), ("LEAST_SUCCESSOR", 2), ("BUCKET", 2000)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    docs = spark.createDataFrame(tree_corpus(), "doc_id bigint, text string")
+    tree = suffix_tree.train(docs)
+    told = lambda: {(x.doc_id, x.n_tokens): (x.n_known, round(x.base_score, 6), round(x.score, 6)) for x in suffix_tree.score_with(docs, tree).collect()}
+    want, asked, write = told(), [], suffix_tree.scratch
+
+    def counted(df, tag, *more):
+        out = write(df, tag, *more)
+        if tag == "suffix-scores":
+            asked.append(out.selectExpr("sum(size(asked))", "sum(n_tokens)").first())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "scratch", counted)
+    monkeypatch.setattr(suffix_tree, "MODEL_BYTES", 6000)
+    assert told() == want
+    assert len(asked) == 1 and 0 < asked[0][0] < asked[0][1]
+
+
 def test_suffix_tree_of_nothing_and_of_rare_pairs(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix_tree.score(empty).count() == 0
