@@ -408,6 +408,31 @@ def test_points_fold_to_narrower_ones():
     assert (points.take(np.arange(4), 64) == np.stack([jaccard.counts(s, 64) for s in sets[:3]] + [np.bincount((jaccard.mix(sets[3], 6) % np.uint64(64)).astype(int), minlength=64)])).all()
 
 
+def test_sets_with_nothing_in_common_are_not_chained():
+    r, rule = np.random.default_rng(5), jaccard.Rule(5, 80)
+    sizes = np.concatenate([r.integers(1255, 1400, 150), r.integers(600, 660, 150), r.integers(310, 330, 150)])
+    sets = [np.unique(r.integers(0, 1 << 62, n).astype(np.uint64)) for n in sizes]
+    sets += [np.concatenate([s[:-40], r.integers(0, 1 << 62, 20).astype(np.uint64)]) for s in sets[::150]]  # near copies
+    points = jaccard.Points([jaccard.counts(s).tobytes() for s in sets])
+    n = np.array([len(s) for s in sets])
+    for lo, hi in ((0, 150), (150, 300), (300, 450)):
+        rows = np.append(np.arange(lo, hi), 450 + lo // 150)
+        links = jaccard.block_forest(np.arange(len(rows)), n[rows], points.take(rows, int(points.widths[rows].min())), rule)
+        assert {frozenset(x) for x in links} == {frozenset((0, 150))}
+
+
+def test_blocks_in_parts_are_all_blocks(spark):
+    rows = [(i % 37, [i % 11, i % 13 - 6, i]) for i in range(200)]
+    sets = spark.createDataFrame(rows, "k1 bigint, blocks array<bigint>")
+    held = {}
+    for k1, blocks in rows:
+        for b in blocks:
+            held.setdefault(b, set()).add(k1)
+    want = sorted((b, k) for b, ks in held.items() if len(ks) > 1 for k in ks)
+    for parts in (1, 4):
+        assert sorted(tuple(x) for i in range(parts) for x in jaccard.shared_blocks(sets, i, parts).collect()) == want
+
+
 def test_rtree_finds_all_that_the_bound_allows():
     import numpy as np
 
